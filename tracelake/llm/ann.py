@@ -68,7 +68,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     The best rerank share of a shard by footrule (least rows at least) is
     measured. Rows whose vector is null, empty, zero or holds null or non-finite
     components, or whose id is null, take no part; a row repeated whole counts
-    once. Vectors of another length than the first pivot's take no part either.
+    once. Vectors of another than the commonest length take no part either.
     Fewer than k others: all of them. Empty input: empty result.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), queries.alias("asks")).where(usable(F.col("vec")) & F.col("id").isNotNull())
@@ -76,10 +76,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     # The k + 1 smallest ids of equal vectors: one of them may be the query's own.
     first = v.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
     own = materialize(first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("vec")), "vectors")
-    sample = np.array([r.vec for r in own.orderBy("h").limit(pivots).collect()] or [[0.0]], dtype=object)
-    width = len(sample[0])
-    chosen = np.array([s for s in sample if len(s) == width], float)
+    common = own.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = common.w if common else 1
     own = own.where(F.size("vec") == width)
+    chosen = np.array([r.vec for r in own.orderBy("h").limit(pivots).collect()], float).reshape(-1, width)
     shards = max(1, -(-own.count() // shard_rows))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

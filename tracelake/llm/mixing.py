@@ -27,7 +27,7 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, sourc
     """(source, n, rate, cdf): rows and mean copies of each source, and the cumulative Poisson distribution of that mean.
 
     weights: target shares by source, not necessarily summing to one; sources
-    without one get nothing. None: shares proportional to n ** power. The mix
+    without one get nothing, and a source without rows leaves its share to the others. None: shares proportional to n ** power. The mix
     has epochs * rows documents on average.
     """
     counts = docs.groupBy(F.col(source_col).alias("__s")).agg(F.count("*").alias("n"))

@@ -68,6 +68,7 @@ def forest(n: int, pairs) -> np.ndarray:
 
 
 def _close(x: np.ndarray, y: np.ndarray, radius: int, rows: int = 256):
+    x, y = x.view(np.uint64), y.view(np.uint64)  # of signed numbers, numpy counts the bits of the absolute value
     for i in range(0, len(x), rows):
         near = np.bitwise_count(x[i : i + rows, None] ^ y[None, :]) <= radius
         a, b = near.nonzero()
@@ -122,9 +123,9 @@ def link_fingerprints(spark: SparkSession, fps: DataFrame, radius: int = 3, tile
                     at, home = where, x
                     low = forest(len(x), _close(x, x, radius))
                     own_ids = x
+                elif where != at:
+                    continue  # a part that drew no fingerprint has no host
                 else:
-                    if where != at:
-                        raise ValueError("guest before its host")
                     n = len(home)
                     low = forest(n + len(x), ((p, q + n) for p, q in _close(home, x, radius)))
                     own_ids = np.concatenate([home, x])
