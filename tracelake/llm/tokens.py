@@ -9,6 +9,7 @@ only for new ones.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
@@ -46,14 +47,41 @@ class WordTokenizer:
         return out
 
 
-_HERE: dict[str, WordTokenizer] = {}
+class RankTokenizer(WordTokenizer):
+    """The same over a file of byte-pair ranks; a word is encoded with a space before it."""
 
+    def __init__(self, path: str):
+        import base64
 
-def word_tokenizer(path: str) -> WordTokenizer:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known = {}
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        encode = self.encoding.encode_ordinary
+        return {w: array("I", encode(" " + w.decode())).tobytes() for w in new}
+
+
+_HERE: dict[tuple, WordTokenizer] = {}
+
+
+def _once(kind: type, path: str) -> WordTokenizer:
     """One per worker process and file."""
-    if path not in _HERE:
-        _HERE[path] = WordTokenizer(path)
-    return _HERE[path]
+    if (kind, path) not in _HERE:
+        _HERE[kind, path] = kind(path)
+    return _HERE[kind, path]
+
+
+def rank_tokenizer(path: str) -> WordTokenizer:
+    return _once(RankTokenizer, path)
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    return _once(WordTokenizer, path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
