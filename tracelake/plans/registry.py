@@ -12,7 +12,7 @@ from . import base
 def _load() -> None:
     if base.QUERIES:
         return
-    from . import rollup_queries, scalar_queries, search_queries, sequence_queries  # noqa: F401
+    from . import graph_queries, retrieval_queries, rollup_queries, scalar_queries, search_queries, sequence_queries, stream_queries  # noqa: F401
 
     scalar_queries.register()
 
