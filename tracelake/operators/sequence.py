@@ -125,3 +125,13 @@ def sequence_labels(sessions: DataFrame) -> DataFrame:
     """Adds the label date__ordinal__id, counting a day's sessions by start, then id."""
     n = F.row_number().over(Window.partitionBy("session_date").orderBy("start", BY))
     return sessions.withColumn("label", F.concat_ws("__", "session_date", F.format_string("%03d", n), F.col(BY)))
+
+
+def ranked_number_chains(events: DataFrame, call: Column, good: Column, value: str) -> DataFrame:
+    """Quantitative admission per (session, correlation id): exactly one call, at least two later good results, their numbers in falling order."""
+    key = [BY, "correlation_id"]
+    c = events.where(call & (F.col("correlation_id") != "")).groupBy(*key).agg(F.count("*").alias("calls"), F.min(LINE).alias("call_line"))
+    r = events.where(good).join(c, key).where(F.col(LINE) > F.col("call_line"))
+    r = r.withColumn("prev", F.lag(value).over(Window.partitionBy(*key).orderBy(LINE)))
+    g = r.groupBy(*key).agg(F.first("calls").alias("calls"), F.count("*").alias("numbers"), F.count_if(F.col(value) > F.col("prev")).alias("rises"))
+    return g.withColumn("admitted", (F.col("calls") == 1) & (F.col("numbers") >= 2) & (F.col("rises") == 0))

@@ -330,3 +330,8 @@ def a17(spark, d):
 @query("a18_usage_roles", f"WITH {EV} SELECT k, count(*) FILTER (event_type = 'USER_INTENT') AS entrypoint, count(*) FILTER (event_type = 'TOOL_CALL') AS usage, count(*) FILTER (event_type IN ('TOOL_OUTPUT', 'ERROR')) AS result, count(*) FILTER (event_type = 'VERIFICATION') AS outcome, count(DISTINCT session_id) AS sessions FROM ev GROUP BY k")
 def a18(spark, d):
     return events(spark, d).groupBy("k").agg(F.count_if(C("event_type") == "USER_INTENT").alias("entrypoint"), F.count_if(F.expr(CALL)).alias("usage"), F.count_if(F.expr(RESULT)).alias("result"), F.count_if(C("event_type") == "VERIFICATION").alias("outcome"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query("e5_ranked_numbers", f"WITH {EV}, c AS (SELECT session_id, correlation_id, count(*) AS calls, min(line) AS call_line FROM ev WHERE {CALL} GROUP BY ALL), r AS (SELECT session_id, correlation_id, calls, value, lag(value) OVER (PARTITION BY session_id, correlation_id ORDER BY line) AS prev FROM ev JOIN c USING (session_id, correlation_id) WHERE event_type = 'TOOL_OUTPUT' AND line > call_line) SELECT session_id, correlation_id, count(*) AS numbers, max(calls) = 1 AND count(*) >= 2 AND count(*) FILTER (value > prev) = 0 AS admitted FROM r GROUP BY ALL")
+def e5_ranked(spark, d):
+    return Q.ranked_number_chains(events(spark, d), F.expr(CALL), C("event_type") == "TOOL_OUTPUT", "value").select("session_id", "correlation_id", "numbers", "admitted")
