@@ -30,13 +30,28 @@ def classify(logs: DataFrame, raw_col: str) -> DataFrame:
     return logs.withColumns({name: _typed(F.col(raw_col), i) for i, name in enumerate(FACETS)})
 
 
-def operational_events(logs: DataFrame) -> DataFrame:
-    """session_events from an operational log: a session per user, lines by time and id, the property k as key and correlation id."""
+def numbered(rows: DataFrame, session: str, day: str, *order: str) -> DataFrame:
+    """Adds line, from 1, within each session in an order that days respect.
+
+    Rows are numbered within a session's day, and each day starts where the
+    days before it end: a session with a large share of all rows is spread over
+    its days, and only its daily counts meet in one place.
+    """
+    n = rows.withColumn("__n", F.row_number().over(Window.partitionBy(session, day).orderBy(*order)))
+    counts = rows.groupBy(F.col(session).alias("__s"), F.col(day).alias("__d")).agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__s").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__s", "__d", F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col(session).eqNullSafe(F.col("__s")) & F.col(day).eqNullSafe(F.col("__d"))
+    return n.join(starts, same).withColumn("line", F.col("__n") + F.col("__before")).drop("__n", "__s", "__d", "__before")
+
+
+def operational_events(logs: DataFrame, lines: bool = True) -> DataFrame:
+    """session_events from an operational log: a session per user, lines by time and id, the property k as key and correlation id. lines=False leaves line out for what doesn't need it."""
     s = logs.select(
         "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("session_date"),
         F.col("event_type").alias("raw_type"), "value", F.get_json_object("props", "$.k").alias("k"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("line"),
     )
+    s = numbered(s, "session_id", "session_date", "ts", "event_id") if lines else s
     return classify(s, "raw_type").withColumn("correlation_id", F.when(F.col("event_type").isin("TOOL_CALL", "TOOL_OUTPUT", "ERROR"), F.col("k")))
 
 

@@ -110,9 +110,13 @@ def interior(events: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def recovery(events: DataFrame, failed: Column, good: Column) -> DataFrame:
-    """Each failed event with the first later good event on the same key of its session."""
-    w = Window.partitionBy(BY, "k").orderBy(LINE).rowsBetween(1, Window.unboundedFollowing)
-    return events.withColumn("recovered_by", F.first(F.when(good, F.col("event_id")), True).over(w)).where(failed)
+    """Each failed event with the first later good event on the same key of its session.
+
+    Read backwards: the last one seen so far is a running value, where a frame
+    to the end of the session would be walked again for every row.
+    """
+    w = Window.partitionBy(BY, "k").orderBy(F.desc(LINE)).rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("recovered_by", F.last(F.when(good, F.col("event_id")), True).over(w)).where(failed)
 
 
 def superseded(rows: DataFrame, ident: str, *by: str, order: str = "ts") -> DataFrame:

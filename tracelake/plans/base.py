@@ -30,6 +30,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.operational_events(table(spark, sf_dir, "events"))
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without line numbers, for what doesn't look at order."""
+    return ev.operational_events(table(spark, sf_dir, "events"), lines=False)
+
+
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.dialogue_events(table(spark, sf_dir, "conversations"))
 

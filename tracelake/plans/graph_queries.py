@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import graph as G
 from ..operators import search as P
-from .base import EV, PO, events, query, table
+from .base import EV, PO, events, facts, query, table
 
 C = F.col
 
@@ -15,7 +15,7 @@ _EDGES = f"""WITH {PO}, ed AS (SELECT 'contains' AS edge_type, 'session:' || ses
 
 
 def edges(spark, d):
-    e = events(spark, d)
+    e = facts(spark, d)
     return G.event_graph(e, E.postings(e))
 
 
@@ -26,7 +26,7 @@ def g1(spark, d):
 
 @query("a13_contributions", f"WITH {PO} SELECT 'route:' || route_signal AS node, count(*) AS count FROM po GROUP BY 1")
 def a13(spark, d):
-    n = E.postings(events(spark, d)).select(F.concat(F.lit("route:"), "route_signal").alias("node"), F.lit(1).cast("long").alias("count"))
+    n = E.postings(facts(spark, d)).select(F.concat(F.lit("route:"), "route_signal").alias("node"), F.lit(1).cast("long").alias("count"))
     return G.aggregate_contributions(n, "node")
 
 
@@ -76,25 +76,25 @@ def g3(spark, d):
 
 @query("g4_cooccurrence", f"WITH {PO}, c AS (SELECT DISTINCT event_id FROM po WHERE route_signal = 'k:7') SELECT route_signal, count(DISTINCT event_id) AS n FROM po JOIN c USING (event_id) WHERE route_signal <> 'k:7' GROUP BY 1")
 def g4(spark, d):
-    return G.cooccurrence(E.postings(events(spark, d)), C("route_signal") == "k:7")
+    return G.cooccurrence(E.postings(facts(spark, d)), C("route_signal") == "k:7")
 
 
 @query("j12_two_hop", f"WITH {PO}, p AS (SELECT DISTINCT session_id, route_signal FROM po WHERE layer IN ('event_type', 'error')) SELECT a.route_signal AS a, b.route_signal AS b, count(*) AS sessions FROM p a JOIN p b ON a.session_id = b.session_id AND a.route_signal < b.route_signal GROUP BY ALL")
 def j12(spark, d):
     """Routes that meet in a session, each pair once; joined on distinct (session, route), so repeats don't multiply."""
-    p = E.postings(events(spark, d)).where("layer in ('event_type', 'error')").select("session_id", "route_signal").distinct()
+    p = E.postings(facts(spark, d)).where("layer in ('event_type', 'error')").select("session_id", "route_signal").distinct()
     b = p.select("session_id", C("route_signal").alias("b"))
     return p.withColumnRenamed("route_signal", "a").join(b, "session_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("sessions"))
 
 
 @query("a14_cooccurrence_counts", f"WITH {EV} SELECT k, event_type, count(DISTINCT session_id) AS n FROM ev GROUP BY ALL")
 def a14(spark, d):
-    return events(spark, d).groupBy("k", "event_type").agg(F.count_distinct("session_id").alias("n"))
+    return facts(spark, d).groupBy("k", "event_type").agg(F.count_distinct("session_id").alias("n"))
 
 
 @query("j10_anchor_resolution", f"WITH {PO}, t AS (SELECT DISTINCT route_signal, layer, key FROM po), a AS (SELECT DISTINCT k AS anchor FROM ev) SELECT anchor, layer, route_signal FROM a JOIN t ON t.key = a.anchor AND layer IN ('k', 'error')")
 def j10(spark, d):
-    e = events(spark, d)
+    e = facts(spark, d)
     t = E.postings(e).select("route_signal", "layer").distinct()
     a = e.select(C("k").alias("anchor")).distinct().withColumn("route_signal", F.explode(F.array(F.concat(F.lit("k:"), "anchor"), F.concat(F.lit("error:"), "anchor"))))
     return a.join(t, "route_signal").select("anchor", "layer", "route_signal")
@@ -130,7 +130,7 @@ def g6(spark, d):
 
 @query("g7_evidence_refs", f"WITH {PO} SELECT route_signal, event_id AS ref FROM (SELECT route_signal, event_id, row_number() OVER (PARTITION BY route_signal ORDER BY event_id) AS r FROM po) WHERE r <= 10")
 def g7(spark, d):
-    return P.ranked(E.postings(events(spark, d)).select("route_signal", C("event_id").alias("ref")), 10, C("ref"), by=["route_signal"])
+    return P.ranked(E.postings(facts(spark, d)).select("route_signal", C("event_id").alias("ref")), 10, C("ref"), by=["route_signal"])
 
 
 @query("g8_typed_relations", f"""WITH {EV}, n AS (SELECT event_id, event_type, outcome, lead(event_id) OVER w AS nxt, lead(event_type) OVER w AS nt FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY line))
@@ -165,6 +165,6 @@ def g13(spark, d):
 
 @query("g11_dossier", f"WITH {EV} SELECT k, count(*) AS events, count(DISTINCT session_id) AS sessions, count(*) FILTER (outcome = 'failed') AS failures, array_to_string(list_filter(['noisy', 'hub'], lambda f: (f = 'noisy' AND count(*) FILTER (outcome = 'failed') * 4 > count(*)) OR (f = 'hub' AND count(DISTINCT session_id) > 60)), ',') AS flags FROM ev GROUP BY k")
 def g11(spark, d):
-    n = events(spark, d).groupBy("k").agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_if(C("outcome") == "failed").alias("failures"))
+    n = facts(spark, d).groupBy("k").agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_if(C("outcome") == "failed").alias("failures"))
     flags = F.array_compact(F.array(F.when(C("failures") * 4 > C("events"), "noisy"), F.when(C("sessions") > 60, "hub")))
     return n.withColumn("flags", F.array_join(flags, ","))

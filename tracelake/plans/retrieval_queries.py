@@ -10,7 +10,7 @@ from ..operators import retrieval as T
 from ..operators import review as V
 from ..operators import search as P
 from ..operators import sequence as Q
-from .base import EV, PO, events, query, table
+from .base import EV, PO, events, facts, query, table
 from .sequence_queries import _EP, _SEG, w6
 
 C = F.col
@@ -71,13 +71,13 @@ def t6(spark, d):
 
 @query("t7_repeated_errors", f"WITH {EV} SELECT k, count(*) AS failures, count(DISTINCT session_id) AS sessions FROM ev WHERE outcome = 'failed' GROUP BY k HAVING count(DISTINCT session_id) >= 2")
 def t7(spark, d):
-    return events(spark, d).where("outcome = 'failed'").groupBy("k").agg(F.count("*").alias("failures"), F.count_distinct("session_id").alias("sessions")).where("sessions >= 2")
+    return facts(spark, d).where("outcome = 'failed'").groupBy("k").agg(F.count("*").alias("failures"), F.count_distinct("session_id").alias("sessions")).where("sessions >= 2")
 
 
 @query("t8_route_trace", f"WITH {PO} SELECT route_signal, event_id FROM (SELECT route_signal, event_id, row_number() OVER (PARTITION BY route_signal ORDER BY event_id DESC) AS r FROM po WHERE key IN ('7', '8') AND layer IN ('k', 'error')) WHERE r <= 5")
 def t8(spark, d):
     anchors = spark.createDataFrame([("k:7",), ("k:8",), ("error:7",), ("error:8",)], "route_signal string")
-    return P.ranked(E.postings(events(spark, d)).join(F.broadcast(anchors), "route_signal").select("route_signal", "event_id"), 5, F.desc("event_id"), by=["route_signal"])
+    return P.ranked(E.postings(facts(spark, d)).join(F.broadcast(anchors), "route_signal").select("route_signal", "event_id"), 5, F.desc("event_id"), by=["route_signal"])
 
 
 @query("t9_consolidated", "SELECT sha256(text) AS group_id, min(doc_id) AS shown, count(*) AS members FROM documents GROUP BY 1")
@@ -88,7 +88,7 @@ def t9(spark, d):
 @query("t10_echo_suppression", f"WITH {EV}, s AS (SELECT DISTINCT session_id, correlation_id FROM ev WHERE event_type = 'TOOL_CALL' AND value > 40) SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.session_id = ev.session_id AND s.correlation_id = ev.correlation_id)")
 def t10(spark, d):
     """Dear calls stand in for the search calls: what carries their correlation id is an echo."""
-    e = events(spark, d)
+    e = facts(spark, d)
     s = e.where("event_type = 'TOOL_CALL' and value > 40").select("session_id", "correlation_id").distinct()
     return e.join(s, ["session_id", "correlation_id"], "left_anti").select("event_id")
 
@@ -108,7 +108,7 @@ def t12(spark, d):
 
 @query("t13_evidence_packet", f"WITH {PO}, a AS (SELECT event_id, 'trace' AS lane FROM po WHERE route_signal = 'k:7' UNION ALL SELECT event_id, 'search' FROM ev WHERE outcome = 'failed' AND k = '7') SELECT event_id, count(*) AS lanes FROM a GROUP BY 1")
 def t13(spark, d):
-    e = events(spark, d)
+    e = facts(spark, d)
     trace = E.postings(e).where("route_signal = 'k:7'").select("event_id")
     return trace.unionByName(P.search(e, outcome="failed").where("k = '7'").select("event_id")).groupBy("event_id").agg(F.count("*").alias("lanes"))
 
@@ -143,19 +143,19 @@ _RT = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in V.ROUTES.items() for
 
 @query("c4_distillation_routes", f"WITH {EV} SELECT event_id, route FROM ev JOIN {_RT} USING (event_type)")
 def c4(spark, d):
-    return V.distillation_routes(events(spark, d)).select("event_id", "route")
+    return V.distillation_routes(facts(spark, d)).select("event_id", "route")
 
 
 @query("c5_lanes", f"WITH {EV}, s AS (SELECT session_id, count(*) AS n, count(*) FILTER (event_type = 'ERROR') AS e FROM ev GROUP BY 1) SELECT session_id, 'auto_first_pass' || CASE WHEN e >= 10 THEN ',manual_review' ELSE '' END || CASE WHEN e > 0 THEN ',mechanics_candidate' ELSE '' END || CASE WHEN n > 80 THEN ',diagnostic' ELSE '' END AS lanes FROM s")
 def c5(spark, d):
-    s = events(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(C("event_type") == "ERROR").alias("e"))
+    s = facts(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(C("event_type") == "ERROR").alias("e"))
     lanes = F.array_compact(F.array(F.lit("auto_first_pass"), F.when(C("e") >= 10, "manual_review"), F.when(C("e") > 0, "mechanics_candidate"), F.when(C("n") > 80, "diagnostic")))
     return s.select("session_id", F.array_join(lanes, ",").alias("lanes"))
 
 
 @query("c6_first_pass", f"WITH {EV} SELECT session_id, event_type, event_id FROM (SELECT session_id, event_type, event_id, row_number() OVER (PARTITION BY session_id, event_type ORDER BY value DESC, event_id) AS r FROM ev) WHERE r <= 2")
 def c6(spark, d):
-    return P.ranked(events(spark, d).select("session_id", "event_type", "event_id", "value"), 2, F.desc("value"), C("event_id"), by=["session_id", "event_type"]).drop("value")
+    return P.ranked(facts(spark, d).select("session_id", "event_type", "event_id", "value"), 2, F.desc("value"), C("event_id"), by=["session_id", "event_type"]).drop("value")
 
 
 def _pat(name):
@@ -188,7 +188,7 @@ def c9(spark, d):
 
 @query("c10_readiness", f"WITH {EV}, s AS (SELECT session_id, count(*) AS n, count(*) FILTER (event_type = 'USER_INTENT') AS i, count(*) FILTER (outcome = 'failed') AS f FROM ev GROUP BY 1) SELECT session_id, CASE WHEN n = 0 THEN 'blocked' WHEN i = 0 THEN 'no_intent' WHEN n < 20 THEN 'thin' WHEN f > n / 4 THEN 'needs_review' WHEN i > 15 THEN 'split_candidate' ELSE 'ready' END AS readiness FROM s")
 def c10(spark, d):
-    return V.readiness(E.sessions(events(spark, d))).select("session_id", "readiness")
+    return V.readiness(E.sessions(facts(spark, d))).select("session_id", "readiness")
 
 
 @query("c11_naming_hints", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') OR contains(lower(p_name), 'bolt') THEN 'small' WHEN contains(lower(p_name), 'widget') THEN 'gadget' END AS hint FROM part")

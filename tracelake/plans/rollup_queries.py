@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import rollups as R
-from .base import EV, PO, dialogue, events, query, table
+from .base import EV, PO, dialogue, events, facts, query, table
 from .search_queries import RC, receipts
 
 C = F.col
@@ -14,18 +14,18 @@ C = F.col
 
 @query("a1_entity_inventory", f"WITH {PO} SELECT layer, key, count(*) AS signal_count, count(DISTINCT session_id) AS session_count, max(session_date) AS last_date FROM po GROUP BY layer, key")
 def a1(spark, d):
-    return R.entity_inventory(E.postings(events(spark, d)), "layer", "key")
+    return R.entity_inventory(E.postings(facts(spark, d)), "layer", "key")
 
 
 @query("k2_inventory_top", f"WITH {PO} SELECT layer, key, count(*) AS signal_count, count(DISTINCT session_id) AS session_count FROM po GROUP BY layer, key ORDER BY 3 DESC, 4 DESC, key, layer LIMIT 30")
 def k2(spark, d):
-    i = R.entity_inventory(E.postings(events(spark, d)), "layer", "key")
+    i = R.entity_inventory(E.postings(facts(spark, d)), "layer", "key")
     return i.orderBy(F.desc("signal_count"), F.desc("session_count"), "key", "layer").limit(30).select("layer", "key", "signal_count", "session_count")
 
 
 @query("a2_facet_inventory", f"WITH {EV}, f AS (SELECT family, k, session_id, count(*) - 1 AS signal_count, max(session_date) AS session_date FROM ev GROUP BY ALL) SELECT family, k, CAST(sum(greatest(signal_count, 1)) AS BIGINT) AS signal_total, count(DISTINCT session_id) AS sessions, max(session_date) AS last_date FROM f GROUP BY family, k")
 def a2(spark, d):
-    f = events(spark, d).groupBy("family", "k", "session_id").agg((F.count("*") - 1).alias("signal_count"), F.max("session_date").alias("session_date"))
+    f = facts(spark, d).groupBy("family", "k", "session_id").agg((F.count("*") - 1).alias("signal_count"), F.max("session_date").alias("session_date"))
     return R.facet_inventory(f.withColumn("session_label", F.lit(None).cast("string")), "family", "k")
 
 
@@ -33,7 +33,7 @@ def a2(spark, d):
   UNION ALL SELECT 'actions', raw_type FROM ev UNION ALL SELECT 'actions', actor FROM ev), c AS (SELECT facet, value, count(*) AS n FROM f GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS place FROM c) WHERE place <= 12""")
 def a3(spark, d):
-    return R.top_values(events(spark, d).withColumn("actions", F.array("raw_type", "actor")), 12, "event_type", "family", "outcome", "k", "session_id", "actions")
+    return R.top_values(facts(spark, d).withColumn("actions", F.array("raw_type", "actor")), 12, "event_type", "family", "outcome", "k", "session_id", "actions")
 
 
 @query("a4_top_counts", "SELECT o_orderpriority AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place FROM orders GROUP BY 1 ORDER BY place LIMIT 3")
@@ -69,12 +69,12 @@ def _freshness(rows):
 
 @query("a7_quality_summary", f"WITH {EV} SELECT event_type, count(*) AS n, count(*) FILTER (outcome = 'verified') AS fresh, count(*) FILTER (outcome IN ('failed', 'observed')) AS stale, count(*) FILTER (outcome NOT IN ('verified', 'failed', 'observed')) AS unverifiable, count(correlation_id) AS with_ref, arg_max(event_id, event_id + epoch_us(ts) * 1000) AS latest_event FROM ev GROUP BY 1")
 def a7(spark, d):
-    return R.quality_summary(_freshness(events(spark, d)), "event_type")
+    return R.quality_summary(_freshness(facts(spark, d)), "event_type")
 
 
 @query("a8_freshness", f"WITH {EV} SELECT event_id, CASE outcome WHEN 'verified' THEN 'fresh' WHEN 'failed' THEN 'stale' WHEN 'observed' THEN 'stale' ELSE 'unverifiable' END AS bucket FROM ev")
 def a8(spark, d):
-    return _freshness(events(spark, d)).select("event_id", R.freshness_bucket(C("freshness_status")).alias("bucket"))
+    return _freshness(facts(spark, d)).select("event_id", R.freshness_bucket(C("freshness_status")).alias("bucket"))
 
 
 _ROLL = "count(*) AS posting_count, count(DISTINCT session_id) AS session_count, array_to_string(list_slice(list_sort(list(DISTINCT session_id)), 1, 3), ',') AS session_sample"
@@ -82,12 +82,12 @@ _ROLL = "count(*) AS posting_count, count(DISTINCT session_id) AS session_count,
 
 @query("a9_route_rollup", f"WITH {PO} SELECT layer, key, route_signal, {_ROLL} FROM po GROUP BY layer, key, route_signal")
 def a9(spark, d):
-    return R.route_rollup(E.postings(events(spark, d)), ["layer", "key", "route_signal"])
+    return R.route_rollup(E.postings(facts(spark, d)), ["layer", "key", "route_signal"])
 
 
 @query("a10_direct_event_rollup", f"WITH {EV} SELECT actor, event_type, outcome, {_ROLL} FROM ev GROUP BY actor, event_type, outcome")
 def a10(spark, d):
-    return R.route_rollup(events(spark, d), ["actor", "event_type", "outcome"])
+    return R.route_rollup(facts(spark, d), ["actor", "event_type", "outcome"])
 
 
 @query("a11_segment_facets", f"WITH {EV}, f AS (SELECT session_id, 'by_type' AS facet, event_type AS value, line FROM ev UNION ALL SELECT session_id, 'by_outcome', outcome, line FROM ev) SELECT session_id, facet, value, count(*) AS n, array_to_string(list_slice(list_sort(list(line)), 1, 5), ',') AS first_lines FROM f GROUP BY ALL")
@@ -119,7 +119,7 @@ WEIGHTS = {"SECURITY_OR_SECRET_RISK": 12, "ERROR": 2, "DEAD_BRANCH": 8, "PROCESS
 t AS (SELECT *, weight + CASE WHEN size >= 100 THEN 100 WHEN size >= 24 THEN 30 ELSE 0 END AS score FROM s)
 SELECT *, CASE WHEN score >= 100 THEN 'deep' WHEN score >= 20 THEN 'standard' WHEN score >= 1 THEN 'sample' ELSE 'none' END AS band FROM t""")
 def a16(spark, d):
-    return R.weighted_review(events(spark, d), WEIGHTS)
+    return R.weighted_review(facts(spark, d), WEIGHTS)
 
 
 @query("a19_census_ratio", "SELECT count(*) FILTER (quality = 1) AS numerator, count(*) AS denominator, round(count(*) FILTER (quality = 1) / count(*), 4) AS ratio FROM labels")
@@ -147,18 +147,18 @@ def a22(spark, d):
 
 @query("a23_sizes", f"WITH {PO} SELECT 'events' AS name, count(*) AS n FROM ev UNION ALL SELECT 'postings', count(*) FROM po UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM ev")
 def a23(spark, d):
-    e = events(spark, d)
+    e = facts(spark, d)
     return R.sizes(events=e, postings=E.postings(e), sessions=E.sessions(e))
 
 
 @query("a24_promotion", f"WITH {PO} SELECT layer, key, count(DISTINCT session_id) AS session_count FROM po GROUP BY ALL HAVING count(DISTINCT session_id) >= 60")
 def a24(spark, d):
-    return R.promotion_candidates(E.postings(events(spark, d)), 60, "layer", "key")
+    return R.promotion_candidates(E.postings(facts(spark, d)), 60, "layer", "key")
 
 
 @query("c12_facets", f"WITH {PO} SELECT layer AS axis, key AS route_key, session_id, count(*) AS signal_count, min(event_id) AS evidence FROM po GROUP BY ALL")
 def c12(spark, d):
-    return E.postings(events(spark, d)).groupBy(C("layer").alias("axis"), C("key").alias("route_key"), "session_id").agg(F.count("*").alias("signal_count"), F.min("event_id").alias("evidence"))
+    return E.postings(facts(spark, d)).groupBy(C("layer").alias("axis"), C("key").alias("route_key"), "session_id").agg(F.count("*").alias("signal_count"), F.min("event_id").alias("evidence"))
 
 
 @query("s6_facet_scan", f"WITH {PO} SELECT key AS route_key, session_id, count(*) AS signal_count FROM po WHERE layer = 'error' GROUP BY ALL")
@@ -173,4 +173,4 @@ def c1(spark, d):
 
 @query("c3_route_signals", f"WITH {PO} SELECT event_id, route_signal FROM po")
 def c3(spark, d):
-    return E.signals(events(spark, d)).select("event_id", F.explode("route_signals").alias("route_signal"))
+    return E.signals(facts(spark, d)).select("event_id", F.explode("route_signals").alias("route_signal"))

@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import search as P
-from .base import EV, PO, dialogue, events, query, table
+from .base import EV, PO, dialogue, events, facts, query, table
 
 C = F.col
 
 
 @query("p1_multi_filter_search", f"WITH {EV} SELECT event_id, session_id, event_type, session_date FROM ev WHERE event_type = 'ERROR' AND family = 'failure_signal' AND outcome = 'failed' AND k = '7' AND session_date >= '2024-01-05' AND session_date <= '2024-01-25'")
 def p1(spark, d):
-    rows = P.search(E.signals(events(spark, d)), event_type="ERROR", family="failure_signal", outcome="failed", route_signal="k:7", date_from="2024-01-05", date_to="2024-01-25")
+    rows = P.search(E.signals(facts(spark, d)), event_type="ERROR", family="failure_signal", outcome="failed", route_signal="k:7", date_from="2024-01-05", date_to="2024-01-25")
     return rows.select("event_id", "session_id", "event_type", "session_date")
 
 
@@ -26,7 +26,7 @@ def p2(spark, d):
 
 @query("p3_present", f"WITH {EV} SELECT event_id FROM ev WHERE correlation_id IS NOT NULL AND correlation_id <> ''")
 def p3(spark, d):
-    return events(spark, d).where(P.present(C("correlation_id"))).select("event_id")
+    return facts(spark, d).where(P.present(C("correlation_id"))).select("event_id")
 
 
 @query("p4_title_or_body", "SELECT doc_id FROM documents WHERE contains(lower(coalesce(source, '')), 'the and') OR contains(lower(coalesce(text, '')), 'the and')")
@@ -36,19 +36,19 @@ def p4(spark, d):
 
 @query("p5_term_contains", f"WITH {PO} SELECT route_signal, count(*) AS n FROM po WHERE contains(key, 'tool') OR contains(route_signal, 'tool') GROUP BY route_signal")
 def p5(spark, d):
-    p = E.postings(events(spark, d))
+    p = E.postings(facts(spark, d))
     return p.where(P.term_contains("Tool!", C("key"), C("route_signal"))).groupBy("route_signal").agg(F.count("*").alias("n"))
 
 
 @query("p6_session_selector", f"WITH {EV} SELECT session_id, count(*) AS n FROM ev WHERE session_id = 'u12' OR contains(session_id, 'u14') GROUP BY session_id")
 def p6(spark, d):
-    e = events(spark, d)
+    e = facts(spark, d)
     return e.where(P.session_matches("u14", C("session_id"), C("session_id")) | (C("session_id") == "u12")).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
 def receipts(spark, d):
     """Receipts derived from the event log: one per event, failures by type, the value as duration."""
-    e = events(spark, d)
+    e = facts(spark, d)
     return e.select(
         "event_id", "session_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), C("raw_type").alias("hook_event_name"), (C("event_type") != "ERROR").alias("ok"),
         F.when(C("value") > 50, F.array(F.lit("slow"))).otherwise(F.array().cast("array<string>")).alias("errors"), F.array("raw_type", "family").alias("actions"),
@@ -106,7 +106,7 @@ def p13(spark, d):
     try:
         P.check_filters({"task_episode_id": 1, "route_signal": "x"})
     except ValueError:
-        return P.search(events(spark, d), outcome="verified", date_from="2024-01-20").select("event_id")
+        return P.search(facts(spark, d), outcome="verified", date_from="2024-01-20").select("event_id")
 
 
 @query("p14_hit_projection", f"WITH {EV} SELECT 'event:' || session_id || ':' || event_id AS doc_id, upper(left(raw_type, 1)) || substr(raw_type, 2) || ' ' || k AS title, 'raw:line:' || line AS raw_ref, CASE WHEN outcome = 'failed' THEN 'stale' ELSE 'fresh' END AS freshness FROM ev")
@@ -123,7 +123,7 @@ def p15(spark, d):
 
 @query("p16_generation_gate", f"WITH {EV} SELECT count(*) FILTER (outcome = 'failed') AS abstained, count(*) FILTER (outcome <> 'failed') AS admitted FROM ev")
 def p16(spark, d):
-    kept, out = P.current_generation(events(spark, d).withColumn("gen", F.when(C("outcome") == "failed", 1).otherwise(2)), gen=2)
+    kept, out = P.current_generation(facts(spark, d).withColumn("gen", F.when(C("outcome") == "failed", 1).otherwise(2)), gen=2)
     return out.crossJoin(F.broadcast(kept.agg(F.count("*").alias("admitted"))))
 
 
@@ -135,7 +135,7 @@ def p17(spark, d):
 
 @query("p19_session_row", f"WITH {EV} SELECT session_id, min(session_date) AS session_date, count(*) AS event_count, 'session:' || session_id AS ref FROM ev WHERE contains(session_id, 'u7') GROUP BY session_id")
 def p19(spark, d):
-    s = E.sessions(events(spark, d)).where(P.session_matches("u7", C("session_id"), C("session_id")))
+    s = E.sessions(facts(spark, d)).where(P.session_matches("u7", C("session_id"), C("session_id")))
     return s.select("session_id", "session_date", "event_count", F.concat(F.lit("session:"), "session_id").alias("ref"))
 
 
@@ -144,12 +144,12 @@ def p19(spark, d):
 
 @query("k1_recent", f"WITH {EV} SELECT event_id, session_date FROM ev ORDER BY session_date DESC, event_id DESC LIMIT 50")
 def k1(spark, d):
-    return P.ranked(events(spark, d).select("event_id", "session_date"), 50, F.desc("session_date"), F.desc("event_id"))
+    return P.ranked(facts(spark, d).select("event_id", "session_date"), 50, F.desc("session_date"), F.desc("event_id"))
 
 
 @query("k3_term_preference", f"WITH {PO} SELECT layer, key FROM (SELECT DISTINCT layer, key FROM po) ORDER BY CASE layer WHEN 'k' THEN 0 WHEN 'event_type' THEN 1 ELSE 2 END, key <> '7', length(key), key LIMIT 20")
 def k3(spark, d):
-    t = E.postings(events(spark, d)).select("layer", "key").distinct()
+    t = E.postings(facts(spark, d)).select("layer", "key").distinct()
     return P.ranked(t, 20, F.when(C("layer") == "k", 0).when(C("layer") == "event_type", 1).otherwise(2), C("key") != "7", F.length("key"), C("key"))
 
 
@@ -177,14 +177,14 @@ def k6(spark, d):
 def k7(spark, d):
     """One per key first, then a second of each, up to a total."""
     w = Window.partitionBy("k").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = events(spark, d).select("k", "event_id", F.row_number().over(w).alias("round")).where("round <= 120")
+    r = facts(spark, d).select("k", "event_id", F.row_number().over(w).alias("round")).where("round <= 120")
     return P.ranked(r, 120, C("round"), C("k").cast("int"))
 
 
 @query("k8_fair_evidence", f"WITH {EV}, v AS (SELECT family, event_id, row_number() OVER (PARTITION BY family ORDER BY event_id) AS r FROM ev) SELECT family, event_id FROM v WHERE r <= 4 ORDER BY r, family LIMIT 10")
 def k8(spark, d):
     w = Window.partitionBy("family").orderBy("event_id")
-    v = events(spark, d).select("family", "event_id", F.row_number().over(w).alias("r")).where("r <= 4")
+    v = facts(spark, d).select("family", "event_id", F.row_number().over(w).alias("r")).where("r <= 4")
     return P.ranked(v, 10, C("r"), C("family")).select("family", "event_id")
 
 
@@ -205,13 +205,13 @@ def k10(spark, d):
 
 @query("k11_seeded_sample", f"WITH {PO}, c AS (SELECT layer, key, count(*) AS n FROM po GROUP BY ALL HAVING count(*) >= 20) SELECT layer, key FROM (SELECT layer, key, row_number() OVER (PARTITION BY layer ORDER BY sha256('seed' || key), key) AS r FROM c) WHERE r <= 5")
 def k11(spark, d):
-    c = E.postings(events(spark, d)).groupBy("layer", "key").agg(F.count("*").alias("n")).where("n >= 20")
+    c = E.postings(facts(spark, d)).groupBy("layer", "key").agg(F.count("*").alias("n")).where("n >= 20")
     return P.ranked(c, 5, F.sha2(F.concat(F.lit("seed"), "key"), 256), C("key"), by=["layer"]).select("layer", "key")
 
 
 @query("k12_goal_order", f"WITH {EV}, g AS (SELECT k, min(event_id) AS first_id, max(event_id) AS last_id FROM ev GROUP BY k) (SELECT 'old' AS lane, k FROM g ORDER BY first_id LIMIT 10) UNION ALL (SELECT 'new', k FROM g ORDER BY last_id DESC LIMIT 10)")
 def k12(spark, d):
-    g = events(spark, d).groupBy("k").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    g = facts(spark, d).groupBy("k").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
     return P.ranked(g, 10, F.asc("a")).select(F.lit("old").alias("lane"), "k").unionByName(P.ranked(g, 10, F.desc("b")).select(F.lit("new").alias("lane"), "k"))
 
 
@@ -256,5 +256,5 @@ def u5(spark, d):
 @query("u6_first_hit_lane", f"WITH {EV}, h AS (SELECT session_id, event_id, CASE event_type WHEN 'VERIFICATION' THEN 1 WHEN 'ERROR' THEN 2 ELSE 3 END AS lane FROM ev), m AS (SELECT session_id, min(lane) AS lane FROM h GROUP BY 1) SELECT h.session_id, h.event_id, h.lane FROM h JOIN m ON h.session_id = m.session_id AND h.lane = m.lane")
 def u6(spark, d):
     """Candidate signals in order; a session's hits are those of the first lane with any."""
-    h = events(spark, d).select("session_id", "event_id", F.when(C("event_type") == "VERIFICATION", 1).when(C("event_type") == "ERROR", 2).otherwise(3).alias("lane"))
+    h = facts(spark, d).select("session_id", "event_id", F.when(C("event_type") == "VERIFICATION", 1).when(C("event_type") == "ERROR", 2).otherwise(3).alias("lane"))
     return h.join(h.groupBy("session_id").agg(F.min("lane").alias("lane")), ["session_id", "lane"])

@@ -8,7 +8,7 @@ from ..operators import events as E
 from ..sources import readers as RD
 from ..sources import storage as ST
 from ..streaming import flows as FL
-from .base import EV, PO, dialogue, events, query, table
+from .base import EV, PO, dialogue, events, facts, query, table
 from .search_queries import RC, receipts
 
 C = F.col
@@ -44,7 +44,7 @@ def s2(spark, d):
 
 @query("s3_posting_scan", f"WITH {PO} SELECT event_id, layer FROM po WHERE layer = 'family'")
 def s3(spark, d):
-    return E.postings(events(spark, d)).where("layer = 'family'").select("event_id", "layer")
+    return E.postings(facts(spark, d)).where("layer = 'family'").select("event_id", "layer")
 
 
 def _by_month(spark, d):
@@ -111,7 +111,7 @@ def r4(spark, d):
 @query("r6_dirty_sessions", f"WITH {EV}, t AS (SELECT session_id, count(*) AS n FROM ev GROUP BY 1) SELECT session_id, n FROM t WHERE n % 2 = 1")
 def r6(spark, d):
     """Sessions of an odd count stand in for those whose stored digest is old: only they are recomputed."""
-    now = events(spark, d).groupBy("session_id").agg(F.count("*").alias("n"))
+    now = facts(spark, d).groupBy("session_id").agg(F.count("*").alias("n"))
     known = now.select("session_id", (C("n") - C("n") % 2).cast("string").alias("indexed_sha"))
     return FL.changed_sessions(now.withColumn("sha", C("n").cast("string")), known).select("session_id", "n")
 
@@ -131,7 +131,7 @@ def r8(spark, d):
 
 @query("r9_capture_ahead", f"WITH {EV}, n AS (SELECT session_id, count(*) AS captured, count(*) FILTER (session_date < '2024-01-29') AS indexed FROM ev GROUP BY 1) SELECT session_id, captured <> indexed AS ahead FROM n")
 def r9(spark, d):
-    n = events(spark, d).groupBy("session_id").agg(F.count("*").alias("captured"), F.count_if(C("session_date") < "2024-01-29").alias("indexed"))
+    n = facts(spark, d).groupBy("session_id").agg(F.count("*").alias("captured"), F.count_if(C("session_date") < "2024-01-29").alias("indexed"))
     return n.select("session_id", (C("captured") != C("indexed")).alias("ahead"))
 
 
