@@ -43,7 +43,7 @@ def _case(place: int, other: str) -> str:
     return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[place]}'" for k, v in ev.TYPING.items()) + f" ELSE '{other}' END"
 
 
-#: ev: the operational events; po: their postings; dl: the dialogues. To follow WITH.
+#: ev: the operational events; po: their postings. To follow WITH.
 EV = f"""ev0 AS (SELECT event_id, 'u' || user_id AS session_id, ts, strftime(ts, '%Y-%m-%d') AS session_date, event_type AS raw_type, value,
   regexp_extract(props, '"k": ?([0-9]+)', 1) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line,
   {_case(0, "RAW_EVENT")} AS event_type, {_case(1, "unknown")} AS family, {_case(2, "unknown")} AS phase, {_case(3, "unknown")} AS actor, {_case(4, "unknown")} AS outcome FROM events),
@@ -55,5 +55,3 @@ po AS (SELECT *, split_part(route_signal, ':', 1) AS layer, split_part(route_sig
   SELECT *, 'event_type:' || lower(event_type) AS route_signal FROM ev UNION ALL SELECT *, 'k:' || k FROM ev UNION ALL
   SELECT *, 'family:' || family FROM ev UNION ALL SELECT *, 'error:' || k FROM ev WHERE outcome = 'failed'))"""
 )
-DL = """dl AS (SELECT 'c' || conv_id AS session_id, turn + 1 AS line, role AS actor,
-  CASE role WHEN 'user' THEN 'USER_INTENT' WHEN 'assistant' THEN 'ASSISTANT_MESSAGE' WHEN 'system' THEN 'CONTEXT_STATE' ELSE 'RAW_EVENT' END AS event_type, text FROM conversations)"""

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import retrieval as T
 from ..operators import review as V
 from ..operators import search as P
-from ..operators import sequence as Q
 from .base import EV, PO, events, facts, query, table
-from .sequence_queries import _EP, _SEG, w6
 
 C = F.col
 
@@ -23,7 +20,6 @@ def asked(spark, d):
 
 _Q = "qs AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 6) AS ts FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(ts) AS term FROM qs)"
 _D = "dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), ln AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents)"
-_EXACT = f"{_Q}, {_D}, ex AS (SELECT query_id, doc_id FROM tf JOIN qt USING (term) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM qt q WHERE q.query_id = qt.query_id))"
 _BM = f"""{_Q}, {_D}, st AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM ln), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10)"""
