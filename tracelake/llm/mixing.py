@@ -37,8 +37,8 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, sourc
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.expr("map('', 0D)")
         want = F.coalesce(F.try_element_at(given, F.coalesce("__s", F.lit(""))), F.lit(0.0))
     counts = counts.withColumn("want", want)
-    total = counts.agg(F.sum("n").alias("all_n"), F.sum("want").alias("all_want"))
-    rated = counts.crossJoin(F.broadcast(total)).withColumn("rate", F.coalesce(F.col("want") / F.expr("nullif(all_want, 0D)") * F.col("all_n") * F.lit(float(epochs)) / F.col("n"), F.lit(0.0)))
+    all_n, all_want = counts.agg(F.sum("n")).scalar(), counts.agg(F.sum("want")).scalar()
+    rated = counts.withColumn("rate", F.coalesce(F.col("want") / F.nullif(all_want, F.lit(0.0)) * all_n * F.lit(float(epochs)) / F.col("n"), F.lit(0.0)))
     steps = F.expr("cast(ceil(rate + 12 * sqrt(rate) + 20) as int)")
     # Steps in logarithms, so that a large mean doesn't vanish at the start.
     cdf = F.aggregate(
