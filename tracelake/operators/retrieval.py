@@ -29,13 +29,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, ident: str = "doc_id"
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     length = F.size(terms(F.col(text)))
     sized = docs.select(ident, F.col(text), length.alias("len"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    n_docs, avg_len = sized.agg(F.count("*")).scalar(), sized.agg(F.avg("len")).scalar()
     used = q.select("term").distinct()
     tf = sized.select(ident, "len", F.explode(terms(F.col(text))).alias("term")).join(used, "term", "left_semi").groupBy(ident, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    weighed = tf.join(df, "term")
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
     scored = weighed.select(ident, "term", part.alias("part")).join(q, "term").groupBy("query_id", ident).agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scored, k, "query_id", F.desc("score"), F.col(ident))
 

@@ -83,11 +83,11 @@ def error_like() -> Column:
 
 
 def exact_or_substring(rows: DataFrame, column: str, needle: str) -> DataFrame:
-    """Rows equal to the needle if there are any, else rows holding it. One aggregate of one row decides."""
+    """Rows equal to the needle if there are any, else rows holding it. A scalar subquery decides."""
     exact = F.col(column) == needle
     near = rows.where(F.contains(F.col(column), F.lit(needle)))
-    any_exact = near.agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("__any"))
-    return near.crossJoin(F.broadcast(any_exact)).where(exact | ~F.col("__any")).drop("__any")
+    any_exact = near.agg(F.coalesce(F.bool_or(exact), F.lit(False))).scalar()
+    return near.where(exact | ~any_exact)
 
 
 def grain_date(event_time: Column, session_date: Column) -> Column:

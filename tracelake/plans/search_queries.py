@@ -124,7 +124,7 @@ def p15(spark, d):
 @query("p16_generation_gate", f"WITH {EV} SELECT count(*) FILTER (outcome = 'failed') AS abstained, count(*) FILTER (outcome <> 'failed') AS admitted FROM ev")
 def p16(spark, d):
     kept, out = P.current_generation(facts(spark, d).withColumn("gen", F.when(C("outcome") == "failed", 1).otherwise(2)), gen=2)
-    return out.crossJoin(F.broadcast(kept.agg(F.count("*").alias("admitted"))))
+    return out.withColumn("admitted", kept.agg(F.count("*")).scalar())
 
 
 @query("p17_agent_routes", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1")

@@ -295,9 +295,9 @@ def e9(spark, d):
 def e10(spark, d):
     e = events(spark, d)
     s = e.groupBy("session_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
-    newest = e.agg(F.max("ts").alias("newest"))
+    s = s.withColumn("newest", e.agg(F.max("ts")).scalar())
     ladder = F.when(C("n") < 50, "unknown").when(F.expr("last < newest - interval 24 hours"), "stale").when(F.expr("last > newest - interval 1 hour"), "deferred_live").otherwise("current")
-    return s.crossJoin(F.broadcast(newest)).select("session_id", ladder.alias("freshness"))
+    return s.select("session_id", ladder.alias("freshness"))
 
 
 @query("e11_completeness", f"WITH {EV} SELECT family, bool_and(session_date >= '2024-01-01') AND NOT bool_or(outcome = 'failed') AS complete FROM ev GROUP BY 1")
