@@ -44,14 +44,24 @@ def log(spark, *rows):
 
 def test_episodes_open_close_and_repeat(spark):
     e = log(spark, ("a", 1, "X", None), ("a", 2, "IN", None), ("a", 3, "IN", None), ("a", 4, "END", None), ("a", 5, "X", None), ("a", 6, "IN", None), ("b", 1, "END", None))
-    got = {(r.session_id, r.line): (r.episode, r.in_episode) for r in Q.episodes(e, C("event_type") == "IN", C("event_type") == "END").collect()}
-    assert got == {("a", 1): (0, False), ("a", 2): (1, True), ("a", 3): (1, True), ("a", 4): (1, True), ("a", 5): (1, False), ("a", 6): (2, True), ("b", 1): (0, False)}
+    for lines in (1, 2, 100):
+        got = {(r.session_id, r.line): (r.episode, r.in_episode) for r in Q.episodes(e, C("event_type") == "IN", C("event_type") == "END", lines).collect()}
+        assert got == {("a", 1): (0, False), ("a", 2): (1, True), ("a", 3): (1, True), ("a", 4): (1, True), ("a", 5): (1, False), ("a", 6): (2, True), ("b", 1): (0, False)}
 
 
 def test_segments_without_marker_are_one(spark):
     e = log(spark, ("a", 1, "X", None), ("a", 2, "CUT", None), ("b", 1, "X", None))
-    got = {(r.session_id, r.line): (r.segment, r.role) for r in Q.segments(e, C("event_type") == "CUT").collect()}
-    assert got == {("a", 1): (0, "initial-to-compaction"), ("a", 2): (1, "compaction-to-latest"), ("b", 1): (0, "initial-to-latest")}
+    for lines in (1, 100):
+        got = {(r.session_id, r.line): (r.segment, r.role) for r in Q.segments(e, C("event_type") == "CUT", lines).collect()}
+        assert got == {("a", 1): (0, "initial-to-compaction"), ("a", 2): (1, "compaction-to-latest"), ("b", 1): (0, "initial-to-latest")}
+
+
+def test_lines_follow_time_over_days(spark):
+    from tracelake.operators import events as E
+
+    rows = [(3, "b", "2024-01-02"), (1, "b", "2024-01-01"), (2, "b", "2024-01-01"), (9, "b", None), (5, None, "2024-01-01")]
+    got = E.numbered(spark.createDataFrame(rows, "id long, s string, day string"), "s", "day", "id").collect()
+    assert {r.id: r.line for r in got} == {9: 1, 1: 2, 2: 3, 3: 4, 5: 1}
 
 
 def test_correlation_of_swapped_results_and_foreign_ones(spark):

@@ -17,6 +17,44 @@ def in_order() -> Window:
     return Window.partitionBy(BY).orderBy(LINE)
 
 
+#: Lines of a session that one task looks at together in running sums and carried values.
+STRETCH = 65_536
+
+
+def _stretch(events: DataFrame, lines: int) -> DataFrame:
+    return events.withColumn("__b", F.floor(F.col(LINE) / lines))
+
+
+def _with_before(e: DataFrame, per: DataFrame, value: Column) -> DataFrame:
+    """e joined to value, taken over each session's earlier stretches, as __p."""
+    p = per.withColumn("__p", value.over(Window.partitionBy(BY).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(BY).alias("__s"), F.col("__b").alias("__c"), "__p")
+    return e.join(p, F.col(BY).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")), "left").drop("__s", "__c")
+
+
+def running_sum(events: DataFrame, value: Column, name: str, lines: int = STRETCH) -> DataFrame:
+    """Adds the sum of value up to and with each row of its session.
+
+    Summed within stretches of lines, which start from the sums of the earlier
+    ones: of a very long session no task holds more than a stretch, and one row
+    a stretch meets in one place.
+    """
+    e = _stretch(events.withColumn("__v", value.cast("long")), lines)
+    per = e.groupBy(BY, "__b").agg(F.sum("__v").alias("__t"))
+    w = Window.partitionBy(BY, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
+    e = _with_before(e.withColumn("__w", F.sum("__v").over(w)), per, F.sum("__t"))
+    return e.withColumn(name, F.col("__w") + F.coalesce("__p", F.lit(0))).drop("__v", "__b", "__w", "__p")
+
+
+def last_before(events: DataFrame, value: Column, name: str, lines: int = STRETCH) -> DataFrame:
+    """Adds the last non-null value of the rows before each row of its session, by stretches as in running_sum."""
+    e = _stretch(events.withColumn("__v", value), lines)
+    per = e.where("__v is not null").groupBy(BY, "__b").agg(F.max_by("__v", LINE).alias("__t"))
+    every = e.select(BY, "__b").distinct().join(per.withColumnsRenamed({BY: "__k", "__b": "__j"}), F.col(BY).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__j")), "left").select(BY, "__b", "__t")
+    w = Window.partitionBy(BY, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, -1)
+    e = _with_before(e.withColumn("__w", F.last("__v", True).over(w)), every, F.last("__t", True))
+    return e.withColumn(name, F.coalesce("__w", "__p")).drop("__v", "__b", "__w", "__p")
+
+
 def latest_samples(rows: DataFrame, n: int, *by: str) -> DataFrame:
     """The newest n rows of each key: date, then id, descending."""
     w = Window.partitionBy(*by).orderBy(F.desc("session_date"), F.desc("event_id"))
@@ -36,16 +74,16 @@ def following(k: int, value: str) -> Column:
     return F.collect_list(value).over(in_order().rowsBetween(1, k))
 
 
-def segments(events: DataFrame, boundary: Column) -> DataFrame:
+def segments(events: DataFrame, boundary: Column, lines: int = STRETCH) -> DataFrame:
     """Adds the running segment number, and the segment's role: how it began and whether it is still open."""
-    seg = F.sum(F.when(boundary, 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    e = events.withColumn("segment", F.coalesce(seg, F.lit(0)).cast("long"))
-    last = F.max("segment").over(Window.partitionBy(BY))
+    e = running_sum(events, F.when(boundary, 1).otherwise(0), "segment", lines)
+    last = e.groupBy(F.col(BY).alias("__s")).agg(F.max("segment").alias("__last"))
+    e = e.join(last, F.col(BY).eqNullSafe(F.col("__s")))
     start = F.when(F.col("segment") == 0, "initial").otherwise("compaction")
-    return e.withColumn("role", F.concat(start, F.when(F.col("segment") == last, "-to-latest").otherwise("-to-compaction")))
+    return e.withColumn("role", F.concat(start, F.when(F.col("segment") == F.col("__last"), "-to-latest").otherwise("-to-compaction"))).drop("__s", "__last")
 
 
-def episodes(events: DataFrame, opens: Column, closes: Column) -> DataFrame:
+def episodes(events: DataFrame, opens: Column, closes: Column, lines: int = STRETCH) -> DataFrame:
     """Task episodes: an opening event starts one unless one is open; a closing event ends it.
 
     An event opens if the last opening or closing event before it is not an
@@ -53,12 +91,10 @@ def episodes(events: DataFrame, opens: Column, closes: Column) -> DataFrame:
     Events before the first opening have episode 0; those after a close belong
     to no episode until the next opening.
     """
-    w = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(opens, 1).when(closes, 0)
-    e = events.withColumn("__m", mark).withColumn("__was", F.coalesce(F.last("__m", True).over(w), F.lit(0)))
-    starts = (F.col("__m") == 1) & (F.col("__was") == 0)
-    e = e.withColumn("episode", F.sum(F.when(starts, 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    inside = F.coalesce(F.col("__m") == 1, F.lit(False)) | (F.col("__was") == 1)
+    e = last_before(events.withColumn("__m", F.when(opens, 1).when(closes, 0)), F.col("__m"), "__was", lines)
+    was = F.coalesce("__was", F.lit(0))
+    e = running_sum(e, F.when((F.col("__m") == 1) & (was == 0), 1).otherwise(0), "episode", lines)
+    inside = F.coalesce(F.col("__m") == 1, F.lit(False)) | (was == 1)
     return e.withColumn("in_episode", inside & (F.col("episode") > 0)).drop("__m", "__was")
 
 
