@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import usable
+from .ann import smallest_hashes, usable
 from .common import materialize
 from .components import connected_components
 from .simhash import forest
@@ -39,6 +39,12 @@ def principal_axes(rows: list, width: int) -> np.ndarray:
     return np.linalg.eigh(np.cov(np.array(rows, float).T))[1][:, ::-1].copy()
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; large and small components are first brought near one, so squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> float:
     """Squared distance of the boxes of two point sets."""
     gap = np.maximum(0, np.maximum(a.min(0) - b.max(0), b.min(0) - a.max(0)))
@@ -85,9 +91,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
     good = v.where(usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     classes = materialize(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count_distinct("id").alias("n")), "classes")
-    unit = classes.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).withColumn("unit", F.transform("vec", lambda x: x / F.col("norm"))).withColumn("width", F.size("vec"))
-    sample = unit.orderBy(F.xxhash64("vec"), "cid").limit(SAMPLE).select("unit").collect()
-    axes = {w: principal_axes([r.unit for r in sample if len(r.unit) == w], w) for w in {len(r.unit) for r in sample}}
+    sample = [unit(np.array([r.vec], float))[0] for r in smallest_hashes(classes, F.xxhash64("vec"), SAMPLE).select("vec").collect()]
+    axes = {w: principal_axes([u for u in sample if len(u) == w], w) for w in {len(u) for u in sample}}
     eps = math.sqrt(2 - 2 * cosine)
 
     def lead(x: np.ndarray) -> np.ndarray:
@@ -96,20 +101,20 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
         return x if a is None else x @ a
 
     @F.pandas_udf("array<int>")
-    def cell(units: pd.Series) -> pd.Series:
-        return pd.Series([np.floor(lead(np.asarray(u, float)[None])[0, :dims] / eps).astype(np.int32) for u in units], dtype=object)
+    def cell(vecs: pd.Series) -> pd.Series:
+        return pd.Series([np.floor(lead(unit(np.asarray(v, float)[None]))[0, :dims] / eps).astype(np.int32) for v in vecs], dtype=object)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, key = TaskContext.get().partitionId(), 0, None
         rows: list = []
 
         def full() -> pd.DataFrame:
-            x = np.array([r[1] for r in rows], float)
+            x = unit(np.array([r[1] for r in rows], float))
             p = lead(x)[:, : 4 * dims]
             return pd.DataFrame({"bid": [(part << 32) + seq], "label": [key[0]], "width": [key[1]], "cids": [[r[0] for r in rows]], "ns": [[r[2] for r in rows]], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()], "data": [x.tobytes()]})
 
         for b in batches:
-            for label, width, cid, n, u in zip(b.label, b.width, b.cid, b.n, b.unit):
+            for label, width, cid, n, u in zip(b.label, b.width, b.cid, b.n, b.vec):
                 if rows and ((label, width) != key or len(rows) >= block):
                     yield full()
                     rows, seq = [], seq + 1
@@ -119,7 +124,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
             yield full()
 
     label_type = dict(classes.dtypes)["label"]
-    ordered = unit.withColumn("cell", cell("unit")).select("label", "width", "cid", "n", "unit", "cell")
+    ordered = classes.withColumns({"width": F.size("vec"), "cell": cell("vec")}).select("label", "width", "cid", "n", "vec", "cell")
     ordered = ordered.repartitionByRange("label", "width", "cell", "cid").sortWithinPartitions("label", "width", "cell", "cid")
     blocks = materialize(ordered.mapInPandas(cut, f"bid long, label {label_type}, width int, cids array<long>, ns array<long>, lo array<double>, hi array<double>, data binary"), "blocks")
     box = blocks.select("bid", "label", "width", "lo", "hi")
