@@ -74,8 +74,9 @@ def test_correlation_of_swapped_results_and_foreign_ones(spark):
 
 def test_event_window_bounds(spark):
     e = log(spark, *[("a", i, "X", None) for i in range(1, 6)])
-    got = Q.event_windows(e, C("line") == 2, 3, 1, "event_id").first()
-    assert [w.line for w in got.window] == [1, 2, 3]
+    for lines in (1, 2, 3, 100):
+        got = {r.line: [w.line for w in r.window] for r in Q.event_windows(e, F.lit(True), 3, 1, "event_id", lines=lines).collect()}
+        assert got == {i: [j for j in range(i - 3, i + 2) if 1 <= j <= 5] for i in range(1, 6)}
     with pytest.raises(ValueError):
         Q.event_windows(e, F.lit(True), 25, 0)
 

@@ -61,17 +61,30 @@ def latest_samples(rows: DataFrame, n: int, *by: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def event_windows(events: DataFrame, centre: Column, before: int, after: int, *columns: str) -> DataFrame:
+def framed(events: DataFrame, frame: Column, name: str, before: int, after: int, lines: int = STRETCH) -> DataFrame:
+    """Adds the list of a column (or struct) over the rows from before rows ahead to after rows behind each row of its session.
+
+    Rows are counted along the session and dealt by stretches; those near the
+    end of a stretch also go to the neighbour that needs them, and each row's
+    list is taken in its own stretch.
+    """
+    e = running_sum(events, F.lit(1), "__o", lines)
+    at = lambda shift: F.floor((F.col("__o") + shift) / lines)
+    e = e.withColumn("__h", at(0)).withColumn("__g", F.explode(F.sequence(F.greatest(at(-max(after, 0)), F.lit(0)), at(max(-before, 0)))))
+    w = Window.partitionBy(BY, "__g").orderBy("__o").rowsBetween(before, after)
+    return e.withColumn(name, F.collect_list(frame).over(w)).where("__h = __g").drop("__o", "__h", "__g")
+
+
+def event_windows(events: DataFrame, centre: Column, before: int, after: int, *columns: str, lines: int = STRETCH) -> DataFrame:
     """One row per centre with the events from before lines ahead of it to after lines behind it."""
     if not (0 <= before <= 24 and 0 <= after <= 48):
         raise ValueError("windows reach 24 back and 48 ahead at most")
-    w = in_order().rowsBetween(-before, after)
-    return events.withColumn("window", F.collect_list(F.struct(LINE, *columns)).over(w)).where(centre)
+    return framed(events, F.struct(LINE, *columns), "window", -before, after, lines).where(centre)
 
 
-def following(k: int, value: str) -> Column:
-    """The next k values after each event."""
-    return F.collect_list(value).over(in_order().rowsBetween(1, k))
+def following(events: DataFrame, k: int, value: str, name: str) -> DataFrame:
+    """Adds the next k values after each event."""
+    return framed(events, F.col(value), name, 1, k)
 
 
 def segments(events: DataFrame, boundary: Column, lines: int = STRETCH) -> DataFrame:
@@ -133,10 +146,9 @@ def correlate(calls: DataFrame, results: DataFrame, within: int | None = None, h
     return c.join(r, on, how).drop("s", "c")
 
 
-def nearby_foreign(events: DataFrame, call: Column, result: Column, reach: int) -> DataFrame:
-    """Results within reach lines of a call whose correlation id differs: the rejected ones, found by a bounded window, not a range join."""
-    w = in_order().rowsBetween(1, reach)
-    near = events.withColumn("near", F.collect_list(F.when(result, F.struct(F.col("event_id").alias("result_id"), F.col("correlation_id").alias("other")))).over(w))
+def nearby_foreign(events: DataFrame, call: Column, result: Column, reach: int, lines: int = STRETCH) -> DataFrame:
+    """Results within reach rows of a call whose correlation id differs: the rejected ones, found by a bounded window, not a range join."""
+    near = framed(events, F.when(result, F.struct(F.col("event_id").alias("result_id"), F.col("correlation_id").alias("other"))), "near", 1, reach, lines)
     return near.where(call).select(BY, F.col("event_id").alias("call_id"), "correlation_id", F.explode("near").alias("n")).where(F.col("n.other").isNotNull() & (F.col("n.other") != F.coalesce("correlation_id", F.lit("")))).select(BY, "call_id", F.col("n.result_id").alias("result_id"))
 
 

@@ -153,7 +153,7 @@ def w3(spark, d):
 
 @query("w4_consequences", f"WITH {EV} SELECT event_id, coalesce(nxt, '') AS nxt FROM (SELECT event_id, event_type, string_agg(raw_type, ',') OVER (PARTITION BY session_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS nxt FROM ev) WHERE event_type = 'TOOL_CALL'")
 def w4(spark, d):
-    return events(spark, d).withColumn("nxt", F.array_join(Q.following(4, "raw_type"), ",")).where(CALL).select("event_id", "nxt")
+    return Q.following(events(spark, d), 4, "raw_type", "nxt").where(CALL).select("event_id", F.array_join("nxt", ",").alias("nxt"))
 
 
 _SEG = "sg AS (SELECT *, CAST(sum(CASE WHEN event_type = 'USER_INTENT' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line) AS BIGINT) AS segment FROM ev)"
