@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 VERSION = b"WARC/1.0\r\n"
 MEMBER = b"\x1f\x8b\x08"
 CHUNK = 1 << 16
@@ -42,6 +44,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("uri"), F.coalesce(html_col, F.lit("")).alias("payload"))
     p = p.withColumns({"digest": F.sha1(F.encode("payload", "UTF-8")), "bytes": F.octet_length("payload").cast("long")})
     shared = p.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("page_id").alias("n")).where("n > 1").drop("n")
+    # Written first, so that Spark knows its size: a small table of shared payloads is broadcast, and the payloads stay where they are.
+    shared = materialize(shared, "payloads")
     j = p.join(shared, ["digest", "bytes"], "left")
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     return j.withColumn("refers_to", refers).withColumn("record_type", F.when(refers.isNull(), "response").otherwise("revisit")).drop("first")
