@@ -112,6 +112,8 @@ def test_op4_digest(spark, tmp_path):
 
 def test_word_by_word_ids_are_the_whole_texts_ids():
     texts = ["The quick's don't  Brown\tfox\n12345 é é ß İstanbul ΑΣ Σ x y z", "", " \n", "<|endoftext|> a", "that*** this### 'S 's", "a ̈ b", "x" * 500, "\x1c \x85 q"]
+    r = np.random.default_rng(11)
+    texts += ["".join(r.choice(list("abTHEing09.,!'|-<>éÀßÿÖ×÷ªİΣσς\u0301# ~"), 400)) for _ in range(40)]
     t = Tokenizer.from_file(tokenizer_path())
     got = word_tokenizer(tokenizer_path()).pack([x.encode() for x in texts])
     for x, g in zip(texts, got):

@@ -9,33 +9,59 @@ only for new ones.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 
-KEEP = 400_000
 LONG = 64
+#: Printable ASCII and Latin letters without the apostrophe, whose contractions are pre-tokens of their own, and the pre-tokens of such words.
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]{1,64}")
+_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class WordTokenizer:
+    #: Words a worker remembers.
+    keep = 800_000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.as_bytes = {c: spell(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))}
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got)}
+        out, rest = {}, []
+        for w in new:
+            text = w.decode()
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                out[w] = b"".join(map(self._piece, _PIECE.findall(text.lower())))
+            else:
+                rest.append((w, text))
+        got = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        return out | {w: np.array(e.ids, "<u4").tobytes() for (w, _), e in zip(rest, got)}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token of a plain word, from the model alone: normalising changes nothing but the case of such words."""
+        if piece not in self.pieces:
+            if len(self.pieces) > self.keep:
+                self.pieces.clear()
+            self.pieces[piece] = array("I", (t.id for t in self.model.tokenize(piece.translate(self.as_bytes)))).tobytes()
+        return self.pieces[piece]
 
     def pack(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         split = [t.split() for t in texts]
         known = self.known
-        if len(known) > KEEP:
+        if len(known) > self.keep:
             known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
+        new = list(set().union(*split).difference(known))
         once = {}
         for i in range(0, len(new), 20_000):
             once |= self._learn(new[i : i + 20_000])
@@ -50,6 +76,8 @@ class WordTokenizer:
 class RankTokenizer(WordTokenizer):
     """The same over a file of byte-pair ranks; a word is encoded with a space before it."""
 
+    keep = 400_000
+
     def __init__(self, path: str):
         import base64
 
