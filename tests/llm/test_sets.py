@@ -147,3 +147,10 @@ def test_pipeline_stage_by_stage(spark):
         else:
             assert sorted(r.doc_id for r in rows if r.start == 0) == sorted(r.doc_id for r in before.collect())
     assert corpus_pipeline.run(spark, BASE).count() == now.count()
+
+
+def test_smallest_hashes_are_exactly_those(spark):
+    rows = spark.range(6000).withColumn("h", F.xxhash64("id"))
+    want = sorted(r.h for r in rows.collect())
+    for n in (7, 500, 5000):
+        assert [r.h for r in ann.smallest_hashes(rows, F.col("h"), n).collect()] == want[:n]
