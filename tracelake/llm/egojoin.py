@@ -77,7 +77,7 @@ def ego_pairs(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, cosi
             work += [(a, b, c, m), (a, b, m, d)]
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", dims: int = 8, block: int = 1024) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", dims: int = 8, block: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Rows link when their labels are equal and not null and their cosine is at
