@@ -1,0 +1,150 @@
+"""Near copies by exact Jaccard similarity of whole texts' word shingles.
+
+Shingles are put in one order, rarest first. Two sets as similar as asked share
+one of the first few of each (its prefix), so sets that share a prefix shingle
+are the candidates, and no link is lost; the order only decides how many
+candidates there are. Every candidate link is checked on the whole sets in a
+join. Texts with equal sets are one class from the start, so copies never
+expand to pairs. Of the sets that share a shingle, each first meets only the
+smallest; then those that are in different components still meet each other.
+"""
+
+from __future__ import annotations
+
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import connected_components
+
+WIDTH, SIMILARITY = 5, 0.8
+#: Counts of hashed shingles, from one text in SAMPLE; they only steer the order.
+SLOTS, SAMPLE = 1 << 18, 16
+
+
+def shingles(text: str | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's word shingles; a shorter text is one shingle, a text without words none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(seed)), np.uint64))
+
+
+def least_shared(n: int, similarity: float) -> int:
+    """The fewest members that a set of n shares with any set as similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _order(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """Sampled counts of shingles by slot: a bounded table whatever the input."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b.text:
+                np.add.at(total, (shingles(t, width) % np.uint64(SLOTS)).astype(np.int64), 1)
+        some = total.nonzero()[0]
+        yield pd.DataFrame({"slot": some, "n": total[some]})
+
+    some = docs.select(F.col(text_col).alias("text")).where(f"pmod(xxhash64(text), {SAMPLE}) = 0")
+    got = some.mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(SLOTS, np.int64)
+    total[got.slot.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
+    return total
+
+
+def _key(grams: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(grams.tobytes()), np.uint64).view(np.int64))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(id, hash, key, n, prefix) of every row: hash of the text, key and size of its set (equal sets have equal keys), the first shingles of the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(_order(docs, text_col, width))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                part, out = b.iloc[i : i + 1000], []
+                for t in part.text:
+                    x = shingles(t, width)
+                    first = np.argsort(counts[(x % np.uint64(SLOTS)).astype(np.int64)], kind="stable")  # ties stay by hash
+                    out.append((_key(x), len(x), x[first[: len(x) - least_shared(len(x), similarity) + 1]].view(np.int64)))
+                ids = part.id.astype("Int64") if id_type == "bigint" else part.id
+                yield pd.DataFrame({"id": ids.to_numpy(object), "hash": part["hash"].to_numpy(), "key": [o[0] for o in out], "n": [o[1] for o in out], "prefix": [o[2] for o in out]}).astype({"id": ids.dtype})
+
+    return rows.mapInPandas(prefix, f"id {id_type}, hash long, key long, n int, prefix array<long>")
+
+
+def _check(pairs: DataFrame, slim: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are as similar as asked; sets are made again for the texts in pairs only."""
+    met = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    texts = slim.join(met, "key", "left_semi").groupBy("key").agg(F.min("hash").alias("hash"))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 500):
+                own = [shingles(t, width) for t in b.text.iloc[i : i + 500]]
+                yield pd.DataFrame({"key": [_key(x) for x in own], "grams": [x.view(np.int64) for x in own]})
+
+    one = docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).join(texts, "hash", "left_semi").dropDuplicates(["hash"])
+    own = materialize(one.select("text").mapInPandas(sets, "key long, grams array<long>"), "sets")
+    both = pairs.join(own.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.where(same >= (F.size("x") + F.size("y") - same) * F.lit(similarity) - 1e-9).select("a", "b")
+
+
+def _possible(n: str, at: str, m: str, to: str, similarity: float) -> Column:
+    """Whether sets of n and m can be as similar if their first common shingle stands at these places of their order."""
+    return F.expr(f"least({n} - {at}, {m} - {to}) >= ({n} + {m}) * {similarity / (1 + similarity)!r}D - 1e-6")
+
+
+def link_sets(slim: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(key, root) of the sets that have a similar other one."""
+    spark = slim.sparkSession
+    prefixes = slim.where("n > 0").select("key", "n", F.posexplode("prefix").alias("at", "gram")).repartition("gram")
+    low = prefixes.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    members = materialize(prefixes.join(low.select("gram", "low"), "gram").distinct(), "members")
+    hubs = members.where("key = low").select("gram", F.col("n").alias("m"), F.col("at").alias("to"))
+    stars = members.where("key > low").join(hubs, "gram").where(_possible("n", "at", "m", "to", similarity)).select(F.col("low").alias("a"), F.col("key").alias("b"))
+    stars = materialize(stars.distinct(), "stars")
+    links = materialize(_check(stars, slim, docs, text_col, width, similarity), "links")
+    roots = connected_components(spark, links).select(F.col("node").alias("key"), "root")
+    placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    y = placed.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("br"))
+    apart = placed.join(y, "gram").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("br")) & _possible("n", "at", "m", "to", similarity))
+    pairs = materialize(apart.select(F.col("key").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_check(pairs, slim, docs, text_col, width, similarity), "links")
+    return connected_components(spark, links.union(more)).select(F.col("node").alias("key"), "root")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) for every row: the smallest id of the class, linked at this Jaccard similarity or more.
+
+    Texts without words, null ones too, are a class of their own. A null id has
+    its class's smallest id (null if the class has none). Repeated rows come
+    back as often as they came. Empty input: empty result.
+    """
+    slim = materialize(_slim(docs, id_col, text_col, width, similarity), "slim")
+    classes = slim.groupBy("key").agg(F.min("id").alias("low"))
+    rooted = classes.join(link_sets(slim, docs, text_col, width, similarity), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = materialize(rooted.join(lowest, "root").select("key", "component_id"), "classes")
+    return slim.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay: of each class the one with the smallest id, once. Rows with a null id stay as they are."""
+    keep = near_copies(docs, id_col, text_col, width, similarity).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
