@@ -253,3 +253,16 @@ def test_lm_base_scores_are_brute_force(spark):
                 assert g.train_tokens == w[2] and g.base_score == pytest.approx(w[3])
             assert g.score < 0
     assert lm.score_documents(df.limit(0), RANKS).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("pay DE89370400440532013000 2024", ["DE89370400440532013000"]),
+        ("REF AB12 ORDER GB82 WEST 1234 5698 7654 32 DE89370400440532013000 EUR", ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]),
+        ("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []),
+    ],
+)
+def test_an_iban_ends_before_what_follows_it(text, want):
+    assert [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"] == want

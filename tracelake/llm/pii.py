@@ -4,7 +4,8 @@ Base kinds (email, ip, card, phone) are found exactly by their patterns and
 checks and always stay. Further kinds are kept when their score, a prior per
 kind plus what the context adds or takes, reaches the threshold:
 
-iban      country code, two check digits, 11 to 30 letters and digits; mod-97 must hold
+iban      country code, two check digits, 11 to 30 letters and digits; mod-97 must hold,
+          at the country's length or else at the longest end of a group where it does
 card_like 13 to 15 digits that pass Luhn (older and shorter card numbers)
 ssn       ddd-dd-dddd outside the unissued ranges
 secret    20 or more hexadecimal or base64 characters assigned to a name such as token or key
@@ -32,6 +33,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9+/_=-]{20,200})(?![A-Za-z0-9+/_=-])")
+_IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in cs.split()
+}
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "card_like": 0.4, "ssn": 0.4, "secret": 0.6}
@@ -92,10 +101,23 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", *m.span()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The pattern takes in what follows in capitals or digits, so every end of a group is tried: that of the country's length, then the longest."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        ends = [m.end(), *(e for e in range(m.end() - 1, start, -1) if text[e] == " ")]
+        known = _IBAN_LENGTHS.get(m[0][:2])
+        for e in sorted(ends, key=lambda e: len(text[start:e].replace(" ", "")) != known):
+            if mod97(text[start:e]):
+                yield start, e
+                at = e
+                break
+
+
 def _more(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in _ibans(text):
+        yield "iban", s, e
     for m in _CARD.finditer(text):
         if 13 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 15 and luhn(d):
             yield "card_like", *m.span()
