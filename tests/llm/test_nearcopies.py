@@ -2,13 +2,8 @@ import random
 
 import pytest
 
-from tests.llm.util import components, docs
-from tracelake.llm import nearcopies as op
-
-
-def grams(text):
-    words = (text or "").lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+from tests.llm.util import components, docs, grams
+from tracelake.llm import simhash as op
 
 
 def jaccard(a, b):

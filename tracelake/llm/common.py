@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.storage import materialize, new_path
 
-__all__ = ["discard", "materialize", "new_path", "table"]
+__all__ = ["discard", "join_spread", "materialize", "new_path", "table"]
+
+#: A key with more than one in HOT of all rows is joined apart; there are fewer than HOT such keys, whatever the input.
+HOT = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +21,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that was written to the shared folder and that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def join_spread(rows: DataFrame, named: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows with named, which has one row per key, where a key may hold any share of the rows.
+
+    counts(key, n): rows per key, counted here if not given. Keys with more than
+    one in HOT of all rows number less than HOT: these are broadcast, and their
+    rows stay where they are. The other rows are shuffled by key.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    total = counts.agg(F.sum("n")).scalar()
+    hot = counts.where(F.col("n") * HOT > total).select(key)
+    few = F.broadcast(named.join(F.broadcast(hot), key))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(named, key))
