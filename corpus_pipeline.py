@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import mixing, nearcopies, packing, pii, quality
+from tracelake.llm import mixing, packing, pii, quality, simhash
 from tracelake.llm.common import materialize, table
 from tracelake.llm.tokens import tokenizer_path
 
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays."""
-    return nearcopies.drop_near_copies(docs.select(COLUMNS))
+    return simhash.drop_near_copies(docs.select(COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
