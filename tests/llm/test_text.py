@@ -198,8 +198,7 @@ def test_lm_gradient():
     m = lm.AttentionLM()
     r = np.random.default_rng(8)
     ids, t = r.integers(0, 30, (3, lm.WINDOW)), r.integers(-1, lm.CLASSES, (3, lm.WINDOW))
-    w = np.ones(3, np.float32)
-    g = m.gradient(ids, t, w)
+    g = m.gradient(ids, t)
     for k in m.p:
         m.p[k] = m.p[k].astype(np.float64)
     loss = lambda: -m.log_prob(ids, t).sum() / (t >= 0).sum()
@@ -227,14 +226,62 @@ def test_lm_windows_score_each_id_once_and_sum_to_one():
 RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
 
 
-def test_fast_scores_are_the_models():
-    m = lm.AttentionLM()
-    r = np.random.default_rng(9)
-    ids, t = r.integers(0, 30, (5, lm.WINDOW)), r.integers(-1, lm.CLASSES, (5, lm.WINDOW))
-    z = m.forward(ids)["z"].astype(float)
-    z -= np.log(np.exp(z).sum(-1, keepdims=True))
-    want = np.where(t >= 0, np.take_along_axis(z, np.maximum(t, 0)[..., None], -1)[..., 0], 0)
-    assert m.log_prob(ids, t) == pytest.approx(want, abs=1e-4)
+def plain_log10(m, ids, doc):
+    """Token by token: the window that scores it, attention over the ids before it, class and share."""
+    p, d, total = {k: v.astype(float) for k, v in m.p.items()}, lm.DIM, 0.0
+    for i, token in enumerate(doc):
+        start = 0 if i < lm.WINDOW else (i - lm.OVERLAP) // (lm.WINDOW - lm.OVERLAP) * (lm.WINDOW - lm.OVERLAP)
+        rows = [0 if j == 0 else ids.row[doc[j - 1]] for j in range(start, i + 1)]
+        x = [p["E"][r] + p["P"][c] for c, r in enumerate(rows)]
+        q = x[-1] @ p["QKV"][:, :d]
+        weight = np.array([np.exp(q @ (y @ p["QKV"][:, d : 2 * d])) for y in x])
+        o = sum(w * (y @ p["QKV"][:, 2 * d :]) for w, y in zip(weight / weight.sum(), x))
+        h = x[-1] + o @ p["O"]
+        z = (h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"]) @ p["C"] + p["c"]
+        total += z[ids.klass[token]] - np.log(np.exp(z).sum()) + ids.log_share[token]
+    return total / np.log(10)
+
+
+@pytest.mark.parametrize("scale", [1, 30])
+def test_scores_are_those_of_a_loop_over_tokens(scale):
+    m, r = lm.AttentionLM(), np.random.default_rng(9)
+    m.p = {k: v * np.float32(scale**0.5) for k, v in m.p.items()}
+    ids = lm.Ids(r.integers(0, 50, lm.VOCABULARY).astype(float))
+    docs = [r.integers(0, lm.VOCABULARY, n) for n in (1, 2, 15, 16, 17, 28, 29, 100, 700)]
+    assert lm.score_ids(m, ids, docs, chunk=7) == pytest.approx([plain_log10(m, ids, d) for d in docs], rel=1e-4)
+    assert len(lm.score_ids(m, ids, [])) == 0
+
+
+def test_every_id_of_a_document_is_trained_on_once():
+    r = np.random.default_rng(10)
+    ids, seen = lm.Ids(np.arange(lm.VOCABULARY, dtype=float)), []
+
+    class Watch(lm.AttentionLM):
+        def gradient(self, x, y):
+            seen.append((x.copy(), y.copy()))
+            return super().gradient(x, y)
+
+    docs = [r.integers(0, lm.VOCABULARY, n) for n in (1, 16, 17, 5000, 3, 40_000, 90_000)]
+    t = lm.Trainer(Watch(), ids, 0.01, batch=64)
+    for d in docs:
+        t.add(d)
+    t.flush()
+    x, y = np.concatenate([a for a, _ in seen]).ravel(), np.concatenate([b for _, b in seen]).ravel()
+    assert y[y >= 0].tolist() == np.concatenate([ids.klass[d] for d in docs]).tolist() and t.seen == sum(map(len, docs))
+    assert x[y >= 0].tolist() == np.concatenate([[0, *ids.row[d[:-1]]] for d in docs]).tolist()
+
+
+def test_the_model_learns_and_does_not_depend_on_partitions(spark):
+    """Texts of a repeated pattern come to score better than the same words in another order; partitions and files change nothing."""
+    r = np.random.default_rng(11)
+    pattern = "red blue green white black yellow".split()
+    rows = [(i, " ".join(pattern * 20), "a") for i in range(300)] + [(1000 + i, " ".join(r.permutation(pattern * 20)), "b") for i in range(20)]
+    df = docs(spark, rows + [(5000, "long " * 60_000, "c")]).withColumn("score", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("words", F.lit(3))
+    one, other = ({(g.doc_id, g.score) for g in lm.score_documents(d, RANKS).collect()} for d in (df.coalesce(1), df.repartition(7)))
+    assert {i for i, _ in one} == {i for i, _ in other}
+    assert sorted(v for _, v in one) == pytest.approx(sorted(v for _, v in other), rel=1e-5)
+    mean = lambda low, high: np.mean([v for i, v in one if low <= i < high])
+    assert mean(0, 300) > mean(1000, 1020)
 
 
 def test_lm_base_scores_are_brute_force(spark):

@@ -23,15 +23,13 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_spread(rows: DataFrame, named: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of rows with named, which has one row per key, where a key may hold any share of the rows.
+def join_spread(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with named, which has one row per key and in n how many of the rows have it: any share of them.
 
-    counts(key, n): rows per key, counted here if not given. Keys with more than
-    one in HOT of all rows number less than HOT: these are broadcast, and their
-    rows stay where they are. The other rows are shuffled by key.
+    Keys with more than one in HOT of all rows number less than HOT: these are
+    broadcast, and their rows stay where they are. The other rows are shuffled
+    by key.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.where(F.col("n") * HOT > total).select(key)
-    few = F.broadcast(named.join(F.broadcast(hot), key))
-    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(named, key))
+    hot = F.col("n") * HOT > named.agg(F.sum("n")).scalar()
+    few = named.where(hot).drop("n")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(named.where(~hot).drop("n"), key))

@@ -4,7 +4,8 @@ Every round is two aggregations and two joins on the edges that are left; the
 edges of each round go to a table in the shared folder, so a lost executor
 costs one round at most. Nothing but three numbers a round reaches the driver.
 A node with a large share of all edges is joined by broadcast, so its edges
-stay dealt over all tasks; there are at most 2 * HOT such nodes.
+stay dealt over all tasks; there are at most 2 * HOT such nodes. So is every
+node while there are at most FEW edges.
 """
 
 from __future__ import annotations
@@ -15,8 +16,14 @@ from pyspark.sql import functions as F
 from .common import HOT, discard, new_path
 
 
+#: Edges whose nodes are broadcast whole: a few megabytes.
+FEW = 100_000
+
+
 def _with_low(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
     """rows(a, b) with m of low(a, m, n); hubs by broadcast."""
+    if edges <= FEW:
+        return rows.join(F.broadcast(low.select("a", "m")), "a")
     hub = F.col("n") * HOT > edges
     few = low.where(hub).select("a", "m")
     rest = rows.join(F.broadcast(few.select("a")), "a", "left_anti").join(low.where(~hub).select("a", "m"), "a")

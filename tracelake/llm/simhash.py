@@ -165,13 +165,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = materialize(add_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "fp"), "fp")
     classes = slim.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     named = lowest_of_class(classes, link_fingerprints(spark, classes.select("fp"), radius), "fp")
-    return join_spread(slim, named.select("fp", "component_id"), "fp", named).select(F.col("id").alias(id_col), "fp", "component_id")
+    return join_spread(slim, named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def lowest_of_class(classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """(key, n, component_id) of classes(key, low, n): the smallest low of all that share a root; keys without one stand alone."""
     rooted = materialize(classes.select(key, "low", "n").join(roots.select(key, "root"), key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     return materialize(join_spread(rooted, lowest, "root").select(key, "n", "component_id"), "classes")
 
 
@@ -341,11 +341,12 @@ def candidate_pairs(sets: DataFrame, similarity: float, turn: int | None, tile:
 
 
 def _deal(pairs: DataFrame, texts: DataFrame, end: str, share: int = 256) -> DataFrame:
-    """pairs(a, b, ...) with the text of one end; an end of many pairs is dealt over several copies of its text."""
-    n = pairs.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n"))
-    deals = materialize(n.select("key", "n", F.ceil(F.col("n") / share).cast("int").alias("deals")), "deals")
-    dealt = join_spread(pairs.withColumn("key", F.col(end)), deals.select("key", "deals"), "key", deals).withColumn("deal", F.expr("cast(pmod(xxhash64(a, b), deals) as int)")).drop("deals")
-    copies = texts.join(deals, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("text").alias(f"text_{end}"))
+    """pairs(a, b, ...) with the text of one end; an end of more than share pairs is dealt over copies of its text."""
+    n = pairs.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > share)
+    hubs = materialize(n.select("key", F.ceil(F.col("n") / share).cast("int").alias("deals")), "hubs")
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = pairs.withColumn("key", F.col(end)).join(hubs, "key", "left").withColumn("deal", F.pmod(F.xxhash64("a", "b"), deals).cast("int")).drop("deals")
+    copies = texts.join(hubs, "key", "left").select("key", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("text").alias(f"text_{end}"))
     return dealt.join(copies, ["key", "deal"]).drop("key", "deal")
 
 
@@ -421,7 +422,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     roots = link_sets(sets.select("key", "n", "fp"), texts_of, width, similarity)
     named = lowest_of_class(sets.select("key", "low", F.col("rows").alias("n")), roots, "key")
-    return join_spread(slim.select("id", "key"), named.select("key", "component_id"), "key", named).select(F.col("id").alias(id_col), "component_id")
+    return join_spread(slim.select("id", "key"), named, "key").select(F.col("id").alias(id_col), "component_id")
 
 
 def _smallest_of_class(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:

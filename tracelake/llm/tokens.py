@@ -61,12 +61,14 @@ class WordTokenizer:
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        new = list(set().union(*split).difference(known))
-        once = {}
+        out = [list(map(known.get, ws)) for ws in split]
+        lacking = [i for i, got in enumerate(out) if None in got]
+        new = list({w for i in lacking for w, got in zip(split[i], out[i]) if got is None})
         for i in range(0, len(new), 20_000):
-            once |= self._learn(new[i : i + 20_000])
-        known.update(once)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+            known.update(self._learn(new[i : i + 20_000]))
+        for i in lacking:
+            out[i] = map(known.__getitem__, split[i])
+        out = list(map(b"".join, out))
         for w in new:
             if len(w) > LONG:
                 del known[w]
