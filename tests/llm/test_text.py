@@ -1,3 +1,4 @@
+import random
 import hashlib
 import re
 import zlib
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.util import docs, unigram
 from tracelake.llm import lm, packing, pii, quality, registry, url_filter
-from tracelake.llm.tokens import tokenizer_path, word_tokenizer
+from tracelake.llm.tokens import RankTokenizer, tokenizer_path, word_tokenizer
 
 
 def fits(rule, host, path):
@@ -226,6 +227,18 @@ def test_lm_windows_score_each_id_once_and_sum_to_one():
 RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
 
 
+def test_words_encoded_together_are_those_encoded_alone():
+    r = random.Random(12)
+    pool = ["a", "Z", "é", "ß", "7", "42", ".", "'s", "'", "--", "ing", "the", "\u00a0", "漢", "🙂", "\x85", "_", "http://x.y/z?q=1", "don't", "\u2028"]
+    words = list({"".join(r.choice(pool) for _ in range(r.randrange(1, 9))).encode() for _ in range(3000)})
+    words = [w for w in words if len(w.split()) == 1]
+    own = RankTokenizer(RANKS)
+    alone = own.encoding.encode_ordinary
+    got = own.pack([b" ".join(words[:1500]), b"\n ".join(words[1500:]), words[0]])
+    want = [[i for w in part for i in alone(" " + w.decode())] for part in (words[:1500], words[1500:], words[:1])]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
 def plain_log10(m, ids, doc):
     """Token by token: the window that scores it, attention over the ids before it, class and share."""
     p, d, total = {k: v.astype(float) for k, v in m.p.items()}, lm.DIM, 0.0
@@ -237,7 +250,7 @@ def plain_log10(m, ids, doc):
         weight = np.array([np.exp(q @ (y @ p["QKV"][:, d : 2 * d])) for y in x])
         o = sum(w * (y @ p["QKV"][:, 2 * d :]) for w, y in zip(weight / weight.sum(), x))
         h = x[-1] + o @ p["O"]
-        z = (h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"]) @ p["C"] + p["c"]
+        z = h @ p["C"] + p["c"]
         total += z[ids.klass[token]] - np.log(np.exp(z).sum()) + ids.log_share[token]
     return total / np.log(10)
 

@@ -17,6 +17,7 @@ import numpy as np
 LONG = 64
 #: Printable ASCII and Latin letters without the apostrophe, whose contractions are pre-tokens of their own, and the pre-tokens of such words.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]{1,64}")
+_PLAIN_LONG = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -78,7 +79,7 @@ class WordTokenizer:
 class RankTokenizer(WordTokenizer):
     """The same over a file of byte-pair ranks; a word is encoded with a space before it."""
 
-    keep = 400_000
+    keep = 800_000
 
     def __init__(self, path: str):
         import base64
@@ -90,10 +91,23 @@ class RankTokenizer(WordTokenizer):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known = {}
+        #: Whether an id's bytes start with a space, as the first id of every word does.
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        encode = self.encoding.encode_ordinary
-        return {w: array("I", encode(" " + w.decode())).tobytes() for w in new}
+        """Words of plain letters and signs are encoded many at a time, as a text; spaces part them there as they do alone."""
+        encode, fits = self.encoding.encode_ordinary, _PLAIN_LONG.fullmatch
+        plain = [w for w in new if fits(w.decode())]
+        ids = np.array(encode(b"".join([b" ", b" ".join(plain)]).decode() if plain else ""), "<u4")
+        first = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
+        out: dict[bytes, bytes] = {}
+        if len(first) == len(plain) + 1:
+            out = dict(zip(plain, map(ids.tobytes().__getitem__, map(slice, first.tolist(), first[1:].tolist()))))
+        for w in new if len(out) < len(new) else ():
+            if w not in out:
+                out[w] = array("I", encode(" " + w.decode())).tobytes()
+        return out
 
 
 _HERE: dict[tuple, WordTokenizer] = {}
