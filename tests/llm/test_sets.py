@@ -35,11 +35,13 @@ def test_mix_edge_cases(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_ann_recall_and_ties(spark):
-    e = spark.read.parquet(f"{BASE}/embeddings.parquet")
+@pytest.mark.parametrize("base", [BASE, "/root/testdata/sf0.1"])
+def test_ann_recall_and_ties(spark, base):
+    """At sf0.1, 128 of 2,000 vectors are measured for a query."""
+    e = spark.read.parquet(f"{base}/embeddings.parquet")
     rows = e.collect()
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
-    got = registry.op5_ann(spark, BASE).collect()
+    got = registry.op5_ann(spark, base).collect()
     found, hits, total = {}, 0, 0
     for r in got:
         found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -66,6 +68,57 @@ def test_ann_edge_cases(spark):
     few = ann.nearest(df.where("vec_id in (0, 7, 9)"), F.col("vec_id") == 0).collect()
     assert [(r.vec_id, r.score) for r in few] == [(7, 0.5)]
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+    lengths = spark.createDataFrame([(i, [float(i), 1.0] if i % 3 else [float(i), 2.0, 3.0]) for i in range(12)], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in ann.nearest(lengths, F.col("vec_id").isin(3, 4), k=2).collect()} == {(3, 0), (3, 6), (4, 2), (4, 5)}
+
+
+def test_an_index_reads_only_its_own_fronts():
+    r = np.random.default_rng(6)
+    x, pivots = r.standard_normal((400, 8)), r.standard_normal((32, 8))
+    shard = ann.PermutationShard(x, pivots, 8)
+    order = np.argsort(((x[:, None] - pivots[None]) ** 2).sum(2), axis=1)[:, :8]
+    place = np.full((400, 32), 8)
+    np.put_along_axis(place, order, np.arange(8)[None], 1)
+    assert (shard.order(x) == order).all() and len(shard.rows) == 400 * 8
+    for q in (0, 7, 399):
+        assert shard.footrule(order[q]).tolist() == np.abs(place - place[q]).sum(1).tolist()
+
+
+def test_archives_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE", 20_000)
+    rows = [(i, "u", "x" * n) for i, n in enumerate([3, 900, 1500, 2500, 30_000, 9000, 9000, 12, 0, 1200])]
+    path = new_path(spark, "warc-size")
+    warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), path, per_file=16)
+    got = warc.read_archives(spark, path).collect()
+    by: dict = {}
+    for g in got:
+        by.setdefault(g.file, []).append(g.payload_bytes)
+    assert sorted((int(g.page_id), len(g.payload)) for g in got if g.kind != "revisit") == sorted((i, len(t)) for i, _, t in rows if i != 5)
+    assert all(sum(v) <= 20_000 or len(v) == 1 for v in by.values())
+
+
+def test_warc_query_on_an_empty_table_and_repeated_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "y" * 2000), (1, "u", "y" * 2000), (2, "u", "y" * 2000), (2, "u", "y" * 2000)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "two/pages.parquet"))
+    pages.limit(0).write.parquet(str(tmp_path / "none/pages.parquet"))
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in registry.op10_warc(spark, str(tmp_path / "two")).collect())
+    assert got == [(1, 2000, "revisit", 2)] * 2 + [(2, 2000, "response", None)] * 2
+    assert registry.op10_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls in any column, empty and long texts, ties and repeated rows, extra columns with the stages' own names."""
+    rows = [(None, None, "a"), (None, "some text here", None), (1, "", "a"), (2, "one two three four five six", "a"), (2, "one two three four five six", "a"), (3, "word " * 60_000, "b"), (4, "mail me: a.b@example.com", None)]
+    odd = docs(spark, rows)
+    for c in ("score", "component_id", "key", "n", "hash", "pii", "copy", "copies", "grp", "start", "id", "__n", "fp"):
+        odd = odd.withColumn(c, F.lit("mine"))
+    want = {"near_duplicates": {None, 1, 2, 3, 4}, "pii": {None, 1, 2, 3, 4}}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, BASE)
+        assert name == "packing" or got.columns == corpus_pipeline.COLUMNS
+        ids = {r.doc_id for r in got.collect()}
+        assert ids <= {None, 1, 2, 3, 4} and ids == want.get(name, ids)
+        assert stage(spark, odd.limit(0), BASE).count() == 0
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -40,6 +40,15 @@ def test_url_rules_against_plain_matching(spark):
     assert url_filter.filter_urls(df.limit(0), registry.url_rules()).count() == 0
 
 
+def test_a_question_mark_is_one_character_and_repeated_rows_stay(spark):
+    globs = ["*.a/?x**", "*.a/??"]
+    texts = ["".join(t) for t in (".a/éx", ".a/é", ".a/漢字", ".a/ab", ".a/abc", ".a/🙂x1", ".a/é/x", ".a/éé")]
+    want = [[re.fullmatch(p, t) is not None for p in (r"[^/]*\.a/[^/]x.*", r"[^/]*\.a/[^/][^/]")] for t in texts]
+    assert url_filter.ShiftAnd(globs).matches([t.encode() for t in texts]).tolist() == want
+    rows = spark.createDataFrame([(1, "http://x.com/"), (1, "http://x.com/"), (2, None)], "page_id long, url string")
+    assert url_filter.filter_urls(rows, registry.url_rules()).count() == 3 and url_filter.filter_urls(rows.limit(0), registry.url_rules()).count() == 0
+
+
 def test_automaton_against_regular_expressions():
     globs = ["*.a.b/**", "**ab?c", "*x*/y*z", ".q/" + "w" * 90 + "*", "**", "*/", "?a**"]
     to_re = lambda g: re.compile("".join(p for p in _parts(g)), re.S)
@@ -124,7 +133,7 @@ def test_word_by_word_ids_are_the_whole_texts_ids():
 def test_packing_round_trip(spark):
     t = Tokenizer.from_file(tokenizer_path())
     rows = [(i, "word " * (i * 37 % 900), "a") for i in range(60)] + [(100, "long text " * 5000, "b"), (101, None, "b"), (102, "", "b"), (102, "", "b"), (None, "none", "b")]
-    got = packing.pack(docs(spark, rows).withColumn("start", F.lit(1)), tokenizer_path(), group_docs=16).collect()
+    got = packing.pack(docs(spark, rows).withColumn("start", F.lit(1)), tokenizer_path(), group_pieces=16).collect()
     want = {}
     for i, x, _ in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids + [2]
@@ -179,6 +188,40 @@ def test_quality_gradient_and_held_out_accuracy(spark):
         m.p[k][i] += 1e-4
 
 
+def plain_passages(text):
+    """Features of every passage, by their definitions."""
+    data = (text or "").encode()
+    kinds = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\n\x0b\x0c", b".,;:'\"?-()", b"!", b"|#*$%&@+=_<>[]{}~^/\\`"]
+    lines = [x for x in data.split(b"\n") if x]
+    out = []
+    for at in range(0, max(1, len(data)), quality.PASSAGE):
+        part = data[at : at + quality.PASSAGE]
+        size, words = max(1, len(part)), part.split()
+        kind = [sum(c in k for c in part) / size for k in kinds]
+        pairs = [0.0] * quality.PAIRS
+        for a, b in zip(part, part[1:]):
+            pairs[(a * 256 + b) * 0x9E3779B97F4A7C15 % 2**64 >> 57] += 1 / size
+        own = [len(set(words)) / max(1, len(words)), np.log1p(len(words)) / 6, len(set(lines)) / len(lines) if lines else 1.0, np.log1p(len(data)) / 12, len(words) / 256, sum(x == y for x, y in zip(words, words[1:])) / max(1, len(words)), sum(p * p for p in pairs) ** 0.5, max(pairs)]
+        out.append([*kind, len(part) / size - sum(kind), *(p**0.5 for p in pairs), *own])
+    return np.array(out)
+
+
+def test_quality_scores_are_those_of_a_loop_over_passages():
+    r = np.random.default_rng(14)
+    model = quality.GatedAttention(quality.WIDTH)
+    model.mean, model.std = r.standard_normal(quality.WIDTH).astype(np.float32) / 9, (0.5 + r.random(quality.WIDTH)).astype(np.float32)
+    texts = [None, "", "One line!\nOne line!\n\nthe end", "é" * 900 + " ß 12 | x", "abc 123 " * 700]
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for text, got in zip(texts, model.score(texts)):
+        weight, coded = [], []
+        for x in plain_passages(text):
+            h = np.tanh((x - model.mean) / model.std @ p["W"] + p["b"])
+            weight.append(np.exp(float((np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"]))) @ p["w"][:, 0])))
+            coded.append(h)
+        z = sum(w * h for w, h in zip(weight, coded)) / sum(weight)
+        assert got == pytest.approx(1 / (1 + np.exp(-(z @ p["c"][:, 0] + p["d"][0]))), abs=1e-5)
+
+
 def test_quality_on_given_tables(spark):
     base = "/root/testdata/sf0.01"
     got = registry.op6_quality(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id")

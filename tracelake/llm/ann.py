@@ -2,9 +2,9 @@
 
 A vector is known by the order in which it sees a fixed set of pivots, nearest
 first. It is posted under each pivot of the front of that order, with the
-pivot's rank. A query reads the files of its own front pivots, adds up rank
-differences (the footrule distance; a pivot missing from a front counts as one
-past its end), and only the vectors ranked best are measured exactly.
+pivot's rank. A query reads the files of its own front pivots only, adds up the
+footrule distance of the fronts, and measures exactly only the vectors ranked
+best.
 
 Vectors are dealt by hash into shards of a bounded size, each with its own
 inverted files; queries travel to the shards in packed blocks and are read from
@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-#: Pivots come from at most this many rows, those with the smallest hash.
-PIVOTS = 128
+#: Pivots (rows with the smallest hash) and the length of a front: a vector is posted under a quarter of the pivots.
+PIVOTS, FRONT = 512, 128
 
 
 def usable(vec: Column) -> Column:
@@ -60,35 +60,43 @@ class PermutationShard:
         return np.argsort(d, axis=1, kind="stable")[:, : self.front]
 
     def footrule(self, fronts: np.ndarray) -> np.ndarray:
-        """Footrule distance of one query's front to every row of the shard."""
+        """Footrule distance of one query's front to that of every row of the shard, over the pivots of both: a pivot missing from a front counts as one past its end."""
         m = self.front
-        own = m - np.arange(m)  # what a pivot adds where it is missing
-        total = np.full(self.n, own.sum(), np.int32)
+        total = np.full(self.n, m * (m + 1), np.int32)  # of fronts that share no pivot
         for i, p in enumerate(fronts):
             s, e = self.begin[p], self.begin[p + 1]
-            total[self.rows[s:e]] += np.abs(self.ranks[s:e] - i) - (m - i)
+            total[self.rows[s:e]] -= 2 * np.minimum(m - i, m - self.ranks[s:e])
         return total
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, front: int = 128, rerank: float = 0.1, least: int = 256, shard_rows: int = 8192, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, front: int = FRONT, rerank: float = 0.05, least: int = 128, shard_rows: int = 8192, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that queries holds for, its k nearest found among the other ids, by Euclidean distance.
 
     The best rerank share of a shard by footrule (least rows at least) is
     measured. Rows whose vector is null, empty, zero or holds null or non-finite
     components, or whose id is null, take no part; a row repeated whole counts
-    once. Vectors of another than the commonest length take no part either.
-    Fewer than k others: all of them. Empty input: empty result.
+    once. Vectors of several lengths are indexed apart, and only equal lengths
+    compare; the lengths of a table are taken to be few. Fewer than k others: all
+    of them. Other columns are not read. Empty input: empty result.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), queries.alias("asks")).where(usable(F.col("vec")) & F.col("id").isNotNull())
     v = v.dropDuplicates(["id", "vec"])
     # The k + 1 smallest ids of equal vectors: one of them may be the query's own.
     first = v.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
     own = materialize(first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("vec")), "vectors")
-    common = own.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = common.w if common else 1
-    own = own.where(F.size("vec") == width)
+    found = None
+    for r in own.groupBy(F.size("vec").alias("w")).count().orderBy("w").collect() or [None]:
+        width = r.w if r else 1
+        one = _search(own.where(F.size("vec") == width), v.where(F.col("asks") & (F.size("vec") == width)), width, r["count"] if r else 0, k, pivots, front, rerank, least, shard_rows, block)
+        found = one if found is None else found.unionByName(one)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(own: DataFrame, asking: DataFrame, width: int, rows: int, k: int, pivots: int, front: int, rerank: float, least: int, shard_rows: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score) of each shard's k best among own(vec, ids, h) for asking(id, vec), all of one length."""
     chosen = np.array([r.vec for r in smallest_hashes(own, F.col("h"), pivots).collect()], float).reshape(-1, width)
-    shards = max(1, -(-own.count() // shard_rows))
+    shards = max(1, -(-rows // shard_rows))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,7 +140,5 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     stored = own.withColumn("shard", F.expr(f"cast(pmod(h, {shards}) as int)")).select("shard", "ids", "vec").mapInPandas(pack, "shard int, kind int, seq long, ids array<array<long>>, data binary")
-    asked = v.where(F.col("asks") & (F.size("vec") == width)).select("id", "vec").mapInPandas(ask, "shard int, kind int, seq long, ids array<array<long>>, data binary")
-    found = stored.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "seq").mapInPandas(search, "query_id long, vec_id long, score double")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = asking.select("id", "vec").mapInPandas(ask, "shard int, kind int, seq long, ids array<array<long>>, data binary")
+    return stored.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "seq").mapInPandas(search, "query_id long, vec_id long, score double")

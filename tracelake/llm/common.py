@@ -23,8 +23,8 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_spread(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """Inner join of rows with named, which has one row per key and in n how many of the rows have it: any share of them.
+def join_spread(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of rows with named, which has one row per key and in n how many of the rows have it: any share of them.
 
     Keys with more than one in HOT of all rows number less than HOT: these are
     broadcast, and their rows stay where they are. The other rows are shuffled
@@ -32,4 +32,4 @@ def join_spread(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     """
     hot = F.col("n") * HOT > named.agg(F.sum("n")).scalar()
     few = named.where(hot).drop("n")
-    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(named.where(~hot).drop("n"), key))
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(named.where(~hot).drop("n"), key, how))

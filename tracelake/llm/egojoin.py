@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import smallest_hashes, usable
-from .common import materialize
+from .common import join_spread, materialize
 from .components import connected_components
 from .simhash import forest
 
 SAMPLE = 4096
 LEAF = 128
 SLACK = 1e-9
+#: Keys that the boxes of a label are dealt over, and blocks that travel together.
+SPREAD, GROUP = 16, 4
 
 
 def principal_axes(rows: list, width: int) -> np.ndarray:
@@ -77,7 +79,7 @@ def ego_pairs(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, cosi
             work += [(a, b, c, m), (a, b, m, d)]
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", dims: int = 8, block: int = 4096) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", dims: int = 8, block: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Rows link when their labels are equal and not null and their cosine is at
@@ -89,8 +91,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
-    good = v.where(usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    classes = materialize(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count_distinct("id").alias("n")), "classes")
+    takes_part = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull()
+    good = v.where(takes_part)
+    classes = materialize(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count_distinct("id").alias("n"), F.count("*").alias("rows")), "classes")
     sample = [unit(np.array([r.vec], float))[0] for r in smallest_hashes(classes, F.xxhash64("vec"), SAMPLE).select("vec").collect()]
     axes = {w: principal_axes([u for u in sample if len(u) == w], w) for w in {len(u) for u in sample}}
     eps = math.sqrt(2 - 2 * cosine)
@@ -127,12 +130,15 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     ordered = classes.withColumns({"width": F.size("vec"), "cell": cell("vec")}).select("label", "width", "cid", "n", "vec", "cell")
     ordered = ordered.repartitionByRange("label", "width", "cell", "cid").sortWithinPartitions("label", "width", "cell", "cid")
     blocks = materialize(ordered.mapInPandas(cut, f"bid long, label {label_type}, width int, cids array<long>, ns array<long>, lo array<double>, hi array<double>, data binary"), "blocks")
-    box = blocks.select("bid", "label", "width", "lo", "hi")
-    other = box.select(F.col("bid").alias("bid2"), "label", "width", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # A label may hold any share of the blocks: those of one side are dealt over SPREAD keys, and the boxes (not the vectors) of the other copied to each.
+    box = blocks.select("bid", "label", "width", "lo", "hi").withColumn("deal", F.expr(f"cast(pmod(xxhash64(bid), {SPREAD}) as int)"))
+    deals = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("deal")
+    other = blocks.select(F.col("bid").alias("bid2"), "label", "width", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), deals)
     gap = F.expr("aggregate(zip_with(zip_with(lo, hi2, (a, b) -> a - b), zip_with(lo2, hi, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, g) -> s + g * g)")
-    meets = box.join(other, ["label", "width"]).where((F.col("bid") <= F.col("bid2")) & (gap <= 2 - 2 * cosine + SLACK))
-    sides = meets.select(F.col("bid").alias("one"), F.col("bid2").alias("two")).withColumn("bid", F.explode(F.array_distinct(F.array("one", "two"))))
-    both = sides.join(blocks.select("bid", "width", "cids", "ns", "data"), "bid")
+    meets = box.join(other, ["label", "width", "deal"]).where((F.col("bid") <= F.col("bid2")) & (gap <= 2 - 2 * cosine + SLACK))
+    # Neighbours in the sequence travel together: a group of GROUP blocks meets another such group in one task.
+    near = meets.select(F.expr(f"bid div {GROUP}").alias("one"), F.expr(f"bid2 div {GROUP}").alias("two"), "label", "width", F.explode(F.array("bid", "bid2")).alias("bid")).distinct()
+    both = near.join(blocks.select("bid", "cids", "ns", "data"), "bid")
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bid")
@@ -140,25 +146,33 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
         ps = [lead(x)[:, : 4 * dims] for x in xs]
         ids = np.concatenate([np.asarray(c, np.int64) for c in g.cids])
         ns = np.concatenate([np.asarray(c, np.int64) for c in g.ns])
-        shift = 0 if len(xs) == 1 else len(xs[0])
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
+        group = (g.bid // GROUP).tolist()
+        one, two = int(g.one.iloc[0]), int(g.two.iloc[0])
         links = np.zeros(len(ids), np.int64)
 
         def pairs():
-            for i, j in ego_pairs(xs[0], xs[-1], ps[0], ps[-1], cosine, len(xs) == 1):
-                j = j + shift
-                np.add.at(links, i, ns[j])
-                np.add.at(links, j, ns[i])
-                yield i, j
+            for a in range(len(xs)):
+                for b in range(a, len(xs)):
+                    if (group[a], group[b]) != (one, two):
+                        continue
+                    for i, j in ego_pairs(xs[a], xs[b], ps[a], ps[b], cosine, a == b):
+                        i, j = i + begin[a], j + begin[b]
+                        np.add.at(links, i, ns[j])
+                        np.add.at(links, j, ns[i])
+                        yield i, j
 
         low = forest(len(ids), pairs())
         some = links > 0
         return pd.DataFrame({"cid": ids[some], "links": links[some], "to": ids[low[some]]})
 
-    met = materialize(both.groupBy("one", "two").applyInPandas(meet, "cid long, links long, to long"), "met")
+    met = materialize(both.groupBy("one", "two", "label", "width").applyInPandas(meet, "cid long, links long, to long"), "met")
     roots = connected_components(spark, met.select(F.col("cid").alias("a"), F.col("to").alias("b")))
     counts = met.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = counts.join(roots, F.col("cid") == F.col("node"), "left").select(F.col("cid").alias("c"), "links", "root")
-    named = classes.join(linked, F.col("cid") == F.col("c"), "left").select(F.col("label").alias("l"), F.col("vec").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
-    full = v.join(named, (F.col("label") == F.col("l")) & (F.col("vec") == F.col("w")) & usable(F.col("vec")) & F.col("id").isNotNull(), "left")
-    comp = F.coalesce("component_id", "id")
-    return full.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
+    key = F.struct("label", "vec").alias("key")
+    named = classes.join(linked, F.col("cid") == F.col("c"), "left").select(key, F.col("rows").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
+    full = join_spread(good.select("id", key), materialize(named, "named"), "key").select("id", "n_links", "component_id")
+    rest = v.where(~takes_part).select("id", F.lit(0).alias("n_links"), F.col("id").alias("component_id"))
+    out = full.unionByName(rest)
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -13,9 +13,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -54,20 +56,20 @@ def first_fit_decreasing(lengths: list[int], room: int) -> list[tuple[int, int]]
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = 4096, end_id: int = 2, group_docs: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = 4096, end_id: int = 2, group_pieces: int = 4096) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null or empty text is the end id alone. Null ids and repeated rows are
-    packed like any other row. Empty input: empty result. group_docs sets how
-    many documents share a group on average; the number of groups follows the
-    input, so no task grows with it.
+    packed like any other row; other columns are not read. Empty input: empty
+    result. group_pieces sets how many pieces share a group on average. Pieces
+    are dealt row by row, not by content, and the number of groups follows
+    theirs, so no task grows with the input.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = max(1, -(-docs.count() // group_docs))
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_tokenizer(tokenizer)
+        words, task = word_tokenizer(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
             rows = []
             for i in range(0, len(b), 256):
@@ -77,12 +79,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     n = len(ids) // 4
                     doc = None if pd.isna(doc) else int(doc)
                     rows += [(doc, s, min(sequence, n - s), zlib.crc32(ids[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield out.assign(nth=range(task, task + len(out)))
+            task += len(out)
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], na_position="first")
+        group = group.sort_values(["length", "nth"], ascending=[False, True])
         at = first_fit_decreasing(group.length.tolist(), sequence)
-        return group.assign(sequence_id=(int(group.grp.iloc[0]) << 32) + pd.Series([a for a, _ in at], index=group.index, dtype="int64"), offset=[o for _, o in at]).drop(columns="grp")
+        return group.assign(sequence_id=(int(group.grp.iloc[0]) << 32) + pd.Series([a for a, _ in at], index=group.index, dtype="int64"), offset=[o for _, o in at]).drop(columns=["grp", "nth"])
 
-    pieces = source.mapInPandas(cut, PIECES).withColumn("grp", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, 20), {groups})"))
-    return pieces.groupBy("grp").applyInPandas(place, PIECES + ", sequence_id long, offset long")
+    pieces = materialize(source.mapInPandas(cut, PIECES + ", nth long"), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
+    return pieces.withColumn("grp", F.expr(f"pmod(xxhash64(nth, 20), {groups})")).groupBy("grp").applyInPandas(place, PIECES + ", sequence_id long, offset long")

@@ -136,16 +136,23 @@ def find_spans(text: str | None, threshold: float = 0.5, reach: int = 40) -> lis
     """(kind, start, end, score) by kind as in KINDS, then start; code points, end exclusive. Added kinds never overlap a base span."""
     text = text or ""
     out = [(k, s, e, _score(text, k, s, e, reach)) for k, s, e in _base(text)]
-    taken = [(s, e) for _, s, e, _ in out]
-    for k, s, e in _more(text):
-        if (score := _score(text, k, s, e, reach)) >= threshold and not any(s < b and a < e for a, b in taken):
-            taken.append((s, e))
+    more = [(k, s, e) for k, s, e in _more(text)]
+    taken = bytearray(len(text) if more else 0)
+    for _, s, e, _ in out if more else ():
+        taken[s:e] = b"\1" * (e - s)
+    for k, s, e in more:
+        if (score := _score(text, k, s, e, reach)) >= threshold and not any(taken[s:e]):
+            taken[s:e] = b"\1" * (e - s)
             out.append((k, s, e, score))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def detect(docs: DataFrame, text_col: str = "text", out: str = "pii", threshold: float = 0.5) -> DataFrame:
-    """Adds the array of spans found in each whole text; null and empty texts have none. Rows, repeated or not, are judged one by one."""
+    """Adds the array of spans found in each whole text, replacing a column of that name; null and empty texts have none.
+
+    Rows, repeated or not, are judged one by one, whatever their ids. Empty
+    input: empty result.
+    """
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 PASSAGE = 1024
 PAIRS = 128
-#: Passages of one document that fitting looks at, evenly spaced. Scoring looks at all.
-FIT_PASSAGES = 64
 
 _KIND = np.full(256, 7, np.int64)
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\n\x0b\x0c", b".,;:'\"?-()", b"!", b"|#*$%&@+=_<>[]{}~^/\\`")):
@@ -138,7 +136,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> GatedAttention:
-    """Fit on at most per_label rows of each label among those not held out. Null labels and ids are skipped; no labels: every score is 0.5."""
+    """Fit on at most per_label labelled ids of each label among those not held out, on every passage of their texts.
+
+    Null labels and ids are skipped; an id labelled twice counts with its larger
+    label; every row of a chosen id is a bag. No labels: every score is 0.5.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("__y"))
     order = F.xxhash64(F.col(id_col), F.lit(5))
     chosen = known.where("__y = 0").orderBy(order).limit(per_label).unionByName(known.where("__y = 1").orderBy(order).limit(per_label))
@@ -149,11 +151,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             if not len(b):
                 continue
             x, counts = passages(list(b.text))
-            at = np.cumsum(counts) - counts
-            rows = []
-            for s, c in zip(at, counts):
-                pick = np.unique(np.linspace(s, s + c - 1, min(c, FIT_PASSAGES)).astype(int))
-                rows.append(x[pick].tobytes())
+            rows = [part.tobytes() for part in np.split(x, np.cumsum(counts)[:-1])]
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": rows})
 
     got = bags.select(F.col(id_col).cast("long").alias("id"), F.col("__y").cast("int").alias("y"), "text").mapInPandas(describe, "id long, y int, x binary").toPandas().sort_values(["id", "x"])
@@ -163,7 +161,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def add_score(docs: DataFrame, model: GatedAttention, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Adds the probability of label 1 for each whole text; null counts as empty, and empty texts are scored too."""
+    """Adds the probability of label 1 for each whole text, replacing a column of that name.
+
+    Null counts as empty, and empty texts are scored too. Every row, repeated or
+    not, is scored alone, whatever its id. Empty input: empty result.
+    """
     packed = pickle.dumps(model)
 
     @F.pandas_udf("double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, egojoin, lm, mixing, packing, pii, quality, simhash, url_filter, warc
-from .common import new_path, table
+from .common import join_spread, materialize, new_path, table
 from .tokens import tokenizer_path
 
 HOST_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -70,12 +70,16 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
-    got = warc.read_archives(spark, path).where("kind <> 'gap'")
-    stored = got.select(F.col("page_id").cast("long").alias("page_id"), F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"), F.sha1("payload").alias("own"), "payload_digest", "payload_bytes")
-    kept = stored.where("record_type = 'response'").groupBy(F.col("page_id").alias("at"), F.col("own").alias("said")).agg(F.max("payload_bytes").alias("full"))
-    both = stored.join(kept, (F.col("refers_to") == F.col("at")) & (F.col("payload_digest") == F.col("said")), "left")
-    revisit = F.col("record_type") == "revisit"
-    return both.select("page_id", F.when(revisit, F.col("full")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("payload_digest")).otherwise(F.col("own")).alias("payload_digest"), "record_type", "refers_to")
+    got = warc.read_archives(spark, path)
+    records = materialize(got.select(F.col("page_id").cast("long").alias("page_id"), F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"), F.sha1("payload").alias("own"), "payload_digest", "payload_bytes"), "records")
+    if lost := records.where("record_type = 'gap'").count():
+        raise RuntimeError(f"{lost} stretches of the archives could not be read")
+    named = records.withColumn("key", F.concat_ws(":", "refers_to", "payload_digest"))
+    revisits = named.where("record_type = 'revisit'")
+    kept = records.where("record_type = 'response'").groupBy(F.concat_ws(":", "page_id", "own").alias("key")).agg(F.max("payload_bytes").alias("full"))
+    full = join_spread(revisits, revisits.groupBy("key").agg(F.count("*").alias("n")).join(kept, "key"), "key", "left")
+    stored = records.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("own").alias("payload_digest"), "record_type", "refers_to")
+    return stored.unionByName(full.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

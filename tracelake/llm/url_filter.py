@@ -46,6 +46,7 @@ class ShiftAnd:
     def __init__(self, globs: Sequence[str]):
         advance: list[set[int] | None] = []
         loops: dict[int, str] = {}
+        tails: set[int] = set()  # after "?": the bytes that continue its character
         starts, finals = [], []
         for glob in globs:
             starts.append(len(advance))
@@ -62,6 +63,8 @@ class ShiftAnd:
                     i += 1
                 else:
                     seen_slash |= g[i : i + 1] == b"/"
+                    if g[i : i + 1] == b"?":
+                        tails.add(len(advance))
                     advance.append(None if g[i : i + 1] == b"?" else {g[i]})
                     i += 1
             finals.append(len(advance) - 1)
@@ -73,9 +76,9 @@ class ShiftAnd:
         for pos, chars in enumerate(advance):
             word, bit = divmod(pos, 64)
             for c in range(256):
-                if (chars is None and c != 0x2F) or (chars and c in chars):
+                if (chars is None and c != 0x2F and not 0x80 <= c < 0xC0) or (chars and c in chars):
                     self.B[c, word] |= np.uint64(1 << bit)
-                if pos in loops and (loops[pos] == "all" or loops[pos] == "path" or c != 0x2F):
+                if (pos in tails and 0x80 <= c < 0xC0) or pos in loops and (loops[pos] == "all" or loops[pos] == "path" or c != 0x2F):
                     self.L[c, word] |= np.uint64(1 << bit)
 
     def _mask(self, bits: Sequence[int]) -> np.ndarray:

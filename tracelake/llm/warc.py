@@ -51,8 +51,20 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return j.withColumn("refers_to", refers).withColumn("record_type", F.when(refers.isNull(), "response").otherwise("revisit")).drop("first")
 
 
+#: A file holds payloads of at most FILE bytes, or one longer one.
+FILE = 256 << 20
+
+
 def write_archives(records: DataFrame, path: str, per_file: int = 4000, compression: str | None = None) -> None:
-    """Write planned records under path; a file holds per_file records at most."""
+    """Write planned records under path, those of a size class together: a file holds per_file records and FILE bytes of payloads at most."""
+    longest, low, most = records.agg(F.max("bytes")).first()[0] or 0, 0, per_file
+    while low <= longest:
+        high = FILE // most if most > 1 else longest + 1
+        _write(records.where((F.col("bytes") >= low) & (F.col("bytes") < high)), path, most, compression)
+        low, most = high, max(1, most // 16)
+
+
+def _write(records: DataFrame, path: str, per_file: int, compression: str | None) -> None:
     clean = F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]", "")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     crlf = F.lit("\r\n")
@@ -67,7 +79,7 @@ def write_archives(records: DataFrame, path: str, per_file: int = 4000, compress
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.octet_length(stored) + HTTP_BYTES).cast("string"), F.lit("\r\n\r\n"),
     )
-    w = records.select(F.concat(head, http, stored).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file)
+    w = records.select(F.concat(head, http, stored).alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file)
     (w.option("compression", compression) if compression else w).text(path)
 
 
@@ -171,7 +183,12 @@ def _urn(value: bytes | None) -> str | None:
 
 
 def read_archives(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
-    """One row per record, and one of kind "gap" per quarantined stretch (offset, payload_bytes its length, problem why)."""
+    """One row per record, and one of kind "gap" per quarantined stretch (offset, payload_bytes its length, problem why).
+
+    Records of other writers may lack any header: what is absent is null, or
+    empty for uri and digest. Repeated records are repeated rows. No files, or
+    empty ones: no rows.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
