@@ -160,3 +160,64 @@ def test_entry_points():
 
     q = e.queries()
     assert "a1_entity_inventory" in q and set(e.oracle_sql()) <= set(q)
+
+
+def test_complete_results_of_several_batches_count_once(spark, tmp_path):
+    from tracelake.streaming import flows
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = str(tmp_path / "events.parquet")
+    for i in range(3):  # the last batch brings late rows
+        rows.where(f"event_id % 3 = {(i + 2) % 3}").coalesce(1).write.mode("append").parquet(path)
+    want = {(f"u{r.user_id}", r.n, r.e) for r in rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "signup").alias("e")).collect()}
+    got = flows.run(flows.interval_counts(flows.stream_events(spark, path, files=1), "signup"), "several", "complete").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert flows.run(flows.progress(flows.stream_events(spark, path, files=1)), "several", "complete").count() == len(want)
+
+
+SECRETS = {
+    "private_key": ["-----BEGIN EC " + "PRIVATE KEY-----", "-----BEGIN " + "PRIVATE KEY-----"],
+    "openai_api_key": ["sk-" + "a1B2" * 6, "sk-proj-" + "x_-9" * 7],
+    "github_token": ["ghp_" + "Ab1" * 12],
+    "aws_access_key": ["AKIA" + "A1" * 8, "ASIA" + "Z9" * 8],
+    "credential_assignment": ["API_KEY = 'abcdefghijklm'", 'password:"123456789012345"'],
+    "bearer_credential": ["Authorization: Bearer abcdefghijklmnop.qr", "bearer_token = 'abcdefghijklmnop"],
+    "personal_home_path": ["/home/anna", "/Users/bob.c", "/home/examples"],
+    "private_network_address": ["10.0.0.1", "192.168.17.4", "172.31.0.255"],
+    "host_profile_path": ["/srv/host"],
+}
+
+
+def test_every_content_rule_finds_its_case(spark):
+    import hashlib
+    import re
+
+    from tracelake.operators import review
+
+    plain = ["nothing here", "/home/example/x /Users/runner", "110.0.0.1 10.0.0.1234 172.32.0.1", "sk-short ghp_x AKIA1", "password: short", None, ""]
+    rows = [(i, f"see {v}, then {v};") for i, v in enumerate(v for vs in SECRETS.values() for v in vs)] + [(100 + i, t) for i, t in enumerate(plain)]
+    got = sorted((r.doc_id, r["class"], r.severity, r.fingerprint) for r in review.findings(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())
+    want = []
+    for i, t in rows:
+        for name, (pattern, severity) in review.content_rules().items():
+            want += [(i, name, severity, "sha256:" + hashlib.sha256(f"{name}\0{m[0]}".encode()).hexdigest()[:16]) for m in re.finditer(pattern, t or "")]
+    assert got == sorted(want)
+    found = {(i, c) for i, c, *_ in got}
+    assert {(i, n) for i, n in enumerate(n for n, vs in SECRETS.items() for _ in vs)} <= found and not any(i >= 100 for i, _ in found)
+
+
+def test_dense_search_over_shards_is_brute_force(spark):
+    import numpy as np
+
+    from tracelake.operators import retrieval
+
+    r = np.random.default_rng(5)
+    x = r.standard_normal((300, 6))
+    x[50] = x[7]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<double>")
+    got = retrieval.top(retrieval.dense_top(df, F.col("vec_id") % 50 == 0, 4, shard_rows=64, block=2), 4, "query_id", F.desc("score"), F.col("vec_id")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        s = np.round(u[q] @ u.T, 6)
+        want = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:4]
+        assert [g.vec_id for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q] == want

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import materialize
+
 
 def terms(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
@@ -27,11 +33,13 @@ def exact_hits(docs: DataFrame, queries: DataFrame, ident: str = "doc_id", text:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, ident: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents of each query by BM25: (query_id, ident, score, rank). Ties, at six digits, by id."""
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    length = F.size(terms(F.col(text)))
-    sized = docs.select(ident, F.col(text), length.alias("len"))
-    n_docs, avg_len = sized.agg(F.count("*")).scalar(), sized.agg(F.avg("len")).scalar()
-    used = q.select("term").distinct()
-    tf = sized.select(ident, "len", F.explode(terms(F.col(text))).alias("term")).join(used, "term", "left_semi").groupBy(ident, "len", "term").agg(F.count("*").alias("tf"))
+    # Texts are split once. Each also posts the empty term, so the lengths of all are in the same table.
+    posted = docs.select(ident, terms(F.col(text)).alias("__w")).select(ident, F.size("__w").alias("len"), F.explode(F.concat(F.coalesce("__w", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    used = q.select("term").union(q.sparkSession.range(1).select(F.lit(""))).distinct()
+    kept = materialize(posted.join(used, "term", "left_semi").groupBy(ident, "len", "term").agg(F.count("*").alias("tf")), "terms")
+    whole = kept.where("term = ''")
+    n_docs, avg_len = whole.agg(F.sum("tf")).scalar(), whole.agg(F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).scalar()
+    tf = kept.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term")
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -49,6 +57,61 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def dense_top(vectors: DataFrame, asks: Column, k: int, ident: str = "vec_id", vec: str = "embedding", shard_rows: int = 16_384, block: int = 1024) -> DataFrame:
+    """(query_id, ident, score): for each row that asks holds for, its k best by cosine (six digits, ties by id) in each shard of all other rows.
+
+    Vectors are dealt by hash into shards of a bounded size; queries travel to
+    every shard in packed blocks and are read from a stream. Null and empty
+    vectors take no part; all others must be of one length.
+    """
+    v = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), asks.alias("asks")).where(F.size("v") > 0)
+    shards = max(1, -(-v.count() // shard_rows))
+    packed = "shard int, kind int, seq long, ids binary, data binary"
+
+    def put(part: pd.DataFrame) -> tuple:
+        return int(part.id.iloc[0]), part.id.to_numpy(np.int64).tobytes(), np.array(part.v.tolist(), float).tobytes()
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, part in b.groupby("shard"):
+                yield pd.DataFrame([(s, 0, *put(part))], columns=["shard", "kind", "seq", "ids", "data"])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), block):
+                own = put(b.iloc[i : i + block])
+                yield pd.DataFrame([(s, 1, *own) for s in range(shards)], columns=["shard", "kind", "seq", "ids", "data"])
+
+    def unit(data: bytes, n: int) -> np.ndarray:
+        x = np.frombuffer(data, float).reshape(n, -1)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, names = None, [], []
+        for b in batches:
+            for s, kind, ids, data in zip(b.shard, b.kind, b.ids, b.data):
+                if s != now:
+                    now, held, names = s, [], []
+                name = np.frombuffer(ids, np.int64)
+                x = unit(data, len(name))
+                if not kind:
+                    held.append(x)
+                    names.append(name)
+                elif held:
+                    if len(held) > 1 or not (np.diff(names[0]) >= 0).all():
+                        order = np.argsort(np.concatenate(names), kind="stable")
+                        held, names = [np.concatenate(held)[order]], [np.concatenate(names)[order]]
+                    score = np.round(x @ held[0].T, 6)
+                    score[name[:, None] == names[0][None]] = -np.inf
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    out = pd.DataFrame({"query_id": np.repeat(name, best.shape[1]), ident: names[0][best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                    yield out[np.isfinite(out.score)]
+
+    stored = v.withColumn("shard", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)")).select("shard", "id", "v").mapInPandas(hold, packed)
+    asked = v.where("asks").select("id", "v").mapInPandas(ask, packed)
+    return stored.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "seq").mapInPandas(search, f"query_id long, {ident} long, score double")
+
+
 def fuse(lanes: dict[str, DataFrame], ident: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of lanes of (query_id, ident, rank). k chosen here: 60."""
     all_ = None

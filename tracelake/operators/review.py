@@ -19,6 +19,18 @@ ROUTES = {
     "VERIFICATION": ["proof_pattern", "test_recipe", "confidence_model"],
     "FINAL_STATE": ["closeout_quality", "handoff_template", "next_route"],
 }
+# The content rules of the public-tree audit, by class, with pattern and severity, in their order.
+# The marker of a host's own profile folder is a parameter of content_rules().
+CONTENT_RULES = {
+    "private_key": (r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", "blocking"),
+    "openai_api_key": (r"\bsk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{20,}\b", "blocking"),
+    "github_token": (r"\bgh[pousr]_[A-Za-z0-9]{30,}\b", "blocking"),
+    "aws_access_key": (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "blocking"),
+    "credential_assignment": (r"(?i)\b(?:api[_-]?key|access[_-]?token|client[_-]?secret|password)\b\s*[:=]\s*['\"][^'\"\s]{12,}['\"]", "blocking"),
+    "bearer_credential": (r"(?i)\b(?:authorization\s*:\s*bearer|bearer[_-]?token\s*[:=])\s*['\"]?[A-Za-z0-9._~+/-]{16,}", "blocking"),
+    "personal_home_path": (r"/(?:home|Users)/(?!example(?:/|\b)|test(?:/|\b)|user(?:/|\b)|runner(?:/|\b)|workspace(?:/|\b))[A-Za-z0-9._-]+", "blocking"),
+    "private_network_address": (r"(?<![0-9])(?:10(?:\.\d{1,3}){3}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})(?![0-9])", "review"),
+}
 # Chosen here: credential-like and personal text, by class, with severity.
 SENSITIVE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "medium"),
@@ -51,11 +63,18 @@ def redact(text: Column, rules: Mapping[str, tuple[str, str]] = SENSITIVE) -> tu
     return out, hits
 
 
-def findings(docs: DataFrame, ident: str, text: str, rules: Mapping[str, tuple[str, str]] = SENSITIVE) -> DataFrame:
-    """(ident, class, severity, fingerprint): one row per finding; the fingerprint is a truncated digest, not the value."""
+def content_rules(host_profile: str = "/srv/host") -> dict[str, tuple[str, str]]:
+    """All content rules: the fixed ones, the host's profile folder, and those chosen here."""
+    marker = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in host_profile)
+    return CONTENT_RULES | {"host_profile_path": (marker + r"(?:/|\b)", "review")} | SENSITIVE
+
+
+def findings(docs: DataFrame, ident: str, text: str, rules: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(ident, class, severity, fingerprint): one row per finding; the fingerprint is a truncated digest of class, NUL and value, not the value."""
+    rules = content_rules() if rules is None else rules
     found = F.flatten(F.array(*[_hits(F.col(text), n, p, s) for n, (p, s) in rules.items()]))
     f = docs.select(ident, F.explode(found).alias("f"))
-    return f.select(ident, F.col("f.class").alias("class"), F.col("f.severity").alias("severity"), F.substring(F.sha2(F.concat_ws("|", "f.class", "f.v"), 256), 1, 16).alias("fingerprint"))
+    return f.select(ident, F.col("f.class").alias("class"), F.col("f.severity").alias("severity"), F.concat(F.lit("sha256:"), F.substring(F.sha2(F.concat("f.class", F.lit("\0"), "f.v"), 256), 1, 16)).alias("fingerprint"))
 
 
 def _hits(text: Column, name: str, pattern: str, severity: str) -> Column:

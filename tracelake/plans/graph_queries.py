@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import graph as G
 from ..operators import search as P
+from ..operators.sequence import framed
 from .base import EV, PO, events, facts, query, table
 
 C = F.col
@@ -41,14 +42,14 @@ def part_suppliers(spark, d):
     return G.both_ways(l)
 
 
-_WALK = """w AS (SELECT seed, seed AS node, 0 AS hops FROM (SELECT DISTINCT 'p' || p_partkey AS seed FROM part WHERE p_size = 1 AND p_partkey % 10 = 0)
+_WALK = """w AS (SELECT seed, seed AS node, 0 AS hops FROM (SELECT DISTINCT 'p' || p_partkey AS seed FROM part WHERE p_size = 1)
   UNION SELECT w.seed, l.other, w.hops + 1 FROM w JOIN lk l ON l.node = w.node WHERE w.hops < 2),
 r AS (SELECT seed, node, min(hops) AS hops FROM w GROUP BY ALL)"""
 _LK = "lk AS (SELECT DISTINCT 'p' || l_partkey AS node, 's' || l_suppkey AS other FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"
 
 
 def seeds(spark, d):
-    return table(spark, d, "part").where("p_size = 1 and p_partkey % 10 = 0").select(F.concat(F.lit("p"), C("p_partkey").cast("string")).alias("seed"))
+    return table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("p"), C("p_partkey").cast("string")).alias("seed"))
 
 
 @query("g2_neighbourhood", f"WITH RECURSIVE {_LK}, {_WALK} SELECT seed, hops, count(*) AS nodes FROM r GROUP BY ALL")
@@ -58,7 +59,7 @@ def g2(spark, d):
 
 
 @query("g2_budgeted_neighbourhood", f"""WITH {_LK}, n AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY ALL),
-a AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_size = 1 AND p_partkey % 10 = 0),
+a AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_size = 1),
 h AS (SELECT seed, s AS node, row_number() OVER (PARTITION BY seed ORDER BY n DESC, s) AS r FROM a JOIN n ON n.p = a.seed)
 SELECT seed, seed AS node, 0 AS hops FROM a UNION ALL SELECT seed, node, 1 FROM h WHERE r <= 5""")
 def g2_budget(spark, d):
@@ -137,9 +138,8 @@ def g7(spark, d):
 SELECT event_id AS source, nxt AS target, CASE WHEN event_type = 'TOOL_CALL' AND nt = 'ERROR' THEN 'caused' WHEN event_type = 'ERROR' AND nt = 'TOOL_OUTPUT' THEN 'recovered_by' WHEN nt = 'VERIFICATION' THEN 'verified_by' END AS relation
 FROM n WHERE (event_type = 'TOOL_CALL' AND nt = 'ERROR') OR (event_type = 'ERROR' AND nt = 'TOOL_OUTPUT') OR nt = 'VERIFICATION'""")
 def g8(spark, d):
-    from ..operators.sequence import in_order
-
-    n = events(spark, d).select(C("event_id").alias("source"), "event_type", F.lead("event_id").over(in_order()).alias("target"), F.lead("event_type").over(in_order()).alias("nt"))
+    nxt = framed(events(spark, d), F.struct("event_id", "event_type"), "nxt", 1, 1)
+    n = nxt.select(C("event_id").alias("source"), "event_type", F.get("nxt", F.lit(0))["event_id"].alias("target"), F.get("nxt", F.lit(0))["event_type"].alias("nt"))
     rel = F.when((C("event_type") == "TOOL_CALL") & (C("nt") == "ERROR"), "caused").when((C("event_type") == "ERROR") & (C("nt") == "TOOL_OUTPUT"), "recovered_by").when(C("nt") == "VERIFICATION", "verified_by")
     return n.withColumn("relation", rel).where("relation is not null").select("source", "target", "relation")
 

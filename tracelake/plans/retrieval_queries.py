@@ -14,11 +14,11 @@ C = F.col
 
 
 def asked(spark, d):
-    """Queries: the first six terms of each benchmark text, as a query table of its own."""
-    return table(spark, d, "benchmark").select(C("item_id").alias("query_id"), F.array_join(F.slice(T.terms(C("text")), 1, 6), " ").alias("query"))
+    """Queries: the benchmark texts, whole."""
+    return table(spark, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"))
 
 
-_Q = "qs AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 6) AS ts FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(ts) AS term FROM qs)"
+_Q = "qs AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(ts) AS term FROM qs)"
 _D = "dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), ln AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents)"
 _BM = f"""{_Q}, {_D}, st AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM ln), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY ALL),
@@ -43,14 +43,12 @@ def t3(spark, d):
     return exact.withColumn("lane", F.lit("exact")).unionByName(lexical.select("query_id", "doc_id", F.lit("lexical").alias("lane")))
 
 
-@query("t4_dense_search", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+@query("t4_dense_search", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 5""")
 def t4(spark, d):
-    """Queries are the vectors whose id 50 divides, against all of the same label."""
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("qv"), "label")
-    c = q.join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(T.cosine(C("qv"), C("embedding")), 6).alias("score"))
-    return T.top(c, 5, "query_id", F.desc("score"), C("vec_id")).select("query_id", "vec_id", "rank")
+    """Queries are the vectors whose id 50 divides, against all others."""
+    best = T.dense_top(table(spark, d, "embeddings"), C("vec_id") % 50 == 0, 5)
+    return T.top(best, 5, "query_id", F.desc("score"), C("vec_id")).select("query_id", "vec_id", "rank")
 
 
 @query("t5_fusion", f"WITH {_EX2}, xr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM ex), l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM xr WHERE rank <= 10) SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS fused, count(*) AS lanes FROM l GROUP BY ALL")
@@ -109,11 +107,16 @@ def t13(spark, d):
     return trace.unionByName(P.search(e, outcome="failed").where("k = '7'").select("event_id")).groupBy("event_id").agg(F.count("*").alias("lanes"))
 
 
-@query("t14_retrieval_evaluation", f"WITH {_BM}, g AS (SELECT query_id, doc_id FROM bm WHERE rank = 1) SELECT bm.query_id, count(*) AS hits, count(g.doc_id) AS gold_hits FROM bm LEFT JOIN g ON g.query_id = bm.query_id AND g.doc_id = bm.doc_id GROUP BY 1")
+@query("t14_retrieval_evaluation", f"WITH {_EX2}, g AS (SELECT query_id, ex.doc_id FROM ex JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = ex.query_id WHERE contains(d.text, b.text)), n AS (SELECT query_id, count(*) AS gold FROM g GROUP BY 1) SELECT bm.query_id, count(*) AS hits, coalesce(min(n.gold), 0) AS gold, count(g.doc_id) AS gold_hits FROM bm LEFT JOIN g ON g.query_id = bm.query_id AND g.doc_id = bm.doc_id LEFT JOIN n ON n.query_id = bm.query_id GROUP BY 1")
 def t14(spark, d):
-    hits = T.bm25(table(spark, d, "documents"), asked(spark, d)).select("query_id", "doc_id", "rank")
-    gold = hits.where("rank = 1").select("query_id", "doc_id", F.lit(1).alias("gold"))
-    return hits.join(gold, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("hits"), F.count("gold").alias("gold_hits"))
+    """Gold is what holds the passage itself, whatever its rank."""
+    docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("passage"))
+    hits = T.bm25(docs, asked(spark, d)).select("query_id", "doc_id")
+    able = t1(spark, d).join(docs.select("doc_id", "text"), "doc_id").join(passages, "query_id")
+    gold = able.where(F.contains("text", C("passage"))).select("query_id", "doc_id", F.lit(1).alias("g"))
+    known = gold.groupBy("query_id").agg(F.count("*").alias("gold"))
+    met = hits.join(gold, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("hits"), F.count("g").alias("gold_hits"))
+    return met.join(known, "query_id", "left").select("query_id", "hits", F.coalesce("gold", F.lit(0)).alias("gold"), "gold_hits")
 
 
 @query("t15_expectations", "SELECT doc_id, CASE WHEN contains(text, '!!') THEN 0 ELSE 1 END AS actual, quality AS expected, (CASE WHEN contains(text, '!!') THEN 0 ELSE 1 END) = quality AS met FROM documents JOIN labels USING (doc_id)")
@@ -169,7 +172,19 @@ def c7(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), (hits > 0).alias("changed"))
 
 
-_FIND = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS class, '{s}' AS severity, left(sha256('{n}|' || v), 16) AS fingerprint FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pat(n)}')) AS v FROM documents)" for n, (_, s) in V.SENSITIVE.items())
+# Where the rules look around, the SQL takes the candidates and tests what surrounds them.
+_HOME = r"/(?:home|Users)/[A-Za-z0-9._-]+"
+_CANDIDATES = {
+    "personal_home_path": f"list_filter(regexp_extract_all(text, '{_HOME}'), lambda v: NOT regexp_matches(v, '^/(home|Users)/(example|test|user|runner|workspace)([^A-Za-z0-9_]|$)'))",
+    "private_network_address": r"regexp_extract_all(regexp_replace(text, '([^0-9.])', '\1\1', 'g'), '(?:^|[^0-9])(10(?:\.\d{1,3}){3}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})(?:[^0-9]|$)', 1)",
+}
+
+
+def _candidates(name, pattern):
+    return _CANDIDATES.get(name) or f"regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_FIND = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS class, '{s}' AS severity, 'sha256:' || left(sha256('{n}' || chr(0) || v), 16) AS fingerprint FROM (SELECT doc_id, unnest({_candidates(n, p)}) AS v FROM documents)" for n, (p, s) in V.content_rules().items())
 
 
 @query("c8_sensitive_findings", _FIND)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import search as P
+from ..operators.sequence import running_sum
 from .base import EV, PO, dialogue, events, facts, query, table
 
 C = F.col
@@ -164,8 +165,8 @@ def k4(spark, d):
 
 @query("k5_timeline_order", f"WITH {EV} SELECT event_id, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), ''), session_id, line, event_id) AS place FROM ev")
 def k5(spark, d):
-    w = Window.partitionBy("session_id").orderBy(F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")), "session_id", "line", "event_id")
-    return events(spark, d).select("event_id", F.row_number().over(w).alias("place"))
+    """Lines follow the time of events, so the place is the count of lines so far."""
+    return running_sum(events(spark, d), F.lit(1), "place").select("event_id", "place")
 
 
 @query("k6_receipts_newest", f"WITH {RC} SELECT event_id FROM rc ORDER BY timestamp DESC NULLS LAST, session_id DESC, event_id LIMIT 40")

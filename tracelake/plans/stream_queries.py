@@ -77,10 +77,12 @@ def s10(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("raw_sha256")).agg(F.count("*").alias("captured"))
 
 
-@query("s11_import_selection", "SELECT d.doc_id FROM documents d WHERE d.doc_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+@query("s11_import_selection", r"WITH v AS (SELECT doc_id, sha256(text) AS raw_sha256 FROM documents WHERE n_chars >= 500), a AS (SELECT doc_id, sha256(regexp_replace(text, '\s+$', '')) AS raw_sha256 FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT v.doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' ELSE 'stale' END AS state FROM v LEFT JOIN a USING (doc_id) WHERE a.raw_sha256 IS DISTINCT FROM v.raw_sha256")
 def s11(spark, d):
-    """Labelled good documents stand in for the archive; the rest of the window is missing from it."""
-    return RD.missing_or_stale(table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id"), table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    """Labelled good documents stand in for the archive, stored without their last white space; the window is documents of 500 characters or more."""
+    docs = table(spark, d, "documents")
+    archive = docs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id", F.sha2(F.regexp_replace("text", r"\s+$", ""), 256).alias("raw_sha256"))
+    return RD.missing_or_stale(docs.where("n_chars >= 500").select("doc_id", F.sha2("text", 256).alias("raw_sha256")), archive, "doc_id").select("doc_id", "state")
 
 
 @query("r1_tail", "SELECT event_id, 'u' || user_id AS session_id, event_type FROM events")

@@ -54,6 +54,9 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     return c.groupBy("raw_sha256").agg(F.min("path").alias("path"), F.max("bytes").alias("bytes"), F.max("lines").alias("lines"), F.count("*").alias("captured"))
 
 
-def missing_or_stale(available: DataFrame, archive: DataFrame, *key: str) -> DataFrame:
-    """Rows of available whose key the archive lacks."""
-    return available.join(archive, list(key), "left_anti")
+def missing_or_stale(available: DataFrame, archive: DataFrame, *key: str, digest: str = "raw_sha256") -> DataFrame:
+    """Rows of available that the archive lacks (state missing) or holds with another digest only (stale)."""
+    known = archive.groupBy(*key).agg(F.collect_set(digest).alias("__known"))
+    j = available.join(known, list(key), "left")
+    same = F.coalesce(F.array_contains("__known", F.col(digest)), F.lit(False))
+    return j.where(~same).withColumn("state", F.when(F.col("__known").isNull(), "missing").otherwise("stale")).drop("__known")

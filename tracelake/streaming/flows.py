@@ -17,26 +17,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.storage import new_path
 
 
-def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of the event log as typed rows with a usable event time. path: a folder of Parquet files, or one file, whose folder is then watched for that name."""
+def stream_events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """files: how many files a micro-batch takes at most. A file stream of the event log as typed rows with a usable event time. path: a folder of Parquet files, or one file, whose folder is then watched for that name."""
     known = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(known.schema)
+    if files:
+        source = source.option("maxFilesPerTrigger", files)
     single = all(f.rstrip("/").endswith(f"/{name}") for f in known.inputFiles())
     logs = source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
     return logs.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
 
 def run(flow: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all available input once; the result as a table. Exactly once: the sink and the checkpoint are in the shared folder."""
+    """Process all available input once; the result as a table. Exactly once: the sink and the checkpoint are in the shared folder.
+
+    In complete mode each batch brings the whole result, so the last one counts.
+    """
     spark = flow.sparkSession
     out, mark = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
 
+    epochs: list[int] = []
+
     def put(batch: DataFrame, epoch: int) -> None:
+        epochs.append(epoch)
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     flow.writeStream.outputMode(mode).option("checkpointLocation", mark).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(flow.schema).parquet(f"{out}/epoch=*")
+    if not epochs:
+        return spark.createDataFrame([], flow.schema)
+    which = epochs[-1] if mode == "complete" else "*"
+    return spark.read.schema(flow.schema).parquet(f"{out}/epoch={which}")
 
 
 def replay_safe(events: DataFrame, delay: str, *key: str) -> DataFrame:
