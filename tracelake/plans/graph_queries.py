@@ -8,6 +8,7 @@ from ..operators import events as E
 from ..operators import graph as G
 from ..operators import search as P
 from ..operators.sequence import framed
+from ..sources.storage import materialize
 from .base import EV, PO, events, facts, query, table
 
 C = F.col
@@ -42,8 +43,8 @@ def part_suppliers(spark, d):
     return G.both_ways(l)
 
 
-_WALK = """w AS (SELECT seed, seed AS node, 0 AS hops FROM (SELECT DISTINCT 'p' || p_partkey AS seed FROM part WHERE p_size = 1)
-  UNION SELECT w.seed, l.other, w.hops + 1 FROM w JOIN lk l ON l.node = w.node WHERE w.hops < 2),
+_WALKS = """w AS (SELECT seed, seed AS node, 0 AS hops FROM (SELECT DISTINCT 'p' || p_partkey AS seed FROM part WHERE p_size = 1)
+  UNION SELECT w.seed, l.other, w.hops + 1 FROM w JOIN lk l ON l.node = w.node WHERE w.hops < {depth}),
 r AS (SELECT seed, node, min(hops) AS hops FROM w GROUP BY ALL)"""
 _LK = "lk AS (SELECT DISTINCT 'p' || l_partkey AS node, 's' || l_suppkey AS other FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"
 
@@ -52,10 +53,10 @@ def seeds(spark, d):
     return table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("p"), C("p_partkey").cast("string")).alias("seed"))
 
 
-@query("g2_neighbourhood", f"WITH RECURSIVE {_LK}, {_WALK} SELECT seed, hops, count(*) AS nodes FROM r GROUP BY ALL")
+@query("g2_neighbourhood", f"WITH RECURSIVE {_LK}, {_WALKS.format(depth=3)} SELECT seed, hops, count(*) AS nodes FROM r GROUP BY ALL")
 def g2(spark, d):
-    """Two hops around each anchor part, untruncated; anchors are the parts asked about, not a sample of the graph."""
-    return G.distances(part_suppliers(spark, d), seeds(spark, d), 2).groupBy("seed", "hops").agg(F.count("*").alias("nodes"))
+    """Three hops around each part of the smallest size, untruncated."""
+    return G.distances(part_suppliers(spark, d), seeds(spark, d), 3).groupBy("seed", "hops").agg(F.count("*").alias("nodes"))
 
 
 @query("g2_budgeted_neighbourhood", f"""WITH {_LK}, n AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY ALL),
@@ -114,11 +115,11 @@ def j13(spark, d):
     return nodes.join(contribs, "node").select("node", F.explode("refs").alias("ref")).groupBy("node").agg(F.count("*").alias("refs"), F.min("ref").alias("first_ref"))
 
 
-@query("g5_shortest_path", f"WITH RECURSIVE {_LK}, {_WALK} SELECT seed, node AS target, hops, hops + 1 AS path_length FROM r WHERE hops > 0")
+@query("g5_shortest_path", f"WITH RECURSIVE {_LK}, {_WALKS.format(depth=8)} SELECT seed, node AS target, hops, hops + 1 AS path_length FROM r WHERE hops > 0")
 def g5(spark, d):
-    """Shortest paths from each anchor to all within two hops; the path starts at the anchor and has hops + 1 nodes."""
-    reached = G.distances(part_suppliers(spark, d), seeds(spark, d), 2)
-    p = G.paths(reached, reached.where("hops > 0").select("seed", C("node").alias("target")), 2)
+    """Shortest paths from each anchor to all within eight hops; the path starts at the anchor and has hops + 1 nodes."""
+    reached = materialize(G.distances(part_suppliers(spark, d), seeds(spark, d), 8), "reached")
+    p = G.paths(reached, reached.where("hops > 0").select("seed", C("node").alias("target")), 8)
     return p.where(C("path")[0] == C("seed")).select("seed", "target", "hops", F.size("path").alias("path_length"))
 
 
