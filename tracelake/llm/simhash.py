@@ -237,39 +237,51 @@ def _may_link(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(n, m) - (n == m) >= (n + m) * (similarity / (1 + similarity)) - 1e-9
 
 
-def spanning(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of blocks (a, b, distance) of index pairs, the pairs of a spanning forest over the labels (numbers from 0 up), near ones first."""
-    low, ends = np.arange(labels.max(initial=-1) + 1), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for a, b, far in pairs:
-        la, lb = low[labels[a]], low[labels[b]]
-        while (differ := la != lb).any():
-            a, b, far, la, lb = a[differ], b[differ], far[differ], la[differ], lb[differ]
-            up, down = np.maximum(la, lb), np.minimum(la, lb)
-            order = np.lexsort((far, up))
-            _, first = np.unique(up[order], return_index=True)
-            pick = order[first]  # each label hooks to one below it
-            ends.append((a[pick], b[pick]))
-            low[up[pick]] = down[pick]
-            while not np.array_equal(nxt := low[low], low):
-                low = nxt
-            la, lb = low[la], low[lb]
-    return np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+def spanning(labels: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], hold: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks (a, b, distance) of index pairs, those of a least spanning forest over the labels (numbers from 0 up). About hold pairs at most are kept at a time."""
+    kept, waiting = [(np.zeros(0, np.int64),) * 3], 0
+
+    def least() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, far = map(np.concatenate, zip(*kept))
+        low, ends = np.arange(labels.max(initial=-1) + 1), [np.zeros(0, np.int64)]
+        order = np.argsort(far, kind="stable")
+        for band in np.split(order, np.flatnonzero(np.diff(far[order])) + 1):
+            la, lb = low[labels[a[band]]], low[labels[b[band]]]
+            while (differ := la != lb).any():
+                band, la, lb = band[differ], la[differ], lb[differ]
+                up, down = np.maximum(la, lb), np.minimum(la, lb)
+                _, first = np.unique(up, return_index=True)  # each label hooks to one below it
+                ends.append(band[first])
+                low[up[first]] = down[first]
+                while not np.array_equal(nxt := low[low], low):
+                    low = nxt
+                la, lb = low[la], low[lb]
+        at = np.concatenate(ends)
+        return a[at], b[at], far[at]
+
+    for block in pairs:
+        kept.append(block)
+        waiting += len(block[0])
+        if waiting > hold:
+            kept, waiting = [least()], 0
+    return least()[:2]
 
 
 class Tile:
     """Sets that are compared together, by falling number of set bits: keys, present roots, sizes, fingerprints."""
 
-    def __init__(self, keys: bytes, roots: bytes, sizes: bytes, fps: bytes):
+    def __init__(self, keys: bytes, roots: bytes, sizes: bytes, fps: bytes, grams: bytes | None = None):
         self.keys, self.roots, self.sizes = np.frombuffer(keys, np.int64), np.frombuffer(roots, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
         self.fps = np.frombuffer(fps, "<u8").reshape(-1, WIDE)
         self.words = [np.ascontiguousarray(self.fps[:, w]) for w in range(NARROW)]
         self.bits = np.bitwise_count(self.fps[:, :NARROW]).sum(1, dtype=np.int64)
+        self.grams = np.split(np.frombuffer(grams, np.uint64), np.cumsum(self.sizes)[:-1]) if grams else []
 
     @staticmethod
-    def packed(keys: list, roots: list, sizes: list, fps: list) -> list[bytes]:
+    def packed(keys: list, roots: list, sizes: list, fps: list, grams: list | None = None) -> list[bytes | None]:
         f = np.array(list(fps), np.int64).reshape(-1, WIDE)
         order = np.argsort(-np.bitwise_count(f.view(np.uint64)[:, :NARROW]).sum(1, dtype=np.int64), kind="stable")
-        return [np.asarray(v, t)[order].tobytes() for v, t in ((keys, np.int64), (roots, np.int64), (sizes, np.int32), (f, np.int64))]
+        return [np.asarray(v, t)[order].tobytes() for v, t in ((keys, np.int64), (roots, np.int64), (sizes, np.int32), (f, np.int64))] + [b"".join(np.asarray(grams[i], np.int64).tobytes() for i in order) if grams is not None else None]
 
     def candidates(self, other: Tile, similarity: float, rows: int = 32, cols: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks (a, b, distance) of pairs of different roots within the radius; of a tile with itself each pair once. Blocks whose counts of set bits differ beyond the radius are skipped."""
@@ -294,22 +306,29 @@ class Tile:
                     yield a[keep], b[keep], far[keep]
 
 
-def candidate_pairs(sets: DataFrame, similarity: float, turn: int | None, tile: int = 16384) -> DataFrame:
-    """(a, b) of sets(key, root, n, fp): pairs of different roots within the radius. With a turn, per meeting of tiles a spanning forest over the roots, another each turn; without, every pair.
+#: Bytes of whole sets that a tile carries at most, or one longer set.
+CARRY = 16 << 20
+
+
+def _meetings(sets: DataFrame, similarity: float, handle: Callable[[Tile, Tile, bool], Iterator[pd.DataFrame]], schema: str, tile: int = 16384) -> DataFrame:
+    """What handle(home, guest, whether they are the same) yields for each meeting of tiles of sets(key, root, n, fp), with or without grams.
 
     Tiles hold sets of nearly one size; those whose sizes rule the similarity out never meet.
     """
     steps = sets.withColumn("step", F.floor(F.log2(F.greatest("n", F.lit(1))) * 8).cast("int"))
-    parts = {r.step: -(-r.n // tile) for r in steps.groupBy("step").agg(F.count("*").alias("n")).collect()}  # at most 8 * 32 rows
+    whole = "grams" in sets.columns
+    load = steps.groupBy("step").agg(F.count("*").alias("n"), F.sum("n").alias("grams")).collect()  # at most 8 * 32 rows
+    parts = {r.step: max(-(-r.n // tile), -(-8 * r.grams // CARRY) if whole else 0) for r in load}
     known = sets.sparkSession.createDataFrame(list(parts.items()) or [(0, 1)], "step int, parts int")
     placed = steps.join(F.broadcast(known), "step").withColumn("part", F.expr("cast(pmod(xxhash64(key), parts) as int)"))
-    tiles = placed.groupBy("step", "part").agg(*(F.collect_list(c).alias(c) for c in ("key", "root", "n", "fp")))
+    fields = ["key", "root", "n", "fp"] + ["grams"] * whole
+    tiles = placed.groupBy("step", "part").agg(*(F.collect_list(c).alias(c) for c in fields))
     reach = int(8 * math.log2(1 / similarity)) + 1
-    columns = ["at", "guest", "origin", "keys", "roots", "sizes", "fps"]
+    columns = ["at", "guest", "origin", "keys", "roots", "sizes", "fps", "grams"]
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for step, part, *lists in zip(b.step, b.part, b.key, b.root, b.n, b.fp):
+            for step, part, *lists in zip(b.step, b.part, *(b[c] for c in fields)):
                 packed, here = Tile.packed(*lists), (step << 32) + part
                 there = [(step << 32) + k for k in range(part, parts[step])] + [(s << 32) + k for s in range(step + 1, step + reach + 1) for k in range(parts.get(s, 0))]
                 for t in there:
@@ -318,28 +337,69 @@ def candidate_pairs(sets: DataFrame, similarity: float, turn: int | None, tile:
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, home = None, None
         for b in batches:
-            for where, guest, *packed in zip(b["at"], b.guest, b["keys"], b.roots, b.sizes, b.fps):
+            for where, guest, *packed in zip(b["at"], b.guest, b["keys"], b.roots, b.sizes, b.fps, b.grams):
                 own = Tile(*packed)
                 if not guest:
                     at, home = where, own
-                if where != at:
-                    continue  # a part that drew no set has no host
-                met = own.candidates(home, similarity)
-                if turn is None:
-                    for i, j, _ in met:
-                        yield pd.DataFrame({"a": own.keys[i], "b": home.keys[j]})
-                    continue
-                roots, label = np.unique(np.concatenate([home.roots, own.roots]) if guest else home.roots, return_inverse=True)
-                label = np.argsort(np.argsort(_scramble(roots.view(np.uint64), 300 + turn)))[label]
-                shift = len(home.keys) if guest else 0
-                i, j = spanning(label, ((x + shift, y, d) for x, y, d in met))
-                yield pd.DataFrame({"a": own.keys[i - shift], "b": home.keys[j]})
-
-    sent = tiles.mapInPandas(send, "at long, guest int, origin long, keys binary, roots binary, sizes binary, fps binary")
-    found = sent.repartition("at").sortWithinPartitions("at", "guest", "origin").mapInPandas(meet, "a long, b long")
+                if where == at:  # a part that drew no set has no host
+                    yield from handle(home, own, not guest)
+
+    sent = tiles.mapInPandas(send, "at long, guest int, origin long, keys binary, roots binary, sizes binary, fps binary, grams binary")
+    return sent.repartition("at").sortWithinPartitions("at", "guest", "origin").mapInPandas(meet, schema)
+
+
+def candidate_pairs(sets: DataFrame, similarity: float, turn: int, tile: int = 16384) -> DataFrame:
+    """(a, b): pairs of different roots within the radius, per meeting of tiles those of a least spanning forest over the roots. Later turns shake the distances, so that other pairs of the same classes are tried."""
+
+    def tie(home: Tile, own: Tile, same: bool) -> Iterator[pd.DataFrame]:
+        _, label = np.unique(home.roots if same else np.concatenate([home.roots, own.roots]), return_inverse=True)
+        shift = 0 if same else len(home.keys)
+
+        def shaken(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+            mix = _scramble(own.keys[x].view(np.uint64) ^ _scramble(home.keys[y].view(np.uint64), turn), turn)
+            return d + (mix % np.uint64(1 + 12 * turn)).astype(np.int64)
+
+        i, j = spanning(label, ((x + shift, y, shaken(x, y, d)) for x, y, d in own.candidates(home, similarity)))
+        yield pd.DataFrame({"a": own.keys[i - shift], "b": home.keys[j]})
+
+    found = _meetings(sets, similarity, tie, "a long, b long", tile)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def undecided(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key): sets that have a candidate of another root."""
+
+    def name(home: Tile, own: Tile, same: bool) -> Iterator[pd.DataFrame]:
+        for i, j, _ in own.candidates(home, similarity):
+            yield pd.DataFrame({"key": np.unique(np.concatenate([own.keys[i], home.keys[j]]))})
+
+    return _meetings(sets, similarity, name, "key long").distinct()
+
+
+def settle(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of sets with grams, links between different roots, enough of them to tie all that are linked. Every candidate pair of classes still apart is checked where its tiles meet; no pair but a link leaves."""
+
+    def check(home: Tile, own: Tile, same: bool) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for i, j, _ in own.candidates(home, similarity):
+            links = []
+            for x, y, one, other in zip(i.tolist(), j.tolist(), own.roots[i].tolist(), home.roots[j].tolist()):
+                one, other = root(one), root(other)
+                if one != other and jaccard_at_least(own.grams[x], home.grams[y], similarity):
+                    up[one] = other
+                    links.append((own.keys[x], home.keys[y]))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return _meetings(sets, similarity, check, "a long, b long")
+
+
 def _deal(pairs: DataFrame, texts: DataFrame, end: str, share: int = 256) -> DataFrame:
     """pairs(a, b, ...) with the text of one end; an end of more than share pairs is dealt over copies of its text."""
     n = pairs.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > share)
@@ -366,13 +426,13 @@ def _check(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return _deal(_deal(pairs, texts, "a"), texts, "b").mapInPandas(same, "a long, b long")
 
 
-def link_sets(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, similarity: float, turns: int = 2) -> DataFrame:
+def link_sets(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, similarity: float, turns: int = 3) -> DataFrame:
     """(key, root) of the sets(key, n, fp) that have a similar other one; texts_of gives (key, text) for a table of keys.
 
     The first turns take spanning forests of candidates, near ones first, so a
-    group of near copies is tied together by few checks; the last takes every
-    candidate pair still in different classes. All turns but the first only look
-    at sets that have a candidate.
+    group of near copies is tied together by few checks. What is still apart and
+    within the radius travels in tiles with whole sets, where every such pair is
+    checked. All turns but the first only look at sets that have a candidate.
     """
     spark = sets.sparkSession
     able = sets.where("n > 0").withColumn("root", F.col("key"))
@@ -380,14 +440,28 @@ def link_sets(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width
     met = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     texts = materialize(texts_of(met), "texts")
     some = materialize(able.drop("root").join(met, "key", "left_semi"), "met")
-    links = materialize(_check(pairs, texts, width, similarity), "links")
-    for turn in (*range(1, turns), None):
+    links, tried = materialize(_check(pairs, texts, width, similarity), "links"), pairs
+
+    def placed() -> tuple[DataFrame, DataFrame]:
         roots = materialize(connected_components(spark, links).select(F.col("node").alias("key"), "root"), "roots")
-        placed = some.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        pairs = materialize(candidate_pairs(placed, similarity, turn), "pairs")
-        more = materialize(_check(pairs, texts, width, similarity), "links")
-        links = more.union(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    return connected_components(spark, links).select(F.col("node").alias("key"), "root")
+        return some.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
+
+    for turn in range(1, turns):
+        now, known = placed()
+        pairs = materialize(candidate_pairs(now, similarity, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = materialize(_check(pairs, texts, width, similarity), "links").union(known), tried.union(pairs)
+    now, known = placed()
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 500):
+                part = b.iloc[i : i + 500]
+                yield pd.DataFrame({"key": part.key, "grams": [shingle_set(t, width).view(np.int64) for t in part.text]})
+
+    left = materialize(undecided(now, similarity), "undecided")
+    grams = texts.join(left, "key", "left_semi").select("key", "text").mapInPandas(whole, "key long, grams array<long>")
+    more = materialize(settle(now.join(grams, "key"), similarity), "links")
+    return connected_components(spark, more.union(known)).select(F.col("node").alias("key"), "root")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
