@@ -221,3 +221,36 @@ def test_dense_search_over_shards_is_brute_force(spark):
         s = np.round(u[q] @ u.T, 6)
         want = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:4]
         assert [g.vec_id for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q] == want
+
+
+def test_readiness_has_nine_states(spark):
+    from tracelake.operators import review as V
+
+    rows = [(0, 0, 0, 0, False), (30, 1, 0, 30, True), (30, 1, 0, 9, False), (30, 1, 20, 30, False), (9, 1, 0, 9, False), (90, 16, 0, 90, False), (100, 1, 0, 100, False), (30, 1, 7, 30, False), (30, 1, 8, 30, False)]
+    s = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, event_count int, intent_count int, failure_count int, indexed_count int, reviewed boolean")
+    got = [r.readiness for r in V.readiness(s).orderBy("i").collect()]
+    assert got == ["blocked", "named", "needs_reindex", "diagnostic_only", "low_signal", "phase_discovery_ready", "needs_phase_discovery", "ready_for_semantic_name", "readable_label"]
+
+
+def test_repair_is_a_rebuild(spark):
+    schema = "source_key string, node string, count long"
+    stored = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 4), ("b", "z", 8)], schema)
+    dirty, fresh = spark.createDataFrame([("a",)], "source_key string"), spark.createDataFrame([("a", "x", 16), ("a", "w", 32)], schema)
+    got = G.repair(G.aggregate_contributions(stored, "node"), stored, dirty, fresh, "node")
+    assert {(r.node, r["count"]) for r in got.collect()} == {("x", 20), ("z", 8), ("w", 32)}
+
+
+def test_events_since_the_first_start(spark):
+    e = log(spark, ("a", 1, "OUT", "p"), ("a", 2, "CALL", "p"), ("a", 3, "OUT", "p"), ("a", 4, "CALL", "p"), ("b", 1, "OUT", "p"))
+    got = {(r.session_id, r.line): (r.starts, r.later) for r in Q.since_first(e, C("event_type") == "CALL", "session_id", "k").collect()}
+    assert got == {("a", 1): (2, False), ("a", 2): (2, False), ("a", 3): (2, True), ("a", 4): (2, True), ("b", 1): (None, False)}
+
+
+def test_names_and_redaction_counts(spark):
+    from tracelake.operators import review as V
+
+    assert one(spark, S.agent_event_alias(C("x")), x=" Process_Lesson ") == "assistant_process_lesson" and one(spark, S.agent_event_alias(C("x")), x="other") == "other"
+    assert one(spark, S.node_ids(["tool", "tool"], C("x")), x="q") == ["route:tool:tool:q", "route:tool:entity:entity_q"]
+    text, hits = V.redact(C("x"))
+    assert one(spark, text, x="a@b.co and c@d.co, +1 (555) 123-4567") == "<email> and <email>, <phone>"
+    assert one(spark, hits["email"], x="a@b.co and c@d.co") == 2

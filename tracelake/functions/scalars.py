@@ -10,11 +10,48 @@ from pyspark.sql import functions as F
 # Kind aliases, layer prefixes, agent-event classes.
 KIND_ALIASES = {"mcp_service": "mcp", "mcp_services": "mcp", "mcp_tool": "tool", "mcp_tools": "tool", "failure_mode": "error", "hook_health": "receipt", "route": "owner_route"}
 AGENT_EVENT_ALIASES = {
-    "answer": "assistant_answer", "response": "assistant_answer", "final": "assistant_final_closeout", "closeout": "assistant_final_closeout",
-    "reasoning": "assistant_reasoning_boundary", "plan": "assistant_plan", "progress": "assistant_progress_update", "verification": "assistant_verification_report",
-    "decision": "assistant_decision", "assumption": "assistant_assumption", "checkpoint": "assistant_checkpoint", "blocked": "assistant_blocker_report",
-    "handoff": "assistant_handoff_or_resume", "correction": "assistant_correction_ack", "thread": "assistant_open_thread",
-}
+    "answer": "assistant_answer",
+    "assistant_answer": "assistant_answer",
+    "response": "assistant_answer",
+    "assistant_response": "assistant_answer",
+    "open_thread": "assistant_open_thread",
+    "assistant_open_thread": "assistant_open_thread",
+    "thread": "assistant_open_thread",
+    "remaining_gap": "assistant_open_thread",
+    "final": "assistant_final_closeout",
+    "closeout": "assistant_final_closeout",
+    "final_closeout": "assistant_final_closeout",
+    "assistant_final_closeout": "assistant_final_closeout",
+    "reasoning": "assistant_reasoning_boundary",
+    "reasoning_boundary": "assistant_reasoning_boundary",
+    "reasoning_window": "assistant_reasoning_boundary",
+    "assistant_reasoning_boundary": "assistant_reasoning_boundary",
+    "plan": "assistant_plan",
+    "assistant_plan": "assistant_plan",
+    "progress": "assistant_progress_update",
+    "progress_update": "assistant_progress_update",
+    "assistant_progress_update": "assistant_progress_update",
+    "verification": "assistant_verification_report",
+    "verification_report": "assistant_verification_report",
+    "assistant_verification_report": "assistant_verification_report",
+    "decision": "assistant_decision",
+    "assistant_decision": "assistant_decision",
+    "assumption": "assistant_assumption",
+    "assistant_assumption": "assistant_assumption",
+    "checkpoint": "assistant_checkpoint",
+    "assistant_checkpoint": "assistant_checkpoint",
+    "blocker": "assistant_blocker_report",
+    "blocked": "assistant_blocker_report",
+    "assistant_blocker_report": "assistant_blocker_report",
+    "handoff": "assistant_handoff_or_resume",
+    "resume": "assistant_handoff_or_resume",
+    "assistant_handoff_or_resume": "assistant_handoff_or_resume",
+    "correction": "assistant_correction_ack",
+    "correction_ack": "assistant_correction_ack",
+    "assistant_correction_ack": "assistant_correction_ack",
+    "process_lesson": "assistant_process_lesson",
+    "assistant_process_lesson": "assistant_process_lesson",
+}
 
 
 def lookup(x: Column, mapping: Mapping[str, str]) -> Column:
@@ -100,6 +137,11 @@ def node_id(layer: Column, key: Column) -> Column:
     return F.concat(F.lit("route:"), layer, F.lit(":"), layer, F.lit(":"), key)
 
 
+def node_ids(kinds: Sequence[str], key: Column) -> Column:
+    """Node ids a key may have: for each kind the route form and the entity form; distinct, in order."""
+    return F.array_distinct(F.flatten(F.array(*[F.array(node_id(F.lit(k), key), F.concat(F.lit(f"route:{k}:entity:entity_"), key)) for k in kinds])))
+
+
 def prefixed_keys(key: Column, prefixes: Sequence[str], cap: int = 48) -> Column:
     """The key and, with every prefix it starts with stripped, the bare key under each prefix; distinct, at most cap."""
     bare = key

@@ -10,12 +10,29 @@ from pyspark.sql import functions as F
 # The candidate routes of each event type.
 ROUTES = {
     "USER_INTENT": ["intent_pattern", "prompt_template", "requirement_shape"],
+    "INTER_AGENT_TASK": ["delegation_pattern", "task_contract", "handoff_quality"],
+    "INTER_AGENT_MESSAGE": ["coordination_pattern", "agent_handoff", "communication_quality"],
+    "ASSISTANT_REASONING_BOUNDARY": ["reasoning_boundary", "transition_context", "agent_process_gap"],
     "ASSISTANT_PLAN": ["planning_quality", "missed_step", "reusable_plan"],
     "TOOL_CALL": ["tool_usage_pattern", "tool_sequence", "automation_macro"],
     "TOOL_OUTPUT": ["evidence_extract", "signal_noise_ratio", "parser_candidate"],
+    "FILE_READ": ["navigation_pattern", "repo_map_update", "dependency_discovery"],
+    "FILE_WRITE": ["mutation_pattern", "safety_review", "rollback_need"],
+    "DIFF": ["change_pattern", "review_checklist", "test_gap"],
     "COMMAND": ["command_recipe", "preflight_candidate", "safe_runner_rule"],
+    "COMMAND_OUTPUT": ["verification_signal", "error_signature", "parser_candidate"],
     "ERROR": ["root_cause", "guardrail", "regression_test", "detector"],
     "DECISION": ["adr", "principle", "future_constraint"],
+    "ASSUMPTION": ["assumption_risk", "verification_task", "anti_hallucination_rule"],
+    "CHECKPOINT": ["resume_quality", "memory_gap", "checkpoint_schema_improvement"],
+    "COMPACTION_EVENT": ["retention_failure", "context_budget_pattern", "archive_trigger_tuning"],
+    "RESUME_HINT": ["rehydration_quality", "missing_refs", "resume_template_improvement"],
+    "OPEN_THREAD": ["backlog_item", "route_fork", "quest_candidate"],
+    "DEAD_BRANCH": ["wasted_work_pattern", "avoid_rule", "routing_improvement"],
+    "PROCESS_LESSON": ["technique_update", "skill_amendment", "playbook_patch"],
+    "OPTIMIZATION_CANDIDATE": ["automation_seed", "metric_candidate", "owner_route"],
+    "SECURITY_TOUCHPOINT": ["sensitive_surface_map", "redaction_candidate", "security_review_hint"],
+    "SECURITY_OR_SECRET_RISK": ["redaction_rule", "safety_gate", "sanitizer_test"],
     "VERIFICATION": ["proof_pattern", "test_recipe", "confidence_model"],
     "FINAL_STATE": ["closeout_quality", "handoff_template", "next_route"],
 }
@@ -31,7 +48,8 @@ CONTENT_RULES = {
     "personal_home_path": (r"/(?:home|Users)/(?!example(?:/|\b)|test(?:/|\b)|user(?:/|\b)|runner(?:/|\b)|workspace(?:/|\b))[A-Za-z0-9._-]+", "blocking"),
     "private_network_address": (r"(?<![0-9])(?:10(?:\.\d{1,3}){3}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})(?![0-9])", "review"),
 }
-# Chosen here: credential-like and personal text, by class, with severity.
+# Chosen here: credential-like and personal text, by class, with severity, and the version of these rules.
+POLICY_VERSION = 1
 SENSITIVE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "medium"),
     "secret_assignment": (r"token = \"[0-9a-f]{20,}\"", "high"),
@@ -54,11 +72,11 @@ def distillation_routes(events: DataFrame, routes: Mapping[str, Sequence[str]] =
     return events.withColumn("route", F.explode(F.try_element_at(m, F.col("event_type"))))
 
 
-def redact(text: Column, rules: Mapping[str, tuple[str, str]] = SENSITIVE) -> tuple[Column, Column]:
-    """(text with typed placeholders, number of replacements), rule by rule in order."""
-    hits, out = F.lit(0), text
+def redact(text: Column, rules: Mapping[str, tuple[str, str]] = SENSITIVE) -> tuple[Column, dict[str, Column]]:
+    """(text with typed placeholders, number of replacements by class), rule by rule in order."""
+    hits, out = {}, text
     for name, (pattern, _) in rules.items():
-        hits = hits + F.coalesce(F.regexp_count(out, F.lit(pattern)), F.lit(0))
+        hits[name] = F.coalesce(F.regexp_count(out, F.lit(pattern)), F.lit(0))
         out = F.regexp_replace(out, pattern, f"<{name}>")
     return out, hits
 
@@ -92,10 +110,17 @@ def first_marker(text: Column, hints: Sequence[tuple[str, Sequence[str]]]) -> Co
     return out
 
 
-def readiness(sessions: DataFrame) -> DataFrame:
-    """Naming readiness of sessions(event_count, intent_count, failure_count). Thresholds chosen here."""
-    c = F.col
-    state = F.when(c("event_count") == 0, "blocked").when(c("intent_count") == 0, "no_intent").when(c("event_count") < 20, "thin").when(c("failure_count") > c("event_count") / 4, "needs_review").when(c("intent_count") > 15, "split_candidate").otherwise("ready")
+def readiness(sessions: DataFrame, lag: int = 0) -> DataFrame:
+    """Naming readiness of sessions(event_count, intent_count, failure_count, indexed_count, reviewed): one of nine states, the first that holds.
+
+    lag is the number of events that generated views may be behind. Thresholds chosen here.
+    """
+    n, intents, failures = F.col("event_count"), F.col("intent_count"), F.col("failure_count")
+    state = (
+        F.when(n == 0, "blocked").when(F.col("reviewed"), "named").when(n - F.col("indexed_count") > lag, "needs_reindex").when(failures * 2 > n, "diagnostic_only")
+        .when((n < 20) | (intents == 0), "low_signal").when(intents > 15, "phase_discovery_ready").when(n >= 100, "needs_phase_discovery")
+        .when(failures * 4 <= n, "ready_for_semantic_name").otherwise("readable_label")
+    )
     return sessions.withColumn("readiness", state)
 
 

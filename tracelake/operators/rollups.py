@@ -72,6 +72,20 @@ def route_rollup(rows: DataFrame, keys: Sequence[str], samples: int = 3) -> Data
     return counts.join(first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("session_id")), ",").alias("session_sample")), list(keys), "left")
 
 
+def segment_facets(events: DataFrame, facets: Mapping[str, Column], samples: int = 5) -> DataFrame:
+    """Inverted facets of each (session, segment): per facet and value the number of events and the first lines. A facet is an array of an event's values; nulls don't count."""
+
+    def named(facet: str, values: Column) -> Column:
+        return F.transform(F.array_compact(values), lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+
+    pairs = [named(*x) for x in facets.items()]
+    by = ["session_id", "segment", "facet", "value"]
+    f = events.select("session_id", "segment", "line", F.explode(F.flatten(F.array(*pairs))).alias("f")).select("session_id", "segment", "f.facet", "f.value", "line")
+    first = f.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("line"))).where(F.col("r") <= samples)
+    lines = first.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("first_lines"))
+    return f.groupBy(*by).agg(F.count("*").alias("n")).join(lines, by)
+
+
 def totals_by_basis(rows: DataFrame, session: str, basis: str, *measures: str) -> DataFrame:
     """Counts and sums per (session, basis) and per basis; never across bases."""
     per = rows.groupBy(session, basis).agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures])

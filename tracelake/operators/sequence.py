@@ -187,3 +187,9 @@ def ranked_number_chains(events: DataFrame, call: Column, good: Column, value: s
     r = r.withColumn("prev", F.lag(value).over(Window.partitionBy(*key).orderBy(LINE)))
     g = r.groupBy(*key).agg(F.first("calls").alias("calls"), F.count("*").alias("numbers"), F.count_if(F.col(value) > F.col("prev")).alias("rises"))
     return g.withColumn("admitted", (F.col("calls") == 1) & (F.col("numbers") >= 2) & (F.col("rises") == 0))
+
+
+def since_first(events: DataFrame, start: Column, *keys: str) -> DataFrame:
+    """Adds, by keys, the first line of a start, the number of starts, and later: whether the event comes after the first."""
+    first = events.where(start).groupBy(*keys).agg(F.min("line").alias("first_start"), F.count("*").alias("starts"))
+    return events.join(first, list(keys), "left").withColumn("later", F.coalesce(F.col("first_start") < F.col("line"), F.lit(False)))

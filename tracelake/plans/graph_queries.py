@@ -154,13 +154,16 @@ def g9(spark, d):
 def g12(spark, d):
     s = table(spark, d, "lineitem").select(C("l_suppkey").alias("source_key"), F.concat(F.lit("p"), C("l_partkey").cast("string")).alias("node"), F.lit(1).cast("long").alias("count"))
     dirty = s.where("source_key % 7 = 0")
-    return G.repair(s, dirty.select("source_key").distinct(), dirty.withColumn("node", F.concat(F.lit("fresh:"), "node")), "node")
+    return G.repair(G.aggregate_contributions(s, "node"), s, dirty.select("source_key").distinct(), dirty.withColumn("node", F.concat(F.lit("fresh:"), "node")), "node")
 
 
-@query("g13_scope_freshness", "WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'current' ELSE 'stale' END AS state FROM supplier) SELECT l_orderkey, CASE WHEN bool_and(coalesce(state = 'current', false)) THEN 'scope_current' ELSE 'unproven' END AS freshness FROM lineitem LEFT JOIN s ON l_suppkey = s_suppkey GROUP BY 1")
+@query("g13_scope_freshness", "WITH s AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'current' ELSE 'stale' END AS state, s_nationkey AS fp FROM supplier), c AS (SELECT l_orderkey, l_suppkey, CASE WHEN l_linestatus = 'O' THEN s_nationkey ELSE l_linenumber END AS seen FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey) SELECT l_orderkey, CASE WHEN bool_and(coalesce(state = 'current' AND fp = seen, false)) THEN 'scope_current' ELSE 'unproven' END AS freshness FROM c LEFT JOIN s ON l_suppkey = s_suppkey GROUP BY 1")
 def g13(spark, d):
-    contribs = table(spark, d, "lineitem").select("l_orderkey", C("l_suppkey").alias("source_key"), F.lit(1).alias("fp"))
-    ledger = table(spark, d, "supplier").select(C("s_suppkey").alias("source_key"), F.when(C("s_acctbal") > 0, "current").otherwise("stale").alias("state"), F.lit(1).alias("ledger_fp"))
+    """Open lines carry the supplier's present fingerprint, its nation here; closed ones an older one, their line number here."""
+    s = table(spark, d, "supplier")
+    lines = table(spark, d, "lineitem").join(s.select(C("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey", "left")
+    contribs = lines.select("l_orderkey", C("l_suppkey").alias("source_key"), F.when(C("l_linestatus") == "O", C("s_nationkey")).otherwise(C("l_linenumber")).alias("fp"))
+    ledger = s.select(C("s_suppkey").alias("source_key"), F.when(C("s_acctbal") > 0, "current").otherwise("stale").alias("state"), C("s_nationkey").alias("ledger_fp"))
     return G.scope_freshness(contribs, ledger, "l_orderkey")
 
 

@@ -58,9 +58,18 @@ def t5(spark, d):
     return T.fuse({"lexical": lexical, "exact": exact}, "doc_id")
 
 
-@query("t6_query_shapes", "SELECT page_id, 'path' AS shape FROM pages WHERE url <> ''")
+_ASKED = "CASE event_type WHEN 'signup' THEN 'k:' || {k} WHEN 'click' THEN 'git show ' || {k} WHEN 'view' THEN '/log/' || {k} WHEN 'error' THEN 'Request failed with ' || {k} WHEN 'purchase' THEN 'Purchase' || {k} ELSE event_type END"
+_SHAPE = r"CASE WHEN regexp_matches(query, '^[a-z_]+:[^ ]+$') THEN 'entity' WHEN regexp_matches(query, '^(git|python|pip|make|npm|cargo) ') THEN 'command' WHEN regexp_matches(query, '^/?([A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]*$') THEN 'path' WHEN regexp_matches(query, '(?i)(error|exception|failed)') THEN 'error' WHEN regexp_matches(query, '^[A-Z][A-Za-z0-9]*$') THEN 'class' ELSE 'phrase' END"
+_K = "regexp_extract(props, '\"k\": ?([0-9]+)', 1)"
+
+
+@query("t6_query_shapes", f"WITH q AS (SELECT 'e' || event_id AS query_id, {_ASKED.format(k=_K)} AS query FROM events UNION ALL SELECT 'b' || item_id, text FROM benchmark UNION ALL SELECT 'p' || page_id, url FROM pages) SELECT query_id, {_SHAPE} AS shape FROM q WHERE query <> ''")
 def t6(spark, d):
-    return table(spark, d, "pages").where("url <> ''").select("page_id", T.query_shape(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+:/", "")).alias("shape"))
+    """Queries of every shape: phrased from events, the benchmark texts and the urls."""
+    phrased = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).select(F.concat(F.lit("e"), C("event_id").cast("string")).alias("query_id"), F.expr(_ASKED.format(k="k")).alias("query"))
+    texts = table(spark, d, "benchmark").select(F.concat(F.lit("b"), C("item_id").cast("string")).alias("query_id"), C("text").alias("query"))
+    urls = table(spark, d, "pages").select(F.concat(F.lit("p"), C("page_id").cast("string")).alias("query_id"), C("url").alias("query"))
+    return phrased.unionByName(texts).unionByName(urls).where("query <> ''").select("query_id", T.query_shape(C("query")).alias("shape"))
 
 
 @query("t7_repeated_errors", f"WITH {EV} SELECT k, count(*) AS failures, count(DISTINCT session_id) AS sessions FROM ev WHERE outcome = 'failed' GROUP BY k HAVING count(DISTINCT session_id) >= 2")
@@ -161,15 +170,17 @@ def _pat(name):
     return V.SENSITIVE[name][0].replace("'", "''")
 
 
-_RED = "text"
+_RED, _COUNTS = "text", []
 for _n in V.SENSITIVE:
+    _COUNTS.append(f"len(regexp_extract_all({_RED}, '{_pat(_n)}')) AS {_n}")
     _RED = f"regexp_replace({_RED}, '{_pat(_n)}', '<{_n}>', 'g')"
 
 
-@query("c7_redaction", f"SELECT doc_id, sha256({_RED}) AS digest, {_RED} <> text AS changed FROM documents")
+@query("c7_redaction", f"SELECT doc_id, sha256({_RED}) AS digest, {', '.join(_COUNTS)}, {V.POLICY_VERSION} AS policy_version FROM documents")
 def c7(spark, d):
+    """What was replaced is kept as a count by class and the version of the rules only."""
     text, hits = V.redact(C("text"))
-    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), (hits > 0).alias("changed"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), *[n.cast("long").alias(name) for name, n in hits.items()], F.lit(V.POLICY_VERSION).alias("policy_version"))
 
 
 # Where the rules look around, the SQL takes the candidates and tests what surrounds them.
@@ -197,9 +208,15 @@ def c9(spark, d):
     return c8(spark, d).groupBy("class", "severity").agg(F.count("*").alias("findings"), F.count_distinct("fingerprint").alias("distinct_findings"))
 
 
-@query("c10_readiness", f"WITH {EV}, s AS (SELECT session_id, count(*) AS n, count(*) FILTER (event_type = 'USER_INTENT') AS i, count(*) FILTER (outcome = 'failed') AS f FROM ev GROUP BY 1) SELECT session_id, CASE WHEN n = 0 THEN 'blocked' WHEN i = 0 THEN 'no_intent' WHEN n < 20 THEN 'thin' WHEN f > n / 4 THEN 'needs_review' WHEN i > 15 THEN 'split_candidate' ELSE 'ready' END AS readiness FROM s")
+@query("c10_readiness", f"""WITH {EV}, s AS (SELECT session_id, count(*) AS n, count(*) FILTER (event_type = 'USER_INTENT') AS i, count(*) FILTER (outcome = 'failed') AS f, count(*) FILTER (ts < TIMESTAMP '2024-01-30') AS x, count(*) FILTER (event_type = 'VERIFICATION') AS v FROM ev GROUP BY 1)
+SELECT session_id, CASE WHEN n = 0 THEN 'blocked' WHEN v > n / 4 THEN 'named' WHEN n - x > 5 THEN 'needs_reindex' WHEN f * 2 > n THEN 'diagnostic_only' WHEN n < 20 OR i = 0 THEN 'low_signal' WHEN i > 15 THEN 'phase_discovery_ready' WHEN n >= 100 THEN 'needs_phase_discovery' WHEN f * 4 <= n THEN 'ready_for_semantic_name' ELSE 'readable_label' END AS readiness FROM s""")
 def c10(spark, d):
-    return V.readiness(E.sessions(facts(spark, d))).select("session_id", "readiness")
+    """Views are taken as indexed up to the last day; many verifications stand in for a reviewed name."""
+    s = facts(spark, d).groupBy("session_id").agg(
+        F.count("*").alias("event_count"), F.count_if(C("event_type") == "USER_INTENT").alias("intent_count"), F.count_if(C("outcome") == "failed").alias("failure_count"),
+        F.count_if(C("ts") < F.lit("2024-01-30").cast("timestamp_ntz")).alias("indexed_count"), (F.count_if(C("event_type") == "VERIFICATION") > F.count("*") / 4).alias("reviewed"),
+    )
+    return V.readiness(s, lag=5).select("session_id", "readiness")
 
 
 @query("c11_naming_hints", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') OR contains(lower(p_name), 'bolt') THEN 'small' WHEN contains(lower(p_name), 'widget') THEN 'gadget' END AS hint FROM part")

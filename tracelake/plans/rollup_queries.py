@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import rollups as R
+from ..operators import sequence as Q
 from .base import EV, PO, dialogue, events, facts, query, table
 from .search_queries import RC, receipts
 
@@ -90,14 +91,20 @@ def a10(spark, d):
     return R.route_rollup(facts(spark, d), ["actor", "event_type", "outcome"])
 
 
-@query("a11_segment_facets", f"WITH {EV}, f AS (SELECT session_id, 'by_type' AS facet, event_type AS value, line FROM ev UNION ALL SELECT session_id, 'by_outcome', outcome, line FROM ev) SELECT session_id, facet, value, count(*) AS n, array_to_string(list_slice(list_sort(list(line)), 1, 5), ',') AS first_lines FROM f GROUP BY ALL")
-def a11(spark, d):
-    from pyspark.sql.window import Window
+#: What each event adds to the twelve facets of its segment, as SQL arrays. Tags and acts chosen here.
+_ACT = "CASE actor WHEN 'user' THEN 'ask' WHEN 'assistant' THEN 'act' ELSE 'report' END"
+_STEP = "CASE phase WHEN 'request' THEN 'open' WHEN 'verify' THEN 'close' ELSE 'work' END"
+FACETS = {"by_type": "event_type", "by_tag": "raw_type, actor", "by_family": "family", "by_phase": "phase", "by_actor": "actor", "by_action": "raw_type", "by_outcome": "outcome", "by_correlation": "correlation_id", "by_conversation_act": _ACT, "by_session_act": _STEP}
+_SIGNALS = {"by_route_layer": "'event_type', 'k', 'family', CASE WHEN outcome = 'failed' THEN 'error' END", "by_route_signal": "'event_type:' || lower(event_type), 'k:' || k, 'family:' || family, CASE WHEN outcome = 'failed' THEN 'error:' || k END"}
+_UNPIVOT = " UNION ALL ".join(f"SELECT session_id, segment, line, '{n}' AS facet, unnest([{x}]) AS value FROM sg" for n, x in (FACETS | _SIGNALS).items())
+
 
-    f = R.facet_values(events(spark, d).withColumnsRenamed({"event_type": "by_type", "outcome": "by_outcome"}), "by_type", "by_outcome")
-    n = f.groupBy("session_id", "facet", "value").agg(F.count("*").alias("n"))
-    first = f.withColumn("r", F.row_number().over(Window.partitionBy("session_id", "facet", "value").orderBy("line"))).where("r <= 5")
-    return n.join(first.groupBy("session_id", "facet", "value").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("line")), lambda x: x.cast("string"))).alias("first_lines")), ["session_id", "facet", "value"])
+@query("a11_segment_facets", f"""WITH {EV}, sg AS (SELECT *, CAST(sum(CASE WHEN event_type = 'USER_INTENT' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line) AS BIGINT) AS segment FROM ev), f AS ({_UNPIVOT})
+SELECT session_id, segment, facet, value, count(*) AS n, array_to_string(list_slice(list_sort(list(line)), 1, 5), ',') AS first_lines FROM f WHERE value IS NOT NULL GROUP BY ALL""")
+def a11(spark, d):
+    s = E.signals(Q.segments(events(spark, d), C("event_type") == "USER_INTENT"))
+    signals = {"by_route_layer": F.array_distinct(F.transform("route_signals", lambda x: F.substring_index(x, ":", 1))), "by_route_signal": C("route_signals")}
+    return R.segment_facets(s, {n: F.expr(f"array({x})") for n, x in FACETS.items()} | signals)
 
 
 @query("a12_totals_by_basis", "WITH p AS (SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY ALL) SELECT * FROM p UNION ALL SELECT NULL, l_returnflag, CAST(sum(n) AS BIGINT), CAST(sum(qty) AS BIGINT), CAST(sum(lines) AS BIGINT) FROM p GROUP BY 2")

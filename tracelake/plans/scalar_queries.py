@@ -22,7 +22,7 @@ ITEMS = {
     "f1_route_key": ("documents", "doc_id", lambda: S.route_key(C("text")), "trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_')"),
     "f2_kind_alias": ("events", "event_id", lambda: S.kind_alias(F.when(C("event_type") == "error", "failure_mode").when(C("event_type") == "view", "mcp_tool").otherwise(C("event_type"))), "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'tool' ELSE event_type END"),
     "f3_split_signal": ("events", "event_id", lambda: F.concat_ws("|", S.split_signal(_sig(), ["view", "error"])[0], S.split_signal(_sig(), ["view", "error"])[1], S.split_signal(_sig(), ["view", "error"])[2].cast("string")), "event_type || '|' || user_id || '|' || (event_type IN ('view', 'error'))::VARCHAR"),
-    "f4_agent_event_alias": ("conversations", "conv_id", lambda: S.agent_event_alias(F.when(C("role") == "user", " Response").when(C("role") == "assistant", "FINAL").otherwise(C("role"))), "CASE role WHEN 'user' THEN 'assistant_answer' WHEN 'assistant' THEN 'assistant_final_closeout' ELSE role END"),
+    "f4_agent_event_alias": ("conversations", "conv_id", lambda: S.agent_event_alias(F.when(C("role") == "user", " Response").when(C("role") == "assistant", "FINAL").when(C("role") == "system", "Remaining_Gap").otherwise(C("role"))), "CASE role WHEN 'user' THEN 'assistant_answer' WHEN 'assistant' THEN 'assistant_final_closeout' WHEN 'system' THEN 'assistant_open_thread' ELSE role END"),
     "f5_label_date": ("orders", "o_orderkey", lambda: F.concat_ws("|", S.label_date(_label()), S.leading_date(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH")), S.leading_date(_label())), "CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' ELSE '||' END"),
     "f6_iso_time": ("events", "event_id", lambda: F.date_format(S.iso_time(F.when(C("event_id") % 7 == 0, F.lit("not a time")).when(C("event_id") % 7 == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))), "yyyy-MM-dd HH:mm:ss"), "CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN strftime(ts, '%Y-%m-%d 00:00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END"),
     "f7_items": ("part", "p_partkey", lambda: F.concat_ws("/", F.array_union(S.pipe_items(F.concat(F.lit("||"), F.regexp_replace("p_type", " ", "|"), F.lit("|"))), S.comma_items(F.concat(C("p_brand"), F.lit(" , ,"), C("p_name"))))), "array_to_string(string_split(p_type, ' '), '/') || '/' || p_brand || '/' || trim(p_name)"),
@@ -32,7 +32,7 @@ ITEMS = {
     "f11_raw_line": ("events", "event_id", lambda: S.raw_line(F.concat(F.when(C("event_type") == "view", "raw:line:").when(C("event_type") == "error", "raw:line:-").otherwise("raw:"), C("event_id").cast("string"))), "CASE WHEN event_type = 'view' AND event_id > 0 THEN event_id END"),
     "f12_digest": ("events", "event_id", lambda: S.digest(C("event_type"), C("user_id"), F.get_json_object("props", "$.none")), "sha256(event_type || chr(31) || user_id || chr(31) || 'null')"),
     "f13_payload_field": ("events", "event_id", lambda: F.concat_ws("|", S.payload_field(C("props"), "k", F.lit("-")), S.payload_field(C("props"), "type", C("event_type")), S.payload_field(C("event_type"), "k", F.lit("bad"))), "regexp_extract(props, '\"k\": ?([0-9]+)', 1) || '|' || event_type || '|bad'"),
-    "f14_node_id": ("events", "event_id", lambda: S.node_id(F.lit("event_type"), C("event_type")), "'route:event_type:event_type:' || event_type"),
+    "f14_node_id": ("events", "event_id", lambda: F.array_join(S.node_ids(["event_type", "event_type", "tool"], C("event_type")), ","), "'route:event_type:event_type:' || event_type || ',route:event_type:entity:entity_' || event_type || ',route:tool:tool:' || event_type || ',route:tool:entity:entity_' || event_type"),
     "f15_prefixed_keys": ("nation", "n_nationkey", lambda: F.concat_ws(",", S.prefixed_keys(F.concat(F.when(C("n_nationkey") % 2 == 0, "tool:").otherwise(""), F.lower("n_name")), ["tool:", "mcp:"])), "CASE WHEN n_nationkey % 2 = 0 THEN 'tool:' || lower(n_name) || ',' || lower(n_name) || ',mcp:' || lower(n_name) ELSE lower(n_name) || ',tool:' || lower(n_name) || ',mcp:' || lower(n_name) END"),
     "f16_signal_candidates": ("customer", "c_custkey", lambda: F.concat_ws(",", S.signal_candidates(F.when(C("c_custkey") % 2 == 0, F.concat(F.lit("k:"), C("c_mktsegment"))).otherwise(C("c_mktsegment")), LAYERS)), "CASE WHEN c_custkey % 2 = 0 THEN 'k:' || c_mktsegment || ',k:' || lower(c_mktsegment) ELSE 'event_type:' || lower(c_mktsegment) || ',k:' || lower(c_mktsegment) || ',family:' || lower(c_mktsegment) END"),
     "f17_nested_arguments": ("events", "event_id", lambda: F.get_json_object(F.get_json_object(F.to_json(F.struct(C("props").alias("arguments"))), "$.arguments"), "$.k"), "regexp_extract(props, '\"k\": ?([0-9]+)', 1)"),

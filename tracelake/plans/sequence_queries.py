@@ -232,10 +232,19 @@ def w13(spark, d):
 # Evidence
 
 
-@query("e1_usage_states", f"WITH {EV} SELECT k, count(*) FILTER (event_type = 'TOOL_CALL') AS called, count(*) FILTER (event_type = 'TOOL_OUTPUT') AS observed, count(*) FILTER (event_type = 'ERROR') AS failed, count(*) FILTER (event_type = 'VERIFICATION') AS verified, count(*) FILTER (event_type = 'USER_INTENT') AS mentioned FROM ev GROUP BY k")
+_LATER = f"c AS (SELECT session_id, k, min(line) AS first_start, count(*) AS starts FROM ev WHERE {CALL} GROUP BY ALL), j AS (SELECT ev.*, first_start, starts, coalesce(first_start < line, false) AS later FROM ev LEFT JOIN c ON c.session_id = ev.session_id AND c.k = ev.k)"
+# The thirteen states, in their order; what counts as evidence for each is chosen here.
+STATES = {
+    "registered": "true", "mentioned": "event_type = 'USER_INTENT'", "prompt_visible": "line <= 5", "selected": f"{CALL} AND NOT later", "loaded": "event_type = 'TOOL_OUTPUT'",
+    "read": "event_type = 'TOOL_OUTPUT' AND later", "procedure_observed": f"{CALL} AND later", "invoked": CALL, "completed": f"{RESULT} AND later",
+    "verified": "event_type = 'VERIFICATION'", "consequence_producing": "event_type = 'VERIFICATION' AND later", "failed": "event_type = 'ERROR'", "deflected": "event_type = 'ERROR' AND NOT later",
+}
+
+
+@query("e1_usage_states", f"WITH {EV}, {_LATER} SELECT k, " + ", ".join(f"count(*) FILTER ({x}) AS {n}" for n, x in STATES.items()) + " FROM j GROUP BY k")
 def e1(spark, d):
-    states = {"called": "TOOL_CALL", "observed": "TOOL_OUTPUT", "failed": "ERROR", "verified": "VERIFICATION", "mentioned": "USER_INTENT"}
-    return events(spark, d).groupBy("k").agg(*[F.count_if(C("event_type") == t).alias(n) for n, t in states.items()])
+    """Evidence of each state apart; no state stands for another."""
+    return Q.since_first(events(spark, d), F.expr(CALL), "session_id", "k").groupBy("k").agg(*[F.count_if(F.expr(x)).alias(n) for n, x in STATES.items()])
 
 
 @query("e2_usage_chains", f"WITH {EV}, {_PAIRS}, n AS (SELECT call_id, count(*) AS results FROM pr GROUP BY 1) SELECT event_id AS call_id, coalesce(results, 0) AS results, results IS NOT NULL AS answered FROM ev LEFT JOIN n ON call_id = event_id WHERE {CALL}")
@@ -327,9 +336,18 @@ def a17(spark, d):
     return s.groupBy("state").agg(F.count("*").alias("units"), F.sum("a").alias("associations"), (F.sum("a") - F.count("*")).alias("duplicates"))
 
 
-@query("a18_usage_roles", f"WITH {EV} SELECT k, count(*) FILTER (event_type = 'USER_INTENT') AS entrypoint, count(*) FILTER (event_type = 'TOOL_CALL') AS usage, count(*) FILTER (event_type IN ('TOOL_OUTPUT', 'ERROR')) AS result, count(*) FILTER (event_type = 'VERIFICATION') AS outcome, count(DISTINCT session_id) AS sessions FROM ev GROUP BY k")
+ROLES = {
+    "entrypoint": "event_type = 'USER_INTENT' AND NOT later", "usage": CALL, "result": f"{RESULT} AND later", "outcome": "event_type = 'VERIFICATION'",
+    "context": "event_type = 'USER_INTENT' AND later", "consequence": "event_type = 'VERIFICATION' AND later", "false_correlation": f"{RESULT} AND NOT later",
+}
+
+
+@query("a18_usage_roles", f"WITH {EV}, {_LATER} SELECT k, " + ", ".join(f"count(*) FILTER ({x}) AS {n}" for n, x in ROLES.items()) + f", CAST(coalesce(sum(starts) FILTER ({ROLES['false_correlation']}), 0) AS BIGINT) AS false_correlation_edges, count(DISTINCT session_id) AS sessions FROM j GROUP BY k")
 def a18(spark, d):
-    return events(spark, d).groupBy("k").agg(F.count_if(C("event_type") == "USER_INTENT").alias("entrypoint"), F.count_if(F.expr(CALL)).alias("usage"), F.count_if(F.expr(RESULT)).alias("result"), F.count_if(C("event_type") == "VERIFICATION").alias("outcome"), F.count_distinct("session_id").alias("sessions"))
+    """A result before any call of its key is a false correlation: one event, and an edge to each of the calls."""
+    j = Q.since_first(events(spark, d), F.expr(CALL), "session_id", "k")
+    edges = F.coalesce(F.sum(F.when(F.expr(ROLES["false_correlation"]), C("starts"))), F.lit(0))
+    return j.groupBy("k").agg(*[F.count_if(F.expr(x)).alias(n) for n, x in ROLES.items()], edges.alias("false_correlation_edges"), F.count_distinct("session_id").alias("sessions"))
 
 
 @query("e5_ranked_numbers", f"WITH {EV}, c AS (SELECT session_id, correlation_id, count(*) AS calls, min(line) AS call_line FROM ev WHERE {CALL} GROUP BY ALL), r AS (SELECT session_id, correlation_id, calls, value, lag(value) OVER (PARTITION BY session_id, correlation_id ORDER BY line) AS prev FROM ev JOIN c USING (session_id, correlation_id) WHERE event_type = 'TOOL_OUTPUT' AND line > call_line) SELECT session_id, correlation_id, count(*) AS numbers, max(calls) = 1 AND count(*) >= 2 AND count(*) FILTER (value > prev) = 0 AS admitted FROM r GROUP BY ALL")
