@@ -39,6 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every document, a null text counting as empty, in sequences of at most 4,096."""
     return packing.pack(docs, tokenizer_path())
 
 
