@@ -88,6 +88,55 @@ def test_recovery_and_supersession(spark):
     assert {r.id: (r.superseded_by, r.valid) for r in s.collect()} == {1: (2, False), 2: (None, True), 3: (None, True)}
 
 
+def test_values_carried_over_stretches(spark):
+    rows = [("a", i, t, c) for i, (t, c) in enumerate([("IN", None), ("CALL", "x"), ("OUT", "x"), ("CALL", "x"), ("OUT", "y"), ("OUT", "x"), ("IN", None), ("CALL", None), ("OUT", "x"), ("CALL", "y"), ("IN", "x")], 1)] + [("b", 1, "OUT", "x"), ("b", 2, "CALL", "x")]
+    e = log(spark, *rows)
+    at = {i: r for i, r in enumerate(rows)}
+    call, out = C("event_type") == "CALL", C("event_type") == "OUT"
+    for lines in (1, 2, 3, 100):
+        got = {r.call_id: (r.results, [m.line for m in r.members or []]) for r in Q.usage_chains(e, call, out, 2, lines).collect()}
+        want = {}
+        for i, (s, n, t, c) in at.items():
+            if t == "CALL":
+                after = [r[1] for r in rows if c and r[0] == s and r[2] == "OUT" and r[3] == c and r[1] > n]
+                want[i] = (len(after), after[:2])
+        assert got == want
+        inside = sorted((r.span_id, r.line) for r in Q.interior(e, C("event_type") == "IN", lines).collect())
+        assert inside == [(0, n) for n in range(2, 7)] + [(6, n) for n in range(8, 11)]
+        first = {(r.session_id, r.line): r.x for r in Q.first_after(e, F.when(out, C("line")), "x", lines).collect()}
+        assert first == {(s, n): min((r[1] for r in rows if r[0] == s and r[2] == "OUT" and r[1] > n), default=None) for s, n, *_ in rows}
+
+
+def test_versions_and_labels_meet_across_parts(spark):
+    rows = [("k", i, f"2024-0{1 + i // 3}-0{1 + i % 3}") for i in range(9)] + [(None, 20, "2024-01-01"), (None, 21, "2024-05-01")]
+    v = spark.createDataFrame(rows, "key string, id long, ts string")
+    got = {r.id: r.superseded_by for r in Q.superseded(v, "id", "key", part=F.substring("ts", 1, 7)).collect()}
+    assert got == {i: i + 1 if i < 8 else None for i in range(9)} | {20: 21, 21: None}
+    s = spark.createDataFrame([("c", "2024-01-01 01:00:00"), ("a", "2024-01-01 05:00:00"), ("b", "2024-01-01 05:00:00"), ("d", "2024-01-02 00:00:00")], "session_id string, start string").selectExpr("session_id", "cast(start as timestamp_ntz) as start", "substring(start, 1, 10) as session_date")
+    assert {r.label for r in Q.sequence_labels(s).collect()} == {"2024-01-01__001__c", "2024-01-01__002__a", "2024-01-01__003__b", "2024-01-02__001__d"}
+
+
+def test_agent_routes_need_a_scope(spark):
+    d = spark.createDataFrame([("c1", i, a) for i, a in enumerate(["user", "assistant", "assistant", "user", "assistant", "system"], 1)] + [("c2", 1, "user")], "session_id string, line long, actor string")
+    for lines in (1, 2, 100):
+        assert {r.line: (r.route, r.state) for r in P.agent_routes(d, F.lit(True), lines).collect()} == {2: ("progress_update", "continued"), 3: ("progress_update", "answered"), 5: ("closeout", "continued")}
+    with pytest.raises(ValueError):
+        P.agent_routes(d, None)
+
+
+def test_one_more_vote_only_for_a_decisive_anchor(spark):
+    sparse = spark.createDataFrame([(1, 10, 1, 9.0), (1, 11, 2, 3.0), (2, 20, 1, 9.0), (2, 21, 2, 8.9), (3, 30, 1, 5.0), (4, 40, 1, 7.0), (4, 41, 2, 1.0)], "query_id long, doc_id long, rank int, score double")
+    anchors = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 41)], "query_id long, doc_id long")
+    got = {(r.query_id, r.doc_id): r.bonus for r in T.anchored(T.fuse({"s": sparse}, "doc_id"), sparse, anchors, "doc_id").collect()}
+    assert {k for k, b in got.items() if b} == {(1, 10), (3, 30)} and len(got) == 7
+
+
+def test_bridges_reject_a_path_with_a_weak_edge(spark):
+    walked = spark.createDataFrame([("a", "c", 2, ["a", "b", "c"]), ("a", "b", 1, ["a", "b"]), ("a", "z", 1, ["a", "z"])], "seed string, target string, hops int, path array<string>")
+    typed = spark.createDataFrame([("a", "b", "caused"), ("b", "c", "cooccurrence")], "node string, other string, edge_type string")
+    assert {(r.target, r.verdict) for r in G.bridges(walked, typed).collect()} == {("b", "admitted"), ("c", "rejected"), ("z", "rejected")}
+
+
 def test_mixed_filters_are_refused():
     with pytest.raises(ValueError):
         P.check_filters({"task_episode_id": "1", "agent_event": "x"})

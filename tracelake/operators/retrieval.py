@@ -121,6 +121,37 @@ def fuse(lanes: dict[str, DataFrame], ident: str, k: int = 60) -> DataFrame:
     return all_.groupBy("query_id", ident).agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 8).alias("fused"), F.count("*").alias("lanes"))
 
 
+def anchored(fused: DataFrame, sparse: DataFrame, anchors: DataFrame, ident: str, k: int = 60, margin: float = 1.25) -> DataFrame:
+    """fused with one more vote of rank one, and bonus true, for a query's best hit of the sparse lane (query_id, ident, rank, score) if that is an anchor and leads the next by the margin (a factor chosen here)."""
+    two = sparse.where("rank <= 2").groupBy("query_id").agg(F.min_by(ident, "rank").alias(ident), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("lead"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("next"))
+    sure = two.where(F.col("next").isNull() | (F.col("lead") >= margin * F.col("next"))).join(anchors.select("query_id", ident), ["query_id", ident], "left_semi")
+    j = fused.join(sure.select("query_id", ident, F.lit(True).alias("bonus")), ["query_id", ident], "left").withColumn("bonus", F.coalesce("bonus", F.lit(False)))
+    return j.withColumn("fused", F.round(F.col("fused") + F.when(F.col("bonus"), 1 / (k + 1)).otherwise(0), 8))
+
+
+# The names of the recipes. Which events each calls for is chosen here.
+RECIPES = {
+    "continue-session": "true", "continue-techniques-session": "event_type IN ('TOOL_CALL', 'TOOL_OUTPUT')", "hook-failure": "outcome = 'failed' AND actor = 'tool'", "manual-review": "outcome = 'failed' AND session_failures >= 10",
+    "naming-candidate": "event_type = 'USER_INTENT'", "process-lessons": "event_type = 'VERIFICATION'", "repeated-errors": "outcome = 'failed' AND failing_sessions >= 2",
+}
+
+
+def recipe_hits(events: DataFrame, limit: int) -> DataFrame:
+    """(recipe, session_id, event_id, place, continuation): the newest hits of each recipe and session, and whether the session goes on.
+
+    A session is closed if it ends in a verification. Its counts and those of
+    its error keys are added by joins on the groups.
+    """
+    failed = F.col("outcome") == "failed"
+    s = events.groupBy("session_id").agg(F.count_if(failed).alias("session_failures"), F.max_by("event_type", F.struct("ts", "event_id")).alias("__last"))
+    k = events.where(failed).groupBy("k").agg(F.count_distinct("session_id").alias("failing_sessions"))
+    e = events.join(s, "session_id").join(k, "k", "left")
+    named = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in RECIPES.items()]))
+    hits = e.select("session_id", "event_id", "ts", F.when(F.col("__last") == "VERIFICATION", "closed").otherwise("open").alias("continuation"), F.explode(named).alias("recipe"))
+    w = Window.partitionBy("recipe", "session_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("recipe", "session_id", "event_id", "place", "continuation")
+
+
 def query_shape(q: Column) -> Column:
     """entity, command, path, error, class or phrase."""
     return (

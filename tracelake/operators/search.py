@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import kind_alias, lookup, route_key
+from .sequence import STRETCH, first_after
 
 FILTERS = ("session_id", "doc_type", "event_type", "family", "outcome", "conversation_act", "session_act", "agent_event", "task_episode_id", "route_layer", "route_signal", "archive_status", "freshness_status", "date_from", "date_to")
 #: Filters that belong to one kind of row and can't be asked of another at once.
@@ -139,3 +140,14 @@ def ranked(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ()) -> D
 
 def clamp(limit: int | None, least: int, default: int, most: int) -> int:
     return default if limit is None else max(least, min(most, limit))
+
+
+def agent_routes(dialogue: DataFrame, scope: Column | None, lines: int = STRETCH) -> DataFrame:
+    """Answers within the scope, which must be given: route (closeout for a session's last one, else progress_update) and state (answered by the user, continued, or final)."""
+    if scope is None:
+        raise ValueError("agent routes need a session, an episode or a query as their scope")
+    answer = F.col("actor") == "assistant"
+    e = first_after(dialogue.where(scope), F.when(answer, F.col("line")), "__later", lines)
+    e = first_after(e, F.coalesce("actor", F.lit("unknown")), "__next", lines).where(answer)
+    state = F.when(F.col("__next") == "user", "answered").when(F.col("__next").isNull(), "final").otherwise("continued")
+    return e.withColumn("route", F.when(F.col("__later").isNull(), "closeout").otherwise("progress_update")).withColumn("state", state).drop("__later", "__next")

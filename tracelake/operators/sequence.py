@@ -6,10 +6,15 @@ collected, so no session is held whole.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .events import numbered
+
 BY, LINE = "session_id", "line"
 
 
@@ -25,53 +30,71 @@ def _stretch(events: DataFrame, lines: int) -> DataFrame:
     return events.withColumn("__b", F.floor(F.col(LINE) / lines))
 
 
-def _with_before(e: DataFrame, per: DataFrame, value: Column) -> DataFrame:
-    """e joined to value, taken over each session's earlier stretches, as __p."""
-    p = per.withColumn("__p", value.over(Window.partitionBy(BY).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(BY).alias("__s"), F.col("__b").alias("__c"), "__p")
-    return e.join(p, F.col(BY).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")), "left").drop("__s", "__c")
+def _meets(by: tuple[str, ...]) -> Column:
+    """That the keys by are those named __k0, __k1 and so on; null meets null."""
+    return reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)))
+
+
+def _keys(by: tuple[str, ...]) -> list[Column]:
+    return [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
 
 
-def running_sum(events: DataFrame, value: Column, name: str, lines: int = STRETCH) -> DataFrame:
-    """Adds the sum of value up to and with each row of its session.
+def _with_before(e: DataFrame, per: DataFrame, value: Column, by: tuple[str, ...]) -> DataFrame:
+    """e joined to value, taken over the earlier stretches of the same keys, as __p."""
+    p = per.withColumn("__p", value.over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(*_keys(by), F.col("__b").alias("__c"), "__p")
+    return e.join(p, _meets(by) & (F.col("__b") == F.col("__c")), "left").drop("__c", *(f"__k{i}" for i in range(len(by))))
+
+
+def running_sum(events: DataFrame, value: Column, name: str, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
+    """Adds the sum of value up to and with each row of its session, or of other keys.
 
     Summed within stretches of lines, which start from the sums of the earlier
     ones: of a very long session no task holds more than a stretch, and one row
     a stretch meets in one place.
     """
     e = _stretch(events.withColumn("__v", value.cast("long")), lines)
-    per = e.groupBy(BY, "__b").agg(F.sum("__v").alias("__t"))
-    w = Window.partitionBy(BY, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
-    e = _with_before(e.withColumn("__w", F.sum("__v").over(w)), per, F.sum("__t"))
+    per = e.groupBy(*by, "__b").agg(F.sum("__v").alias("__t"))
+    w = Window.partitionBy(*by, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
+    e = _with_before(e.withColumn("__w", F.sum("__v").over(w)), per, F.sum("__t"), by)
     return e.withColumn(name, F.col("__w") + F.coalesce("__p", F.lit(0))).drop("__v", "__b", "__w", "__p")
 
 
-def last_before(events: DataFrame, value: Column, name: str, lines: int = STRETCH) -> DataFrame:
-    """Adds the last non-null value of the rows before each row of its session, by stretches as in running_sum."""
+def last_before(events: DataFrame, value: Column, name: str, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
+    """Adds the last non-null value of the rows before each row of its session, or of other keys, by stretches as in running_sum."""
     e = _stretch(events.withColumn("__v", value), lines)
-    per = e.where("__v is not null").groupBy(BY, "__b").agg(F.max_by("__v", LINE).alias("__t"))
-    every = e.select(BY, "__b").distinct().join(per.withColumnsRenamed({BY: "__k", "__b": "__j"}), F.col(BY).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__j")), "left").select(BY, "__b", "__t")
-    w = Window.partitionBy(BY, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, -1)
-    e = _with_before(e.withColumn("__w", F.last("__v", True).over(w)), every, F.last("__t", True))
+    per = e.groupBy(*by, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(LINE))).alias("__t"))
+    w = Window.partitionBy(*by, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, -1)
+    e = _with_before(e.withColumn("__w", F.last("__v", True).over(w)), per, F.last("__t", True), by)
     return e.withColumn(name, F.coalesce("__w", "__p")).drop("__v", "__b", "__w", "__p")
 
 
+def _backwards(events: DataFrame) -> DataFrame:
+    return events.withColumn(LINE, -F.col(LINE))
+
+
+def first_after(events: DataFrame, value: Column, name: str, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
+    """Adds the first non-null value of the rows after each row: last_before, read backwards."""
+    back = _backwards(events.withColumn("__x", value))
+    return _backwards(last_before(back, F.col("__x"), name, lines, by)).drop("__x")
+
+
 def latest_samples(rows: DataFrame, n: int, *by: str) -> DataFrame:
     """The newest n rows of each key: date, then id, descending."""
     w = Window.partitionBy(*by).orderBy(F.desc("session_date"), F.desc("event_id"))
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def framed(events: DataFrame, frame: Column, name: str, before: int, after: int, lines: int = STRETCH) -> DataFrame:
+def framed(events: DataFrame, frame: Column, name: str, before: int, after: int, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
     """Adds the list of a column (or struct) over the rows from before rows ahead to after rows behind each row of its session.
 
     Rows are counted along the session and dealt by stretches; those near the
     end of a stretch also go to the neighbour that needs them, and each row's
     list is taken in its own stretch.
     """
-    e = running_sum(events, F.lit(1), "__o", lines)
+    e = running_sum(events, F.lit(1), "__o", lines, by)
     at = lambda shift: F.floor((F.col("__o") + shift) / lines)
     e = e.withColumn("__h", at(0)).withColumn("__g", F.explode(F.sequence(F.greatest(at(-max(after, 0)), F.lit(0)), at(max(-before, 0)))))
-    w = Window.partitionBy(BY, "__g").orderBy("__o").rowsBetween(before, after)
+    w = Window.partitionBy(*by, "__g").orderBy("__o").rowsBetween(before, after)
     return e.withColumn(name, F.collect_list(frame).over(w)).where("__h = __g").drop("__o", "__h", "__g")
 
 
@@ -149,34 +172,58 @@ def correlate(calls: DataFrame, results: DataFrame, within: int | None = None, h
 def nearby_foreign(events: DataFrame, call: Column, result: Column, reach: int, lines: int = STRETCH) -> DataFrame:
     """Results within reach rows of a call whose correlation id differs: the rejected ones, found by a bounded window, not a range join."""
     near = framed(events, F.when(result, F.struct(F.col("event_id").alias("result_id"), F.col("correlation_id").alias("other"))), "near", 1, reach, lines)
-    return near.where(call).select(BY, F.col("event_id").alias("call_id"), "correlation_id", F.explode("near").alias("n")).where(F.col("n.other").isNotNull() & (F.col("n.other") != F.coalesce("correlation_id", F.lit("")))).select(BY, "call_id", F.col("n.result_id").alias("result_id"))
+    return near.where(call).select(BY, F.col("event_id").alias("call_id"), "correlation_id", F.explode("near").alias("n")).where(F.col("n.other").isNotNull() & (F.col("n.other") != F.coalesce("correlation_id", F.lit("")))).select(BY, "call_id", "correlation_id", F.col("n.result_id").alias("result_id"))
 
 
-def interior(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """Events strictly between two lines of their session; spans(session_id, span_id, lo, hi)."""
-    return events.join(spans, BY).where((F.col(LINE) > F.col("lo")) & (F.col(LINE) < F.col("hi")))
+def usage_chains(events: DataFrame, call: Column, result: Column, most: int = 5, lines: int = STRETCH) -> DataFrame:
+    """Each call with the number of later results of its session and correlation id, and the first of them, at most most: (id, line).
 
+    Counts and members are running values along the key, so a key of many calls
+    and results makes no pairs. A call without a correlation id has no results.
+    """
+    key, held = (BY, "correlation_id"), F.col("correlation_id") != ""
+    named = events.where(held)
+    found = framed(named.where(result), F.struct("event_id", LINE), "__m", 0, most - 1, lines, key)
+    e = named.where(call).withColumn("__m", F.lit(None).cast(found.schema["__m"].dataType)).unionByName(found)
+    e = first_after(e, F.col("__m"), "members", lines, key)
+    e = _backwards(running_sum(_backwards(e), F.when(F.col("__m").isNotNull(), 1).otherwise(0), "results", lines, key)).where(F.col("__m").isNull())
+    alone = events.where(call & ~F.coalesce(held, F.lit(False))).withColumn("members", F.lit(None).cast(found.schema["__m"].dataType)).withColumn("results", F.lit(0).cast("long"))
+    columns = [BY, "correlation_id", F.col("event_id").alias("call_id"), F.col(LINE).alias("call_line"), "results", "members"]
+    return e.select(*columns).unionByName(alone.select(*columns))
 
-def recovery(events: DataFrame, failed: Column, good: Column) -> DataFrame:
-    """Each failed event with the first later good event on the same key of its session.
 
-    Read backwards: the last one seen so far is a running value, where a frame
-    to the end of the session would be walked again for every row.
-    """
-    w = Window.partitionBy(BY, "k").orderBy(F.desc(LINE)).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("recovered_by", F.last(F.when(good, F.col("event_id")), True).over(w)).where(failed)
+def interior(events: DataFrame, opens: Column, lines: int = STRETCH) -> DataFrame:
+    """Events strictly between two openings of their session, with the first one's id as span_id. Openings are carried along, not joined."""
+    opens = F.coalesce(opens, F.lit(False))
+    e = last_before(events, F.when(opens, F.col("event_id")), "span_id", lines)
+    e = first_after(e, F.when(opens, F.col(LINE)), "__hi", lines)
+    return e.where(~opens & F.col("span_id").isNotNull() & F.col("__hi").isNotNull()).drop("__hi")
 
 
-def superseded(rows: DataFrame, ident: str, *by: str, order: str = "ts") -> DataFrame:
-    """Adds superseded_by, the next version of the same key, and valid for the last."""
-    nxt = F.lead(ident).over(Window.partitionBy(*by).orderBy(order, ident))
-    return rows.withColumn("superseded_by", nxt).withColumn("valid", F.col("superseded_by").isNull())
+def recovery(events: DataFrame, failed: Column, good: Column, lines: int = STRETCH) -> DataFrame:
+    """Each failed event with the first later good event on the same key of its session."""
+    return first_after(events, F.when(good, F.col("event_id")), "recovered_by", lines, (BY, "k")).where(failed)
+
+
+def superseded(rows: DataFrame, ident: str, *by: str, order: str = "ts", part: Column | None = None) -> DataFrame:
+    """Adds superseded_by, the next version of the same key, and valid for the last.
+
+    part, which must rise with order, deals a key's rows over several tasks; one
+    row a part tells the part before it who comes next.
+    """
+    r = rows.withColumn("__b", F.lit(0) if part is None else part)
+    keys = (*by, "__b")
+    r = r.withColumn("__l", F.lead(ident).over(Window.partitionBy(*keys).orderBy(order, ident)))
+    first = r.groupBy(*keys).agg(F.min_by(ident, F.struct(order, ident)).alias("__f"))
+    following_ = first.select(*_keys(keys), F.lead("__f").over(Window.partitionBy(*by).orderBy("__b")).alias("__n"))
+    r = r.join(following_, _meets(keys), "left").withColumn("superseded_by", F.coalesce("__l", "__n"))
+    return r.withColumn("valid", F.col("superseded_by").isNull()).drop("__b", "__l", "__n", *(f"__k{i}" for i in range(len(keys))))
 
 
 def sequence_labels(sessions: DataFrame) -> DataFrame:
-    """Adds the label date__ordinal__id, counting a day's sessions by start, then id."""
-    n = F.row_number().over(Window.partitionBy("session_date").orderBy("start", BY))
-    return sessions.withColumn("label", F.concat_ws("__", "session_date", F.format_string("%03d", n), F.col(BY)))
+    """Adds the label date__ordinal__id, counting a day's sessions by start, then id; a day's hours are numbered apart."""
+    s = numbered(sessions.withColumn("__h", F.hour("start")), "session_date", "__h", "start", BY)
+    return s.withColumn("label", F.concat_ws("__", "session_date", F.format_string("%03d", F.col(LINE)), F.col(BY))).drop("__h", LINE)
 
 
 def ranked_number_chains(events: DataFrame, call: Column, good: Column, value: str) -> DataFrame:

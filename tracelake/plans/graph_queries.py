@@ -13,17 +13,26 @@ from .base import EV, PO, events, facts, query, table
 
 C = F.col
 
-_EDGES = f"""WITH {PO}, ed AS (SELECT 'contains' AS edge_type, 'session:' || session_id AS source, 'event:' || event_id AS target, 1 AS n FROM ev UNION ALL SELECT 'mentions_route_signal', 'event:' || event_id, 'route:' || route_signal, 1 FROM po)"""
+_EDGES = f"""WITH {PO},
+sg AS (SELECT *, CAST(sum(CASE WHEN event_type = 'USER_INTENT' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line) AS BIGINT) AS segment FROM ev),
+an AS (SELECT i.event_id AS i, arg_min(v.event_id, v.line) AS v, min(v.line) AS line FROM ev i JOIN ev v ON v.session_id = i.session_id AND v.line > i.line AND v.event_type = 'VERIFICATION' WHERE i.event_type = 'USER_INTENT' GROUP BY 1),
+st AS (SELECT c.event_id AS c, arg_min(r.event_id, r.line) AS r, min(r.line) AS line FROM ev c JOIN ev r ON r.session_id = c.session_id AND r.correlation_id = c.correlation_id AND r.line > c.line AND r.event_type = 'ERROR' WHERE c.event_type = 'TOOL_CALL' GROUP BY 1),
+ed AS (SELECT 'contains' AS edge_type, 'session:' || session_id AS source, 'segment:' || session_id || ':' || segment AS target, min(line) AS ref FROM sg GROUP BY session_id, segment
+  UNION ALL SELECT 'contains', 'segment:' || session_id || ':' || segment, 'event:' || event_id, line FROM sg
+  UNION ALL SELECT 'mentions_route_signal', 'event:' || event_id, 'route:' || route_signal, line FROM po
+  UNION ALL SELECT 'answered_by', 'event:' || i, 'event:' || v, line FROM an UNION ALL SELECT 'responds_to', 'event:' || v, 'event:' || i, line FROM an
+  UNION ALL SELECT 'has_correlated_status', 'event:' || c, 'event:' || r, line FROM st)"""
 
 
 def edges(spark, d):
-    e = facts(spark, d)
+    e = events(spark, d)
     return G.event_graph(e, E.postings(e))
 
 
-@query("g1_graph_build", _EDGES + " SELECT edge_type, source, target, count(*) AS count FROM ed GROUP BY ALL")
+@query("g1_graph_build", _EDGES + " SELECT edge_type, source, target, count(*) AS count, 'raw:line:' || min(ref) AS ref FROM ed GROUP BY ALL")
 def g1(spark, d):
-    return G.aggregate_contributions(edges(spark, d), "edge_type", "source", "target")
+    g = edges(spark, d).groupBy("edge_type", "source", "target").agg(F.sum("count").alias("count"), F.min("ref").alias("ref"))
+    return g.withColumn("ref", F.concat(F.lit("raw:line:"), C("ref").cast("string")))
 
 
 @query("a13_contributions", f"WITH {PO} SELECT 'route:' || route_signal AS node, count(*) AS count FROM po GROUP BY 1")
@@ -123,16 +132,27 @@ def g5(spark, d):
     return p.where(C("path")[0] == C("seed")).select("seed", "target", "hops", F.size("path").alias("path_length"))
 
 
-@query("g6_bridge_admission", "WITH t AS (SELECT l_orderkey, list(l_returnflag) AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN NOT list_contains(f, 'N') THEN 'admitted' ELSE 'rejected' END AS verdict FROM t")
+_BRIDGE = """pr AS (SELECT r.seed, r.node, r.hops, min(p.node) AS parent FROM r JOIN lk l ON l.other = r.node JOIN r p ON p.seed = r.seed AND p.node = l.node AND p.hops = r.hops - 1 WHERE r.hops > 0 GROUP BY ALL),
+ty AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, bool_or(l_returnflag <> 'N') AS strong FROM lineitem GROUP BY ALL), tw AS (SELECT p AS node, s AS other, strong FROM ty UNION ALL SELECT s, p, strong FROM ty),
+b AS (SELECT seed, node, hops, true AS ok FROM r WHERE hops = 0 UNION ALL SELECT pr.seed, pr.node, pr.hops, b.ok AND tw.strong FROM b JOIN pr ON pr.seed = b.seed AND pr.parent = b.node JOIN tw ON tw.node = pr.parent AND tw.other = pr.node)"""
+
+
+@query("g6_bridge_admission", f"WITH RECURSIVE {_LK}, {_WALKS.format(depth=4)}, {_BRIDGE} SELECT seed, node AS target, hops, CASE WHEN ok THEN 'admitted' ELSE 'rejected' END AS verdict FROM b WHERE hops > 0")
 def g6(spark, d):
-    """An order's lines stand in for the edges of a path: N for a weak edge."""
-    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(C("l_returnflag") == "N", "cooccurrence").otherwise("caused")).alias("types"))
-    return t.select("l_orderkey", G.bridge_verdict(C("types")).alias("verdict"))
+    """Shortest paths of four hops at most; a link with a returned or accepted line bears a relation (caused), another is mere cooccurrence."""
+    reached = materialize(G.distances(part_suppliers(spark, d), seeds(spark, d), 4), "reached")
+    walked = G.paths(reached, reached.where("hops > 0").select("seed", C("node").alias("target")), 4)
+    strong = F.bool_or(C("l_returnflag") != "N")
+    t = table(spark, d, "lineitem").groupBy(F.concat(F.lit("p"), C("l_partkey").cast("string")).alias("node"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("other")).agg(F.when(strong, "caused").otherwise("cooccurrence").alias("edge_type"))
+    typed = t.unionByName(t.select(C("other").alias("node"), C("node").alias("other"), "edge_type"))
+    return G.bridges(walked, typed)
 
 
-@query("g7_evidence_refs", f"WITH {PO} SELECT route_signal, event_id AS ref FROM (SELECT route_signal, event_id, row_number() OVER (PARTITION BY route_signal ORDER BY event_id) AS r FROM po) WHERE r <= 10")
+@query("g7_evidence_refs", f"WITH {PO} SELECT route_signal, lane, ref FROM (SELECT route_signal, lane, event_id AS ref, row_number() OVER (PARTITION BY route_signal ORDER BY lane DESC, event_id) AS r FROM (SELECT route_signal, event_id, CASE WHEN event_type = 'TOOL_CALL' THEN 'node' ELSE 'edge' END AS lane FROM po)) WHERE r <= 50")
 def g7(spark, d):
-    return P.ranked(E.postings(facts(spark, d)).select("route_signal", C("event_id").alias("ref")), 10, C("ref"), by=["route_signal"])
+    """Fifty refs of each route: events that use it contribute to the node and come first, then those that contribute an edge."""
+    lane = F.when(C("event_type") == "TOOL_CALL", "node").otherwise("edge")
+    return P.ranked(E.postings(facts(spark, d)).select("route_signal", lane.alias("lane"), C("event_id").alias("ref")), 50, F.desc("lane"), C("ref"), by=["route_signal"])
 
 
 @query("g8_typed_relations", f"""WITH {EV}, n AS (SELECT event_id, event_type, outcome, lead(event_id) OVER w AS nxt, lead(event_type) OVER w AS nt FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY line))

@@ -51,11 +51,14 @@ def t4(spark, d):
     return T.top(best, 5, "query_id", F.desc("score"), C("vec_id")).select("query_id", "vec_id", "rank")
 
 
-@query("t5_fusion", f"WITH {_EX2}, xr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM ex), l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM xr WHERE rank <= 10) SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS fused, count(*) AS lanes FROM l GROUP BY ALL")
+@query("t5_fusion", f"""WITH {_EX2}, xr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM ex), l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM xr WHERE rank <= 10),
+two AS (SELECT query_id, arg_min(doc_id, rank) AS doc_id, max(score) FILTER (rank = 1) AS lead, max(score) FILTER (rank = 2) AS next FROM bm WHERE rank <= 2 GROUP BY 1), sure AS (SELECT query_id, doc_id FROM two JOIN ex USING (query_id, doc_id) WHERE next IS NULL OR lead >= 1.25::DOUBLE * next)
+SELECT l.query_id, l.doc_id, round(round(sum(1 / (60 + rank)), 8) + CASE WHEN bool_or(sure.doc_id IS NOT NULL) THEN 1 / 61::DOUBLE ELSE 0 END, 8) AS fused, count(*) AS lanes, bool_or(sure.doc_id IS NOT NULL) AS bonus FROM l LEFT JOIN sure ON sure.query_id = l.query_id AND sure.doc_id = l.doc_id GROUP BY ALL""")
 def t5(spark, d):
-    lexical = T.bm25(table(spark, d, "documents"), asked(spark, d))
-    exact = T.top(t1(spark, d), 10, "query_id", C("doc_id"))
-    return T.fuse({"lexical": lexical, "exact": exact}, "doc_id")
+    """Both lanes fused; documents that hold every term of the query are its anchors."""
+    lexical, hits = T.bm25(table(spark, d, "documents"), asked(spark, d)), t1(spark, d)
+    exact = T.top(hits, 10, "query_id", C("doc_id"))
+    return T.anchored(T.fuse({"lexical": lexical, "exact": exact}, "doc_id"), lexical, hits, "doc_id")
 
 
 _ASKED = "CASE event_type WHEN 'signup' THEN 'k:' || {k} WHEN 'click' THEN 'git show ' || {k} WHEN 'view' THEN '/log/' || {k} WHEN 'error' THEN 'Request failed with ' || {k} WHEN 'purchase' THEN 'Purchase' || {k} ELSE event_type END"
@@ -77,6 +80,17 @@ def t7(spark, d):
     return facts(spark, d).where("outcome = 'failed'").groupBy("k").agg(F.count("*").alias("failures"), F.count_distinct("session_id").alias("sessions")).where("sessions >= 2")
 
 
+_RECIPES = f"""{EV}, sf AS (SELECT session_id, count(*) FILTER (outcome = 'failed') AS session_failures, arg_max(event_type, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS fin FROM ev GROUP BY 1), kf AS (SELECT k, count(DISTINCT session_id) AS failing_sessions FROM ev WHERE outcome = 'failed' GROUP BY 1),
+ea AS (SELECT * FROM ev JOIN sf USING (session_id) LEFT JOIN kf USING (k)), rh AS ({" UNION ALL ".join(f"SELECT '{n}' AS recipe, session_id, event_id, ts, fin FROM ea WHERE {c}" for n, c in T.RECIPES.items())}),
+rp AS (SELECT recipe, session_id, event_id, CAST(row_number() OVER (PARTITION BY recipe, session_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place, CASE WHEN fin = 'VERIFICATION' THEN 'closed' ELSE 'open' END AS continuation FROM rh)"""
+
+
+@query("t7_recipes", f"WITH {_RECIPES} SELECT * FROM rp WHERE place <= 8")
+def t7_recipes(spark, d):
+    """Packets of all seven recipes: eight hits a session, and whether it goes on."""
+    return T.recipe_hits(facts(spark, d), 8)
+
+
 @query("t8_route_trace", f"WITH {PO} SELECT route_signal, event_id FROM (SELECT route_signal, event_id, row_number() OVER (PARTITION BY route_signal ORDER BY event_id DESC) AS r FROM po WHERE key IN ('7', '8') AND layer IN ('k', 'error')) WHERE r <= 5")
 def t8(spark, d):
     anchors = spark.createDataFrame([("k:7",), ("k:8",), ("error:7",), ("error:8",)], "route_signal string")
@@ -109,11 +123,20 @@ def t12(spark, d):
     return P.ranked(e.join(F.broadcast(latest), "session_id").select("event_id", "line"), 20, F.desc("line"))
 
 
-@query("t13_evidence_packet", f"WITH {PO}, a AS (SELECT event_id, 'trace' AS lane FROM po WHERE route_signal = 'k:7' UNION ALL SELECT event_id, 'search' FROM ev WHERE outcome = 'failed' AND k = '7') SELECT event_id, count(*) AS lanes FROM a GROUP BY 1")
+@query("t13_evidence_packet", f"""WITH {_RECIPES}, ix AS (SELECT session_id, count(*) AS known FROM ev WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1),
+a AS (SELECT event_id, 'trace' AS lane FROM ev WHERE k = '7' UNION ALL SELECT event_id, 'search' FROM ev WHERE outcome = 'failed' AND k = '7' UNION ALL SELECT event_id, 'retrieve' FROM rp JOIN ev USING (event_id) WHERE place <= 8 AND k = '7' AND recipe = 'repeated-errors')
+SELECT event_id, string_agg(lane, ',' ORDER BY lane) AS lanes, CASE WHEN any_value(line) <= any_value(coalesce(known, 0)) THEN 'resolved' ELSE 'missing' END AS ref_status FROM a JOIN ev USING (event_id) LEFT JOIN ix USING (session_id) GROUP BY 1""")
 def t13(spark, d):
-    e = facts(spark, d)
-    trace = E.postings(e).where("route_signal = 'k:7'").select("event_id")
-    return trace.unionByName(P.search(e, outcome="failed").where("k = '7'").select("event_id")).groupBy("event_id").agg(F.count("*").alias("lanes"))
+    """One key's trace, search and retrieval, each line checked against what was captured up to the last day."""
+    e = events(spark, d)
+    lane = lambda rows, name: rows.select("event_id", F.lit(name).alias("lane"))
+    own = e.where("k = '7'")
+    lanes = lane(E.postings(e).where("route_signal = 'k:7'"), "trace").unionByName(lane(P.search(own, outcome="failed"), "search"))
+    lanes = lanes.unionByName(lane(T.recipe_hits(facts(spark, d), 8).where("recipe = 'repeated-errors'").join(own.select("event_id"), "event_id", "left_semi"), "retrieve"))
+    packet = lanes.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list("lane")), ",").alias("lanes"))
+    known = e.where(C("ts") < F.lit("2024-01-30").cast("timestamp_ntz")).groupBy("session_id").agg(F.count("*").alias("known"))
+    status = F.when(C("line") <= F.coalesce("known", F.lit(0)), "resolved").otherwise("missing")
+    return packet.join(own.select("event_id", "session_id", "line"), "event_id").join(known, "session_id", "left").select("event_id", "lanes", status.alias("ref_status"))
 
 
 @query("t14_retrieval_evaluation", f"WITH {_EX2}, g AS (SELECT query_id, ex.doc_id FROM ex JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = ex.query_id WHERE contains(d.text, b.text)), n AS (SELECT query_id, count(*) AS gold FROM g GROUP BY 1) SELECT bm.query_id, count(*) AS hits, coalesce(min(n.gold), 0) AS gold, count(g.doc_id) AS gold_hits FROM bm LEFT JOIN g ON g.query_id = bm.query_id AND g.doc_id = bm.doc_id LEFT JOIN n ON n.query_id = bm.query_id GROUP BY 1")

@@ -128,10 +128,11 @@ def p16(spark, d):
     return out.withColumn("admitted", kept.agg(F.count("*")).scalar())
 
 
-@query("p17_agent_routes", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1")
+@query("p17_agent_routes", """WITH c AS (SELECT conv_id, turn, role, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS fin, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn = fin THEN 'closeout' ELSE 'progress_update' END AS route, CASE WHEN nxt = 'user' THEN 'answered' WHEN nxt IS NULL THEN 'final' ELSE 'continued' END AS state FROM c WHERE role = 'assistant'""")
 def p17(spark, d):
-    """Closeouts: the last answer of each conversation."""
-    return P.ranked(table(spark, d, "conversations").where(C("role") == "assistant"), 1, F.desc("turn"), by=["conv_id"]).select("conv_id", "turn")
+    """Every answer: the last of its conversation is the closeout, the others are progress updates; and what follows it."""
+    return P.agent_routes(dialogue(spark, d), C("session_id").isNotNull()).select(F.substring("session_id", 2, 40).cast("long").alias("conv_id"), (C("line") - 1).alias("turn"), "route", "state")
 
 
 @query("p19_session_row", f"WITH {EV} SELECT session_id, min(session_date) AS session_date, count(*) AS event_count, 'session:' || session_id AS ref FROM ev WHERE contains(session_id, 'u7') GROUP BY session_id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import events as E
@@ -45,7 +44,7 @@ def j3(spark, d):
 
 @query("j4_foreign_results", f"WITH {EV} SELECT c.session_id, c.event_id AS call_id, r.event_id AS result_id FROM ev c JOIN ev r ON c.session_id = r.session_id AND r.line BETWEEN c.line + 1 AND c.line + 4 AND r.correlation_id <> c.correlation_id WHERE c.{CALL} AND r.{RESULT}")
 def j4(spark, d):
-    return Q.nearby_foreign(events(spark, d), F.expr(CALL), F.expr(RESULT), 4)
+    return Q.nearby_foreign(events(spark, d), F.expr(CALL), F.expr(RESULT), 4).select("session_id", "call_id", "result_id")
 
 
 @query("j5_status_edges", f"WITH {EV} SELECT c.event_id AS source, r.event_id AS target, 'has_correlated_status' AS edge_type FROM ev c JOIN ev r ON c.session_id = r.session_id AND c.correlation_id = r.correlation_id AND r.line > c.line WHERE c.{CALL} AND r.event_type = 'ERROR'")
@@ -57,21 +56,17 @@ def j5(spark, d):
 _SPANS = "sp AS (SELECT session_id, event_id AS span_id, line AS lo, lead(line) OVER (PARTITION BY session_id ORDER BY line) AS hi FROM ev WHERE event_type = 'USER_INTENT')"
 
 
-def spans(e):
-    w = Window.partitionBy("session_id").orderBy("line")
-    return e.where("event_type = 'USER_INTENT'").select("session_id", C("event_id").alias("span_id"), C("line").alias("lo"), F.lead("line").over(w).alias("hi")).where("hi is not null")
+OPENS = "event_type = 'USER_INTENT'"
 
 
 @query("j6_interval_join", f"WITH {EV}, {_SPANS} SELECT span_id, event_id FROM ev JOIN sp USING (session_id) WHERE line > lo AND line < hi")
 def j6(spark, d):
-    e = events(spark, d)
-    return Q.interior(e, spans(e)).select("span_id", "event_id")
+    return Q.interior(events(spark, d), F.expr(OPENS)).select("span_id", "event_id")
 
 
 @query("j7_span_overlap", f"WITH {EV}, {_SPANS}, s AS (SELECT a.span_id, strftime(x.ts, '%Y-%m-%d') AS d1, strftime(y.ts, '%Y-%m-%d') AS d2 FROM sp a JOIN ev x ON x.session_id = a.session_id AND x.line = a.lo JOIN ev y ON y.session_id = a.session_id AND y.line = a.hi) SELECT span_id FROM s WHERE d1 <= '2024-01-15' AND d2 >= '2024-01-12'")
 def j7(spark, d):
-    w = Window.partitionBy("session_id").orderBy("line")
-    s = events(spark, d).where("event_type = 'USER_INTENT'").select(C("event_id").alias("span_id"), C("session_date").alias("a"), F.lead("session_date").over(w).alias("b"))
+    s = Q.first_after(events(spark, d).where(OPENS), C("session_date"), "b").select(C("event_id").alias("span_id"), C("session_date").alias("a"), "b")
     return s.where(P.spans_overlap(C("a"), C("b"), "2024-01-12", "2024-01-15")).select("span_id")
 
 
@@ -215,13 +210,18 @@ def w10(spark, d):
 
 @query("w11_supersession", "SELECT o_orderkey, superseded_by, superseded_by IS NULL AS valid FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM orders)")
 def w11(spark, d):
-    return Q.superseded(table(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderpriority", order="o_orderdate").select("o_orderkey", "superseded_by", "valid")
+    return Q.superseded(table(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderpriority", order="o_orderdate", part=F.date_trunc("month", "o_orderdate")).select("o_orderkey", "superseded_by", "valid")
 
 
-@query("w12_phases", f"WITH {EV}, {_SEG} SELECT session_id, segment, min(line) AS from_line, max(line) AS to_line, count(*) AS events, count(DISTINCT event_type) AS kinds, arg_min(k, line) AS intent, count(*) FILTER (outcome = 'failed') > count(*) / 2 AS failing FROM sg GROUP BY session_id, segment")
+@query("w12_phases", f"WITH {EV}, {_SEG} SELECT session_id, segment, min(line) AS from_line, max(line) AS to_line, count(*) AS events, count(DISTINCT event_type) AS kinds, arg_min(k, line) AS intent, array_to_string(list_filter([CASE WHEN count(*) FILTER (outcome = 'failed') > count(*) / 2 THEN 'failing' END, CASE WHEN count(*) FILTER (event_type = 'VERIFICATION') = 0 THEN 'unverified' END, CASE WHEN count(*) < 3 THEN 'short' END, CASE WHEN segment = 0 THEN 'no_intent' END], lambda x: x IS NOT NULL), ',') AS quality_flags FROM sg GROUP BY session_id, segment")
 def w12(spark, d):
+    """Phase candidates; the flags tell what speaks against each."""
     s = Q.segments(events(spark, d), C("event_type") == "USER_INTENT")
-    return s.groupBy("session_id", "segment").agg(F.min("line").alias("from_line"), F.max("line").alias("to_line"), F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds"), F.min_by("k", "line").alias("intent"), (F.count_if(C("outcome") == "failed") > F.count("*") / 2).alias("failing"))
+    flags = F.array(
+        F.when(F.count_if(C("outcome") == "failed") > F.count("*") / 2, "failing"), F.when(F.count_if(C("event_type") == "VERIFICATION") == 0, "unverified"),
+        F.when(F.count("*") < 3, "short"), F.when(C("segment") == 0, "no_intent"),
+    )
+    return s.groupBy("session_id", "segment").agg(F.min("line").alias("from_line"), F.max("line").alias("to_line"), F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds"), F.min_by("k", "line").alias("intent"), F.array_join(flags, ",").alias("quality_flags"))
 
 
 @query("w13_labels", f"WITH {EV}, s AS (SELECT session_id, min(ts) AS start, strftime(min(ts), '%Y-%m-%d') AS d FROM ev GROUP BY 1) SELECT session_id, d || '__' || printf('%03d', row_number() OVER (PARTITION BY d ORDER BY start, session_id)) || '__' || session_id AS label FROM s")
@@ -247,9 +247,17 @@ def e1(spark, d):
     return Q.since_first(events(spark, d), F.expr(CALL), "session_id", "k").groupBy("k").agg(*[F.count_if(F.expr(x)).alias(n) for n, x in STATES.items()])
 
 
-@query("e2_usage_chains", f"WITH {EV}, {_PAIRS}, n AS (SELECT call_id, count(*) AS results FROM pr GROUP BY 1) SELECT event_id AS call_id, coalesce(results, 0) AS results, results IS NOT NULL AS answered FROM ev LEFT JOIN n ON call_id = event_id WHERE {CALL}")
+_CHAINS = f"ch AS (SELECT c.session_id, c.correlation_id, c.event_id AS call_id, c.line AS call_line, count(r.event_id) AS results, list(r.event_id ORDER BY r.line) FILTER (r.event_id IS NOT NULL) AS ids, list(r.line ORDER BY r.line) FILTER (r.event_id IS NOT NULL) AS lines FROM ev c LEFT JOIN ev r ON c.session_id = r.session_id AND c.correlation_id = r.correlation_id AND r.line > c.line AND r.{RESULT} WHERE c.{CALL} GROUP BY ALL)"
+
+
+def chains(spark, d):
+    return Q.usage_chains(events(spark, d), F.expr(CALL), F.expr(RESULT))
+
+
+@query("e2_usage_chains", f"WITH {EV}, {_CHAINS} SELECT call_id, results, results > 0 AS answered, coalesce(array_to_string(ids[1:5], ','), '') AS members FROM ch")
 def e2(spark, d):
-    return pairs(spark, d, "left").groupBy("call_id").agg(F.count("result_id").alias("results")).withColumn("answered", C("results") > 0)
+    """Every call with all its results counted and the first five named."""
+    return chains(spark, d).select("call_id", "results", (C("results") > 0).alias("answered"), F.coalesce(F.array_join(C("members.event_id").cast("array<string>"), ","), F.lit("")).alias("members"))
 
 
 ACTIONS = ["invoked", "verified", "failed", "called", "observed"]
@@ -263,10 +271,14 @@ def e3(spark, d):
     return e.select("event_id", F.array_min(F.transform(found, lambda a: F.struct(S.priority(a, ACTIONS).alias("p"), a.alias("a"))))["a"].alias("primary_action"))
 
 
-@query("e4_causal_admission", f"WITH {EV}, {_PAIRS}, n AS (SELECT session_id, correlation_id, count(*) AS chains, min(call_id) AS call_id, min(result_id) AS result_id FROM pr GROUP BY ALL), c AS (SELECT DISTINCT session_id, correlation_id FROM ev WHERE {CALL}) SELECT session_id, correlation_id, CASE WHEN chains = 1 THEN 'admitted' ELSE 'unresolved' END AS verdict FROM c LEFT JOIN n USING (session_id, correlation_id)")
+@query("e4_causal_admission", f"WITH {EV}, {_CHAINS}, one AS (SELECT session_id, correlation_id, CAST(sum(results) AS BIGINT) AS chains, arg_max(call_line, results) AS call_line, arg_max(lines[1], results) AS result_line FROM ch WHERE correlation_id <> '' GROUP BY ALL) SELECT session_id, correlation_id, CASE WHEN chains = 1 THEN 'admitted' ELSE 'unresolved' END AS verdict, CASE WHEN chains = 1 THEN 'raw:line:' || call_line END AS call_ref, CASE WHEN chains = 1 THEN 'raw:line:' || result_line END AS result_ref FROM one")
 def e4(spark, d):
-    n = pairs(spark, d, "left").groupBy("session_id", "correlation_id").agg(F.count("result_id").alias("chains"))
-    return n.select("session_id", "correlation_id", F.when(C("chains") == 1, "admitted").otherwise("unresolved").alias("verdict"))
+    """One ordered chain and no other under a correlation id is admitted, with the raw lines of both its ends."""
+    one = chains(spark, d).where("correlation_id <> ''").groupBy("session_id", "correlation_id").agg(
+        F.sum("results").alias("chains"), F.max_by("call_line", "results").alias("call_line"), F.max_by(C("members")[0]["line"], "results").alias("result_line")
+    )
+    ref = lambda line: F.when(C("chains") == 1, F.concat(F.lit("raw:line:"), C(line).cast("string")))
+    return one.select("session_id", "correlation_id", F.when(C("chains") == 1, "admitted").otherwise("unresolved").alias("verdict"), ref("call_line").alias("call_ref"), ref("result_line").alias("result_ref"))
 
 
 @query("e5_quantitative_admission", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) >= 2 AS admitted FROM documents")
@@ -277,8 +289,7 @@ def e5(spark, d):
 
 @query("e6_interval_admission", f"WITH {EV}, {_SPANS} SELECT span_id, count(*) AS interior, bool_and(k <> '') AS all_readable FROM ev JOIN sp USING (session_id) WHERE line > lo AND line < hi GROUP BY span_id HAVING count(*) FILTER (event_type <> 'ERROR') >= 1")
 def e6(spark, d):
-    e = events(spark, d)
-    g = Q.interior(e, spans(e)).groupBy("span_id").agg(F.count("*").alias("interior"), F.bool_and(C("k") != "").alias("all_readable"), F.count_if(C("event_type") != "ERROR").alias("kept"))
+    g = Q.interior(events(spark, d), F.expr(OPENS)).groupBy("span_id").agg(F.count("*").alias("interior"), F.bool_and(C("k") != "").alias("all_readable"), F.count_if(C("event_type") != "ERROR").alias("kept"))
     return g.where("kept >= 1").drop("kept")
 
 
@@ -300,12 +311,13 @@ def e9(spark, d):
     return p.select("p_partkey", F.when(~C("g.schema_ok") & ~C("g.digest_ok"), "incompatible").when(~C("g.source_ok"), "stale_readable").otherwise("current").alias("state"))
 
 
-@query("e10_target_freshness", f"WITH {EV}, s AS (SELECT session_id, max(ts) AS last, count(*) AS n FROM ev GROUP BY 1), g AS (SELECT max(ts) AS newest FROM ev) SELECT session_id, CASE WHEN n < 50 THEN 'unknown' WHEN last < newest - INTERVAL 24 HOUR THEN 'stale' WHEN last > newest - INTERVAL 1 HOUR THEN 'deferred_live' ELSE 'current' END AS freshness FROM s, g")
+@query("e10_target_freshness", f"WITH {EV}, s AS (SELECT session_id, max(ts) AS last, count(*) AS n, count(*) FILTER (ts < TIMESTAMP '2024-01-30') AS indexed FROM ev GROUP BY 1), g AS (SELECT max(last) AS newest, count(*) FILTER (indexed < n) AS dirty FROM s) SELECT session_id, CASE WHEN indexed = 0 THEN 'unknown' WHEN last > newest - INTERVAL 1 HOUR THEN 'deferred_live' WHEN indexed < n THEN 'stale' WHEN dirty > 0 THEN 'global_stale' ELSE 'current' END AS freshness FROM s, g")
 def e10(spark, d):
+    """What is indexed up to the last day against what there is: a target's own state first, then that of the others."""
     e = events(spark, d)
-    s = e.groupBy("session_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
-    s = s.withColumn("newest", e.agg(F.max("ts")).scalar())
-    ladder = F.when(C("n") < 50, "unknown").when(F.expr("last < newest - interval 24 hours"), "stale").when(F.expr("last > newest - interval 1 hour"), "deferred_live").otherwise("current")
+    s = e.groupBy("session_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.count_if(C("ts") < F.lit("2024-01-30").cast("timestamp_ntz")).alias("indexed"))
+    s = s.withColumns({"newest": e.agg(F.max("ts")).scalar(), "dirty": s.agg(F.count_if(C("indexed") < C("n"))).scalar()})
+    ladder = F.when(C("indexed") == 0, "unknown").when(F.expr("last > newest - interval 1 hour"), "deferred_live").when(C("indexed") < C("n"), "stale").when(C("dirty") > 0, "global_stale").otherwise("current")
     return s.select("session_id", ladder.alias("freshness"))
 
 
@@ -329,11 +341,15 @@ def e13(spark, d):
     return start.join(answers, ["session_id", "episode"]).select("intent_id", "answer_id")
 
 
-@query("a17_evidence_states", f"WITH {EV}, s AS (SELECT k, session_id, min(CASE event_type WHEN 'VERIFICATION' THEN 1 WHEN 'TOOL_OUTPUT' THEN 2 WHEN 'TOOL_CALL' THEN 3 ELSE 4 END) AS state, count(*) AS associations FROM ev GROUP BY ALL) SELECT state, count(*) AS units, CAST(sum(associations) AS BIGINT) AS associations, CAST(sum(associations) - count(*) AS BIGINT) AS duplicates FROM s GROUP BY state")
+@query("a17_evidence_states", f"WITH {EV}, s AS (SELECT k, session_id, min(CASE event_type WHEN 'VERIFICATION' THEN 1 WHEN 'TOOL_OUTPUT' THEN 2 WHEN 'TOOL_CALL' THEN 3 ELSE 4 END) AS state, count(*) AS associations FROM ev GROUP BY ALL), rj AS (SELECT c.session_id, c.k, count(*) AS n FROM ev c JOIN ev r ON c.session_id = r.session_id AND r.line BETWEEN c.line + 1 AND c.line + 4 AND r.correlation_id <> c.correlation_id WHERE c.{CALL} AND r.{RESULT} GROUP BY ALL) SELECT state, count(*) AS units, CAST(sum(associations) AS BIGINT) AS associations, CAST(sum(associations) - count(*) AS BIGINT) AS duplicates, CAST(coalesce(sum(rj.n), 0) AS BIGINT) AS rejection_edges FROM s LEFT JOIN rj ON rj.session_id = s.session_id AND rj.k = s.k GROUP BY state")
 def a17(spark, d):
+    """Results near a unit's calls that belong to other calls are its rejection edges."""
+    e = events(spark, d)
     rank = S.priority(C("event_type"), ["VERIFICATION", "TOOL_OUTPUT", "TOOL_CALL"])
-    s = events(spark, d).groupBy("k", "session_id").agg(F.min(rank).alias("state"), F.count("*").alias("a"))
-    return s.groupBy("state").agg(F.count("*").alias("units"), F.sum("a").alias("associations"), (F.sum("a") - F.count("*")).alias("duplicates"))
+    s = e.groupBy("k", "session_id").agg(F.min(rank).alias("state"), F.count("*").alias("a"))
+    rejected = Q.nearby_foreign(e, F.expr(CALL), F.expr(RESULT), 4).groupBy("session_id", C("correlation_id").alias("k")).agg(F.count("*").alias("n"))
+    j = s.join(rejected, ["session_id", "k"], "left")
+    return j.groupBy("state").agg(F.count("*").alias("units"), F.sum("a").alias("associations"), (F.sum("a") - F.count("*")).alias("duplicates"), F.coalesce(F.sum("n"), F.lit(0)).alias("rejection_edges"))
 
 
 ROLES = {
