@@ -224,6 +224,30 @@ def test_complete_results_of_several_batches_count_once(spark, tmp_path):
     assert flows.run(flows.progress(flows.stream_events(spark, path, files=1)), "several", "complete").count() == len(want)
 
 
+def test_captures_ahead_of_the_index_over_several_batches(spark, tmp_path):
+    from tracelake.operators import events as E
+    from tracelake.streaming import flows
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = str(tmp_path / "events.parquet")
+    for i in range(3):
+        rows.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(path)
+    old = E.operational_events(rows, lines=False).where("session_id <> 'u1' and (session_id <> 'u2' or ts < '2024-01-10')")
+    got = {r.session_id: (r.ahead, r.rejected) for r in flows.run(flows.capture_ahead(flows.stream_events(spark, path, files=1), flows.index_state(old)), "ahead", "complete").collect()}
+    late = {r.user_id: r.n for r in rows.where("user_id = 1 or (user_id = 2 and ts >= '2024-01-10')").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == rows.select("user_id").distinct().count()
+    assert all(v == ((int(k[1:]) in late), late.get(int(k[1:]), 0)) for k, v in got.items())
+
+
+def test_budget_report_counts_what_is_left_out(spark):
+    links = G.both_ways(spark.createDataFrame([("a", "b", 5), ("a", "c", 4), ("a", "d", 1), ("b", "e", 1), ("b", "c", 1)], "source string, target string, n long"))
+    reached = G.distances(links, spark.createDataFrame([("a",), ("z",)], "seed string"), 2, node_budget=2)
+    got = {r.seed: r.asDict() for r in G.budget_report(links, reached, 2, 4).collect()}
+    # a reaches b and c, then e; d stays out. Walked from a, b and c: 3 + 3 + 2 edges.
+    assert got["a"] == {"seed": "a", "nodes": 4, "omitted_nodes": 1, "edges": 4, "omitted_edges": 4, "truncated": True}
+    assert got["z"] == {"seed": "z", "nodes": 1, "omitted_nodes": 0, "edges": 0, "omitted_edges": 0, "truncated": False}
+
+
 SECRETS = {
     "private_key": ["-----BEGIN EC " + "PRIVATE KEY-----", "-----BEGIN " + "PRIVATE KEY-----"],
     "openai_api_key": ["sk-" + "a1B2" * 6, "sk-proj-" + "x_-9" * 7],

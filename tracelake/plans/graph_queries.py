@@ -76,6 +76,15 @@ def g2_budget(spark, d):
     return G.distances(part_suppliers(spark, d), seeds(spark, d), 1, node_budget=5).select("seed", "node", "hops")
 
 
+@query("g2_budget_report", """WITH n AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), a AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_size = 1), g AS (SELECT seed, count(s) AS d FROM a LEFT JOIN n ON n.p = a.seed GROUP BY 1)
+SELECT seed, 1 + least(d, 5) AS nodes, greatest(d - 5, 0) AS omitted_nodes, least(d, 3) AS edges, d - least(d, 3) AS omitted_edges, d > 3 AS truncated FROM g""")
+def g2_report(spark, d):
+    """Budgets of five nodes and three edges a seed: what they keep and what they omit."""
+    links = materialize(part_suppliers(spark, d), "links")
+    reached = materialize(G.distances(links, seeds(spark, d), 1, node_budget=5), "reached")
+    return G.budget_report(links, reached, 1, 3)
+
+
 @query("g3_timeline", f"WITH {PO} SELECT event_id, row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S'), session_id, line, event_id) AS place FROM po WHERE route_signal = 'k:7' ORDER BY place LIMIT 40")
 def g3(spark, d):
     from pyspark.sql.window import Window

@@ -131,10 +131,11 @@ def r8(spark, d):
     return FL.run(FL.rolling_health(stream(spark, d), "1 hour", "0 seconds"), "health").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("r9_capture_ahead", f"WITH {EV}, n AS (SELECT session_id, count(*) AS captured, count(*) FILTER (session_date < '2024-01-29') AS indexed FROM ev GROUP BY 1) SELECT session_id, captured <> indexed AS ahead FROM n")
+@query("r9_capture_ahead", f"WITH {EV}, n AS (SELECT session_id, count(*) AS captured, count(*) FILTER (session_date < '2024-01-29') AS indexed FROM ev GROUP BY 1) SELECT session_id, captured <> indexed AS ahead, captured - indexed AS rejected FROM n")
 def r9(spark, d):
-    n = facts(spark, d).groupBy("session_id").agg(F.count("*").alias("captured"), F.count_if(C("session_date") < "2024-01-29").alias("indexed"))
-    return n.select("session_id", (C("captured") != C("indexed")).alias("ahead"))
+    """The stream of captured events against the index as it stood before the last days."""
+    old = facts(spark, d).where("session_date < '2024-01-29'")
+    return FL.run(FL.capture_ahead(stream(spark, d), FL.index_state(old)), "ahead", "complete")
 
 
 @query("r5_late_evidence", "SELECT 'u' || user_id AS session_id, count(*) AS events, count(*) FILTER (event_type = 'signup') AS intervals FROM events GROUP BY 1")

@@ -55,6 +55,24 @@ def replay_safe(events: DataFrame, delay: str, *key: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def _digest() -> list:
+    """A digest of a session's events that doesn't depend on their order or batches: their number and the sum of their checksums."""
+    return [F.count("*").alias("n"), F.sum(F.crc32(F.col("event_id").cast("string"))).alias("checksum")]
+
+
+def index_state(events: DataFrame) -> DataFrame:
+    """(session_id, indexed, indexed_to) of the events an index was built from."""
+    return events.groupBy("session_id").agg(F.struct(*_digest()).alias("indexed"), F.max("ts").cast("timestamp").alias("indexed_to"))
+
+
+def capture_ahead(events: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Per session of the stream: whether what is captured differs from what the table indexed holds, and how many rows are rejected as newer than it. For complete mode."""
+    j = events.join(indexed, "session_id", "left")
+    newer = F.col("indexed_to").isNull() | (F.col("ts") > F.col("indexed_to"))
+    g = j.groupBy("session_id").agg(F.struct(*_digest()).alias("captured"), F.first("indexed", True).alias("indexed"), F.count_if(newer).alias("rejected"))
+    return g.select("session_id", (~F.col("captured").eqNullSafe(F.col("indexed"))).alias("ahead"), "rejected")
+
+
 def quiet_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
     """A session's stretch is emitted once nothing has come for gap."""
     w = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "session_id").agg(F.count("*").alias("events"))
