@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, egojoin, lm, mixing, packing, pii, quality, simhash, url_filter, warc
+from . import ann, collocations, decontaminate, egojoin, lm, merkle, mixing, packing, pii, quality, simhash, url_filter, warc
 from .common import join_spread, materialize, new_path, table
 from .tokens import tokenizer_path
 
@@ -82,8 +82,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(full.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10)
+    items = F.sha2(F.array_join(F.array_sort("leak.items"), ","), 256).alias("items_sha256")
+    return found.select("doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"), items, (F.col("leak.n_hit") > 0).alias("contaminated"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"), least=30, top=2000, share=80)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, checked for what the tampered dataset holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    leaf = lambda text: merkle.leaf_hash(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    proved = merkle.prove(merkle.build_manifest(docs, "doc_id", "lang", leaf(F.col("text")), leaf(tampered)))
+    return proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_packing, op4_pii, op5_ann, op6_quality, op7_mixing, op8_embedding_near_dedup, op9_lm_scoring, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_packing, op4_pii, op5_ann, op6_quality, op7_mixing, op8_embedding_near_dedup, op9_lm_scoring, op10_warc, op11_decontamination, op12_collocations, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,6 +111,9 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": _OP1,
         "op7_mixing": _OP7,
         "op10_warc": _OP10,
+        "op11_decontamination": _OP11,
+        "op12_collocations": _OP12,
+        "op13_merkle": _OP13,
     }
 
 
@@ -142,3 +165,62 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN first IS NOT NULL AND page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (html)
 """
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM b, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)),
+spot AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM d, (SELECT DISTINCT size FROM win), LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)),
+found AS (SELECT doc_id, i, size, item_id FROM spot JOIN win USING (size, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM found, LATERAL (SELECT unnest(range(i, i + size)) AS k) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+_OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM c WHERE k > 1 AND f >= 30),
+cuts AS (SELECT x.lang, x.k, x.phrase, x.a, cut, l.f AS l, r.f AS r, CAST(2000000 * CAST(x.a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) x
+  JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(s[1:cut], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(s[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_of AS (SELECT lang, array_to_string(s[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(2, k)) AS m FROM cand) y, LATERAL (SELECT unnest(range(1, k - m + 2)) AS i) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b LEFT JOIN inner_of o ON o.lang = b.lang AND o.phrase = b.phrase JOIN t ON t.lang = b.lang
+WHERE o.longer IS NULL OR CAST(100 AS HUGEINT) * o.longer < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+_OP13 = f"""
+WITH RECURSIVE said AS (SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN {_LOW.format("text")} ELSE text END AS told FROM documents),
+leaf AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p,
+  sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf, sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "told"))}) AS claim FROM said),
+tree(lang, lv, p, h) AS (SELECT lang, 0, p, leaf FROM leaf
+  UNION ALL SELECT lang, any_value(lv) + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM tree) WHERE n > 1 GROUP BY lang, p // 8),
+sub AS (SELECT lang, arg_max(h, lv) AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p FROM tree GROUP BY lang),
+top(lv, p, h) AS (SELECT 0, p, subroot FROM sub
+  UNION ALL SELECT any_value(lv) + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY p // 8),
+runs AS (SELECT 1 AS t, lang, lv, p // 8 AS q, list(h ORDER BY p) AS kids FROM (SELECT *, count(*) OVER (PARTITION BY lang, lv) AS n FROM tree) WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT 2, NULL, lv, p // 8, list(h ORDER BY p) FROM (SELECT *, count(*) OVER (PARTITION BY lv) AS n FROM top) WHERE n > 1 GROUP BY ALL),
+climb(doc_id, lang, lv, p, h, proof) AS (SELECT doc_id, lang, 0, p, claim, '' FROM leaf
+  UNION ALL SELECT doc_id, c.lang, c.lv + 1, p // 8, sha256(array_to_string(kids[1:p % 8], '') || h || array_to_string(kids[p % 8 + 2:], '')), proof || array_to_string(kids[1:p % 8], '') || array_to_string(kids[p % 8 + 2:], '')
+  FROM climb c JOIN runs r ON r.t = 1 AND r.lang IS NOT DISTINCT FROM c.lang AND r.lv = c.lv AND r.q = c.p // 8),
+at_sub AS (SELECT doc_id, lang, arg_max(h, lv) AS h, arg_max(proof, lv) AS proof FROM climb GROUP BY ALL),
+up(doc_id, lv, p, h, proof) AS (SELECT doc_id, 0, p, h, proof FROM at_sub JOIN sub ON sub.lang IS NOT DISTINCT FROM at_sub.lang
+  UNION ALL SELECT doc_id, c.lv + 1, p // 8, sha256(array_to_string(kids[1:p % 8], '') || h || array_to_string(kids[p % 8 + 2:], '')), proof || array_to_string(kids[1:p % 8], '') || array_to_string(kids[p % 8 + 2:], '')
+  FROM up c JOIN runs r ON r.t = 2 AND r.lv = c.lv AND r.q = c.p // 8),
+done AS (SELECT doc_id, arg_max(h, lv) AS folded_root, sha256(arg_max(proof, lv)) AS proof_sha256 FROM up GROUP BY doc_id),
+root AS (SELECT arg_max(h, lv) AS root FROM top)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang JOIN done USING (doc_id), root
+"""
