@@ -38,17 +38,17 @@ from .common import join_spread, materialize
 
 LONGEST = 4
 MOST_WORDS = 1 << 19
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Word occurrences of one language that a task gathers before it aggregates, and of all languages.
-GATHER, GATHER_ALL = 1 << 20, 1 << 22
-KEEP_WORDS = 400_000
+GATHER, GATHER_ALL = 1 << 20, 1 << 21
+KEEP_WORDS = 200_000
 #: A-Z lowered, a tab to a blank, the ends of pieces to a newline.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b" " + b"\n" * 10)
 IDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
 def _runs(text: str | None) -> Iterator[bytes]:
-    """The folded text, some megabytes at a time, cut only where a word ends; what stands before a cut ends no piece by that."""
+    """The folded text, a megabyte at a time, cut only where a word ends; what stands before a cut ends no piece by that."""
     data = (text or "").encode().translate(FOLD)
     at = 0
     while at < len(data):
@@ -206,14 +206,13 @@ def edge_counts(docs: DataFrame, held: dict[str, list[str]], complete: bool) ->
 def fold_light(edges: DataFrame, least: int) -> DataFrame:
     """Edges -> (lang, k, w1..w4, n): k 4, edges of least or more; k 3, what flows out of a node of least or more by other ways; k 2 and 1, flow that stops at a pair or word or goes on to lighter nodes."""
     whole = edges.repartition("lang", "w1", "w2", "w3").groupBy("lang", *IDS).agg(F.sum("n").alias("n"))
-    heavy = (F.col("n") >= least) & (F.col("w4") != 0)
-    nodes = whole.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("flow"), F.coalesce(F.sum(F.when(heavy, F.col("n"))), F.lit(0)).alias("on"), F.collect_list(F.when(heavy, F.struct("w4", "n"))).alias("ways"))
-    row = lambda k, w2, w3, w4, n: F.struct(F.lit(k).alias("k"), w2.alias("w2"), w3.alias("w3"), w4.alias("w4"), n.alias("n"))
-    zero, w2, w3 = F.lit(0).cast("bigint"), F.col("w2"), F.col("w3")
-    light = F.array(F.when(w2 == 0, row(1, zero, zero, zero, F.col("flow"))).otherwise(row(2, w2, zero, zero, F.col("flow"))))
-    full = F.concat(F.array(row(3, w2, w3, zero, F.col("flow") - F.col("on"))), F.transform("ways", lambda x: row(4, w2, w3, x["w4"], x["n"])))
-    rows = nodes.select("lang", "w1", F.explode(F.when((w3 != 0) & (F.col("flow") >= least), full).otherwise(light)).alias("r"))
-    return rows.select("lang", "w1", "r.*").groupBy("lang", "k", *IDS).agg(F.sum("n").alias("n"))
+    # Of sums alone, so that no part of it moves below the exchange, which both branches share.
+    heavy = F.when(F.col("w4") != 0, F.col("n")).otherwise(0) >= least
+    nodes = whole.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("flow"), F.sum(F.when(heavy, F.col("n")).otherwise(0)).alias("on"))
+    full, zero = (F.col("w3") != 0) & (F.col("flow") >= least), F.lit(0).cast("bigint")
+    k = F.when(full, 3).when(F.col("w2") != 0, 2).otherwise(1).alias("k")
+    rest = nodes.select("lang", k, "w1", "w2", F.when(full, F.col("w3")).otherwise(zero).alias("w3"), zero.alias("w4"), (F.col("flow") - F.when(full, F.col("on")).otherwise(0)).alias("n"))
+    return whole.where(heavy).select("lang", F.lit(4).alias("k"), *IDS, "n").unionByName(rest.groupBy("lang", "k", *IDS).agg(F.sum("n").alias("n")))
 
 
 def compact_paths(edges: DataFrame) -> DataFrame:
@@ -296,8 +295,8 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     language is `und`, a null or empty text has no words. Candidates have least
     occurrences; ranks go by score, then a (both descending), then the phrase's
     bytes. Rows are counted as often as they are there; ids are not looked at,
-    nor other columns. No documents: no rows. Texts are read whole, some
-    megabytes at a time.
+    nor other columns. No documents: no rows. Texts are read whole, a
+    megabyte at a time.
     """
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = materialize(count_words(docs), "words")
