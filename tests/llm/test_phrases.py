@@ -68,19 +68,19 @@ def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
 
 def test_unary_paths(spark):
     """Chains of one weight join, branches and other weights part them, cycles stay single edges."""
-    e = lambda words, n: [("en", *words[i : i + 4], n) for i in range(len(words) - 3)]
-    rows = e([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13], 7) + e([21, 22, 23, 24, 25], 7) + e([22, 23, 24, 26], 7) + e([31, 32, 33, 34], 5) + e([32, 33, 34, 35], 6) + e([41, 42, 43, 41, 42, 43], 9) + [("en", 5, 5, 5, 5, 3), ("fr", 1, 2, 3, 4, 7)]
-    df = spark.createDataFrame(rows, "lang string, w1 long, w2 long, w3 long, w4 long, n long")
-    got = sorted((r.lang, r.words, r.n) for r in op.compact_paths(df).collect())
-    want = [("en", [*range(1, 14)], 7), ("en", [21, 22, 23, 24], 7), ("en", [22, 23, 24, 25], 7), ("en", [22, 23, 24, 26], 7), ("en", [31, 32, 33, 34], 5), ("en", [32, 33, 34, 35], 6), ("en", [5, 5, 5, 5], 3), ("fr", [1, 2, 3, 4], 7)]
-    assert got == sorted(want + [("en", [41, 42, 43, 41], 9), ("en", [42, 43, 41, 42], 9), ("en", [43, 41, 42, 43], 9)])
+    e = lambda words, n: [(*words[i : i + 4], n) for i in range(len(words) - 3)]
+    rows = e([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13], 7) + e([21, 22, 23, 24, 25], 7) + e([22, 23, 24, 26], 7) + e([31, 32, 33, 34], 5) + e([32, 33, 34, 35], 6) + e([41, 42, 43, 41, 42, 43], 9) + [(5, 5, 5, 5, 3)]
+    df = spark.createDataFrame(rows, "w1 long, w2 long, w3 long, w4 long, n long")
+    got = sorted((r.words, r.n) for r in op.compact_paths(df).collect())
+    want = [([*range(1, 14)], 7), ([21, 22, 23, 24], 7), ([22, 23, 24, 25], 7), ([22, 23, 24, 26], 7), ([31, 32, 33, 34], 5), ([32, 33, 34, 35], 6), ([5, 5, 5, 5], 3)]
+    assert got == sorted(want + [([41, 42, 43, 41], 9), ([42, 43, 41, 42], 9), ([43, 41, 42, 43], 9)])
 
 
 def test_large_counts_stay_exact(spark):
     """Counts whose products pass 64 bits: by the counts themselves, not by texts."""
     big = 10**16
-    rows = [("en", 1, "1", 3 * big), ("en", 1, "2", 3 * big + 1), ("en", 2, "1,2", 2 * big + 1), ("en", 3, "1,2,1", 2 * big), ("en", 2, "2,1", 2 * big)]
-    counts = spark.createDataFrame(rows, "lang string, k int, key string, f long")
+    rows = [(1, "1", 3 * big), (1, "2", 3 * big + 1), (2, "1,2", 2 * big + 1), (3, "1,2,1", 2 * big), (2, "2,1", 2 * big)]
+    counts = spark.createDataFrame(rows, "k int, key string, f long")
     got = {r.key: r for r in op.score_candidates(counts, 30).collect()}
     assert got["1,2"].score == 2_000_000 * (2 * big + 1) // (6 * big + 1)
     assert got["1,2,1"].score == min(2_000_000 * 2 * big // (5 * big), 2_000_000 * 2 * big // (5 * big + 1))

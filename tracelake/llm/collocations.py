@@ -16,7 +16,8 @@ grams of four and three words are read off the paths.
 
 Words become numbers: the most frequent ones, MOST_WORDS at most, get small ones
 and are broadcast; if there are more words that a candidate may hold, the others
-go by a 63-bit hash. Words that share a hash (next to none) are broadcast too,
+go by a 63-bit hash. Numbers are unique over all languages, so grams need no
+language beside them, and small ones are packed, a node to a bigint. Words that share a hash (next to none) are broadcast too,
 with numbers of their own, so no two words ever share one.
 """
 
@@ -45,6 +46,8 @@ KEEP_WORDS = 200_000
 #: A-Z lowered, a tab to a blank, the ends of pieces to a newline.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b" " + b"\n" * 10)
 IDS = [f"w{i}" for i in range(1, LONGEST + 1)]
+#: Bits of a small number: three of them make a packed node.
+BITS = 21
 
 
 def _runs(text: str | None) -> Iterator[bytes]:
@@ -157,8 +160,12 @@ def _edges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return small[np.array(columns, np.int64)], counts
 
 
+def node_columns(complete: bool) -> list[str]:
+    return ["node"] if complete else IDS[:3]
+
+
 def edge_counts(docs: DataFrame, held: dict[str, list[str]], complete: bool) -> DataFrame:
-    """docs(lang, text) -> (lang, w1..w4, n): edges of the graph as far as tasks have aggregated them; 0 from a stop on."""
+    """docs(lang, text) -> (node, w4, n), or (w1, w2, w3, w4, n): edges of the graph as far as tasks have aggregated them; 0 from a stop on."""
     shared = docs.sparkSession.sparkContext.broadcast(held)
     key = uuid.uuid4().hex
 
@@ -172,9 +179,12 @@ def edge_counts(docs: DataFrame, held: dict[str, list[str]], complete: bool) ->
             _HERE[key] = out
         return _HERE[key].get(lang) or _Ids([], 0, lang, complete)
 
-    def batch(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
+    def batch(parts: list[np.ndarray]) -> pa.RecordBatch:
         grams, counts = _edges(np.concatenate(parts))
-        return pa.record_batch([pa.array([lang] * len(counts), pa.string()), *(pa.array(g.view(np.int64)) for g in grams), pa.array(counts.astype(np.int64))], ["lang", *IDS, "n"])
+        if complete:
+            bits = np.uint64(BITS)
+            grams = [(grams[0] << bits | grams[1]) << bits | grams[2], grams[3]]
+        return pa.record_batch([*(pa.array(g.view(np.int64)) for g in grams), pa.array(counts.astype(np.int64))], [*node_columns(complete), "w4", "n"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: dict[str, list[np.ndarray]] = {}
@@ -190,33 +200,39 @@ def edge_counts(docs: DataFrame, held: dict[str, list[str]], complete: bool) ->
                 parts.append(np.zeros(1, np.uint64))
                 sizes[lang] += 1
                 if sizes[lang] > GATHER:
-                    yield batch(lang, gathered.pop(lang))
+                    yield batch(gathered.pop(lang))
                     del sizes[lang]
             if sizes.total() > GATHER_ALL:
-                for k, v in gathered.items():
-                    yield batch(k, v)
+                for v in gathered.values():
+                    yield batch(v)
                 gathered.clear()
                 sizes.clear()
-        for k, v in gathered.items():
-            yield batch(k, v)
+        for v in gathered.values():
+            yield batch(v)
 
-    return docs.mapInArrow(walk, f"lang string, {', '.join(f'{w} bigint' for w in IDS)}, n bigint")
+    return docs.mapInArrow(walk, ", ".join(f"{c} bigint" for c in [*node_columns(complete), "w4", "n"]))
 
 
 def fold_light(edges: DataFrame, least: int) -> DataFrame:
-    """Edges -> (lang, k, w1..w4, n): k 4, edges of least or more; k 3, what flows out of a node of least or more by other ways; k 2 and 1, flow that stops at a pair or word or goes on to lighter nodes."""
-    whole = edges.repartition("lang", "w1", "w2", "w3").groupBy("lang", *IDS).agg(F.sum("n").alias("n"))
+    """Edges -> (k, w1..w4, n): k 4, edges of least or more; k 3, what flows out of a node of least or more by other ways; k 2 and 1, flow that stops at a pair or word or goes on to lighter nodes."""
+    packed = "node" in edges.columns
+    node = node_columns(packed)
+    whole = edges.repartition(*node).groupBy(*node, "w4").agg(F.sum("n").alias("n"))
     # Of sums alone, so that no part of it moves below the exchange, which both branches share.
     heavy = F.when(F.col("w4") != 0, F.col("n")).otherwise(0) >= least
-    nodes = whole.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("flow"), F.sum(F.when(heavy, F.col("n")).otherwise(0)).alias("on"))
-    full, zero = (F.col("w3") != 0) & (F.col("flow") >= least), F.lit(0).cast("bigint")
-    k = F.when(full, 3).when(F.col("w2") != 0, 2).otherwise(1).alias("k")
-    rest = nodes.select("lang", k, "w1", "w2", F.when(full, F.col("w3")).otherwise(zero).alias("w3"), zero.alias("w4"), (F.col("flow") - F.when(full, F.col("on")).otherwise(0)).alias("n"))
-    return whole.where(heavy).select("lang", F.lit(4).alias("k"), *IDS, "n").unionByName(rest.groupBy("lang", "k", *IDS).agg(F.sum("n").alias("n")))
+    nodes = whole.groupBy(*node).agg(F.sum("n").alias("flow"), F.sum(F.when(heavy, F.col("n")).otherwise(0)).alias("on"))
+    mask, zero = F.lit((1 << BITS) - 1), F.lit(0).cast("bigint")
+    ids = [F.shiftright("node", 2 * BITS), F.shiftright("node", BITS).bitwiseAND(mask), F.col("node").bitwiseAND(mask)] if packed else [F.col(c) for c in node]
+    full = (ids[2] != 0) & (F.col("flow") >= least)
+    k = F.when(full, 3).when(ids[1] != 0, 2).otherwise(1).alias("k")
+    cut = [F.when(full, F.col("node")).otherwise(F.col("node").bitwiseAND(F.lit(-(1 << BITS)))).alias("node")] if packed else [F.col("w1"), F.col("w2"), F.when(full, F.col("w3")).otherwise(zero).alias("w3")]
+    rest = nodes.select(k, *cut, (F.col("flow") - F.when(full, F.col("on")).otherwise(0)).alias("n")).groupBy("k", *node).agg(F.sum("n").alias("n"))
+    spelled = [c.alias(w) for c, w in zip(ids, IDS)]
+    return whole.where(heavy).select(F.lit(4).alias("k"), *spelled, "w4", "n").unionByName(rest.select("k", *spelled, zero.alias("w4"), "n"))
 
 
 def compact_paths(edges: DataFrame) -> DataFrame:
-    """edges(lang, w1..w4, n), distinct -> (lang, words array<bigint>, n): maximal unary paths; every other edge is a path of its own.
+    """edges(w1..w4, n), distinct -> (words array<bigint>, n): maximal unary paths; every other edge is a path of its own.
 
     A node with one edge in and one out, of one weight, lies inside a path.
     Edges find the first edge of their path by pointer doubling: a round joins
@@ -225,9 +241,9 @@ def compact_paths(edges: DataFrame) -> DataFrame:
     longest piece.
     """
     edges = materialize(edges.withColumn("edge", F.monotonically_increasing_id()), "edges")
-    into = edges.groupBy("lang", F.col("w2").alias("a"), F.col("w3").alias("b"), F.col("w4").alias("c")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("edge").alias("prev")).where("k = 1").drop("k")
-    out = edges.groupBy("lang", F.col("w1").alias("a"), F.col("w2").alias("b"), F.col("w3").alias("c")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("edge").alias("edge")).where("k = 1").drop("k")
-    links = materialize(into.join(out, ["lang", "a", "b", "c", "n"]).select("edge", F.col("prev").alias("to"), F.lit(1).cast("bigint").alias("far")), "links")
+    into = edges.groupBy(F.col("w2").alias("a"), F.col("w3").alias("b"), F.col("w4").alias("c")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("edge").alias("prev")).where("k = 1").drop("k")
+    out = edges.groupBy(F.col("w1").alias("a"), F.col("w2").alias("b"), F.col("w3").alias("c")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("edge").alias("edge")).where("k = 1").drop("k")
+    links = materialize(into.join(out, ["a", "b", "c", "n"]).select("edge", F.col("prev").alias("to"), F.lit(1).cast("bigint").alias("far")), "links")
     settled, state, left = None, links.withColumn("done", F.lit(False)), links.count()
     while left:
         ahead = state.select(F.col("edge").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("done").alias("over"))
@@ -240,10 +256,10 @@ def compact_paths(edges: DataFrame) -> DataFrame:
         if left == before:
             break
     if settled is None:
-        return edges.select("lang", F.array(*IDS).alias("words"), "n")
+        return edges.select(F.array(*IDS).alias("words"), "n")
     tails = edges.join(settled, "edge").groupBy(F.col("to").alias("edge")).agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "w4"))), lambda x: x["w4"]).alias("rest"))
     heads = edges.join(settled.select("edge"), "edge", "left_anti").join(tails, "edge", "left")
-    return heads.select("lang", F.concat(F.array(*IDS), F.coalesce("rest", F.expr("cast(array() as array<bigint>)"))).alias("words"), "n")
+    return heads.select(F.concat(F.array(*IDS), F.coalesce("rest", F.expr("cast(array() as array<bigint>)"))).alias("words"), "n")
 
 
 def _key(*ids) -> Column:
@@ -251,16 +267,16 @@ def _key(*ids) -> Column:
 
 
 def gram_counts(flows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(lang, k, key, f): phrases as comma-joined ids with their counts; all heavy ones, and lighter words and pairs too."""
+    """(k, key, f): phrases as comma-joined numbers with their counts; all heavy ones, and lighter words and pairs too."""
     at = lambda i: F.try_element_at("words", F.col("i") + i)
-    steps = paths.select("lang", "words", "n", F.explode(F.expr("sequence(1, size(words) - 3)")).alias("i")).select("lang", *[at(i).alias(w) for i, w in enumerate(IDS)], "n")
-    four = steps.select("lang", _key(*IDS).alias("key"), F.col("n").alias("f"))
-    node = steps.select("lang", *IDS[:3], "n").unionByName(flows.where("k = 3").select("lang", *IDS[:3], "n")).groupBy("lang", *IDS[:3]).agg(F.sum("n").alias("n"))
-    pair = node.select("lang", *IDS[:2], "n").unionByName(flows.where("k = 2").select("lang", *IDS[:2], "n")).groupBy("lang", *IDS[:2]).agg(F.sum("n").alias("n"))
-    word = pair.select("lang", "w1", "n").unionByName(flows.where("k = 1").select("lang", "w1", "n")).groupBy("lang", "w1").agg(F.sum("n").alias("n"))
-    out = four.withColumn("k", F.lit(4))
-    for k, t in ((3, node), (2, pair), (1, word)):
-        out = out.unionByName(t.select("lang", _key(*IDS[:k]).alias("key"), F.col("n").alias("f"), F.lit(k).alias("k")))
+    steps = paths.select("words", "n", F.explode(F.expr("sequence(1, size(words) - 3)")).alias("i")).select(*[at(i).alias(w) for i, w in enumerate(IDS)], "n")
+    out = steps.select(F.lit(4).alias("k"), _key(*IDS).alias("key"), F.col("n").alias("f"))
+    above = steps
+    for k in (3, 2, 1):
+        above = above.select(*IDS[:k], "n").unionByName(flows.where(F.col("k") == k).select(*IDS[:k], "n")).groupBy(*IDS[:k]).agg(F.sum("n").alias("n"))
+        if k == 2:
+            above = materialize(above, "pairs")
+        out = out.unionByName(above.select(F.lit(k).alias("k"), _key(*IDS[:k]).alias("key"), F.col("n").alias("f")))
     return out
 
 
@@ -269,16 +285,16 @@ def _exact(c: Column | str) -> Column:
 
 
 def score_candidates(counts: DataFrame, least: int) -> DataFrame:
-    """counts -> candidates (lang, k, key, a, l, r, score) at their lowest-scoring cut."""
+    """counts -> candidates (k, key, a, l, r, score) at their lowest-scoring cut."""
     cands = counts.where((F.col("k") > 1) & (F.col("f") >= least))
     head, tail = F.expr("substring_index(key, ',', cut)"), F.expr("substring_index(key, ',', cut - k)")
-    cuts = cands.select("lang", "k", "key", F.col("f").alias("a"), F.explode(F.expr("sequence(1, k - 1)")).alias("cut"))
+    cuts = cands.select("k", "key", F.col("f").alias("a"), F.explode(F.expr("sequence(1, k - 1)")).alias("cut"))
     parts = materialize(cuts.select("*", F.posexplode(F.array(head, tail)).alias("side", "part")), "parts")
     named = parts.groupBy("part").agg(F.count("*").alias("n")).join(counts.select(F.col("key").alias("part"), "f"), "part")
-    both = join_spread(parts, named, "part").groupBy("lang", "k", "key", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
+    both = join_spread(parts, named, "part").groupBy("k", "key", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
     both = both.withColumn("score", F.expr("cast(cast(a as decimal(20,0)) * 2000000 as decimal(38,0)) div cast(cast(l as decimal(20,0)) + cast(r as decimal(20,0)) as decimal(38,0))"))
-    best = both.groupBy("lang", "k", "key", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
-    return best.select("lang", "k", "key", "a", "b.l", "b.r", "b.score")
+    best = both.groupBy("k", "key", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
+    return best.select("k", "key", "a", "b.l", "b.r", "b.score")
 
 
 def drop_inner(cands: DataFrame, share: int = 80) -> DataFrame:
@@ -302,9 +318,11 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     words = materialize(count_words(docs), "words")
     numbered, held, complete = number_words(words, least, most_words)
     flows = materialize(fold_light(edge_counts(docs, held, complete), least), "flows")
-    paths = materialize(compact_paths(flows.where("k = 4").select("lang", *IDS, "n")), "paths")
+    paths = materialize(compact_paths(flows.where("k = 4").select(*IDS, "n")), "paths")
     counts = materialize(gram_counts(flows, paths).where((F.col("k") == 1) | (F.col("f") >= least)), "counts")
-    kept = materialize(drop_inner(materialize(score_candidates(counts, least), "candidates"), share), "kept")
+    kept = drop_inner(materialize(score_candidates(counts, least), "candidates"), share).withColumn("id", F.substring_index("key", ",", 1).cast("bigint"))
+    langs = kept.groupBy("id").agg(F.count("*").alias("n")).join(numbered.select("id", "lang"), "id")
+    kept = materialize(join_spread(kept, langs, "id").drop("id"), "kept")
     order = [F.desc("score"), F.desc("a")]
     # First the best of each of 64 parts, ties at the end included: a hot language does not meet in one task.
     some = kept.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("rank", F.rank().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
