@@ -4,8 +4,8 @@ Every row is a leaf. The leaves of a group ascend by id and are folded eight at
 a time to the group's subroot; the subroots, in order of their groups, are
 folded alike to the root. All levels are stored as rows of one table: node,
 parent, slot in the parent, the hashes of the children. A recursive query starts
-at the leaves and ascends parent by parent: each step appends a row with the
-siblings of its level and folds the claimed hash with them.
+at the leaves and ascends parent by parent: each step appends the siblings of
+its level and folds the claimed hash with them.
 
 A node's id is the ordinal of its first leaf times 64 plus its level (32 is
 added to levels above the subroots), so no numbering beyond the sort is needed.
@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import join_spread, materialize, new_path
 
-#: Nodes of a level that are broadcast on the climb: about 3 MB. Nodes of fuller levels have few leaves each.
-FEW_NODES = 4096
+#: Nodes of a level that are broadcast on the climb: about 10 MB. Nodes of fuller levels have a small share of all leaves each.
+FEW_NODES = 16_384
 TOP = 32
 
 
@@ -110,7 +110,7 @@ def build_manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, c
     spark, path, fan = rows.sparkSession, new_path(rows.sparkSession, "merkle"), 1 << bits
     small = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), leaf.alias("leaf"), (leaf if claim is None else claim).alias("claim"))
     key = F.when(F.col("grp").isNull(), "").otherwise(F.concat(F.lit("="), F.col("grp").cast("string"))).alias("key")
-    placed = with_ordinal(small, F.asc_nulls_first("grp"), F.asc_nulls_first("id"), F.asc("leaf")).withColumn("key", key)
+    placed = with_ordinal(materialize(small, "hashes"), F.asc_nulls_first("grp"), F.asc_nulls_first("id"), F.asc("leaf")).withColumn("key", key)
     groups = with_ordinal(placed.groupBy("key", "grp").agg(F.min("g").alias("s"), F.count("*").alias("n")), F.asc_nulls_first("grp")).withColumnRenamed("g", "o")
     n_groups, most = groups.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     groups = groups.withColumn("h", _height(F.col("n"), most, fan))
@@ -133,43 +133,57 @@ def build_manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, c
     return Manifest(leaves.select("id", "grp", "g", "o", "leaf", "claim", "parent", "slot"), nodes.select("node", "parent", "slot", "level", "kids", "hash"), subroots, root[0] if root else None, levels)
 
 
-def climb(m: Manifest) -> DataFrame:
-    """(g, step, hash, beside) of every leaf and level: the claim folded so far and, from step 1 on, the siblings met, as bytes.
-
-    A recursive query. Nodes of levels with at most FEW_NODES of them, which
-    have many leaves each, are broadcast; the others are joined by shuffle. The
-    session's limit on rows of a recursion is lifted: they number leaves times
-    levels, and no step holds them in memory.
-    """
-    spark, tag = m.leaves.sparkSession, uuid.uuid4().hex
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    full = sorted(k for k, n in m.levels.items() if n > FEW_NODES)
-    m.leaves.createOrReplaceTempView(f"leaves_{tag}")
-    m.nodes.where(~F.col("level").isin(full)).createOrReplaceTempView(f"high_{tag}")
-    m.nodes.where(F.col("level").isin(full)).createOrReplaceTempView(f"low_{tag}")
-    ask = f"high_{tag} u ON u.node = c.node"
-    found = {c: f"u.{c}" for c in ("parent", "slot", "kids")}
-    if full:
-        # A key of its own, met by no node, for rows whose node is broadcast: they spread over all tasks.
-        ask = f"low_{tag} l ON l.node = IF((c.node & 63) IN ({', '.join(map(str, full))}), c.node, -1 - c.g) LEFT JOIN {ask}"
-        found = {c: f"coalesce(u.{c}, l.{c})" for c in found}
+def _ascend(rows: DataFrame, nodes: DataFrame, levels: list[int], wide: bool) -> DataFrame:
+    """rows(id, grp, o, leaf, node, slot, hash, proof), each risen as long as its node is of these levels; wide: nodes go by shuffle, else by broadcast."""
+    spark, tag = rows.sparkSession, uuid.uuid4().hex
+    inside = f"coalesce(({{}}.node & 63) IN ({', '.join(map(str, levels))}), false)"
+    rows.createOrReplaceTempView(f"rows_{tag}")
+    nodes.where(F.col("level").isin(levels)).createOrReplaceTempView(f"nodes_{tag}")
     out = spark.sql(f"""
-        WITH RECURSIVE climb(g, node, slot, hash, step, beside) AS (
-          SELECT g, parent, slot, claim, 0, CAST(NULL AS BINARY) FROM leaves_{tag}
+        WITH RECURSIVE climb(id, grp, o, leaf, node, slot, hash, proof) AS (
+          SELECT id, grp, o, leaf, node, slot, hash, proof FROM rows_{tag}
           UNION ALL
-          SELECT g, parent, slot, sha2(concat(before, hash, after), 256), step + 1, unhex(concat(before, after))
-          FROM (SELECT /*+ BROADCAST(u) */ c.g, c.hash, c.step, {found['parent']} AS parent, {found['slot']} AS slot,
-                  array_join(slice({found['kids']}, 1, c.slot), '') AS before, array_join(slice({found['kids']}, c.slot + 2, size({found['kids']})), '') AS after
-                FROM climb c LEFT JOIN {ask} WHERE c.node IS NOT NULL))
-        SELECT g, step, hash, beside FROM climb""")
-    for name in ("leaves", "high", "low"):
+          SELECT id, grp, o, leaf, parent, up, sha2(concat(before, hash, after), 256), concat(proof, unhex(concat(before, after)))
+          FROM (SELECT {'' if wide else '/*+ BROADCAST(n) */'} c.id, c.grp, c.o, c.leaf, c.hash, c.proof, n.parent, n.slot AS up,
+                  array_join(slice(n.kids, 1, c.slot), '') AS before, array_join(slice(n.kids, c.slot + 2, size(n.kids)), '') AS after
+                FROM climb c JOIN nodes_{tag} n ON n.node = c.node))
+        SELECT * FROM climb c WHERE NOT {inside.format('c')}""")
+    for name in ("rows", "nodes"):
         spark.catalog.dropTempView(f"{name}_{tag}")
     return out
 
 
+def climb(m: Manifest) -> DataFrame:
+    """(id, grp, o, leaf, hash, proof) of every leaf: the root that its claim leads to, and the siblings met on the way, as bytes.
+
+    Recursive queries ascend from the leaves: each step appends the siblings of
+    its level and folds the hash with them. Nodes of levels with more than
+    FEW_NODES of them come by shuffle; these have few leaves each and are the
+    first to be met. The nodes above have many leaves each and are broadcast, so
+    no row moves any more and no hot node is a join key. Above more groups than
+    that, the same happens once more. The session's limit on rows of a recursion
+    is lifted: they number leaves times levels, and no step holds them in memory.
+    """
+    m.leaves.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    rows = m.leaves.select("id", "grp", "o", "leaf", F.col("parent").alias("node"), "slot", F.col("claim").alias("hash"), F.lit(b"").alias("proof"))
+    for part in (lambda k: k < TOP, lambda k: k >= TOP):
+        full = [k for k, n in m.levels.items() if part(k) and n > FEW_NODES]
+        few = [k for k, n in m.levels.items() if part(k) and n <= FEW_NODES]
+        if full:
+            rows = materialize(_ascend(rows, m.nodes, full, True), "risen")
+        if part(TOP) and not full:
+            # One recursion to the root: the levels above the subroots go with those below.
+            few += [k for k, n in m.levels.items() if k < TOP and n <= FEW_NODES]
+        elif not part(TOP) and any(k >= TOP and n > FEW_NODES for k, n in m.levels.items()):
+            rows = materialize(_ascend(rows, m.nodes, few, False), "risen") if few else rows
+            continue
+        elif not part(TOP):
+            continue
+        rows = _ascend(rows, m.nodes, few, False) if few else rows
+    return rows.select("id", "grp", "o", "leaf", "hash", "proof")
+
+
 def prove(m: Manifest) -> DataFrame:
     """Per leaf: id, grp, leaf, subroot, root, proof (its siblings' hashes up to the root, as bytes), folded (the root that its claim leads to), verified."""
-    steps = climb(m).groupBy("g").agg(F.max_by("hash", "step").alias("folded"), F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", "beside")))).alias("b"))
-    proofs = steps.select("g", "folded", F.aggregate("b", F.lit(b""), lambda a, x: F.concat(a, x["beside"])).alias("proof"))
-    named = join_spread(m.leaves.select("id", "grp", "g", "o", "leaf"), m.subroots.select("o", "n", "subroot"), "o")
-    return named.join(proofs, "g").select("id", "grp", "leaf", "subroot", F.lit(m.root).alias("root"), "proof", "folded", (F.col("folded") == F.lit(m.root)).alias("verified"))
+    named = join_spread(climb(m), m.subroots.select("o", "n", "subroot"), "o")
+    return named.select("id", "grp", "leaf", "subroot", F.lit(m.root).alias("root"), "proof", F.col("hash").alias("folded"), (F.col("hash") == F.lit(m.root)).alias("verified"))
