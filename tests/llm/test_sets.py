@@ -35,6 +35,17 @@ def test_mix_edge_cases(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_mix_keeps_columns_of_any_name(spark, monkeypatch):
+    """rate, cdf and n of the documents stay; so with sources beyond the bound, a null one among them."""
+    df = docs(spark, [(i, "t", "a" if i % 3 else None) for i in range(300)]).selectExpr("*", "1 as rate", "'c' as cdf", "2 as n", "3 as want", "'k' as shuffle_key")
+    few = mixing.mix(df).collect()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    many = mixing.mix(df).collect()
+    line = lambda r: (r.doc_id, str(r.source), r.copy, r.rate, r.cdf, r.n, r.want, r.shuffle_key)
+    assert sorted(map(line, few)) == sorted(map(line, many)) and {(r.rate, r.cdf, r.n, r.want) for r in few} == {(1, "c", 2, 3)} and {r.source for r in many} == {None, "a"}
+    assert "Python" not in mixing.mix(df)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("base", [BASE, "/root/testdata/sf0.1"])
 def test_ann_recall_and_ties(spark, base):
     """At sf0.1, 128 of 2,000 vectors are measured for a query."""

@@ -15,6 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_spread
+
 MOST_SOURCES = 10_000
 
 
@@ -60,15 +62,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     A null id draws as the text "null"; a null source is a source of its own,
     weighed as "" if weights are given; rows with the same id draw alike. Empty
     input: empty result. Text is not looked at. Columns named like an added one
-    are replaced.
+    are replaced; all others, whatever their names, stay.
     """
     docs = docs.drop(*[c for c in ("copy", "copies", "shuffle_key") if c in docs.columns])
-    rates = repetition_rates(docs, weights, source_col, epochs, power).select("__s", "rate", "cdf")
-    if rates.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
-        rates = F.broadcast(rates)
+    rates = repetition_rates(docs, weights, source_col, epochs, power).select(F.col("__s"), "n", F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = docs.join(rates, docs[source_col].eqNullSafe(rates["__s"])).withColumn("__u", hash_unit(F.lit(str(seed)), ident))
-    counted = drawn.withColumn("copies", F.when(F.col("rate") > 0, F.size(F.filter("cdf", lambda c: c <= F.col("__u")))).otherwise(0)).where("copies > 0")
-    copied = counted.drop("__s", "rate", "cdf", "__u").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    if rates.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        drawn = docs.join(F.broadcast(rates.drop("n")), F.col(source_col).eqNullSafe(F.col("__s")))
+    else:  # a source with a large share of the rows is still broadcast
+        key = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+        drawn = join_spread(docs.withColumn("__s", key(source_col)), rates.withColumn("__s", key("__s")), "__s")
+    drawn = drawn.withColumn("__u", hash_unit(F.lit(str(seed)), ident))
+    counted = drawn.withColumn("copies", F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).otherwise(0)).where("copies > 0")
+    copied = counted.drop("__s", "__rate", "__cdf", "__u").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     keyed = copied.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), ident, F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
