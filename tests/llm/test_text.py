@@ -369,3 +369,13 @@ def test_lm_base_scores_are_brute_force(spark):
 )
 def test_an_iban_ends_before_what_follows_it(text, want):
     assert [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"] == want
+
+
+@pytest.mark.parametrize("length", [20, 198, 202, 5000])
+@pytest.mark.parametrize("gap", ["", "    ", " " * 40])
+def test_secrets_of_any_length(length, gap):
+    from tracelake.llm import pii
+
+    text = f"the api_key{gap}:{gap}\"{'aB3-' * (length // 4)}{'x' * (length % 4)}\", then"
+    found = [(s, e) for kind, s, e, _ in pii.find_spans(text) if kind == "secret"]
+    assert [e - s for s, e in found] == [length]

@@ -32,7 +32,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9+/_=-]{20,200})(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b[\"']?\s*+[:=]\s*+[\"']?([A-Za-z0-9+/_=-]{20,}+)")
 _IBAN_LENGTHS = {
     c: n
     for n, cs in {
