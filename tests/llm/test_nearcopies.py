@@ -52,3 +52,18 @@ def test_the_stage_follows_the_rule(spark, edits, linked):
     assert (jaccard(" ".join(words), other) >= 0.8) == linked
     kept = near_duplicate_stage(spark, docs(spark, [(1, " ".join(words), "a"), (2, other, "a")]), "")
     assert sorted(x.doc_id for x in kept.collect()) == ([1] if linked else [1, 2])
+
+
+def test_links_of_small_sets_are_not_lost(spark):
+    """Thousands of pairs of 2 to 40 shingles, each just at a similarity of 0.8 or the least above: every pair is one class of its own."""
+    r, rows, n = random.Random(9), [], 0
+    for size in range(2, 41):
+        more = next(m for m in range(0, size) if size / (size + m) >= 0.8 > size / (size + m + 1)) if size >= 4 else 0
+        for _ in range(60):
+            words = [f"w{r.randrange(10**9)}" for _ in range(size + 4)]
+            rows.append((n, " ".join(words), "a"))
+            rows.append((n + 1, " ".join(words + [f"z{r.randrange(10**9)}" for _ in range(more)]), "a"))
+            n += 2
+    assert min(jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, n, 2)) >= 0.8
+    got = {g.doc_id: g.component_id for g in op.near_copies(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}

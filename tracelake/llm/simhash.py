@@ -180,10 +180,11 @@ def lowest_of_class(classes: DataFrame, roots: DataFrame, key: str) -> DataFrame
 
 #: A fingerprint is WIDE words; tiles are compared by the first NARROW of them, what remains by all.
 WIDE, NARROW = 4, 2
-#: Differing bits of candidates, in the first words and in all. At a similarity of 0.8, 128 and 256 bits differ in 19 +- 4 and 39 +- 6 places.
-NEAR, FAR = 36, 56
-#: Sets of fewer than SMALL shingles scatter more: their radius over all words.
-SMALL, SMALL_FAR = 32, 76
+#: Differing bits of candidates, in the first words and in all. At a similarity of 0.8, 128 and 256 bits differ in 19 +- 4 and 39 +- 6 places, so by
+#: the binomial law at most three links in 10^9 are missed. All candidates are checked on the texts.
+NEAR, FAR = 48, 78
+#: Sets of fewer than SMALL shingles scatter more (24 +- 4 and 48 +- 6 places for 4 against 5): their radius.
+SMALL, SMALL_NEAR, SMALL_FAR = 32, 62, 102
 
 
 def _turn(turn: int) -> int:
@@ -285,15 +286,16 @@ class Tile:
 
     def candidates(self, other: Tile, similarity: float, rows: int = 32, cols: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks (a, b, distance) of pairs of different roots within the radius; of a tile with itself each pair once. Blocks whose counts of set bits differ beyond the radius are skipped."""
+        radius = SMALL_NEAR if min(self.sizes.min(initial=SMALL), other.sizes.min(initial=SMALL)) < SMALL else NEAR
         for i in range(0, len(self.keys), rows):
             most, least = self.bits[i], self.bits[i : i + rows][-1]
             for j in range(i if self is other else 0, len(other.keys), cols):
-                if least - other.bits[j] > NEAR or other.bits[j : j + cols][-1] - most > NEAR:
+                if least - other.bits[j] > radius or other.bits[j : j + cols][-1] - most > radius:
                     continue
                 near = np.zeros((min(rows, len(self.keys) - i), min(cols, len(other.keys) - j)), np.uint8)
                 for x, y in zip(self.words, other.words):
                     near += np.bitwise_count(x[i : i + rows, None] ^ y[None, j : j + cols])
-                a, b = np.divmod(np.flatnonzero(near <= NEAR), near.shape[1])
+                a, b = np.divmod(np.flatnonzero(near <= radius), near.shape[1])
                 a, b = a + i, b + j
                 keep = self.roots[a] != other.roots[b]
                 if self is other:
