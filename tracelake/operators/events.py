@@ -78,6 +78,11 @@ def postings(events: DataFrame) -> DataFrame:
     return p.withColumns({"layer": F.substring_index("route_signal", ":", 1), "key": F.substring_index("route_signal", ":", -1)})
 
 
+def facet_rows(posted: DataFrame) -> DataFrame:
+    """One row per axis, route key and session: signals and the first event as evidence."""
+    return posted.groupBy(F.col("layer").alias("axis"), F.col("key").alias("route_key"), "session_id").agg(F.count("*").alias("signal_count"), F.min("event_id").alias("evidence"))
+
+
 def sessions(events: DataFrame, gap_minutes: int | None = None) -> DataFrame:
     """One row per session: first and last time, counts, label by day and ordinal."""
     s = events.groupBy("session_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("event_count"), F.count_if(F.col("event_type") == "USER_INTENT").alias("intent_count"), F.count_if(F.col("outcome") == "failed").alias("failure_count"))

@@ -10,42 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.storage import materialize
-
-
-def terms(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
-
-
-def term_counts(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    return docs.select(ident, F.explode(terms(F.col(text))).alias("term")).groupBy(ident, "term").agg(F.count("*").alias("tf"))
-
-
-def exact_hits(docs: DataFrame, queries: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, ident): documents holding every term of a query. Only terms that queries use are posted."""
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    d = docs.select(ident, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    return d.join(q, "term").groupBy("query_id", ident).agg(F.count("*").alias("have")).join(need, "query_id").where("have = need").select("query_id", ident)
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, ident: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query by BM25: (query_id, ident, score, rank). Ties, at six digits, by id."""
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    # Texts are split once. Each also posts the empty term, so the lengths of all are in the same table.
-    posted = docs.select(ident, terms(F.col(text)).alias("__w")).select(ident, F.size("__w").alias("len"), F.explode(F.concat(F.coalesce("__w", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
-    used = q.select("term").union(q.sparkSession.range(1).select(F.lit(""))).distinct()
-    kept = materialize(posted.join(used, "term", "left_semi").groupBy(ident, "len", "term").agg(F.count("*").alias("tf")), "terms")
-    whole = kept.where("term = ''")
-    n_docs, avg_len = whole.agg(F.sum("tf")).scalar(), whole.agg(F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).scalar()
-    tf = kept.where("term <> ''")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term")
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    scored = weighed.select(ident, "term", part.alias("part")).join(q, "term").groupBy("query_id", ident).agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scored, k, "query_id", F.desc("score"), F.col(ident))
+from . import lexical
+
+
+def exact_hits(docs: DataFrame | lexical.Index, queries: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, ident): documents holding every term of a query; docs may be an index of them."""
+    index = docs if isinstance(docs, lexical.Index) else lexical.build_index(docs, ident, text)
+    return lexical.exact_hits(index, queries).withColumnRenamed("doc", ident)
+
+
+def bm25(docs: DataFrame | lexical.Index, queries: DataFrame, k: int = 10, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The k best documents of each query by BM25: (query_id, ident, score, rank); docs may be an index of them. Ties, at six digits, by id."""
+    index = docs if isinstance(docs, lexical.Index) else lexical.build_index(docs, ident, text)
+    return lexical.search(index, queries, k).withColumnRenamed("doc", ident)
 
 
 def top(rows: DataFrame, k: int, by: str, *order: Column) -> DataFrame:

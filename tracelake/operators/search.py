@@ -28,10 +28,11 @@ def search(rows: DataFrame, date_col: str = "session_date", **filters: object) -
     """Conjunction of the filters given; dates are ISO strings and bounds are inclusive; a null date fails them."""
     check_filters(filters)
     for name, want in filters.items():
-        if name == "date_from":
-            rows = rows.where(F.col(date_col) >= F.lit(want))
-        elif name == "date_to":
-            rows = rows.where(F.col(date_col) <= F.lit(want))
+        if name in ("date_from", "date_to"):
+            bound = (lambda c, x: c >= F.lit(x)) if name == "date_from" else (lambda c, x: c <= F.lit(x))
+            rows = rows.where(bound(F.col(date_col), want))
+            if "month" in rows.columns:  # of stored rows: folders of other months are not read
+                rows = rows.where(bound(F.col("month"), want[:7]))
         elif name in ("route_signal", "route_layer"):
             signals = F.col("route_signals")
             rows = rows.where(F.array_contains(signals, want) if name == "route_signal" else F.exists(signals, lambda s: s.startswith(f"{want}:")))

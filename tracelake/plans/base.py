@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import events as ev
+from ..operators import lexical
+from ..sources.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,13 +29,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of a session that are dealt together, so that a large session is written by many tasks.
+DEALT_LINES = 65_536
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored session events: typed, with their line and signals, a folder a month, clustered by session."""
+    raw = f"{sf_dir}/events.parquet"
+
+    def build() -> DataFrame:
+        e = ev.signals(ev.operational_events(spark.read.parquet(raw)))
+        return e.withColumn("month", F.substring("session_date", 1, 7))
+
+    return stored(spark, "events", [raw], build, ("month", "session_id", F.floor(F.col("line") / DEALT_LINES)), ("session_id", "line"), ("month",))
+
+
+def posting_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings: one row per event and signal, a folder a layer, sorted by key."""
+    build = lambda: ev.postings(event_store(spark, sf_dir)).select("event_id", "session_id", "session_date", "month", "layer", "key", "route_signal")
+    return stored(spark, "postings", [f"{sf_dir}/events.parquet"], build, ("layer", "key", F.pmod(F.xxhash64("event_id"), F.lit(64))), ("key", "session_date"), ("layer",))
+
+
+def facet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored facets: one row per axis, route key and session, a folder an axis."""
+    build = lambda: ev.facet_rows(posting_store(spark, sf_dir))
+    return stored(spark, "facets", [f"{sf_dir}/events.parquet"], build, ("axis", "route_key", "session_id"), ("route_key", "session_id"), ("axis",))
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of documents."""
+    raw = f"{sf_dir}/documents.parquet"
+    put = lambda name, build, cluster, order: stored(spark, name, [raw], build, cluster, order)
+    return lexical.build_index(spark.read.parquet(raw), put=put)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.operational_events(table(spark, sf_dir, "events"))
+    return event_store(spark, sf_dir).drop("month", "route_signals")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without line numbers, for what doesn't look at order."""
-    return ev.operational_events(table(spark, sf_dir, "events"), lines=False)
+    return events(spark, sf_dir).drop("line")
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:

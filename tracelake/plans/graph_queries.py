@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import search as P
 from ..operators.sequence import framed
 from ..sources.storage import materialize
+from ..sources.store import stored
 from .base import EV, PO, events, facts, query, table
 
 C = F.col
@@ -24,14 +25,25 @@ ed AS (SELECT 'contains' AS edge_type, 'session:' || session_id AS source, 'segm
   UNION ALL SELECT 'has_correlated_status', 'event:' || c, 'event:' || r, line FROM st)"""
 
 
+def contributions(spark, d):
+    """The stored edge contributions: a folder an edge type, sorted by source node; a source is a line of a session."""
+
+    def build():
+        e = events(spark, d)
+        return G.event_graph(e, E.postings(e))
+
+    return stored(spark, "graph-contributions", [f"{d}/events.parquet"], build, ("edge_type", "source"), ("source", "target"), ("edge_type",))
+
+
 def edges(spark, d):
-    e = events(spark, d)
-    return G.event_graph(e, E.postings(e))
+    """The stored edges: contributions added up, a folder an edge type, sorted by source node."""
+    build = lambda: contributions(spark, d).groupBy("edge_type", "source", "target").agg(F.sum("count").alias("count"), F.min("ref").alias("ref"))
+    return stored(spark, "graph-edges", [f"{d}/events.parquet"], build, ("edge_type", "source"), ("source", "target"), ("edge_type",))
 
 
 @query("g1_graph_build", _EDGES + " SELECT edge_type, source, target, count(*) AS count, 'raw:line:' || min(ref) AS ref FROM ed GROUP BY ALL")
 def g1(spark, d):
-    g = edges(spark, d).groupBy("edge_type", "source", "target").agg(F.sum("count").alias("count"), F.min("ref").alias("ref"))
+    g = edges(spark, d)
     return g.withColumn("ref", F.concat(F.lit("raw:line:"), C("ref").cast("string")))
 
 
@@ -43,7 +55,7 @@ def a13(spark, d):
 
 @query("s5_graph_scan", _EDGES + " SELECT edge_type, count(*) AS edges, count(DISTINCT source) AS sources FROM ed GROUP BY 1")
 def s5(spark, d):
-    return edges(spark, d).groupBy("edge_type").agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"))
+    return edges(spark, d).groupBy("edge_type").agg(F.sum("count").cast("long").alias("edges"), F.count_distinct("source").alias("sources"))
 
 
 
@@ -85,6 +97,75 @@ def g2_report(spark, d):
     return G.budget_report(links, reached, 1, 3)
 
 
+_BOUNDED = """WITH n AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY ALL), lk AS (SELECT p AS node, s AS other, n FROM n UNION ALL SELECT s, p, n FROM n), dg AS (SELECT node, count(*) AS degree FROM lk GROUP BY 1),
+r0 AS (SELECT DISTINCT 'p' || p_partkey AS seed, 'p' || p_partkey AS node, 0 AS hop, true AS open FROM part WHERE p_size = 1),
+m1 AS (SELECT f.seed, f.node, l.other, l.n, k.node IS NULL AS new FROM r0 f JOIN lk l ON l.node = f.node LEFT JOIN r0 k ON k.seed = f.seed AND k.node = l.other
+  WHERE f.hop = 0 AND f.open AND NOT coalesce(k.open AND (k.hop < 0 OR (k.hop = 0 AND k.node < f.node)), false)),
+u1 AS (SELECT r.seed, r.nodes, coalesce(s.e, 0) AS e FROM (SELECT seed, count(*) AS nodes FROM r0 GROUP BY 1) r LEFT JOIN (SELECT seed, 0 AS e FROM r0) s USING (seed)),
+p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, node, other) AS place FROM m1) JOIN u1 USING (seed) WHERE place + e <= {edges}),
+a1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first) AS k FROM (SELECT seed, other, nodes, min(place) AS first FROM p1 WHERE new GROUP BY seed, other, nodes)) WHERE k + nodes <= {nodes}),
+r1 AS (SELECT * FROM r0 UNION ALL SELECT seed, other, 1, degree <= {hub} FROM a1 JOIN dg ON dg.node = a1.other),
+k1 AS (SELECT seed, node, other FROM p1 WHERE NOT new OR (seed, other) IN (SELECT (seed, other) FROM a1)),
+m2 AS (SELECT f.seed, f.node, l.other, l.n, k.node IS NULL AS new FROM r1 f JOIN lk l ON l.node = f.node LEFT JOIN r1 k ON k.seed = f.seed AND k.node = l.other
+  WHERE f.hop = 1 AND f.open AND NOT coalesce(k.open AND (k.hop < 1 OR (k.hop = 1 AND k.node < f.node)), false)),
+u2 AS (SELECT r.seed, r.nodes, coalesce(s.e, 0) AS e FROM (SELECT seed, count(*) AS nodes FROM r1 GROUP BY 1) r LEFT JOIN (SELECT seed, count(*) AS e FROM (SELECT seed FROM k1) GROUP BY 1) s USING (seed)),
+p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, node, other) AS place FROM m2) JOIN u2 USING (seed) WHERE place + e <= {edges}),
+a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first) AS k FROM (SELECT seed, other, nodes, min(place) AS first FROM p2 WHERE new GROUP BY seed, other, nodes)) WHERE k + nodes <= {nodes}),
+r2 AS (SELECT * FROM r1 UNION ALL SELECT seed, other, 2, degree <= {hub} FROM a2 JOIN dg ON dg.node = a2.other),
+k2 AS (SELECT seed, node, other FROM p2 WHERE NOT new OR (seed, other) IN (SELECT (seed, other) FROM a2)),
+m3 AS (SELECT f.seed, f.node, l.other, l.n, k.node IS NULL AS new FROM r2 f JOIN lk l ON l.node = f.node LEFT JOIN r2 k ON k.seed = f.seed AND k.node = l.other
+  WHERE f.hop = 2 AND f.open AND NOT coalesce(k.open AND (k.hop < 2 OR (k.hop = 2 AND k.node < f.node)), false)),
+u3 AS (SELECT r.seed, r.nodes, coalesce(s.e, 0) AS e FROM (SELECT seed, count(*) AS nodes FROM r2 GROUP BY 1) r LEFT JOIN (SELECT seed, count(*) AS e FROM (SELECT seed FROM k1 UNION ALL SELECT seed FROM k2) GROUP BY 1) s USING (seed)),
+p3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, node, other) AS place FROM m3) JOIN u3 USING (seed) WHERE place + e <= {edges}),
+a3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first) AS k FROM (SELECT seed, other, nodes, min(place) AS first FROM p3 WHERE new GROUP BY seed, other, nodes)) WHERE k + nodes <= {nodes}),
+r3 AS (SELECT * FROM r2 UNION ALL SELECT seed, other, 3, degree <= {hub} FROM a3 JOIN dg ON dg.node = a3.other),
+k3 AS (SELECT seed, node, other FROM p3 WHERE NOT new OR (seed, other) IN (SELECT (seed, other) FROM a3))
+"""
+_ALL_MET = "SELECT seed, other, new FROM m1 UNION ALL SELECT seed, other, new FROM m2 UNION ALL SELECT seed, other, new FROM m3"
+_REPORT = f"""SELECT r.seed, r.nodes, r.hubs, coalesce(k.edges, 0) AS edges, coalesce(m.met, 0) - coalesce(k.edges, 0) AS omitted_edges, coalesce(o.n, 0) AS omitted_nodes, coalesce(o.n, 0) > 0 OR coalesce(m.met, 0) > coalesce(k.edges, 0) AS truncated
+FROM (SELECT seed, count(*) AS nodes, count(*) FILTER (NOT open) AS hubs FROM r3 GROUP BY 1) r LEFT JOIN (SELECT seed, count(*) AS edges FROM (SELECT seed FROM k1 UNION ALL SELECT seed FROM k2 UNION ALL SELECT seed FROM k3) GROUP BY 1) k USING (seed) LEFT JOIN (SELECT seed, count(*) AS met FROM ({_ALL_MET}) GROUP BY 1) m USING (seed)
+LEFT JOIN (SELECT seed, count(*) AS n FROM (SELECT DISTINCT seed, other FROM ({_ALL_MET}) x WHERE new AND NOT EXISTS (SELECT 1 FROM r3 WHERE r3.seed = x.seed AND r3.node = x.other)) GROUP BY 1) o USING (seed)"""
+
+
+@query("g2_bounded_walk", _BOUNDED.format(nodes=200, edges=400, hub=1_000_000) + " SELECT seed, node, hop FROM r3")
+def g2_walk(spark, d):
+    """Three hops around each part of the smallest size, in budgets of 200 nodes and 400 edges."""
+    return G.bounded_walk(part_suppliers(spark, d), seeds(spark, d), 3, 200, 400).reached.select("seed", "node", "hop")
+
+
+@query("g2_bounded_report", _BOUNDED.format(nodes=200, edges=400, hub=1_000_000) + _REPORT)
+def g2_walk_report(spark, d):
+    """What the same walk kept and left out."""
+    return G.bounded_walk(part_suppliers(spark, d), seeds(spark, d), 3, 200, 400).report
+
+
+@query("g9_gated_walk", _BOUNDED.format(nodes=200, edges=400, hub=40) + _REPORT)
+def g9_walk(spark, d):
+    """The walk again, stopping at nodes of more than 40 neighbours: their names are too common to say anything."""
+    return G.bounded_walk(part_suppliers(spark, d), seeds(spark, d), 3, 200, 400, hub=40).report
+
+
+def asked_pairs(spark, d):
+    """Pairs of ends: parts of the smallest size, each with the part of the next key."""
+    p = table(spark, d, "part")
+    ends = p.where("p_size = 1").select(C("p_partkey").alias("a"), (C("p_partkey") + 1).alias("b")).join(p.select(C("p_partkey").alias("b")), "b")
+    return ends.select(F.concat(F.lit("p"), C("a").cast("string")).alias("source"), F.concat(F.lit("p"), C("b").cast("string")).alias("target"))
+
+
+_PAIRS = "pr0 AS (SELECT 'p' || a.p_partkey AS seed, 'p' || b.p_partkey AS target FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 1)"
+
+
+@query("g5_paths_between", f"WITH RECURSIVE {_LK}, {_WALKS.format(depth=8)}, {_PAIRS} SELECT seed AS source, target, hops, hops + 1 AS path_length, true AS linked FROM pr0 JOIN r USING (seed) WHERE r.node = target")
+def g5_pairs(spark, d):
+    """Shortest paths between asked ends, searched from both; every step of a path is a link."""
+    links = materialize(part_suppliers(spark, d), "links")
+    p = G.paths_between(links, asked_pairs(spark, d), 8)
+    steps = p.withColumn("i", F.explode(F.sequence(F.lit(1), C("hops")))).select("source", "target", C("path")[C("i") - 1].alias("node"), C("path")[C("i")].alias("other"))
+    whole = steps.join(links, ["node", "other"]).groupBy("source", "target").agg(F.count("*").alias("links"))
+    fits = (C("links") == C("hops")) & (C("path")[0] == C("source")) & (F.element_at("path", -1) == C("target"))
+    return p.join(whole, ["source", "target"], "left").select("source", "target", "hops", F.size("path").alias("path_length"), F.coalesce(fits, F.lit(False)).alias("linked"))
+
+
 @query("g3_timeline", f"WITH {PO} SELECT event_id, row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S'), session_id, line, event_id) AS place FROM po WHERE route_signal = 'k:7' ORDER BY place LIMIT 40")
 def g3(spark, d):
     from pyspark.sql.window import Window

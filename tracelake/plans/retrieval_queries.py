@@ -8,7 +8,7 @@ from ..operators import events as E
 from ..operators import retrieval as T
 from ..operators import review as V
 from ..operators import search as P
-from .base import EV, PO, events, facts, query, table
+from .base import EV, PO, events, facts, lexical_index, query, table
 
 C = F.col
 
@@ -28,18 +28,18 @@ _EX2 = f"{_BM}, nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), hv
 
 @query("t1_exact_hits", f"WITH {_EX2} SELECT query_id, doc_id FROM ex")
 def t1(spark, d):
-    return T.exact_hits(table(spark, d, "documents"), asked(spark, d))
+    return T.exact_hits(lexical_index(spark, d), asked(spark, d))
 
 
 @query("t2_bm25", f"WITH {_BM} SELECT query_id, doc_id, round(score, 3) AS score FROM bm")
 def t2(spark, d):
-    return T.bm25(table(spark, d, "documents"), asked(spark, d)).select("query_id", "doc_id", F.round("score", 3).alias("score"))
+    return T.bm25(lexical_index(spark, d), asked(spark, d)).select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
 @query("t3_exact_first", f"WITH {_EX2} SELECT query_id, doc_id, 'exact' AS lane FROM ex UNION ALL SELECT query_id, doc_id, 'lexical' FROM bm WHERE query_id NOT IN (SELECT query_id FROM ex)")
 def t3(spark, d):
     exact = t1(spark, d)
-    lexical = T.bm25(table(spark, d, "documents"), asked(spark, d)).join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    lexical = T.bm25(lexical_index(spark, d), asked(spark, d)).join(exact.select("query_id").distinct(), "query_id", "left_anti")
     return exact.withColumn("lane", F.lit("exact")).unionByName(lexical.select("query_id", "doc_id", F.lit("lexical").alias("lane")))
 
 
@@ -56,7 +56,7 @@ two AS (SELECT query_id, arg_min(doc_id, rank) AS doc_id, max(score) FILTER (ran
 SELECT l.query_id, l.doc_id, round(round(sum(1 / (60 + rank)), 8) + CASE WHEN bool_or(sure.doc_id IS NOT NULL) THEN 1 / 61::DOUBLE ELSE 0 END, 8) AS fused, count(*) AS lanes, bool_or(sure.doc_id IS NOT NULL) AS bonus FROM l LEFT JOIN sure ON sure.query_id = l.query_id AND sure.doc_id = l.doc_id GROUP BY ALL""")
 def t5(spark, d):
     """Both lanes fused; documents that hold every term of the query are its anchors."""
-    lexical, hits = T.bm25(table(spark, d, "documents"), asked(spark, d)), t1(spark, d)
+    lexical, hits = T.bm25(lexical_index(spark, d), asked(spark, d)), t1(spark, d)
     exact = T.top(hits, 10, "query_id", C("doc_id"))
     return T.anchored(T.fuse({"lexical": lexical, "exact": exact}, "doc_id"), lexical, hits, "doc_id")
 
@@ -143,7 +143,7 @@ def t13(spark, d):
 def t14(spark, d):
     """Gold is what holds the passage itself, whatever its rank."""
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("passage"))
-    hits = T.bm25(docs, asked(spark, d)).select("query_id", "doc_id")
+    hits = T.bm25(lexical_index(spark, d), asked(spark, d)).select("query_id", "doc_id")
     able = t1(spark, d).join(docs.select("doc_id", "text"), "doc_id").join(passages, "query_id")
     gold = able.where(F.contains("text", C("passage"))).select("query_id", "doc_id", F.lit(1).alias("g"))
     known = gold.groupBy("query_id").agg(F.count("*").alias("gold"))
@@ -272,7 +272,7 @@ def s7(spark, d):
 def g10(spark, d):
     """Hits of each query with what they are linked to, here their sources."""
     docs = table(spark, d, "documents")
-    h = T.bm25(docs, asked(spark, d), 3).select("query_id", "doc_id")
+    h = T.bm25(lexical_index(spark, d), asked(spark, d), 3).select("query_id", "doc_id")
     hits = h.select("query_id", F.lit("search").alias("lane"), F.concat(F.lit("doc:"), C("doc_id").cast("string")).alias("ref"))
     near = h.join(docs.select("doc_id", "source"), "doc_id").select("query_id", F.lit("neighbour").alias("lane"), F.concat(F.lit("source:"), "source").alias("ref"))
     return hits.unionByName(near).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import rollups as R
 from ..operators import sequence as Q
-from .base import EV, PO, dialogue, events, facts, query, table
+from .base import EV, PO, dialogue, event_store, events, facet_store, facts, posting_store, query, table
 from .search_queries import RC, receipts
 
 C = F.col
@@ -15,12 +15,12 @@ C = F.col
 
 @query("a1_entity_inventory", f"WITH {PO} SELECT layer, key, count(*) AS signal_count, count(DISTINCT session_id) AS session_count, max(session_date) AS last_date FROM po GROUP BY layer, key")
 def a1(spark, d):
-    return R.entity_inventory(E.postings(facts(spark, d)), "layer", "key")
+    return R.entity_inventory(posting_store(spark, d), "layer", "key")
 
 
 @query("k2_inventory_top", f"WITH {PO} SELECT layer, key, count(*) AS signal_count, count(DISTINCT session_id) AS session_count FROM po GROUP BY layer, key ORDER BY 3 DESC, 4 DESC, key, layer LIMIT 30")
 def k2(spark, d):
-    i = R.entity_inventory(E.postings(facts(spark, d)), "layer", "key")
+    i = R.entity_inventory(posting_store(spark, d), "layer", "key")
     return i.orderBy(F.desc("signal_count"), F.desc("session_count"), "key", "layer").limit(30).select("layer", "key", "signal_count", "session_count")
 
 
@@ -83,7 +83,7 @@ _ROLL = "count(*) AS posting_count, count(DISTINCT session_id) AS session_count,
 
 @query("a9_route_rollup", f"WITH {PO} SELECT layer, key, route_signal, {_ROLL} FROM po GROUP BY layer, key, route_signal")
 def a9(spark, d):
-    return R.route_rollup(E.postings(facts(spark, d)), ["layer", "key", "route_signal"])
+    return R.route_rollup(posting_store(spark, d), ["layer", "key", "route_signal"])
 
 
 @query("a10_direct_event_rollup", f"WITH {EV} SELECT actor, event_type, outcome, {_ROLL} FROM ev GROUP BY actor, event_type, outcome")
@@ -160,17 +160,17 @@ def a23(spark, d):
 
 @query("a24_promotion", f"WITH {PO} SELECT layer, key, count(DISTINCT session_id) AS session_count FROM po GROUP BY ALL HAVING count(DISTINCT session_id) >= 60")
 def a24(spark, d):
-    return R.promotion_candidates(E.postings(facts(spark, d)), 60, "layer", "key")
+    return R.promotion_candidates(posting_store(spark, d), 60, "layer", "key")
 
 
 @query("c12_facets", f"WITH {PO} SELECT layer AS axis, key AS route_key, session_id, count(*) AS signal_count, min(event_id) AS evidence FROM po GROUP BY ALL")
 def c12(spark, d):
-    return E.postings(facts(spark, d)).groupBy(C("layer").alias("axis"), C("key").alias("route_key"), "session_id").agg(F.count("*").alias("signal_count"), F.min("event_id").alias("evidence"))
+    return facet_store(spark, d)
 
 
 @query("s6_facet_scan", f"WITH {PO} SELECT key AS route_key, session_id, count(*) AS signal_count FROM po WHERE layer = 'error' GROUP BY ALL")
 def s6(spark, d):
-    return c12(spark, d).where("axis = 'error'").select("route_key", "session_id", "signal_count")
+    return facet_store(spark, d).where("axis = 'error'").select("route_key", "session_id", "signal_count")
 
 
 @query("c1_classified_dialogue", "SELECT 'c' || conv_id AS session_id, turn + 1 AS line, CASE role WHEN 'user' THEN 'USER_INTENT' WHEN 'assistant' THEN 'ASSISTANT_MESSAGE' WHEN 'system' THEN 'CONTEXT_STATE' ELSE 'RAW_EVENT' END AS event_type FROM conversations")
@@ -180,4 +180,4 @@ def c1(spark, d):
 
 @query("c3_route_signals", f"WITH {PO} SELECT event_id, route_signal FROM po")
 def c3(spark, d):
-    return E.signals(facts(spark, d)).select("event_id", F.explode("route_signals").alias("route_signal"))
+    return event_store(spark, d).select("event_id", F.explode("route_signals").alias("route_signal"))

@@ -9,14 +9,14 @@ from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import search as P
 from ..operators.sequence import running_sum
-from .base import EV, PO, dialogue, events, facts, query, table
+from .base import EV, PO, dialogue, event_store, events, facts, query, table
 
 C = F.col
 
 
 @query("p1_multi_filter_search", f"WITH {EV} SELECT event_id, session_id, event_type, session_date FROM ev WHERE event_type = 'ERROR' AND family = 'failure_signal' AND outcome = 'failed' AND k = '7' AND session_date >= '2024-01-05' AND session_date <= '2024-01-25'")
 def p1(spark, d):
-    rows = P.search(E.signals(facts(spark, d)), event_type="ERROR", family="failure_signal", outcome="failed", route_signal="k:7", date_from="2024-01-05", date_to="2024-01-25")
+    rows = P.search(event_store(spark, d), event_type="ERROR", family="failure_signal", outcome="failed", route_signal="k:7", date_from="2024-01-05", date_to="2024-01-25")
     return rows.select("event_id", "session_id", "event_type", "session_date")
 
 

@@ -8,7 +8,7 @@ from ..operators import events as E
 from ..sources import readers as RD
 from ..sources import storage as ST
 from ..streaming import flows as FL
-from .base import EV, PO, events, facts, query, table
+from .base import EV, PO, events, facts, posting_store, query, table
 from .search_queries import RC, receipts
 
 C = F.col
@@ -44,7 +44,7 @@ def s2(spark, d):
 
 @query("s3_posting_scan", f"WITH {PO} SELECT event_id, layer FROM po WHERE layer = 'family'")
 def s3(spark, d):
-    return E.postings(facts(spark, d)).where("layer = 'family'").select("event_id", "layer")
+    return posting_store(spark, d).where("layer = 'family'").select("event_id", "layer")
 
 
 def _by_month(spark, d):

@@ -4,21 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .storage import materialize
 
 TRANSCRIPT = "timestamp string, type string, payload struct<id: string, cwd: string, model: string, type: string, role: string, content: array<struct<type: string, text: string>>, name: string, namespace: string, call_id: string, arguments: string, output: string>"
 RECEIPT = "timestamp string, hook_event_name string, ok boolean, session_id string, actions array<string>, errors array<string>, duration_ms double, typing_bridge struct<ok: boolean, adapter: string, returncode: int, stderr_head: string>, _corrupt string"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line of each JSONL file: file, line from 1, raw text, parse status, and the parsed struct.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line from 1, raw) of every line of the text files, exact however many tasks read a file.
 
-    A file is one row before it is split, so that lines keep their order; very
-    large transcripts should bring line numbers of their own.
+    Spark splits large files into blocks at line ends. Lines are written once
+    with their block and a number that grows within it; then only the lines of
+    each block are counted, the counts are summed up along each file, and a
+    line's number is its place in its block plus the lines of the blocks before.
+    No file, and no whole block, is one value. Empty lines count; a line end at
+    the end of a file starts no line; a carriage return before it is dropped.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    split = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
-    lines = files.select("file", F.posexplode(split).alias("p", "raw")).withColumn("line", F.col("p") + 1)
-    return parse_transcript(lines.where((F.col("raw") != "") | (F.col("p") > 0)).drop("p"))
+    text = spark.read.option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    rows = materialize(rows, "lines")
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "raw")
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of each JSONL file: file, line from 1, raw text, parse status, and the parsed struct."""
+    return parse_transcript(read_lines(spark, path))
 
 
 def parse_transcript(lines: DataFrame) -> DataFrame:
@@ -50,7 +65,7 @@ def transcript_events(lines: DataFrame) -> DataFrame:
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """One row per distinct content: the same bytes captured twice are one capture."""
     files = spark.read.format("binaryFile").load(path)
-    c = files.select("path", F.sha2("content", 256).alias("raw_sha256"), F.col("length").alias("bytes"), F.size(F.split(F.decode("content", "UTF-8"), "\n")).alias("lines"))
+    c = files.withColumn("t", F.decode("content", "UTF-8")).select("path", F.sha2("content", 256).alias("raw_sha256"), F.col("length").alias("bytes"), F.expr("length(t) - length(replace(t, '\\n', '')) + 1").alias("lines"))
     return c.groupBy("raw_sha256").agg(F.min("path").alias("path"), F.max("bytes").alias("bytes"), F.max("lines").alias("lines"), F.count("*").alias("captured"))
 
 
