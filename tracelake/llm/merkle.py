@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import join_spread, materialize, new_path
 
-#: Nodes of a level that are broadcast on the climb: about 10 MB. Nodes of fuller levels have a small share of all leaves each.
-FEW_NODES = 16_384
+#: Nodes of a level that are broadcast on the climb: about 20 MB. Nodes of fuller levels have a small share of all leaves each.
+FEW_NODES = 32_768
 TOP = 32
 
 
@@ -134,56 +134,62 @@ def build_manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, c
 
 
 def _ascend(rows: DataFrame, nodes: DataFrame, levels: list[int], wide: bool) -> DataFrame:
-    """rows(id, grp, o, leaf, node, slot, hash, proof), each risen as long as its node is of these levels; wide: nodes go by shuffle, else by broadcast."""
+    """rows(key, node, slot, hash, proof), each risen as long as its node is of these levels; wide: nodes come by shuffle, else by broadcast.
+
+    A step folds the hash, where there is one, with the siblings at hand, and
+    appends these to the proof, where there is one.
+    """
     spark, tag = rows.sparkSession, uuid.uuid4().hex
-    inside = f"coalesce(({{}}.node & 63) IN ({', '.join(map(str, levels))}), false)"
     rows.createOrReplaceTempView(f"rows_{tag}")
     nodes.where(F.col("level").isin(levels)).createOrReplaceTempView(f"nodes_{tag}")
     out = spark.sql(f"""
-        WITH RECURSIVE climb(id, grp, o, leaf, node, slot, hash, proof) AS (
-          SELECT id, grp, o, leaf, node, slot, hash, proof FROM rows_{tag}
+        WITH RECURSIVE climb(key, node, slot, hash, proof) AS (
+          SELECT key, node, slot, hash, proof FROM rows_{tag}
           UNION ALL
-          SELECT id, grp, o, leaf, parent, up, sha2(concat(before, hash, after), 256), concat(proof, unhex(concat(before, after)))
-          FROM (SELECT {'' if wide else '/*+ BROADCAST(n) */'} c.id, c.grp, c.o, c.leaf, c.hash, c.proof, n.parent, n.slot AS up,
+          SELECT key, parent, up, unhex(sha2(concat(before, lower(hex(hash)), after), 256)), concat(proof, unhex(concat(before, after)))
+          FROM (SELECT {'' if wide else '/*+ BROADCAST(n) */'} c.key, c.hash, c.proof, n.parent, n.slot AS up,
                   array_join(slice(n.kids, 1, c.slot), '') AS before, array_join(slice(n.kids, c.slot + 2, size(n.kids)), '') AS after
                 FROM climb c JOIN nodes_{tag} n ON n.node = c.node))
-        SELECT * FROM climb c WHERE NOT {inside.format('c')}""")
+        SELECT * FROM climb WHERE NOT coalesce((node & 63) IN ({', '.join(map(str, levels))}), false)""")
     for name in ("rows", "nodes"):
         spark.catalog.dropTempView(f"{name}_{tag}")
     return out
 
 
-def climb(m: Manifest) -> DataFrame:
-    """(id, grp, o, leaf, hash, proof) of every leaf: the root that its claim leads to, and the siblings met on the way, as bytes.
+def climb(m: Manifest, rows: DataFrame) -> DataFrame:
+    """rows(key, node, slot, hash, proof) risen to the root by recursive queries.
 
-    Recursive queries ascend from the leaves: each step appends the siblings of
-    its level and folds the hash with them. Nodes of levels with more than
-    FEW_NODES of them come by shuffle; these have few leaves each and are the
-    first to be met. The nodes above have many leaves each and are broadcast, so
-    no row moves any more and no hot node is a join key. Above more groups than
-    that, the same happens once more. The session's limit on rows of a recursion
-    is lifted: they number leaves times levels, and no step holds them in memory.
+    Nodes of levels with more than FEW_NODES of them come by shuffle; these have
+    a small share of the leaves each and are the first to be met. The nodes
+    above have many leaves each and are broadcast, so no hot node is a join key.
+    Above more groups than that, the same happens once more. The session's limit
+    on rows of a recursion is lifted: they number rows times levels.
     """
     m.leaves.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    rows = m.leaves.select("id", "grp", "o", "leaf", F.col("parent").alias("node"), "slot", F.col("claim").alias("hash"), F.lit(b"").alias("proof"))
-    for part in (lambda k: k < TOP, lambda k: k >= TOP):
-        full = [k for k, n in m.levels.items() if part(k) and n > FEW_NODES]
-        few = [k for k, n in m.levels.items() if part(k) and n <= FEW_NODES]
-        if full:
-            rows = materialize(_ascend(rows, m.nodes, full, True), "risen")
-        if part(TOP) and not full:
-            # One recursion to the root: the levels above the subroots go with those below.
-            few += [k for k, n in m.levels.items() if k < TOP and n <= FEW_NODES]
-        elif not part(TOP) and any(k >= TOP and n > FEW_NODES for k, n in m.levels.items()):
-            rows = materialize(_ascend(rows, m.nodes, few, False), "risen") if few else rows
-            continue
-        elif not part(TOP):
-            continue
-        rows = _ascend(rows, m.nodes, few, False) if few else rows
-    return rows.select("id", "grp", "o", "leaf", "hash", "proof")
+    of = lambda top, full: [k for k, n in m.levels.items() if (k >= TOP) == top and (n > FEW_NODES) == full]
+    stages = [(of(False, True), True), (of(False, False), False), (of(True, True), True), (of(True, False), False)]
+    if not stages[2][0]:
+        stages = [stages[0], (stages[1][0] + stages[3][0], False)]
+    stages = [x for x in stages if x[0]]
+    for k, (levels, wide) in enumerate(stages):
+        rows = _ascend(rows if k == 0 else materialize(rows, "risen"), m.nodes, levels, wide)
+    return rows
 
 
 def prove(m: Manifest) -> DataFrame:
-    """Per leaf: id, grp, leaf, subroot, root, proof (its siblings' hashes up to the root, as bytes), folded (the root that its claim leads to), verified."""
-    named = join_spread(climb(m), m.subroots.select("o", "n", "subroot"), "o")
-    return named.select("id", "grp", "leaf", "subroot", F.lit(m.root).alias("root"), "proof", F.col("hash").alias("folded"), (F.col("hash") == F.lit(m.root)).alias("verified"))
+    """Per leaf: id, grp, leaf, subroot, root, proof (its siblings' hashes up to the root, as bytes), folded (the root that its claim leads to), verified.
+
+    Every leaf climbs with its claim, which is folded at each step. Leaves of
+    one node share their proof but for its first part, so the siblings above are
+    appended in climbs that start at these nodes, an eighth of the leaves.
+    """
+    none, empty = F.lit(None).cast("binary"), F.lit(b"")
+    folded = climb(m, m.leaves.select(F.col("g").alias("key"), F.col("parent").alias("node"), "slot", F.unhex("claim").alias("hash"), none.alias("proof")))
+    first = m.nodes.where(F.col("level").isin(1, TOP + 1))
+    tails = climb(m, first.select(F.col("node").alias("key"), F.col("parent").alias("node"), "slot", none.alias("hash"), empty.alias("proof")))
+    tails = first.select("node", "kids").join(tails.select(F.col("key").alias("node"), F.col("proof").alias("tail")), "node")
+    named = join_spread(m.leaves.select("id", "grp", "g", "o", "leaf", F.col("parent").alias("node"), "slot"), m.subroots.select("o", "n", "subroot"), "o")
+    beside = F.concat(F.slice("kids", F.lit(1), F.col("slot")), F.slice("kids", F.col("slot") + 2, F.greatest(F.size("kids"), F.lit(1))))
+    both = named.join(folded.select(F.col("key").alias("g"), F.lower(F.hex("hash")).alias("folded")), "g").join(tails, "node", "left")
+    proof = F.coalesce(F.concat(F.unhex(F.array_join(beside, "")), "tail"), empty)
+    return both.select("id", "grp", "leaf", "subroot", F.lit(m.root).alias("root"), proof.alias("proof"), "folded", (F.col("folded") == F.lit(m.root)).alias("verified"))
