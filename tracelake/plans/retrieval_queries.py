@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import history as H
 from ..operators import retrieval as T
 from ..operators import review as V
 from ..operators import search as P
+from ..sources.storage import materialize
 from .base import EV, PO, events, facts, lexical_index, query, table
 
 C = F.col
@@ -116,6 +118,26 @@ def t11(spark, d):
     return t.groupBy("source").agg(F.count("*").alias("scanned"), (~F.bool_or(F.contains("text", F.lit("needle-never-there"))) & (F.count("*") == F.count_distinct("doc_id"))).alias("absent"))
 
 
+def numbered_documents(spark, d):
+    """Documents as lines of one file a source, in the order of their ids."""
+    t = table(spark, d, "documents").select(C("source").alias("file"), "doc_id", "text", F.floor(C("doc_id") / 10_000).alias("part"))
+    return E.numbered(t, "file", "part", "doc_id").select("file", "doc_id", "line", C("text").alias("raw"))
+
+
+@query("t11_scan_proof", """WITH l AS (SELECT source AS file, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line, text FROM documents),
+s AS (SELECT file, CASE WHEN file = 'src1' AND line > 1 THEN line - 1 ELSE line END AS line, CASE WHEN file = 'src2' AND line = 2 THEN text || '.' ELSE text END AS text FROM l WHERE NOT (file = 'src1' AND line = 1)),
+m AS (SELECT file, count(*) AS lines, string_agg(md5(text), '' ORDER BY line) AS whole FROM l GROUP BY 1),
+g AS (SELECT file, count(*) AS scanned, string_agg(md5(text), '' ORDER BY line) AS whole, bool_or(contains(text, 'password')) AS hit FROM s GROUP BY 1)
+SELECT file, coalesce(scanned, 0) AS scanned, coalesce(scanned = lines AND g.whole = m.whole, false) AS complete, coalesce(scanned = lines AND g.whole = m.whole AND NOT hit, false) AS absent FROM m LEFT JOIN g USING (file)""")
+def t11_proof(spark, d):
+    """What is absent from the files as a manifest knows them: one was scanned without its first line, one with a changed line."""
+    whole = materialize(numbered_documents(spark, d), "lines")
+    manifest = H.file_digests(whole)
+    lost = whole.where("not (file = 'src1' and line = 1)").withColumn("line", F.when(C("file") == "src1", C("line") - 1).otherwise(C("line")))
+    scanned = lost.withColumn("raw", F.when((C("file") == "src2") & (C("line") == 2), F.concat("raw", F.lit("."))).otherwise(C("raw")))
+    return H.absence(scanned, manifest, F.contains("raw", F.lit("password")))
+
+
 @query("t12_rehydrate", f"WITH {EV}, l AS (SELECT session_id FROM ev GROUP BY 1 ORDER BY max(ts) DESC, 1 DESC LIMIT 1) SELECT event_id, line FROM ev WHERE session_id IN (SELECT session_id FROM l) ORDER BY line DESC LIMIT 20")
 def t12(spark, d):
     e = events(spark, d)

@@ -102,6 +102,12 @@ def p12(spark, d):
     return registry(spark, d).where(P.registry_query("STE", C("aliases"), C("entity_id"), C("canonical_key"))).select("entity_id")
 
 
+@query("p12_registry_matches", "SELECT p_partkey::VARCHAR AS entity_id FROM part WHERE contains(lower(p_partkey::VARCHAR), 'ring') OR contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') OR contains(lower(p_brand || '/' || p_partkey), 'ring')")
+def p12_matches(spark, d):
+    """Entries that hold the needle in their id, key or an alias."""
+    return registry(spark, d).where(P.registry_query("Ring", C("aliases"), C("entity_id"), C("canonical_key"))).select("entity_id")
+
+
 @query("p13_guarded_search", f"WITH {EV} SELECT event_id FROM ev WHERE outcome = 'verified' AND session_date >= '2024-01-20'")
 def p13(spark, d):
     try:

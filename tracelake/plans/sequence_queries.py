@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import search as P
+from ..operators import history as H
 from ..operators import sequence as Q
+from ..sources.storage import materialize
 from .base import EV, PO, events, query, table
 from .search_queries import RC, receipts, registry
 
@@ -82,6 +84,44 @@ def j8(spark, d):
     return only.select("child", "turn", "parent")
 
 
+def forked(spark, d):
+    """Conversations and forks of them: every third was forked half-way, with other white space and a turn of its own; every sixth was copied whole besides."""
+    t = table(spark, d, "conversations").select(C("conv_id").alias("session_id"), (C("turn") + 1).alias("line"), "role", "text")
+    half = F.greatest(F.lit(1), F.floor(C("n") / 2)).cast("long")
+    n = t.groupBy("session_id").agg(F.max("line").alias("n")).withColumn("half", half)
+    own = t.join(n, "session_id").where("session_id % 3 = 0 and line <= half + 1")
+    child = own.select((C("session_id") + 10_000_000).alias("session_id"), "line", "role", F.when(C("line") <= C("half"), F.concat(F.lit(" "), F.regexp_replace("text", " ", "  "))).otherwise(F.lit("turn of its own")).alias("text"))
+    copy = t.where("session_id % 6 = 0").select((C("session_id") + 20_000_000).alias("session_id"), "line", "role", "text")
+    boundaries = n.where("session_id % 3 = 0").select((C("session_id") + 10_000_000).alias("child"), C("half").alias("boundary"))
+    return t.unionByName(child).unionByName(copy), boundaries
+
+
+_FORKS = r"""t AS (SELECT conv_id AS s, turn + 1 AS line, role, text FROM conversations), n AS (SELECT s, greatest(1, max(line) // 2) AS half FROM t GROUP BY 1),
+a AS (SELECT * FROM t UNION ALL SELECT s + 10000000, line, role, CASE WHEN line <= half THEN ' ' || replace(text, ' ', '  ') ELSE 'turn of its own' END FROM t JOIN n USING (s) WHERE s % 3 = 0 AND line <= half + 1 UNION ALL SELECT s + 20000000, line, role, text FROM t WHERE s % 6 = 0),
+c AS (SELECT s, line, string_agg(role || '>' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')), chr(10)) OVER (PARTITION BY s ORDER BY line) AS history FROM a),
+b AS (SELECT s + 10000000 AS child, half AS boundary FROM n WHERE s % 3 = 0),
+f AS (SELECT child, boundary, count(o.s) AS candidates, min(o.s) AS least FROM b JOIN c ON c.s = child AND c.line = boundary LEFT JOIN c o ON o.line = c.line AND o.history = c.history AND o.s <> child GROUP BY ALL)"""
+
+
+def _fork_table(spark, d):
+    turns, boundaries = forked(spark, d)
+    # The role is evidence too.
+    chained = H.chain(turns, "session_id", "line", F.concat_ws(">", "role", H.normalised(C("text"))))
+    return turns, H.fork_parents(materialize(chained, "chains"), boundaries)
+
+
+@query("j8_fork_history", f"WITH {_FORKS} SELECT child, boundary, candidates, CASE WHEN candidates = 1 THEN least END AS parent, CASE WHEN candidates = 1 THEN 'admitted' WHEN candidates > 1 THEN 'ambiguous' ELSE 'unmatched' END AS verdict FROM f")
+def j8_history(spark, d):
+    """Forks and their parents by the whole history before the fork; one of several like parents is not taken for the right one."""
+    return _fork_table(spark, d)[1]
+
+
+@query("t9_fork_groups", f"WITH {_FORKS}, g AS (SELECT coalesce(CASE WHEN candidates = 1 THEN least END, x.s) AS shown FROM (SELECT DISTINCT s FROM a) x LEFT JOIN f ON f.child = x.s) SELECT shown, count(*) AS members FROM g GROUP BY 1")
+def t9_groups(spark, d):
+    turns, forks = _fork_table(spark, d)
+    return H.fork_groups(turns.select("session_id"), forks)
+
+
 @query("j9_alias_lookup", "WITH n AS (SELECT DISTINCT p_partkey, trim(regexp_replace(lower(x), '[^a-z0-9]+', '_', 'g'), '_') AS key FROM (SELECT p_partkey, p_name AS x FROM part UNION ALL SELECT p_partkey, p_type FROM part UNION ALL SELECT p_partkey, p_brand || '/' || p_partkey FROM part UNION ALL SELECT p_partkey, p_partkey::VARCHAR FROM part)), a AS (SELECT DISTINCT p_type AS anchor FROM part) SELECT anchor, p_partkey::VARCHAR AS entity_id FROM a JOIN n ON n.key = trim(regexp_replace(lower(anchor), '[^a-z0-9]+', '_', 'g'), '_')")
 def j9(spark, d):
     anchors = table(spark, d, "part").select(C("p_type").alias("anchor")).distinct()
