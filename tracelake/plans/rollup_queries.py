@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import rollups as R
 from ..operators import sequence as Q
+from ..operators import typing as Y
 from .base import EV, PO, dialogue, event_store, events, facet_store, facts, posting_store, query, table
 from .search_queries import RC, receipts
 
@@ -178,6 +179,54 @@ def c1(spark, d):
     return dialogue(spark, d).select("session_id", "line", "event_type")
 
 
+def transcript_lines(spark, d):
+    """Lines in the shape of transcripts: turns as messages, log events as calls, their outputs and what is said of them. What each says is chosen here."""
+    none = F.lit(None).cast("string")
+    said = table(spark, d, "conversations").select(F.concat(F.lit("c"), C("conv_id").cast("string")).alias("session_id"), (C("turn") + 1).alias("line"), F.lit("2024-01-01").alias("day"), F.lit("response_item").alias("kind"), F.lit("message").alias("payload"), "role", none.alias("tool"), none.alias("arguments"), "text")
+    logs = events(spark, d).select("session_id", "line", C("session_date").alias("day"), *[F.expr(x).alias(n) for n, x in LOGGED.items()])
+    return said.unionByName(logs)
+
+
+_KN = "(CAST(k AS INT) % {})"
+#: The transcript line that a log event stands for, as SQL.
+LOGGED = {
+    "kind": f"CASE WHEN {_KN.format(50)} = 49 THEN 'hook_stop' WHEN {_KN.format(50)} = 48 THEN 'compacted' WHEN {_KN.format(50)} = 47 THEN 'session_meta' ELSE 'response_item' END",
+    "payload": "CASE raw_type WHEN 'click' THEN 'function_call' WHEN 'view' THEN 'function_call_output' WHEN 'error' THEN 'function_call_output' ELSE 'message' END",
+    "role": "CASE raw_type WHEN 'signup' THEN 'user' WHEN 'purchase' THEN 'assistant' END",
+    "tool": f"CASE WHEN raw_type = 'click' THEN CASE {_KN.format(9)} WHEN 0 THEN 'shell' WHEN 1 THEN 'read_file' WHEN 2 THEN 'write_file' WHEN 3 THEN 'apply_patch' WHEN 4 THEN 'update_plan' WHEN 5 THEN 'spawn_agent' WHEN 6 THEN 'send_agent' WHEN 7 THEN 'mcp__catalog__find' ELSE 'exec' END END",
+    "arguments": f"CASE WHEN raw_type = 'click' THEN CASE {_KN.format(4)} WHEN 0 THEN 'git show ' || k WHEN 1 THEN 'sudo run' || k || '.sh' WHEN 2 THEN 'pytest' ELSE k END END",
+    "text": f"CASE raw_type WHEN 'view' THEN 'exited with code 0 after ' || k || ' ms' WHEN 'error' THEN '{{\"ok\": false, \"error\": \"E' || k || '\"}}' WHEN 'signup' THEN 'look for ITEM-' || k || ' in /srv/data/' || k WHEN 'purchase' THEN CASE {_KN.format(8)} WHEN 0 THEN 'Done: ' || k WHEN 1 THEN 'tests passed, stale ' || k WHEN 2 THEN 'decided on ' || k WHEN 3 THEN 'todo ' || k WHEN 4 THEN 'a lesson' WHEN 5 THEN 'assuming ' || k WHEN 6 THEN 'a checkpoint' ELSE 'item ' || k END END",
+}
+_LINES = f"""{EV}, ln AS (SELECT 'c' || conv_id AS session_id, turn + 1 AS line, '2024-01-01' AS day, 'response_item' AS kind, 'message' AS payload, role, NULL AS tool, NULL AS arguments, text FROM conversations
+  UNION ALL SELECT session_id, line, session_date, {', '.join(LOGGED.values())} FROM ev)"""
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_RULES = ", ".join(f"({k}, {_quoted(r.gives)}, {', '.join(_quoted(r.when.get(f, '')) for f in Y.FIELDS)})" for k, r in enumerate(Y.RULES))
+_TYPED = f"""{_LINES}, ru(rule, gives, {', '.join('p_' + f for f in Y.FIELDS)}) AS (VALUES {_RULES}), kinds(event_type, family, phase, actor, outcome) AS (VALUES {', '.join(str((k, *v)) for k, v in Y.TYPES.items())}),
+ty AS (SELECT session_id, line, min(rule) AS rule FROM ln JOIN ru ON {' AND '.join(f"regexp_matches(coalesce({f}, ''), p_{f})" for f in Y.FIELDS)} GROUP BY ALL)"""
+
+
+@query("c1_rule_typing", f"WITH {_TYPED} SELECT ty.session_id, ty.line, ty.rule, gives AS event_type, family, phase, actor, outcome FROM ty JOIN ru USING (rule) JOIN kinds ON event_type = gives")
+def c1_rules(spark, d):
+    """Every line typed by the rule table; the SQL tries all rules on all lines and takes the first."""
+    return Y.classify_lines(transcript_lines(spark, d)).select("session_id", "line", "rule", "event_type", *Y.FACETS)
+
+
+_LAYERS = " UNION ALL ".join(f"SELECT session_id, line, '{x.name}' AS layer, unnest(regexp_extract_all(coalesce({x.field}, ''), {_quoted(x.finds)}, 1)) AS key FROM ln" for x in Y.LAYERS)
+
+
+@query("c3_layers", f"WITH {_LINES}, sg AS ({_LAYERS}) SELECT layer, lower(key) AS key, count(DISTINCT session_id || ':' || line) AS lines FROM sg WHERE key <> '' GROUP BY 1, 2")
+def c3_layers(spark, d):
+    s = Y.route_signals(transcript_lines(spark, d)).select("session_id", "line", F.explode("route_signals").alias("s"))
+    return s.groupBy("s.layer", "s.key").agg(F.count("*").alias("lines"))
+
+
+@query("c12_axes", f"""WITH {_TYPED}, sg AS (SELECT DISTINCT session_id, line, layer, lower(key) AS key FROM ({_LAYERS}) WHERE key <> ''), tl AS (SELECT ty.session_id, ty.line, ln.day, k.* FROM ty JOIN ln USING (session_id, line) JOIN ru USING (rule) JOIN kinds k ON k.event_type = gives),
+ax AS ({' UNION ALL '.join(f"SELECT '{a}' AS axis, key AS route_key, session_id, line FROM sg WHERE layer = '{v[6:]}'" if v.startswith('layer:') else f"SELECT '{a}', lower(event_type), session_id, line FROM tl WHERE event_type IN ({', '.join(_quoted(x) for x in v[5:].split())})" if v.startswith('type:') else f"SELECT '{a}', {v}, session_id, line FROM tl" for a, v in Y.AXES.items())})
+SELECT axis, route_key, session_id, count(*) AS signal_count, min(line) AS first_line, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM ax GROUP BY 1, 2, 3""")
+def c12_axes(spark, d):
+    return Y.axis_rows(Y.route_signals(Y.classify_lines(transcript_lines(spark, d))))
+
+
 @query("c3_route_signals", f"WITH {PO} SELECT event_id, route_signal FROM po")
 def c3(spark, d):
     return event_store(spark, d).select("event_id", F.explode("route_signals").alias("route_signal"))
