@@ -180,9 +180,9 @@ def lowest_of_class(classes: DataFrame, roots: DataFrame, key: str) -> DataFrame
 
 #: A fingerprint is WIDE words; tiles are compared by the first NARROW of them, what remains by all.
 WIDE, NARROW = 4, 2
-#: Differing bits of candidates, in the first words and in all. At a similarity of 0.8, 128 and 256 bits differ in 19 +- 4 and 39 +- 6 places, so by
-#: the binomial law at most three links in 10^9 are missed. All candidates are checked on the texts.
-NEAR, FAR = 48, 78
+#: Differing bits of candidates, in the first words and in all. At a similarity of 0.8, 128 and 256 bits differ in 20 +- 4 and 40 +- 6 places, so by
+#: the binomial law about two links in 10^5 at the very threshold are missed, and next to none above it.
+NEAR, FAR = 42, 64
 #: Sets of fewer than SMALL shingles scatter more (24 +- 4 and 48 +- 6 places for 4 against 5): their radius.
 SMALL, SMALL_NEAR, SMALL_FAR = 32, 62, 102
 
