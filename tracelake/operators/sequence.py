@@ -6,6 +6,7 @@ collected, so no session is held whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -59,6 +60,19 @@ def running_sum(events: DataFrame, value: Column, name: str, lines: int = STRETC
     return e.withColumn(name, F.col("__w") + F.coalesce("__p", F.lit(0))).drop("__v", "__b", "__w", "__p")
 
 
+def over_all(events: DataFrame, by: tuple[str, ...], lines: int = STRETCH, **values: tuple[Callable[[Column], Column], Column]) -> DataFrame:
+    """Adds, per name, an aggregate (F.min, F.max or F.sum, and of what) over all rows of the same keys; null keys meet null.
+
+    Aggregated by stretch, then over the stretches of a key; rows are joined by
+    key and stretch, so those of a hot key stay apart.
+    """
+    e = _stretch(events, lines)
+    per = e.groupBy(*by, "__b").agg(*(f(v).alias(f"__v_{n}") for n, (f, v) in values.items()))
+    w = Window.partitionBy(*by)
+    per = per.select(*_keys(by), F.col("__b").alias("__c"), *(f(F.col(f"__v_{n}")).over(w).alias(n) for n, (f, _) in values.items()))
+    return e.join(per, _meets(by) & (F.col("__b") == F.col("__c"))).drop("__b", "__c", *(f"__k{k}" for k in range(len(by))))
+
+
 def last_before(events: DataFrame, value: Column, name: str, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
     """Adds the last non-null value of the rows before each row of its session, or of other keys, by stretches as in running_sum."""
     e = _stretch(events.withColumn("__v", value), lines)
@@ -113,10 +127,9 @@ def following(events: DataFrame, k: int, value: str, name: str) -> DataFrame:
 def segments(events: DataFrame, boundary: Column, lines: int = STRETCH) -> DataFrame:
     """Adds the running segment number, and the segment's role: how it began and whether it is still open."""
     e = running_sum(events, F.when(boundary, 1).otherwise(0), "segment", lines)
-    last = e.groupBy(F.col(BY).alias("__s")).agg(F.max("segment").alias("__last"))
-    e = e.join(last, F.col(BY).eqNullSafe(F.col("__s")))
+    e = over_all(e, (BY,), lines, __last=(F.max, F.col("segment")))
     start = F.when(F.col("segment") == 0, "initial").otherwise("compaction")
-    return e.withColumn("role", F.concat(start, F.when(F.col("segment") == F.col("__last"), "-to-latest").otherwise("-to-compaction"))).drop("__s", "__last")
+    return e.withColumn("role", F.concat(start, F.when(F.col("segment") == F.col("__last"), "-to-latest").otherwise("-to-compaction"))).drop("__last")
 
 
 def episodes(events: DataFrame, opens: Column, closes: Column, lines: int = STRETCH) -> DataFrame:
@@ -226,17 +239,17 @@ def sequence_labels(sessions: DataFrame) -> DataFrame:
     return s.withColumn("label", F.concat_ws("__", "session_date", F.format_string("%03d", F.col(LINE)), F.col(BY))).drop("__h", LINE)
 
 
-def ranked_number_chains(events: DataFrame, call: Column, good: Column, value: str) -> DataFrame:
+def ranked_number_chains(events: DataFrame, call: Column, good: Column, value: str, lines: int = STRETCH) -> DataFrame:
     """Quantitative admission per (session, correlation id): exactly one call, at least two later good results, their numbers in falling order."""
-    key = [BY, "correlation_id"]
-    c = events.where(call & (F.col("correlation_id") != "")).groupBy(*key).agg(F.count("*").alias("calls"), F.min(LINE).alias("call_line"))
-    r = events.where(good).join(c, key).where(F.col(LINE) > F.col("call_line"))
-    r = r.withColumn("prev", F.lag(value).over(Window.partitionBy(*key).orderBy(LINE)))
-    g = r.groupBy(*key).agg(F.first("calls").alias("calls"), F.count("*").alias("numbers"), F.count_if(F.col(value) > F.col("prev")).alias("rises"))
+    key = (BY, "correlation_id")
+    e = over_all(events.where(F.col("correlation_id") != ""), key, lines, calls=(F.sum, F.when(call, 1).otherwise(0)), call_line=(F.min, F.when(call, F.col(LINE))))
+    r = e.where(good).where(F.col(LINE) > F.col("call_line"))
+    r = last_before(r, F.struct(F.col(value).alias("v")), "prev", lines, key)
+    g = r.groupBy(*key).agg(F.first("calls").alias("calls"), F.count("*").alias("numbers"), F.count_if(F.col(value) > F.col("prev.v")).alias("rises"))
     return g.withColumn("admitted", (F.col("calls") == 1) & (F.col("numbers") >= 2) & (F.col("rises") == 0))
 
 
-def since_first(events: DataFrame, start: Column, *keys: str) -> DataFrame:
+def since_first(events: DataFrame, start: Column, *keys: str, lines: int = STRETCH) -> DataFrame:
     """Adds, by keys, the first line of a start, the number of starts, and later: whether the event comes after the first."""
-    first = events.where(start).groupBy(*keys).agg(F.min("line").alias("first_start"), F.count("*").alias("starts"))
-    return events.join(first, list(keys), "left").withColumn("later", F.coalesce(F.col("first_start") < F.col("line"), F.lit(False)))
+    e = over_all(events, keys, lines, first_start=(F.min, F.when(start, F.col(LINE))), starts=(F.sum, F.when(start, 1)))
+    return e.withColumn("later", F.coalesce(F.col("first_start") < F.col(LINE), F.lit(False)))
