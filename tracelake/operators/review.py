@@ -131,3 +131,17 @@ def merge_registry(declared: DataFrame, observed: DataFrame) -> DataFrame:
     j = d.join(o, ["kind", "key"], "full_outer")
     status = F.when(F.col("digests").isNull(), "observed_only").when(F.col("seen").isNull(), "declared_only").otherwise("active")
     return j.select("kind", "key", status.alias("status"), F.when(F.coalesce("digests", F.lit(0)) > 1, "competing").when(F.col("digests") == 1, "resolved").otherwise("unresolved").alias("canonical"))
+
+
+def canonical_candidates(definitions: DataFrame, key: str, *content: str, active: Column | None = None) -> DataFrame:
+    """(key, digest, members, active, verdict) of definitions: those of a key with equal content, digested in order, are one candidate.
+
+    A key whose active candidates number one is resolved, several are competing,
+    none is dormant. Null content digests as such and equals only itself.
+    """
+    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in content]), 256)
+    on = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
+    g = definitions.select(F.col(key).alias("key"), digest.alias("digest"), on.alias("on")).groupBy("key", "digest").agg(F.count("*").alias("members"), F.bool_or("on").alias("active"))
+    n = g.groupBy("key").agg(F.count_if("active").alias("n"))
+    verdict = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "competing").otherwise("dormant")
+    return g.join(n, "key").select("key", "digest", "members", "active", verdict.alias("verdict"))

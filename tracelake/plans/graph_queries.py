@@ -10,7 +10,7 @@ from ..operators import search as P
 from ..operators.sequence import framed
 from ..sources.storage import materialize
 from ..sources.store import stored
-from .base import EV, PO, events, facts, query, table
+from .base import EV, PO, event_store, events, facts, query, table
 
 C = F.col
 
@@ -193,6 +193,11 @@ def a14(spark, d):
     return facts(spark, d).groupBy("k", "event_type").agg(F.count_distinct("session_id").alias("n"))
 
 
+@query("a14_route_pairs", f"WITH {PO} SELECT x.route_signal AS a, y.route_signal AS b, count(DISTINCT x.event_id) AS n FROM po x JOIN po y ON x.event_id = y.event_id AND x.route_signal < y.route_signal GROUP BY ALL")
+def a14_pairs(spark, d):
+    return G.route_pairs(event_store(spark, d))
+
+
 @query("j10_anchor_resolution", f"WITH {PO}, t AS (SELECT DISTINCT route_signal, layer, key FROM po), a AS (SELECT DISTINCT k AS anchor FROM ev) SELECT anchor, layer, route_signal FROM a JOIN t ON t.key = a.anchor AND layer IN ('k', 'error')")
 def j10(spark, d):
     e = facts(spark, d)

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import search as P
 from ..operators import history as H
+from ..operators import review as V
 from ..operators import sequence as Q
 from ..sources.storage import materialize
 from .base import EV, PO, events, query, table
@@ -163,6 +164,14 @@ def j17(spark, d):
     return g.join(n, "p_brand").withColumn("verdict", F.when(C("digests") > 1, "competing").otherwise("resolved")).drop("digests")
 
 
+@query("j17_digests", """WITH g AS (SELECT p_brand || ':' || p_name AS key, sha256('=' || p_type || '|=' || p_size) AS digest, count(*) AS members, bool_or(p_retailprice < 1500) AS active FROM part GROUP BY 1, 2), n AS (SELECT key, count(*) FILTER (active) AS n FROM g GROUP BY 1)
+SELECT key, digest, members, active, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'competing' ELSE 'dormant' END AS verdict FROM g JOIN n USING (key)""")
+def j17_digests(spark, d):
+    """Definitions of a brand's part name by the digest of type and size; cheap ones are active."""
+    parts = table(spark, d, "part").withColumn("key", F.concat_ws(":", "p_brand", "p_name"))
+    return V.canonical_candidates(parts, "key", "p_type", "p_size", active=C("p_retailprice") < 1500)
+
+
 # Windows
 
 
