@@ -2,15 +2,16 @@
 
 The index holds, per document, its terms (the forward table), and per term its
 postings with their share of a BM25 score before the term's weight, cut into
-levels of that share. A batch of queries is answered in three joins:
+levels of that share. A batch of queries is answered in three steps:
 
 1. seeds: documents of each query's highest levels are scored in full; the k-th
    best of them is a threshold that the k best of all must reach;
 2. terms of least weight that together stay under the threshold are left out:
    what holds only these can't be among the best. Of the others, levels too low
    to reach the threshold with all other terms at their best are left out too;
-3. documents met in what is left, whose bound still reaches the threshold, are
-   scored in full from the forward table.
+3. of the documents met in what is left, those of the highest bounds are scored
+   in full from the forward table, which raises the threshold; then all others
+   whose bound still reaches it.
 
 The result is that of scoring everything. Postings of a term are dealt into
 salts by document, so a term that most documents hold is read by many tasks.
@@ -102,12 +103,12 @@ def exact_hits(index: Index, queries: DataFrame) -> DataFrame:
 
 
 class Plan(NamedTuple):
-    """What a search reads: bounds (query_id, threshold, base), reads (query_id, term, level, ...) and all terms with their weights."""
+    """weighed: all terms of the queries with their weights. tried: documents scored to find thresholds. reads: levels of terms that are read. left: documents to be scored besides."""
 
     weighed: DataFrame
-    seeded: DataFrame
+    tried: DataFrame
     reads: DataFrame
-    met: DataFrame
+    left: DataFrame
 
 
 def _scores(index: Index, pairs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -144,15 +145,21 @@ def plan_search(index: Index, queries: DataFrame, k: int) -> Plan:
     t = t.withColumn("base", F.col("spared") + F.sum("rest").over(by))
     reads = materialize(t.select("query_id", "term", "idf", "threshold", "base", "rest", F.explode(F.filter("steps", kept)).alias("s")).select("query_id", "term", "idf", "threshold", "base", "rest", "s.level", "s.n"), "reads")
     gain = F.col("idf") * F.col("share") - F.col("rest")
-    met = _met(index, reads, "level").groupBy("query_id", "doc").agg(F.sum(gain).alias("gain"), F.max("base").alias("base"), F.max("threshold").alias("threshold"))
-    return Plan(weighed, seeded, reads, met.where(F.col("base") + F.col("gain") + ROUNDING >= F.col("threshold")).select("query_id", "doc"))
+    met = _met(index, reads, "level").groupBy("query_id", "doc").agg((F.max("base") + F.sum(gain)).alias("bound"), F.max("threshold").alias("threshold"))
+    met = materialize(met.where(F.col("bound") + ROUNDING >= F.col("threshold")).select("query_id", "doc", "bound"), "met")
+    # The documents of the highest bounds raise the threshold once more.
+    ahead = met.withColumn("r", F.row_number().over(by.orderBy(F.desc("bound"), "doc"))).where(F.col("r") <= max(SEEDS, k)).select("query_id", "doc").join(seeded, ["query_id", "doc"], "left_anti")
+    tried = seeded.unionByName(materialize(_scores(index, ahead, asked), "seeds"))
+    higher = _best(tried, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score") - ROUNDING).alias("least"))
+    left = met.join(higher, "query_id").where(F.col("bound") + ROUNDING >= F.coalesce("least", F.lit(0.0))).select("query_id", "doc").join(tried, ["query_id", "doc"], "left_anti")
+    return Plan(weighed, tried, reads, left)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc, score, rank): the k best documents of each query by BM25, ties, at six digits, by id."""
     p = plan_search(index, queries, k)
     asked = p.weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("ask"))
-    return _best(_scores(index, p.met, asked), k)
+    return _best(_scores(index, p.left, asked).unionByName(p.tried), k)
 
 
 def pruning_report(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -160,5 +167,5 @@ def pruning_report(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     p = plan_search(index, queries, k)
     every = p.weighed.groupBy("query_id").agg(F.sum("df").alias("postings"))
     read = p.reads.groupBy("query_id").agg(F.sum("n").alias("read"))
-    scored = p.met.unionByName(p.seeded.select("query_id", "doc")).groupBy("query_id").agg(F.count("*").alias("scored"))
+    scored = p.left.unionByName(p.tried.select("query_id", "doc")).groupBy("query_id").agg(F.count("*").alias("scored"))
     return every.join(read, "query_id", "left").join(scored, "query_id", "left").na.fill(0)
