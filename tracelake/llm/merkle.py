@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import join_spread, materialize, new_path
 
-#: Nodes of a level that are broadcast on the climb: about 20 MB. Nodes of fuller levels have a small share of all leaves each.
-FEW_NODES = 32_768
+#: Nodes of a level that are broadcast on the climb: about 3 MB. Nodes of fuller levels have a small share of all leaves each.
+FEW_NODES = 4096
 TOP = 32
 
 
