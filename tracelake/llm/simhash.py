@@ -184,7 +184,7 @@ WIDE, NARROW = 4, 2
 #: the binomial law about two links in 10^5 at the very threshold are missed, and next to none above it.
 NEAR, FAR = 42, 64
 #: Sets of fewer than SMALL shingles scatter more (24 +- 4 and 48 +- 6 places for 4 against 5): their radius.
-SMALL, SMALL_NEAR, SMALL_FAR = 32, 62, 102
+SMALL, SMALL_NEAR, SMALL_FAR = 32, 54, 90
 
 
 def _turn(turn: int) -> int:
