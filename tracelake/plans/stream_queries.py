@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import sequence as Q
 from ..sources import readers as RD
 from ..sources import storage as ST
+from ..streaming import episodes as EP
 from ..streaming import flows as FL
+from ..streaming import incremental as IN
 from .base import EV, PO, events, facts, posting_store, query, table
 from .search_queries import RC, receipts
+from .sequence_queries import _EP, _SEG
 
 C = F.col
 
@@ -141,3 +145,86 @@ def r9(spark, d):
 @query("r5_late_evidence", "SELECT 'u' || user_id AS session_id, count(*) AS events, count(*) FILTER (event_type = 'signup') AS intervals FROM events GROUP BY 1")
 def r5(spark, d):
     return FL.run(FL.interval_counts(stream(spark, d), "signup"), "intervals", "complete")
+
+
+def _deliver(rows, part, take):
+    """Write the rows of part 0, 1 and so on, and take each part in before the next one is there."""
+    path = ST.new_path(rows.sparkSession, "deliveries")
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(path)
+        take(rows.sparkSession.readStream.schema(rows.schema).parquet(path))
+
+
+_CLOSED = f"""{_EP}, c AS (SELECT session_id, episode, count(*) AS events, min_by(event_id, line) AS opened_by, max(event_id) FILTER (event_type = 'VERIFICATION') AS closed_by, max(ts) FILTER (event_type = 'VERIFICATION') AS closed FROM q WHERE inside AND episode > 0 GROUP BY ALL)"""
+
+
+@query("r7_timed_episodes", f"WITH {EV}, {_CLOSED} SELECT session_id, episode, events, opened_by, closed_by FROM c WHERE closed < (SELECT max(ts) FROM events) - INTERVAL 7 HOUR")
+def r7_timed(spark, d):
+    """Events arrive up to six hours late, in three deliveries with a restart between them; what the last watermark has not passed is still open."""
+    rows = table(spark, d, "events")
+    arrival = F.unix_micros(C("ts").cast("timestamp")) + (C("event_id") * 7919) % 21600 * 1_000_000
+    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    part = F.coalesce(F.floor((arrival - F.lit(low or 0)) / third).cast("int"), F.lit(0))
+    out, mark = ST.new_path(spark, "episodes"), ST.new_path(spark, "episodes-checkpoint")
+    got = []
+
+    def take(stream):
+        s = stream.select("event_id", F.concat(F.lit("u"), C("user_id").cast("string")).alias("session_id"), C("ts").cast("timestamp").alias("ts"), "event_type")
+        got.append(EP.resume(EP.timed_episodes(s, C("event_type") == "signup", C("event_type") == "purchase", "7 hours"), out, mark))
+
+    _deliver(rows, part, take)
+    return got[-1]
+
+
+def _segment_rows(e):
+    s = Q.segments(e, C("event_type") == "USER_INTENT")
+    return s.groupBy("session_id", "segment", "role").agg(F.count("*").alias("events"), F.min("line").alias("from_line"))
+
+
+def _mention_rows(e):
+    return E.postings(e).groupBy("session_id", "route_signal").agg(F.count("*").alias("n"))
+
+
+def _maintained(spark, d):
+    """Segments, episodes, postings and routes kept up to date over three deliveries: first most events, then late ones of a quarter of the users, then the other late ones."""
+    opens, closes = C("event_type") == "USER_INTENT", C("event_type") == "VERIFICATION"
+    kept = IN.Maintained(
+        ST.new_path(spark, "maintained"), F.concat(F.lit("u"), C("user_id").cast("string")), E.operational_events,
+        [IN.Projection("segments", _segment_rows), IN.Projection("episodes", lambda e: Q.episode_rows(Q.episodes(e, opens, closes)).drop("start", "end")), IN.Projection("mentions", _mention_rows)],
+        [IN.Total("routes", "mentions", "route_signal")], [IN.Revision("revisions", "episodes", "episode")],
+    )
+    late = C("event_id") % 10 == 9
+    _deliver(table(spark, d, "events"), F.when(~late, 0).when(C("user_id") % 4 == 0, 1).otherwise(2), kept.run)
+    return kept
+
+
+@query("r6_dirty_propagation", f"""WITH {PO}, {_SEG}, {_EP},
+sr AS (SELECT session_id, segment, count(*) AS n, min(line) AS place FROM sg GROUP BY ALL), sl AS (SELECT *, CASE WHEN segment = 0 THEN 'initial' ELSE 'compaction' END || CASE WHEN segment = max(segment) OVER (PARTITION BY session_id) THEN '-to-latest' ELSE '-to-compaction' END AS role FROM sr)
+SELECT 'segment' AS kind, session_id || '#' || segment AS item, n, place, role AS state FROM sl
+UNION ALL SELECT 'episode', session_id || '#' || episode, events, from_line, status || '/' || failure_state FROM es
+UNION ALL SELECT 'mention', session_id || '#' || route_signal, count(*), NULL, NULL FROM po GROUP BY session_id, route_signal
+UNION ALL SELECT 'route', route_signal, count(*), count(DISTINCT session_id), NULL FROM po GROUP BY route_signal""")
+def r6_propagation(spark, d):
+    """All maintained tables after the last delivery, as a rebuild of all events would make them."""
+    kept, none, named = _maintained(spark, d), F.lit(None), lambda c: F.concat_ws("#", "session_id", C(c).cast("string"))
+    as_one = lambda name, kind, item, n, place, state: kept.table(spark, name).select(F.lit(kind).alias("kind"), item.alias("item"), C(n).cast("long").alias("n"), place.cast("long").alias("place"), state.cast("string").alias("state"))
+    out = as_one("segments", "segment", named("segment"), "events", C("from_line"), C("role"))
+    out = out.unionByName(as_one("episodes", "episode", named("episode"), "events", C("from_line"), F.concat_ws("/", "status", "failure_state")))
+    return out.unionByName(as_one("mentions", "mention", named("route_signal"), "n", none, none)).unionByName(as_one("routes", "route", C("route_signal"), "n", C("sessions"), none))
+
+
+def _episodes_of(where):
+    return f"(WITH {EV.replace('FROM events)', f'FROM events WHERE {where})')}, {_EP} SELECT session_id, episode, events, from_line, to_line, status, failures, verification_state, failure_state FROM es)"
+
+
+_STATES = ["event_id % 10 <> 9", "(event_id % 10 <> 9 OR user_id % 4 = 0)", "true"]
+
+
+@query("r5_reopened_intervals", " UNION ALL ".join(f"""SELECT {k} AS delivery, coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.episode, b.episode) AS episode, a.status AS was, b.status AS status, a.events AS events_before, b.events AS events
+FROM {_episodes_of(_STATES[k - 1])} a FULL JOIN {_episodes_of(_STATES[k])} b ON a.session_id = b.session_id AND a.episode = b.episode
+WHERE ROW(a.events, a.from_line, a.to_line, a.status, a.failures, a.failure_state) IS DISTINCT FROM ROW(b.events, b.from_line, b.to_line, b.status, b.failures, b.failure_state)""" for k in (1, 2)))
+def r5_reopened(spark, d):
+    """What late deliveries made of intervals that were there: extended, re-opened, newly found or gone."""
+    r = _maintained(spark, d).table(spark, "revisions").where("epoch > 0")
+    return r.select(C("epoch").alias("delivery"), "session_id", "episode", C("old.status").alias("was"), C("new.status").alias("status"), C("old.events").alias("events_before"), C("new.events").alias("events"))
