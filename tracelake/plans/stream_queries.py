@@ -192,7 +192,7 @@ def _maintained(spark, d):
     kept = IN.Maintained(
         ST.new_path(spark, "maintained"), F.concat(F.lit("u"), C("user_id").cast("string")), E.operational_events,
         [IN.Projection("segments", _segment_rows), IN.Projection("episodes", lambda e: Q.episode_rows(Q.episodes(e, opens, closes)).drop("start", "end")), IN.Projection("mentions", _mention_rows)],
-        [IN.Total("routes", "mentions", "route_signal")], [IN.Revision("revisions", "episodes", "episode")],
+        [IN.Total("routes", "mentions", "route_signal")], [IN.Revision("revisions", "episodes", "episode")], buckets=16,
     )
     late = C("event_id") % 10 == 9
     _deliver(table(spark, d, "events"), F.when(~late, 0).when(C("user_id") % 4 == 0, 1).otherwise(2), kept.run)

@@ -88,7 +88,7 @@ class Maintained:
     def _stage(self, rows: DataFrame, path: str) -> DataFrame:
         """rows as staged, a folder a bucket; what is staged whole already stays."""
         if not _there(rows.sparkSession, f"{path}/_SUCCESS"):
-            rows.repartition("bucket", F.pmod(F.xxhash64(*(c for c in rows.columns if c != "bucket")), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         return rows.sparkSession.read.schema(_with_bucket(rows.schema)).parquet(path)
 
     def _publish(self, staged: DataFrame, name: str, touched: list[int]) -> None:
