@@ -52,10 +52,10 @@ def test_a_batch_that_broke_while_it_was_published_counts_once(spark, tmp_path,
     k.take(spark.createDataFrame(FIRST, RAW), 0)
     publish = k._publish
 
-    def breaks(staged, name, touched):
+    def breaks(staged, name, full, touched):
         if name == broken:
             raise OSError("lost")
-        publish(staged, name, touched)
+        publish(staged, name, full, touched)
 
     k._publish = breaks
     with pytest.raises(OSError):

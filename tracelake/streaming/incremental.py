@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from ..sources.storage import materialize, replace_partitions
+from ..sources.storage import materialize
 from ..sources.store import _folder
 
 
@@ -58,6 +58,13 @@ def _drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _buckets_in(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the bucket folders of a table, from its listing."""
+    fs, p = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+
+
 def _with_bucket(schema: StructType) -> StructType:
     return StructType([*(f for f in schema if f.name != "bucket")]).add("bucket", IntegerType())
 
@@ -80,10 +87,10 @@ class Maintained:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
     def _read(self, spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-        return spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
-
-    def _buckets_of(self, rows: DataFrame) -> list[int]:
-        return sorted(r[0] for r in rows.select("bucket").distinct().collect())
+        """The table, or no rows of its schema while it is not there."""
+        fs, p = _folder(spark, path)
+        fs.mkdirs(p)
+        return spark.read.schema(schema).parquet(path)
 
     def _stage(self, rows: DataFrame, path: str) -> DataFrame:
         """rows as staged, a folder a bucket; what is staged whole already stays."""
@@ -91,10 +98,10 @@ class Maintained:
             rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         return rows.sparkSession.read.schema(_with_bucket(rows.schema)).parquet(path)
 
-    def _publish(self, staged: DataFrame, name: str, touched: list[int]) -> None:
-        full = self._buckets_of(staged)
+    def _publish(self, staged: DataFrame, name: str, full: list[int], touched: list[int]) -> None:
+        """Replace the touched partitions by the staged ones; those that have no rows any more go."""
         if full:
-            replace_partitions(staged, f"{self.root}/{name}", "bucket")
+            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
         for b in set(touched) - set(full):
             _drop(staged.sparkSession, f"{self.root}/{name}/bucket={b}")
 
@@ -105,7 +112,7 @@ class Maintained:
         log = batch.withColumn("session_id", self.session).withColumn("bucket", self._bucket("session_id"))
         log.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/log/epoch={epoch}")
         new = spark.read.schema(_with_bucket(log.schema)).parquet(f"{self.root}/log/epoch={epoch}")
-        touched, dirty = self._buckets_of(new), new.select(F.col("session_id").alias("__dirty")).distinct()
+        touched, dirty = _buckets_in(spark, f"{self.root}/log/epoch={epoch}"), new.select(F.col("session_id").alias("__dirty")).distinct()
         if not touched:
             return
         among = lambda rows, how: rows.join(dirty, rows["session_id"].eqNullSafe(dirty["__dirty"]), how)
@@ -125,7 +132,7 @@ class Maintained:
             summed = lambda rows: rows.groupBy(t.key).agg(F.sum("n").alias("n"), F.sum("sessions").alias("sessions"))  # noqa: B023, E731
             change = summed(signed(after[t.of], 1).unionByName(signed(before[t.of], -1))).where("n <> 0 or sessions <> 0").withColumn("bucket", self._bucket(t.key))
             change = self._stage(change, f"{stage}/{t.name}-change")
-            moved = self._buckets_of(change)
+            moved = _buckets_in(spark, f"{stage}/{t.name}-change")
             old = self._read(spark, f"{self.root}/{t.name}", change.schema).where(F.col("bucket").isin(moved))
             now = summed(old.drop("bucket").unionByName(change.drop("bucket"))).where("sessions <> 0").withColumn("bucket", self._bucket(t.key))
             ready.append((self._stage(now, f"{stage}/{t.name}"), t.name, moved))
@@ -134,7 +141,7 @@ class Maintained:
             if not _there(spark, f"{path}/_SUCCESS"):
                 self._revised(before[r.of], after[r.of], r.key).write.mode("overwrite").parquet(path)
         for staged, name, which in ready:
-            self._publish(staged, name, which)
+            self._publish(staged, name, _buckets_in(spark, f"{stage}/{name}"), which)
 
     @staticmethod
     def _revised(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
