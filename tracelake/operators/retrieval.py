@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 from . import lexical
 
 
-def exact_hits(docs: DataFrame | lexical.Index, queries: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, ident): documents holding every term of a query; docs may be an index of them."""
-    index = docs if isinstance(docs, lexical.Index) else lexical.build_index(docs, ident, text)
-    return lexical.exact_hits(index, queries).withColumnRenamed("doc", ident)
+def exact_hits(docs: DataFrame | lexical.Index, queries: DataFrame, ident: str = "doc_id", text: str = "text", put: lexical.Put | None = None) -> DataFrame:
+    """(query_id, ident): documents holding every term of a query; docs may be an index of them. Otherwise only the forward table is made, and kept by put."""
+    forward = docs.forward if isinstance(docs, lexical.Index) else lexical.build_forward(docs, ident, text, **({"put": put} if put else {}))
+    return lexical.exact_hits(forward, queries).withColumnRenamed("doc", ident)
 
 
 def bm25(docs: DataFrame | lexical.Index, queries: DataFrame, k: int = 10, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,11 +56,14 @@ def facet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "facets", [f"{sf_dir}/events.parquet"], build, ("axis", "route_key", "session_id"), ("route_key", "session_id"), ("axis",))
 
 
+def kept_lexical(spark: SparkSession, sf_dir: str) -> lexical.Put:
+    """How tables of the lexical index of documents are stored."""
+    return lambda name, build, cluster, order: stored(spark, name, [f"{sf_dir}/documents.parquet"], build, cluster, order, version="2")
+
+
 def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The stored index of documents."""
-    raw = f"{sf_dir}/documents.parquet"
-    put = lambda name, build, cluster, order: stored(spark, name, [raw], build, cluster, order)
-    return lexical.build_index(spark.read.parquet(raw), put=put)
+    return lexical.build_index(table(spark, sf_dir, "documents"), put=kept_lexical(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import retrieval as T
 from ..operators import review as V
 from ..operators import search as P
 from ..sources.storage import materialize
-from .base import EV, PO, events, facts, lexical_index, query, table
+from .base import EV, PO, events, facts, kept_lexical, lexical_index, query, table
 
 C = F.col
 
@@ -30,7 +30,7 @@ _EX2 = f"{_BM}, nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), hv
 
 @query("t1_exact_hits", f"WITH {_EX2} SELECT query_id, doc_id FROM ex")
 def t1(spark, d):
-    return T.exact_hits(lexical_index(spark, d), asked(spark, d))
+    return T.exact_hits(table(spark, d, "documents"), asked(spark, d), put=kept_lexical(spark, d))
 
 
 @query("t2_bm25", f"WITH {_BM} SELECT query_id, doc_id, round(score, 3) AS score FROM bm")
