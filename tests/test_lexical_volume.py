@@ -64,3 +64,20 @@ def test_maps_of_documents_are_not_shuffled_by_query(spark, corpus, capsys):
             L.SENT = sent
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("cells", [L.CELLS, 1])
+def test_search_reads_the_forward_table_alone(corpus, monkeypatch, cells):
+    """Few queries are scored where documents are, in blocks of any size; before, postings were made and met them by query."""
+    docs, queries, _ = corpus
+    kept = []
+
+    def put(name, build, cluster, order):
+        kept.append(name)
+        return materialize(build(), name)
+
+    monkeypatch.setattr(L, "CELLS", cells)
+    got = sorted(map(repr, L.search(L.build_index(docs, put=put), queries, 5).collect()))
+    assert kept == ["lexical-forward"]
+    monkeypatch.setattr(L, "SENT", 0)
+    assert got and got == sorted(map(repr, L.search(L.build_index(docs), queries, 5).collect()))

@@ -40,7 +40,7 @@ def t2(spark, d):
 
 @query("t3_exact_first", f"WITH {_EX2} SELECT query_id, doc_id, 'exact' AS lane FROM ex UNION ALL SELECT query_id, doc_id, 'lexical' FROM bm WHERE query_id NOT IN (SELECT query_id FROM ex)")
 def t3(spark, d):
-    exact = t1(spark, d)
+    exact = materialize(t1(spark, d), "exact")
     lexical = T.bm25(lexical_index(spark, d), asked(spark, d)).join(exact.select("query_id").distinct(), "query_id", "left_anti")
     return exact.withColumn("lane", F.lit("exact")).unionByName(lexical.select("query_id", "doc_id", F.lit("lexical").alias("lane")))
 
@@ -58,7 +58,7 @@ two AS (SELECT query_id, arg_min(doc_id, rank) AS doc_id, max(score) FILTER (ran
 SELECT l.query_id, l.doc_id, round(round(sum(1 / (60 + rank)), 8) + CASE WHEN bool_or(sure.doc_id IS NOT NULL) THEN 1 / 61::DOUBLE ELSE 0 END, 8) AS fused, count(*) AS lanes, bool_or(sure.doc_id IS NOT NULL) AS bonus FROM l LEFT JOIN sure ON sure.query_id = l.query_id AND sure.doc_id = l.doc_id GROUP BY ALL""")
 def t5(spark, d):
     """Both lanes fused; documents that hold every term of the query are its anchors."""
-    lexical, hits = T.bm25(lexical_index(spark, d), asked(spark, d)), t1(spark, d)
+    lexical, hits = materialize(T.bm25(lexical_index(spark, d), asked(spark, d)), "best"), materialize(t1(spark, d), "exact")
     exact = T.top(hits, 10, "query_id", C("doc_id"))
     return T.anchored(T.fuse({"lexical": lexical, "exact": exact}, "doc_id"), lexical, hits, "doc_id")
 
