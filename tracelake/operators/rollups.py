@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import materialize
 from .search import present
+from .sequence import STRETCH, over_all
 
 
 def entity_inventory(postings: DataFrame, *by: str) -> DataFrame:
@@ -72,18 +74,30 @@ def route_rollup(rows: DataFrame, keys: Sequence[str], samples: int = 3) -> Data
     return counts.join(first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("session_id")), ",").alias("session_sample")), list(keys), "left")
 
 
-def segment_facets(events: DataFrame, facets: Mapping[str, Column], samples: int = 5) -> DataFrame:
-    """Inverted facets of each (session, segment): per facet and value the number of events and the first lines. A facet is an array of an event's values; nulls don't count."""
+def segment_facets(events: DataFrame, facets: Mapping[str, Column], samples: int = 5, lines: int = STRETCH) -> DataFrame:
+    """Inverted facets of each (session, segment): per facet and value the number of events and the first lines. A facet is an array of an event's values; nulls don't count.
+
+    Events are dealt by segment before their facets are laid out, so these are
+    sorted and counted where they are. Only of sessions longer than a stretch
+    are segments dealt by stretches, whose counts and first lines meet after.
+    """
 
     def named(facet: str, values: Column) -> Column:
         return F.transform(F.array_compact(values), lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
 
-    pairs = [named(*x) for x in facets.items()]
-    by = ["session_id", "segment", "facet", "value"]
-    f = events.select("session_id", "segment", "line", F.explode(F.flatten(F.array(*pairs))).alias("f")).select("session_id", "segment", "f.facet", "f.value", "line")
-    first = f.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("line"))).where(F.col("r") <= samples)
-    lines = first.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("first_lines"))
-    return f.groupBy(*by).agg(F.count("*").alias("n")).join(lines, by)
+    by, line, first = ["session_id", "segment", "facet", "value"], F.col("line"), lambda x: F.slice(F.sort_array(x), 1, samples)
+    e = over_all(events, ("session_id",), lines, __most=(F.max, line))
+    e = materialize(e.select("session_id", "segment", "line", (F.col("__most") >= lines).alias("long"), F.flatten(F.array(*(named(*x) for x in facets.items()))).alias("f")), "facets")
+
+    def counted(rows: DataFrame, *part: str) -> DataFrame:
+        dealt = rows.repartition("session_id", "segment", *part)
+        f = dealt.select("session_id", "segment", *part, "line", F.explode("f").alias("f")).select("session_id", "segment", *part, "f.facet", "f.value", "line")
+        ranked = f.withColumn("r", F.row_number().over(Window.partitionBy(*by, *part).orderBy("line")))
+        return ranked.groupBy(*by, *part).agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("r") <= samples, line)).alias("at"))
+
+    whole = counted(e.where("not long")).select(*by, "n", first(F.col("at")).alias("at"))
+    apart = counted(e.where("long").withColumn("part", F.floor(line / lines)), "part").groupBy(*by).agg(F.sum("n").alias("n"), first(F.flatten(F.collect_list("at"))).alias("at"))
+    return whole.unionByName(apart).select(*by, "n", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("first_lines"))
 
 
 def totals_by_basis(rows: DataFrame, session: str, basis: str, *measures: str) -> DataFrame:
