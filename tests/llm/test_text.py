@@ -340,6 +340,37 @@ def test_the_model_learns_and_does_not_depend_on_partitions(spark):
     assert mean(0, 300) > mean(1000, 1020)
 
 
+def test_lm_predicts_held_out_texts_much_better_than_frequencies_of_ids(spark):
+    """At sf0.01, in bits an id: 8.1 by the ids' frequencies alone; classes of ids that mean nothing bring half a bit."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    ids = {d: np.append(np.frombuffer(p, "<u4"), lm.END_ID) for d, p in zip(texts, RankTokenizer(RANKS).pack([(t or "").encode().lower() for t in texts.values()]))}
+    got = lm.score_documents(df, RANKS).collect()
+    assert len(got) == len(texts)
+    mass = np.bincount(np.concatenate([ids[g.doc_id] for g in got if not g.held_out]), minlength=lm.VOCABULARY) + 0.5
+    held = [g for g in got if g.held_out]
+    n, bits = sum(len(ids[g.doc_id]) for g in held), np.log2(mass / mass.sum())
+    plain, model = (-sum(v) / n for v in ([bits[ids[g.doc_id]].sum() for g in held], [g.score / np.log10(2) for g in held]))
+    assert plain - model > 1.5
+
+
+def test_classes_are_made_of_ids_with_the_same_neighbours():
+    """Ids of equal counts in three ranks that follow each other: shares and classes sum to one, and a class holds ids of one rank."""
+    r = np.random.default_rng(13)
+    rank = np.arange(lm.SINGLE, lm.SINGLE + 300) % 3
+    counts, near = np.zeros(lm.VOCABULARY), np.zeros((lm.VOCABULARY, 2 * lm.GROUPS))
+    counts[: lm.SINGLE] = 1000
+    counts[lm.SINGLE : lm.SINGLE + 300] = 90
+    for i, k in enumerate(rank):
+        near[lm.SINGLE + i] = np.concatenate([r.multinomial(90, np.eye(lm.GROUPS)[k] * 0.9 + 0.1 / lm.GROUPS), r.multinomial(90, np.eye(lm.GROUPS)[k + 5] * 0.9 + 0.1 / lm.GROUPS)])
+    ids = lm.Ids(counts, near)
+    klass = ids.klass[lm.SINGLE : lm.SINGLE + 300]
+    assert all(len(set(rank[klass == c])) == 1 for c in set(klass))
+    ids.follow(r.integers(0, 5, (lm.CLASSES, lm.VOCABULARY)))
+    for c in range(lm.CLASSES):
+        assert np.bincount(ids.klass, np.exp(ids.given[c]), lm.CLASSES)[np.unique(ids.klass)] == pytest.approx(1, rel=1e-4)
+
+
 def test_lm_base_scores_are_brute_force(spark):
     rows = [(i, " ".join(f"W{i * k % 23}" for k in range(i % 11)), "a") for i in range(80)] + [(90, None, "b"), (91, "", "b"), (92, "fresh words only here", "b")]
     df = docs(spark, rows + [rows[5]])

@@ -5,9 +5,10 @@ document, and the log10 probability under a causal self-attention model over
 subword ids.
 
 The model predicts the next id's class from a window of ids by one masked
-attention head beside the last id itself; an id's share within its class comes
-from counts of the whole training corpus. The commonest ids are classes of
-their own. It is trained in numpy on every id of every training document, each
+attention head beside the last id itself; an id's share within its class, given
+the class of the id before it, comes from counts of the whole training corpus.
+The commonest ids are classes of their own, the others are grouped by what
+stands before and after them in that corpus. It is trained in numpy on every id of every training document, each
 once: documents are dealt by hash into slices, one a round, and a slice into
 shards of about SHARD ids; a shard trains from the parameters of the round
 before, and the shards' results are averaged by their ids. Shards follow from
@@ -18,9 +19,10 @@ as context.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,12 @@ from .tokens import rank_tokenizer
 
 VOCABULARY = 50_257
 END_ID = 50_256
-#: Classes: SINGLE common ids alone, the other ids dealt over the rest by falling count.
-CLASSES, SINGLE = 32, 24
+#: Classes: SINGLE common ids alone, the other ids grouped over the rest by their neighbours.
+CLASSES, SINGLE = 64, 24
+#: Groups that neighbours are counted by, and rounds of grouping.
+GROUPS, GROUPING = 32, 12
+#: Weight, in ids, of a share in the class that does not look at the id before.
+PRIOR = 30
 #: Rows of the input embedding: the start mark, common ids alone, others hashed.
 INPUTS, COMMON = 2048, 1535
 WINDOW, OVERLAP, DIM = 16, 4, 16
@@ -44,6 +50,15 @@ SHARD, ROUNDS = 2_000_000, (1, 3, 4)
 FREQUENT = 400_000
 
 
+def keep_memory() -> None:
+    """Lets this worker keep freed arrays of up to 16 MB for the next ones, instead of fetching zeroed pages for every step; no change where the C library has no such setting."""
+    try:
+        of = ctypes.CDLL(None).mallopt
+        of(-3, 16 << 20), of(-1, 64 << 20)  # from what size on arrays are mapped, and how much is kept
+    except (AttributeError, OSError):
+        pass
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 7, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
@@ -194,16 +209,64 @@ class Trainer:
 
 
 class Ids:
-    """From corpus counts of ids: each id's class, its log share within the class, and its input row."""
+    """From corpus counts of ids: each id's class, its log share within the class, and its input row.
+
+    near, of shape (ids, 2 * GROUPS), counts each id by the group of the id
+    before and of the id after it; without it classes are dealt by falling count.
+    """
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, near: np.ndarray | None = None):
         order = np.argsort(-counts, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.klass = np.where(place < SINGLE, place, SINGLE + (place - SINGLE) % (CLASSES - SINGLE)).astype(np.int64)
-        mass = counts + 0.5
-        self.log_share = np.log(mass / np.bincount(self.klass, mass, CLASSES)[self.klass])
+        if near is not None:
+            met = order[SINGLE:][counts[order[SINGLE:]] > 0]
+            self.klass[met] = SINGLE + grouped(near[met], counts[met], near.sum(0), CLASSES - SINGLE)
+        self.mass = counts + 0.5
+        self.log_share = np.log(self.mass / np.bincount(self.klass, self.mass, CLASSES)[self.klass])
         self.row = np.where(place < COMMON, 1 + place, 1 + COMMON + (np.arange(len(order)) * 2654435761 % 2**32) % (INPUTS - COMMON - 1)).astype(np.int64)
+        self.given: np.ndarray | None = None
+
+    def follow(self, pairs: np.ndarray) -> None:
+        """Shares given the class before, from counts of shape (CLASSES, ids); few counts stay near the plain share."""
+        self.given = np.empty(pairs.shape, np.float32)
+        for c, n in enumerate(pairs):
+            self.given[c] = np.log((n + PRIOR * np.exp(self.log_share)) / (np.bincount(self.klass, n, CLASSES) + PRIOR)[self.klass])
+
+    def shares(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Log share of each id of texts that follow one another, beginning at these places."""
+        if self.given is None:
+            return self.log_share[flat]
+        return self.given[self.klass[before(flat, begin)], flat]
+
+
+def before(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The id before each; the end id before the first of a text."""
+    out = np.empty_like(flat)
+    out[1:] = flat[:-1]
+    out[begin] = END_ID
+    return out
+
+
+def grouped(near: np.ndarray, counts: np.ndarray, all_near: np.ndarray, groups: int) -> np.ndarray:
+    """A group of each id: k-means, by counts, of the square roots of the shares of its neighbours' groups, from a cut along their main axis."""
+    if not len(near):
+        return np.zeros(0, np.int64)
+    prior = 4 * all_near / max(1, all_near.sum())
+    x = np.sqrt((near + prior) / (near.sum(1, keepdims=True) + prior.sum() + 1e-9))
+    centred = x - np.average(x, axis=0, weights=counts)
+    axis = np.linalg.eigh((centred * counts[:, None]).T @ centred)[1][:, -1]
+    along = np.argsort(centred @ (axis * np.sign(axis[np.abs(axis).argmax()])), kind="stable")
+    group = np.empty(len(x), np.int64)
+    group[along] = np.minimum(np.cumsum(counts[along]) * groups / counts.sum(), groups - 1)
+    for _ in range(GROUPING):
+        weight = np.bincount(group, counts, groups)
+        centre = np.stack([np.bincount(group, counts * c, groups) for c in x.T], 1) / np.maximum(weight, 1e-9)[:, None]
+        far = (centre * centre).sum(1) - 2 * x @ centre.T
+        far[:, weight == 0] = np.inf
+        group = far.argmin(1)
+    return group
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,8 +289,8 @@ def score_ids(model: AttentionLM, ids: Ids, docs: list[np.ndarray], chunk: int =
     """log10 probability of each id sequence, every id scored once."""
     lengths = np.array([len(d) for d in docs], np.int64)
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    total = np.bincount(np.repeat(np.arange(len(docs)), lengths), ids.log_share[flat], len(docs))
     target, row, begin = ids.klass[flat], ids.row[flat], np.cumsum(lengths) - lengths
+    total = np.bincount(np.repeat(np.arange(len(docs)), lengths), ids.shares(flat, begin[lengths > 0]), len(docs))
     (doc, start), tables = windows(lengths), model.tables()
     for i in range(0, len(doc), chunk):
         d, s = doc[i : i + chunk], start[i : i + chunk]
@@ -237,59 +300,92 @@ def score_ids(model: AttentionLM, ids: Ids, docs: list[np.ndarray], chunk: int =
     return total / np.log(10)
 
 
-def read_corpus(docs: DataFrame, id_col: str, text_col: str, train: Column, tokenizer: str, flush: int = 200_000) -> DataFrame:
-    """Of the rows that train holds for, in one pass: (kind 0, word, n) counts of words by task, (kind 1, n, h, ids) every document's number of ids, hash and ids."""
+def read_corpus(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, flush: int = 200_000) -> DataFrame:
+    """In one pass: (kind 0, key, n) counts of words by task, of the training rows; (kind 1, n, h, doc_id, train, text, ids) every row's number of ids, hash, lower-case text and ids."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def counted(c: Counter) -> pd.DataFrame:
-            return pd.DataFrame({"kind": 0, "key": list(c.keys()), "n": list(c.values()), "h": 0, "ids": None})
+            return pd.DataFrame({"kind": 0, "key": list(c.keys()), "n": list(c.values()), "h": 0, "doc_id": pd.array([None] * len(c), "Int64"), "train": True, "text": None, "ids": None})
 
         words = Counter()
         for b in batches:
             for i in range(0, len(b), 128):
                 part = b.iloc[i : i + 128]
                 texts = [(t or "").encode().lower() for t in part.text]
-                for t in texts:
-                    words.update(t.split())
+                for t, train in zip(texts, part.train):
+                    if train:
+                        words.update(t.split())
                 packed = [np.append(np.frombuffer(p, "<u4"), END_ID).astype("<u2") for p in rank_tokenizer(tokenizer).pack(texts)]
-                yield pd.DataFrame({"kind": 1, "key": None, "n": [len(p) for p in packed], "h": part.h.to_numpy(), "ids": [p.tobytes() for p in packed]})
+                yield pd.DataFrame({"kind": 1, "key": None, "n": [len(p) for p in packed], "h": part.h.to_numpy(), "doc_id": part.doc_id.astype("Int64").to_numpy(), "train": part.train.to_numpy(), "text": texts, "ids": [p.tobytes() for p in packed]}).astype({"doc_id": "Int64"})
                 if len(words) > flush:
                     yield counted(words)
                     words = Counter()
         yield counted(words)
 
     h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col)
-    return docs.where(train).select(h.alias("h"), F.col(text_col).alias("text")).mapInPandas(read, "kind int, key binary, n long, h long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), h.alias("h"), (~held_out(id_col)).alias("train"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(read, "kind int, key binary, n long, h long, doc_id long, train boolean, text binary, ids binary")
 
 
-def fit_ids(sequences: DataFrame) -> Ids:
-    """Counts of ids over all training documents; at most VOCABULARY numbers reach the driver."""
+def tally(sequences: DataFrame, cells: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray], pieces: int = 32) -> np.ndarray:
+    """Counts of the cells that of(ids, the ids before them) names, over all sequences; their sums by piece reach the driver, 8 bytes a cell."""
+    size, chunk = -(-cells // pieces), 200_000
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(VOCABULARY, np.int64)
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                total += np.bincount(np.frombuffer(b"".join(b.ids.iloc[i : i + 1000]), "<u2"), minlength=VOCABULARY)
-        some = total.nonzero()[0]
-        yield pd.DataFrame({"id": some, "n": total[some]})
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held, n = np.zeros(size * pieces, np.int64), [], 0
 
-    got = sequences.select("ids").mapInPandas(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(VOCABULARY, np.float64)
+        def add() -> None:
+            docs = [np.frombuffer(d, "<u2") for d in held]
+            flat = np.concatenate(docs).astype(np.int64)
+            lengths = np.array([len(d) for d in docs])
+            np.add.at(total, of(flat, before(flat, np.cumsum(lengths) - lengths)), 1)
+            held.clear()
+
+        keep_memory()
+        for b in batches:
+            for data in b.ids:
+                held.append(data)
+                n += len(data) // 2
+                if n > chunk:
+                    add()
+                    n = 0
+        if held:
+            add()
+        yield pd.DataFrame({"piece": np.arange(pieces), "n": [p.tobytes() for p in total.reshape(pieces, size)]})
+
+    def add_up(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": [part.piece.iloc[0]], "n": [sum(np.frombuffer(p, np.int64) for p in part.n).tobytes()]})
+
+    # Few tasks that read much each: every task makes one row a piece, whatever it reads.
+    few = sequences.select("ids").coalesce(2 * sequences.sparkSession.sparkContext.defaultParallelism)
+    got = few.mapInPandas(count, "piece int, n binary").groupBy("piece").applyInPandas(add_up, "piece int, n binary").collect()
+    out = np.zeros((pieces, size), np.int64)
     for r in got:
-        total[r.id] = r.n
-    return Ids(total)
+        out[r.piece] = np.frombuffer(r.n, np.int64)
+    return out.ravel()[:cells]
+
+
+def fit_ids(sequences: DataFrame) -> Ids:
+    """Ids with their classes and shares, from two counts over all training documents: of the groups next to each id, then of ids by the class before them."""
+    near = tally(sequences, VOCABULARY * 2 * GROUPS, lambda id_, last: np.concatenate([id_ * (2 * GROUPS) + last % GROUPS, last * (2 * GROUPS) + GROUPS + id_ % GROUPS])).reshape(VOCABULARY, -1)
+    ids = Ids(near[:, :GROUPS].sum(1).astype(float), near.astype(np.float32))
+    klass = ids.klass
+    ids.follow(tally(sequences, CLASSES * VOCABULARY, lambda id_, last: klass[last] * VOCABULARY + id_).reshape(CLASSES, -1))
+    return ids
 
 
 def fit_model(sequences: DataFrame, ids: Ids, total: int, rate: float = 0.01) -> AttentionLM:
     """Rounds over slices of sequences(n, h, ids), shard by shard. Only one set of parameters a round reaches the driver."""
-    model, known, eighth = AttentionLM(), pickle.dumps(ids), F.pmod(F.shiftright("h", 8), F.lit(sum(ROUNDS)))
+    model, known, eighth = AttentionLM(), pickle.dumps((ids.klass, ids.row)), F.pmod(F.shiftright("h", 8), F.lit(sum(ROUNDS)))
     begin = 0
     for k, eighths in enumerate(ROUNDS):
         now = model.pack()
         shards = max(1, round(total * eighths / sum(ROUNDS) / SHARD))
 
         def learn(batches: Iterator[pd.DataFrame], now: np.ndarray = now, k: int = k) -> Iterator[pd.DataFrame]:
-            table, own, shard = pickle.loads(known), None, None
+            keep_memory()
+            table, own, shard = Ids.__new__(Ids), None, None
+            table.klass, table.row = pickle.loads(known)
 
             def done() -> pd.DataFrame:
                 own.flush()
@@ -336,9 +432,9 @@ def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     counts, and the model as it starts. Empty input: empty result.
     """
     spark = docs.sparkSession
-    read = materialize(read_corpus(docs, id_col, text_col, ~held_out(id_col), tokenizer), "corpus")
+    read = materialize(read_corpus(docs, id_col, text_col, tokenizer), "corpus")
     words = materialize(read.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    sequences = read.where("kind = 1").select("n", "h", "ids")
+    sequences = read.where("kind = 1 and train").select("n", "h", "ids")
     seen, met = words.agg(F.sum("n"), F.count("*")).first(), sequences.agg(F.sum("n"), F.count("*")).first()
     n_docs = met[1]
     total, distinct = (seen[0] or 0) + n_docs, seen[1] + (n_docs > 0)
@@ -350,17 +446,16 @@ def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     end_score = float(np.log10((n_docs + 1) / (total + distinct + 1)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_memory()
         ids_, model_, known = pickle.loads(shared.value)
         get, columns = known.get, ["doc_id", "hash", "word", "n", "copies", "tokens", "known", "base", "lm"]
         task, nth = TaskContext.get().partitionId(), 0
         for b in batches:
             for i in range(0, len(b), 128):
                 part = b.iloc[i : i + 128]
-                texts = [(t or "").encode().lower() for t in part.text]
-                packed = rank_tokenizer(tokenizer).pack(texts)
-                lm = score_ids(model_, ids_, [np.append(np.frombuffer(p, "<u4").astype(np.int64), END_ID) for p in packed])
+                lm = score_ids(model_, ids_, [np.frombuffer(p, "<u2").astype(np.int64) for p in part.ids])
                 rows = []
-                for doc, h, text, v in zip(part.doc_id, part["hash"], texts, lm):
+                for doc, h, text, v in zip(part.doc_id, part.h, part.text, lm):
                     doc, nth = None if pd.isna(doc) else int(doc), nth + 1
                     ws = text.split()
                     got = list(map(get, ws))
@@ -373,8 +468,7 @@ def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
                     rows += [(doc, h, w, n, 0, 0, 0, 0.0, 0.0) for w, n in rare.items()]
                 yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
-    parts = source.mapInPandas(score, "doc_id long, hash long, word binary, n long, copies long, tokens long, known long, base double, lm double")
+    parts = read.where("kind = 1").select("doc_id", "h", "text", "ids").mapInPandas(score, "doc_id long, hash long, word binary, n long, copies long, tokens long, known long, base double, lm double")
     c = F.coalesce(F.col("c"), F.lit(0))
     joined = parts.join(words.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left").select(
         "doc_id", "hash", "copies", "tokens", "lm",
