@@ -147,6 +147,10 @@ def r5(spark, d):
     return FL.run(FL.interval_counts(stream(spark, d), "signup"), "intervals", "complete")
 
 
+#: Rows of a bucket of sessions, over all deliveries, about.
+BUCKET_ROWS = 65_536
+
+
 def _deliver(rows, part, take):
     """Write the rows of part 0, 1 and so on, and take each part in before the next one is there."""
     path = ST.new_path(rows.sparkSession, "deliveries")
@@ -163,7 +167,7 @@ def r7_timed(spark, d):
     """Events arrive up to six hours late, in three deliveries with a restart between them; what the last watermark has not passed is still open."""
     rows = table(spark, d, "events")
     arrival = F.unix_micros(C("ts").cast("timestamp")) + (C("event_id") * 7919) % 21600 * 1_000_000
-    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
+    low, high, n = rows.agg(F.min(arrival), F.max(arrival), F.count("*")).first()
     third = ((high or 0) - (low or 0)) // 3 + 1
     part = F.coalesce(F.floor((arrival - F.lit(low or 0)) / third).cast("int"), F.lit(0))
     out, mark = ST.new_path(spark, "episodes"), ST.new_path(spark, "episodes-checkpoint")
@@ -171,7 +175,7 @@ def r7_timed(spark, d):
 
     def take(stream):
         s = stream.select("event_id", F.concat(F.lit("u"), C("user_id").cast("string")).alias("session_id"), C("ts").cast("timestamp").alias("ts"), "event_type")
-        got.append(EP.resume(EP.timed_episodes(s, C("event_type") == "signup", C("event_type") == "purchase", "7 hours"), out, mark))
+        got.append(EP.resume(EP.timed_episodes(s, C("event_type") == "signup", C("event_type") == "purchase", "7 hours", buckets=max(64, n // BUCKET_ROWS)), out, mark))
 
     _deliver(rows, part, take)
     return got[-1]
