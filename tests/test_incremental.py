@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.operators import events as E
+from tracelake.plans.stream_queries import _marked
 from tracelake.streaming.incremental import Maintained, Projection, Revision, Total
 
 RAW = "event_id long, user string, n long"
@@ -74,3 +76,53 @@ def test_an_empty_delivery_changes_nothing(spark, tmp_path):
     was = tables(k, spark)
     k.take(spark.createDataFrame([], RAW), 1)
     assert tables(k, spark) == was
+
+
+LOGS = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string"
+
+
+def logs(spark, n=240):
+    """Events of five users, one of them with half of all, and of no user."""
+    kinds = F.array(*(F.lit(k) for k in E.TYPING))
+    user = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 19 == 3, F.lit(None)).otherwise(F.col("id") % 5)
+    return spark.range(n).select(
+        F.col("id").alias("event_id"), user.cast("long").alias("user_id"), F.expr("timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, id * 7919 % 100)").alias("ts"),
+        kinds[(F.xxhash64("id") % 5 + 5) % 5].alias("event_type"), F.lit(1.0).alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 3, F.lit("}")).alias("props"),
+    ).to(spark.createDataFrame([], LOGS).schema)
+
+
+def marks(root, large):
+    rows = lambda s: s.groupBy("session_id", "line").agg(*(F.first(c).alias(c) for c in ("event_type", "segment", "role", "episode", "in_episode")))
+    return Maintained(root, E.user_session(), lambda raw: _marked(E.whole_sessions(raw), None), [Projection("rows", rows)], buckets=4, spread=lambda raw: _marked(E.operational_events(raw), 7), large=large)
+
+
+def test_sessions_that_are_spread_get_the_rows_of_whole_ones(spark, tmp_path):
+    raw, got = logs(spark), []
+    for name, large in (("whole", 10**6), ("both", 30), ("spread", 0)):
+        k = marks(str(tmp_path / name), large)
+        k.take(raw.where("event_id % 4 <> 1"), 0)
+        k.take(raw.where("event_id % 4 = 1 or event_id < 40"), 1)
+        got.append(sorted((tuple(r) for r in k.table(spark, "rows").drop("bucket").collect()), key=repr))
+    assert got[0] == got[1] == got[2] and len(got[0]) == raw.count()
+
+
+def test_whole_sessions_are_dealt_once_and_only_long_ones_are_spread(spark, tmp_path):
+    seen = {}
+
+    def keep(name):
+        return lambda raw: seen.setdefault(name, raw).select("event_id", "session_id")
+
+    rows = logs(spark).withColumn("session_id", E.user_session())
+    Maintained(str(tmp_path), E.user_session(), keep("whole"), [], spread=keep("spread"), large=100)._typed(rows)
+    assert {r[0] for r in seen["spread"].select("session_id").collect()} == {"u0"} and "u0" not in {r[0] for r in seen["whole"].select("session_id").collect()}
+    plan = _marked(E.whole_sessions(rows.repartition("session_id").distinct()), None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_rows_of_changed_sessions_are_staged_apart(spark, tmp_path):
+    k = kept(tmp_path)
+    k.take(spark.createDataFrame(FIRST, RAW), 0)
+    k.take(spark.createDataFrame(LATE, RAW), 1)
+    staged = spark.read.parquet(f"{tmp_path}/stage/epoch=1/sums")
+    sessions = {part: {r[0] for r in staged.where(F.col("staged") == part).select("session_id").collect()} for part in ("kept", "fresh", "gone")}
+    assert sessions["fresh"] == sessions["gone"] == {"u1", "u3", None} and not sessions["kept"] & sessions["fresh"]

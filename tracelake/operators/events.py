@@ -45,10 +45,25 @@ def numbered(rows: DataFrame, session: str, day: str, *order: str) -> DataFrame:
     return n.join(starts, same).withColumn("line", F.col("__n") + F.col("__before")).drop("__n", "__s", "__d", "__before")
 
 
+def user_session() -> Column:
+    """The session of a row of an operational log."""
+    return F.concat(F.lit("u"), F.col("user_id").cast("string"))
+
+
 def operational_events(logs: DataFrame, lines: bool = True) -> DataFrame:
     """session_events from an operational log: a session per user, lines by time and id, the property k as key and correlation id. lines=False leaves line out for what doesn't need it."""
+    return _events(logs.withColumn("session_id", user_session()), lines)
+
+
+def whole_sessions(logs: DataFrame) -> DataFrame:
+    """The same of logs that have their session_id, for sessions that are few enough rows for one task each."""
+    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    return _events(logs, False).withColumn("line", F.row_number().over(w).cast("long"))
+
+
+def _events(logs: DataFrame, lines: bool) -> DataFrame:
     s = logs.select(
-        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("session_date"),
+        "event_id", "session_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("session_date"),
         F.col("event_type").alias("raw_type"), "value", F.get_json_object("props", "$.k").alias("k"),
     )
     s = numbered(s, "session_id", "session_date", "ts", "event_id") if lines else s

@@ -1,7 +1,9 @@
 """Windows over a session's ordered events and the joins between them.
 
 All windows are partitioned by session; frames are bounded where rows are
-collected, so no session is held whole.
+collected, so no session is held whole. Where lines may be None, that says that
+each key's rows are few enough for one task: windows then run over all of them,
+without joins of stretches.
 """
 
 from __future__ import annotations
@@ -46,13 +48,15 @@ def _with_before(e: DataFrame, per: DataFrame, value: Column, by: tuple[str, ...
     return e.join(p, _meets(by) & (F.col("__b") == F.col("__c")), "left").drop("__c", *(f"__k{i}" for i in range(len(by))))
 
 
-def running_sum(events: DataFrame, value: Column, name: str, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
+def running_sum(events: DataFrame, value: Column, name: str, lines: int | None = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
     """Adds the sum of value up to and with each row of its session, or of other keys.
 
     Summed within stretches of lines, which start from the sums of the earlier
     ones: of a very long session no task holds more than a stretch, and one row
     a stretch meets in one place.
     """
+    if lines is None:
+        return events.withColumn(name, F.sum(value.cast("long")).over(Window.partitionBy(*by).orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)))
     e = _stretch(events.withColumn("__v", value.cast("long")), lines)
     per = e.groupBy(*by, "__b").agg(F.sum("__v").alias("__t"))
     w = Window.partitionBy(*by, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, 0)
@@ -60,12 +64,14 @@ def running_sum(events: DataFrame, value: Column, name: str, lines: int = STRETC
     return e.withColumn(name, F.col("__w") + F.coalesce("__p", F.lit(0))).drop("__v", "__b", "__w", "__p")
 
 
-def over_all(events: DataFrame, by: tuple[str, ...], lines: int = STRETCH, **values: tuple[Callable[[Column], Column], Column]) -> DataFrame:
+def over_all(events: DataFrame, by: tuple[str, ...], lines: int | None = STRETCH, **values: tuple[Callable[[Column], Column], Column]) -> DataFrame:
     """Adds, per name, an aggregate (F.min, F.max or F.sum, and of what) over all rows of the same keys; null keys meet null.
 
     Aggregated by stretch, then over the stretches of a key; rows are joined by
     key and stretch, so those of a hot key stay apart.
     """
+    if lines is None:
+        return events.withColumns({n: f(v).over(Window.partitionBy(*by)) for n, (f, v) in values.items()})
     e = _stretch(events, lines)
     per = e.groupBy(*by, "__b").agg(*(f(v).alias(f"__v_{n}") for n, (f, v) in values.items()))
     w = Window.partitionBy(*by)
@@ -73,8 +79,10 @@ def over_all(events: DataFrame, by: tuple[str, ...], lines: int = STRETCH, **val
     return e.join(per, _meets(by) & (F.col("__b") == F.col("__c"))).drop("__b", "__c", *(f"__k{k}" for k in range(len(by))))
 
 
-def last_before(events: DataFrame, value: Column, name: str, lines: int = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
+def last_before(events: DataFrame, value: Column, name: str, lines: int | None = STRETCH, by: tuple[str, ...] = (BY,)) -> DataFrame:
     """Adds the last non-null value of the rows before each row of its session, or of other keys, by stretches as in running_sum."""
+    if lines is None:
+        return events.withColumn(name, F.last(value, True).over(Window.partitionBy(*by).orderBy(LINE).rowsBetween(Window.unboundedPreceding, -1)))
     e = _stretch(events.withColumn("__v", value), lines)
     per = e.groupBy(*by, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(LINE))).alias("__t"))
     w = Window.partitionBy(*by, "__b").orderBy(LINE).rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +132,7 @@ def following(events: DataFrame, k: int, value: str, name: str) -> DataFrame:
     return framed(events, F.col(value), name, 1, k)
 
 
-def segments(events: DataFrame, boundary: Column, lines: int = STRETCH) -> DataFrame:
+def segments(events: DataFrame, boundary: Column, lines: int | None = STRETCH) -> DataFrame:
     """Adds the running segment number, and the segment's role: how it began and whether it is still open."""
     e = running_sum(events, F.when(boundary, 1).otherwise(0), "segment", lines)
     e = over_all(e, (BY,), lines, __last=(F.max, F.col("segment")))
@@ -132,7 +140,7 @@ def segments(events: DataFrame, boundary: Column, lines: int = STRETCH) -> DataF
     return e.withColumn("role", F.concat(start, F.when(F.col("segment") == F.col("__last"), "-to-latest").otherwise("-to-compaction"))).drop("__last")
 
 
-def episodes(events: DataFrame, opens: Column, closes: Column, lines: int = STRETCH) -> DataFrame:
+def episodes(events: DataFrame, opens: Column, closes: Column, lines: int | None = STRETCH) -> DataFrame:
     """Task episodes: an opening event starts one unless one is open; a closing event ends it.
 
     An event opens if the last opening or closing event before it is not an

@@ -181,8 +181,14 @@ def r7_timed(spark, d):
     return got[-1]
 
 
-def _segment_rows(e):
-    s = Q.segments(e, C("event_type") == "USER_INTENT")
+def _marked(e, lines):
+    """Events with their segments and episodes, which projections add up."""
+    opens, closes = C("event_type") == "USER_INTENT", C("event_type") == "VERIFICATION"
+    marked = Q.episodes(Q.segments(e, opens, lines), opens, closes, lines)
+    return marked.select("session_id", "line", "ts", "k", "event_type", "family", "outcome", "segment", "role", "episode", "in_episode")
+
+
+def _segment_rows(s):
     return s.groupBy("session_id", "segment", "role").agg(F.count("*").alias("events"), F.min("line").alias("from_line"))
 
 
@@ -192,11 +198,10 @@ def _mention_rows(e):
 
 def _maintained(spark, d):
     """Segments, episodes, postings and routes kept up to date over three deliveries: first most events, then late ones of a quarter of the users, then the other late ones."""
-    opens, closes = C("event_type") == "USER_INTENT", C("event_type") == "VERIFICATION"
     kept = IN.Maintained(
-        ST.new_path(spark, "maintained"), F.concat(F.lit("u"), C("user_id").cast("string")), E.operational_events,
-        [IN.Projection("segments", _segment_rows), IN.Projection("episodes", lambda e: Q.episode_rows(Q.episodes(e, opens, closes)).drop("start", "end")), IN.Projection("mentions", _mention_rows)],
-        [IN.Total("routes", "mentions", "route_signal")], [IN.Revision("revisions", "episodes", "episode")], buckets=16,
+        ST.new_path(spark, "maintained"), E.user_session(), lambda raw: _marked(E.whole_sessions(raw), None),
+        [IN.Projection("segments", _segment_rows), IN.Projection("episodes", lambda e: Q.episode_rows(e).drop("start", "end")), IN.Projection("mentions", _mention_rows)],
+        [IN.Total("routes", "mentions", "route_signal")], [IN.Revision("revisions", "episodes", "episode")], buckets=16, spread=lambda raw: _marked(E.operational_events(raw), Q.STRETCH), large=Q.STRETCH,
     )
     late = C("event_id") % 10 == 9
     _deliver(table(spark, d, "events"), F.when(~late, 0).when(C("user_id") % 4 == 0, 1).otherwise(2), kept.run)
