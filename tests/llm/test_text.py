@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.util import docs, unigram
-from tracelake.llm import lm, packing, pii, quality, registry, url_filter
+from tracelake.llm import lm, packing, pii, quality, registry, tokens, url_filter
 from tracelake.llm.tokens import RankTokenizer, tokenizer_path, word_tokenizer
 
 
@@ -410,3 +410,12 @@ def test_secrets_of_any_length(length, gap):
     text = f"the api_key{gap}:{gap}\"{'aB3-' * (length // 4)}{'x' * (length % 4)}\", then"
     found = [(s, e) for kind, s, e, _ in pii.find_spans(text) if kind == "secret"]
     assert [e - s for s, e in found] == [length]
+
+
+def test_tasks_that_tokenize_nothing_forget_the_words_of_earlier_tasks():
+    """Workers live on: what reading remembered (up to 800,000 words) would stay through counting, training and scoring."""
+    path = str(tokenizer_path("byte_bpe_50k.tiktoken"))
+    tokens.rank_tokenizer(path).pack([b"some words to remember"])
+    assert tokens.rank_tokenizer(path).known
+    lm.keep_memory()
+    assert not tokens._HERE and not tokens.rank_tokenizer(path).known

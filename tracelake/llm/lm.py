@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import rank_tokenizer
+from .tokens import forget, rank_tokenizer
 
 VOCABULARY = 50_257
 END_ID = 50_256
@@ -51,7 +51,8 @@ FREQUENT = 400_000
 
 
 def keep_memory() -> None:
-    """Lets this worker keep freed arrays of up to 16 MB for the next ones, instead of fetching zeroed pages for every step; no change where the C library has no such setting."""
+    """For tasks that tokenize nothing: forgets the tokenizers that earlier tasks of this worker left, and lets it keep freed arrays of up to 16 MB for the next ones, instead of fetching zeroed pages for every step; no change where the C library has no such setting."""
+    forget()
     try:
         of = ctypes.CDLL(None).mallopt
         of(-3, 16 << 20), of(-1, 64 << 20)  # from what size on arrays are mapped, and how much is kept
