@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -419,3 +420,9 @@ def test_tasks_that_tokenize_nothing_forget_the_words_of_earlier_tasks():
     assert tokens.rank_tokenizer(path).known
     lm.keep_memory()
     assert not tokens._HERE and not tokens.rank_tokenizer(path).known
+
+
+def test_scores_of_frequent_words_come_from_their_counts():
+    top = pa.table({"key": pa.array([b"the", b"of", b"a"], pa.binary()), "n": pa.array([9, 99, 9], pa.int64())})
+    assert lm.word_scores(top, 999) == pytest.approx({b"the": -2, b"of": -1, b"a": -2})
+    assert lm.word_scores(top.slice(0, 0), 0) == {}

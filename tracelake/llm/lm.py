@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -371,6 +372,8 @@ def fit_ids(sequences: DataFrame) -> Ids:
     near = tally(sequences, VOCABULARY * 2 * GROUPS, lambda id_, last: np.concatenate([id_ * (2 * GROUPS) + last % GROUPS, last * (2 * GROUPS) + GROUPS + id_ % GROUPS])).reshape(VOCABULARY, -1)
     ids = Ids(near[:, :GROUPS].sum(1).astype(float), near.astype(np.float32))
     klass = ids.klass
+    del near
+    forget()
     ids.follow(tally(sequences, CLASSES * VOCABULARY, lambda id_, last: klass[last] * VOCABULARY + id_).reshape(CLASSES, -1))
     return ids
 
@@ -424,6 +427,13 @@ def frequent_from(words: DataFrame, most: int) -> int:
     return int(least)
 
 
+def word_scores(top: pa.Table, tokens: int) -> dict[bytes, float]:
+    """log10 of the smoothed share of each word of top (key, n); words of one count share the number."""
+    counts, of = np.unique(top["n"].to_numpy(), return_inverse=True)
+    logs = np.log10((counts + 1) / (tokens + 1)).tolist()
+    return dict(zip(top["key"].to_pylist(), map(logs.__getitem__, of.tolist())))
+
+
 def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row, learned from the rows that are not held out.
 
@@ -441,14 +451,17 @@ def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     total, distinct = (seen[0] or 0) + n_docs, seen[1] + (n_docs > 0)
     ids = fit_ids(sequences)
     model = fit_model(sequences, ids, met[0] or 0)
-    top = words.where(F.col("n") >= frequent_from(words, frequent)).toPandas()
-    logs = {n: float(np.log10((n + 1) / (total + distinct + 1))) for n in set(top.n)}
-    shared = spark.sparkContext.broadcast(pickle.dumps((ids, model, {bytes(k): logs[n] for k, n in zip(top.key, top.n)})))
+    # The driver holds these as Arrow buffers of some 10 MB, not as objects; tasks make the dictionary.
+    top = words.where(F.col("n") >= frequent_from(words, frequent)).select("key", "n").toArrow()
+    shared = spark.sparkContext.broadcast(pickle.dumps((ids, model, top)))
+    del top, ids, model
+    forget()
     end_score = float(np.log10((n_docs + 1) / (total + distinct + 1)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_memory()
-        ids_, model_, known = pickle.loads(shared.value)
+        ids_, model_, top_ = pickle.loads(shared.value)
+        known = word_scores(top_, total + distinct)
         get, columns = known.get, ["doc_id", "hash", "word", "n", "copies", "tokens", "known", "base", "lm"]
         task, nth = TaskContext.get().partitionId(), 0
         for b in batches:
